@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_count, exact_topk, langid, mixing, packing, quality_mil, simhash, suffix_dedup
+from millrace.llm import ann_scan, bpe_count, exact_topk, langid, mixing, packing, quality_mil, simhash, suffix_dedup
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(table(spark, sf_dir, "documents"))
 
 
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_scan.search(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
