@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann_scan, bpe_count, exact_topk, langid, mixing, packing, quality_mil, simhash, suffix_dedup
+from millrace.llm import ann_scan, bpe_count, exact_topk, langid, mixing, packing, paragraphs, quality_mil, simhash, suffix_dedup
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.removals(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
