@@ -1,10 +1,11 @@
 """Operator 4: SimHash near duplicates by a generalised pigeonhole.
 
 Fingerprints have 64 bits. Equal ones are one node, so copies cost nothing beyond their
-row. Bits that go together over all fingerprints are put into the same of four groups of
-16. From the groups' value counts, the number of pairs at each distance within a group is
+row. Bits that go together over all fingerprints are put into the same of eight groups of
+8. From the groups' value counts, the number of pairs at each distance within a group is
 known exactly, and a dynamic program joins neighbouring groups into partitions and gives
-each partition a threshold so that the estimated work is least. If two fingerprints differ
+each partition a threshold so that the estimated work is least; more fingerprints give
+fewer and larger partitions. If two fingerprints differ
 in at most k bits and the thresholds plus one add up to k + 1, some partition differs in
 no more than its threshold; so probing each partition within its threshold loses no link.
 A probe's key is a partition's value with up to threshold bits flipped. Rows of a key are
@@ -12,6 +13,9 @@ compared where they meet; a key with many rows is cut into tiles and every pair
 compared in a task of its own. Each task passes on a spanning star of what it linked, so
 that a group of g near copies gives about g rows and not g * g.
 
+For larger k, 64 bits alone would link unrelated texts; ``checked`` then takes 64 further
+bits of each text and the most bits that all 128 may differ in.
+
 Defined results: null and empty texts have no words and fingerprint zero, which links like
 any other; an empty table gives an empty result; repeated rows share a fingerprint, and a
 null doc_id takes part but never names a component unless it has only null ids.
@@ -31,41 +35,47 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpoint, pieces
 from millrace.llm.components import components, local_roots
 
-BITS, GROUP, SEED = 64, 16, 42
+BITS, GROUP, SEED = 64, 8, 42
 #: Rows of one key that meet in one task; more are cut into tiles.
 TILE = 8192
 #: What one probe row costs against one comparison of two fingerprints.
-PROBE_COST = 60.0
+PROBE_COST = 600.0
 
 
-def fingerprint(raw: bytes, width: int) -> int:
-    """Bits set in over half of the hashes of a text's word shingles."""
+def fingerprint(raw: bytes, width: int, further: bool = False) -> tuple[int, int]:
+    """Bits set in over half of the hashes of a text's word shingles; with ``further`` 64
+    more bits, of hashes made from those, else 0."""
     import xxhash
 
     words = raw.lower().split()
     if not words:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     digest = xxhash.xxh64_intdigest
     hashed = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])], "<u8")
+    return _majority(hashed), _majority((hashed ^ (hashed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) if further else 0
+
+
+def _majority(hashed: np.ndarray) -> int:
     votes = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(hashed), 1 << 14):
         votes += np.unpackbits(hashed[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(votes * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, width: int = 4, further: bool = False) -> DataFrame:
+    """doc_id, fp and fq (64 bits each as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py().encode("utf-8"), width) if t.is_valid else 0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(t.as_py().encode("utf-8"), width, further) if t.is_valid else (0, 0) for t in batch.column(1)]
+            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "fp", "fq"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fq long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -82,7 +92,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def group_bits(nodes: DataFrame, n: int) -> list[list[int]]:
-    """Four groups of 16 bits; a group grows by the bit that goes most with those it has."""
+    """Groups of 8 bits; a group grows by the bit that goes most with those it has."""
     cells = nodes.select("fp").mapInArrow(_together, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()
     both = np.zeros(BITS * BITS)
     for cell, count in cells:
@@ -172,12 +182,12 @@ def _flips(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in flipped) for d in range(1, t + 1) for flipped in itertools.combinations(range(width), d)], np.uint64)
 
 
-def _link(fp: np.ndarray, key: np.ndarray, side: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the links within each key, rows in any order; ``side`` marks what
-    is compared: rows of side 0 with all of their key, other rows with side 0 only."""
-    order = np.lexsort((fp, side, key))
-    fp, key, side = fp[order], key[order], side[order]
-    n, bits = len(fp), fp.view(np.uint64)
+def _link(fp: np.ndarray, fq: np.ndarray, key: np.ndarray, side: np.ndarray, k: int, checked: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are linked within a key, as spanning stars over the fingerprints; ``side``
+    marks what is compared: rows of side 0 with all of their key, others with side 0 only."""
+    order = np.lexsort((fq, fp, side, key))
+    key, side = key[order], side[order]
+    n, bits, more = len(order), fp[order].view(np.uint64), fq[order].view(np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], n]
     home = np.add.reduceat((side == 0).astype(np.int64), starts)
@@ -185,88 +195,95 @@ def _link(fp: np.ndarray, key: np.ndarray, side: np.ndarray, k: int) -> tuple[np
     sizes = ends - starts
     small = np.repeat((sizes > 1) & (sizes <= 64) & (home > 0), sizes)
     stop = np.repeat(ends, sizes)
+
     at = np.flatnonzero(small & (side == 0))
     shift = 1
     while len(at):  # each row against the one ``shift`` places on
         at = at[at + shift < stop[at]]
-        near = at[np.bitwise_count(bits[at] ^ bits[at + shift]) <= k]
+        first, second = np.bitwise_count(bits[at] ^ bits[at + shift]), np.bitwise_count(more[at] ^ more[at + shift])
+        near = at[(first <= k) & (first + second <= checked)]
         us.append(near)
         vs.append(near + shift)
         shift += 1
     for s, e, h in zip(starts, ends, home):
         if e - s <= 64 or not h:
             continue
-        for a in range(s, s + h, 256):  # blocks of rows, of which only a spanning star stays
-            rows = np.arange(a, min(a + 256, s + h))
+        for a in range(s, s + h, 128):  # blocks of rows, of which only a spanning star stays
+            rows = np.arange(a, min(a + 128, s + h))
             i, j = np.nonzero(np.bitwise_count(bits[rows][:, None] ^ bits[None, a:e]) <= k)
-            root = local_roots(e - a, i, j)
-            kept = np.flatnonzero(root != np.arange(e - a))
-            us.append(kept + a)
-            vs.append(root[kept] + a)
+            near = np.bitwise_count(bits[rows[i]] ^ bits[a + j]) + np.bitwise_count(more[rows[i]] ^ more[a + j]) <= checked
+            i, j = i[near], j[near]
+            apart = i != j
+            i, j = i[apart], j[apart]
+            if len(i):
+                touched, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+                root = local_roots(len(touched), where[: len(i)], where[len(i) :])
+                kept = np.flatnonzero(root != np.arange(len(touched)))
+                us.append(touched[kept] + a)
+                vs.append(touched[root[kept]] + a)
     u, v = (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    same, where = np.unique(fp, return_inverse=True)
-    root = local_roots(len(same), where[u], where[v])
-    kept = np.flatnonzero(root != np.arange(len(same)))
-    return same[kept], same[root[kept]]
+    rows, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    # rows of equal fingerprints are one node
+    both = np.stack([bits[rows], more[rows]], axis=1)
+    nodes, node = np.unique(both, axis=0, return_inverse=True) if len(rows) else (both, where)
+    node = node.ravel()
+    root = local_roots(len(nodes), node[where[: len(u)]], node[where[len(u) :]])
+    kept = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[kept].view(np.int64), nodes[root[kept]].view(np.int64)
+
+
+NODE = "struct<fp: long, fq: long>"
 
 
-def links(nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """u, v: edges that connect whatever fingerprints (column fp, distinct) within k bits connect."""
+def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataFrame:
+    """u, v: edges that connect whatever fingerprints (columns fp and fq, distinct) within k
+    bits of fp, and ``checked`` bits of both, connect."""
     groups = group_bits(nodes, n)
     parts = [([b for g in of for b in groups[g]], t) for of, t in allocate(_pair_distances(nodes, groups, k), n, k)]
     probes = sum(1 + len(_flips(len(bits), t)) // 2 for bits, t in parts)
+    checked = k if checked is None else checked
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False)
+            every, further = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, len(every), 2048):
-                fp = every[at : at + 2048]
+                fp, fq = every[at : at + 2048], further[at : at + 2048]
                 for number, (bits, t) in enumerate(parts):
                     value = _values(fp.view(np.uint64), bits)
-                    flips = _flips(len(bits), t)
-                    probe = value[:, None] ^ flips[None, :]
+                    probe = value[:, None] ^ _flips(len(bits), t)[None, :]
                     row, col = np.nonzero(probe > value[:, None])  # the other direction finds the same pairs
+                    row_all = np.concatenate([np.arange(len(fp)), row])
                     values = np.concatenate([value, probe[row, col]]).view(np.int64)
                     side = np.concatenate([np.zeros(len(fp), np.int8), np.ones(len(row), np.int8)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), number, np.int8)), pa.array(values), pa.array(side), pa.array(np.concatenate([fp, fp[row]]))], names=["part", "value", "side", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), number, np.int8)), pa.array(values), pa.array(side), pa.array(fp[row_all]), pa.array(fq[row_all])], names=["part", "value", "side", "fp", "fq"])
 
-    signed = nodes.select("fp").mapInArrow(sign, "part byte, value long, side byte, fp long")
+    signed = nodes.select("fp", "fq").mapInArrow(sign, "part byte, value long, side byte, fp long, fq long")
     hot = signed.groupBy("part", "value").count().filter(F.col("count") > TILE).select("part", "value", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     tiled = signed.join(hot, ["part", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = tiled.withColumn("own", own).select(
-        "fp",
-        "side",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("tiles") - 1),
-                lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
-            )
-        ).alias("cell"),
-        "part",
-        "value",
-    )
-    keyed = tiled.select("fp", "side", F.xxhash64("part", "value", "cell.i", "cell.j").alias("key"))
-    buckets = pieces(n * probes * 17, 8 << 20, 12)
+    own = F.pmod(F.xxhash64("fp", "fq"), F.col("tiles")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    keyed = tiled.select("fp", "fq", "side", F.explode(cells).alias("cell"), "part", "value").select("fp", "fq", "side", F.xxhash64("part", "value", "cell.i", "cell.j").alias("key"))
+    buckets = pieces(n * probes * 25, 8 << 20, 12)
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, key, side = (table[c].to_numpy() for c in ("fp", "key", "side"))
-        u, v = _link(fp, key, side, k)
-        return pa.table({"u": u, "v": v})
+        u, v = _link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, checked)
+        node = lambda x: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["fp", "fq"])
+        return pa.table({"u": node(u), "v": node(v)})
 
-    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, "u long, v long")
+    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, checked: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
-    found = checkpoint(fingerprints(docs, width))
-    nodes = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = checkpoint(fingerprints(docs, width, checked is not None))
+    nodes = checkpoint(found.groupBy("fp", "fq").agg(F.min("doc_id").alias("least")))
     n = nodes.count()
     if n:
-        joined = components(links(nodes, n, k), 60)
-        roots = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        joined = components(links(nodes, n, k, checked))
+        node = F.struct("fp", "fq")
+        roots = nodes.withColumn("own", node).join(joined, F.col("own") == joined.node, "left").select("fp", "fq", "least", F.coalesce("root", "own").alias("root"))
         named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-        nodes = roots.join(named, "root").select("fp", "component_id")
+        nodes = roots.join(named, "root").select("fp", "fq", "component_id")
     else:
-        nodes = nodes.select("fp", F.col("least").alias("component_id"))
-    return found.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        nodes = nodes.select("fp", "fq", F.col("least").alias("component_id"))
+    return found.join(nodes, ["fp", "fq"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
