@@ -200,3 +200,17 @@ def score(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD)
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Learns from labelled rows that are not held out, then scores every row."""
     return score(docs, fit(docs.filter(~held_out()), labels.filter(~held_out()), sample), threshold)
+
+
+def keep(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(place))
+            scores = [model.score(*passages_of(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])) for start, end in slices(offsets)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

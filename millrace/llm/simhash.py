@@ -273,6 +273,18 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
     return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
+def keep_one(docs: DataFrame, width: int = 5, k: int = 10, checked: int = 28) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the
+    smallest id stays. A doc_id names one document; where rows repeat an id and a text, one
+    of them stays."""
+    found = near_duplicates(docs, width, k, checked)
+    first = checkpoint(found.select(F.col("component_id").alias("id")).distinct())
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.id), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.withColumn("text_key_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
+    return kept
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, checked: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
     found = checkpoint(fingerprints(docs, width, checked is not None))

@@ -336,37 +336,52 @@ def spans_of(runs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
 
 
-def cut(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """Each row's doc_id, n_bytes, n_removed, n_spans and kept_sha256, and with ``with_text``
-    the kept bytes as text (a character that loses some of its bytes goes whole)."""
-    rows = _tagged(docs, *(c for c in docs.columns if with_text and c not in ("doc_id", "text", "tag", "runs")))
+def _joined(docs: DataFrame, window: int, *more: str) -> DataFrame:
+    """Rows with their text and what is to be removed of it (column runs)."""
+    rows = _tagged(docs, *more)
     gone = checkpoint(removed_runs(rows, window).groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")))
     release_shuffles(docs.sparkSession)  # the pieces are as large as the input; texts are dealt next
-    joined = rows.join(gone, ["doc_id", "tag"], "left")
-    extra = [f for f in rows.schema.fields if f.name not in ("doc_id", "text", "tag")]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    return rows.join(gone, ["doc_id", "tag"], "left")
+
+
+def _kept(text: str | None, runs: list[bytes] | None, window: int) -> tuple[int, int, int, bytes]:
+    """Bytes of a text, bytes and spans removed, and the bytes that stay."""
+    raw = (text or "").encode("utf-8")
+    if not runs:
+        return len(raw), 0, 0, raw
+    starts, ends = spans_of(runs, window)
+    edges = [0, *(x for pair in zip(starts.tolist(), ends.tolist()) for x in pair), len(raw)]
+    return len(raw), int((ends - starts).sum()), len(starts), b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, runs = (batch.column(i).to_pylist() for i in range(3))
+            found = [_kept(t, r, window) for t, r in zip(texts, runs)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(f[3]).hexdigest() for f in found], pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    return _joined(docs, window).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with what stays of their texts; a character that loses some of
+    its bytes goes whole, a null text stays null, and n_chars follows the new text."""
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            ids, texts, runs = (batch.column(names.index(c)).to_pylist() for c in ("doc_id", "text", "runs"))
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text, found in zip(ids, texts, runs):
-                raw = (text or "").encode("utf-8")
-                kept, removed, n = raw, 0, 0
-                if found:
-                    starts, ends = spans_of(found, window)
-                    removed, n = int((ends - starts).sum()), len(starts)
-                    edges = [0, *(x for pair in zip(starts.tolist(), ends.tolist()) for x in pair), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = (None if doc == NULL_ID else doc, len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text and text is not None else None)
-                for column, value in zip(out, row):
-                    column.append(value)
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(names.index(f.name)) for f in extra)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f.name for f in extra)])
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*T._parse_datatype_string(schema).fields, *extra])
-    done = joined.mapInArrow(run, out)
-    return done if with_text else done.drop("kept")
+            texts, runs = (batch.column(i).to_pylist() for i in (0, 1))
+            kept = [None if t is None else t if not r else _kept(t, r, window)[3].decode("utf-8", "ignore") for t, r in zip(texts, runs)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(2)], names=["text", "whole_row"])
+
+    joined = _joined(whole, window, "whole_row").select("text", "runs", "whole_row")
+    schema = joined.select("text", "whole_row").schema
+    made = joined.mapInArrow(run, schema)
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return made.select(*(new[c].alias(c) if c in new else F.col(f"whole_row.`{c}`").alias(c) for c in docs.columns))
