@@ -60,11 +60,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more, which
-    it otherwise does when the driver happens to collect its garbage."""
+    it otherwise does when the driver happens to collect its garbage. What one collection
+    has let go of is only seen by the next, and files are deleted in the background."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
