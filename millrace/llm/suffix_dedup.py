@@ -38,22 +38,22 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpoint, pieces, release_shuffles, slices, utf8
 
 WINDOW = 50
-KMER = 16
+KMER = 12
 PERIOD = 7
 #: The difference cover: any two residues modulo 7 are met by a common shift into it.
 COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
 GATHERED = 24 << 20
 #: Text of pieces whose suffixes are sorted together.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _kmer_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes from each place."""
+    """A hash of the ``KMER`` bytes from each place."""
     h = _TABLE[raw]
-    for span in (1, 2, 4, 8):
+    for span in (1, 2, 4, KMER - 8):  # 2, 4, 8 and then KMER bytes
         h = h[:-span] * _MIX + h[span:]
         h ^= h >> np.uint64(29)
     return h * _MIX
@@ -101,7 +101,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; each is preceded by its length in bytes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(a).to_bytes(8, "little") + a for a in (x.tobytes() for x in arrays)))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in (x.tobytes() for x in arrays)))
 
 
 def _unpacked(value: bytes, *kinds) -> list[np.ndarray]:
@@ -323,7 +323,7 @@ def removed_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tag and runs (starts and extra lengths of runs of windows to remove, as 32-bit
     numbers) for rows of doc_id, text and tag; a document has a row for each block that found some."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.select("doc_id", "text", "tag").mapInArrow(_deal(pieces(size * 3.7, 32 << 20, 12), window), "block int, pieces binary")
+    dealt = rows.select("doc_id", "text", "tag").mapInArrow(_deal(pieces(size * 3.5, 16 << 20, 12), window), "block int, pieces binary")
     return dealt.groupBy("block").applyInArrow(_solve(window), "doc_id long, tag long, runs binary")
 
 
