@@ -262,8 +262,8 @@ def _bucket(doc: np.ndarray, place: np.ndarray, count: np.ndarray, ahead: np.nda
     return doc[rows[r]], at + b, at + e
 
 
-def _solve(window: int):
-    """Removed runs of a block: one row for each document of the block that loses bytes."""
+def _solve(window: int, parts: int):
+    """Removed runs of a block, packed by parts of the documents."""
 
     def run(table: pa.Table) -> pa.Table:
         docs, places, counts, aheads, minis, texts = [], [], [], [], [], []
@@ -300,15 +300,38 @@ def _solve(window: int):
         d, b, e = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         order = np.lexsort((b, d))
         d, b, e = d[order], b[order], e[order]
-        tag = b >> 32
-        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (tag[1:] != tag[:-1])])) if len(d) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(d))
-        runs = [np.stack([b[i:j] & 0xFFFFFFFF, e[i:j] - b[i:j]]).astype(np.uint32).tobytes() for i, j in zip(cut, ends)]
-        return pa.table({"doc_id": pa.array(d[cut]), "tag": pa.array(tag[cut]), "runs": pa.array(runs, pa.binary())})
+        part = (_mixed(d) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        d, b, e = d[order], b[order], e[order]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, _packed(_planes(np.diff(d[i:j], prepend=0)), _planes(b[i:j]), (e[i:j] - b[i:j]).astype(np.uint32))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """All runs of each document of a part, in one row."""
+    ds, bs, extras = [], [], []
+    for value in table["found"]:
+        step, first, extra = _unpacked(value.as_py(), np.uint8, np.uint8, np.uint32)
+        ds.append(np.cumsum(_numbers(step)))
+        bs.append(_numbers(first))
+        extras.append(extra)
+    d, b, extra = np.concatenate(ds), np.concatenate(bs), np.concatenate(extras)
+    order = np.lexsort((b, d))
+    d, b, extra = d[order], b[order], extra[order]
+    tag = b >> 32
+    cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (tag[1:] != tag[:-1])]))
+    runs = [np.stack([b[i:j] & 0xFFFFFFFF, extra[i:j]]).astype(np.uint32).tobytes() for i, j in zip(cut, np.append(cut[1:], len(d)))]
+    return pa.table({"doc_id": pa.array(d[cut]), "tag": pa.array(tag[cut]), "runs": pa.array(runs, pa.binary())})
+
+
 NULL_ID = (1 << 63) - 1
 
 
@@ -321,16 +344,16 @@ def _tagged(docs: DataFrame, *more: str) -> DataFrame:
 
 def removed_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tag and runs (starts and extra lengths of runs of windows to remove, as 32-bit
-    numbers) for rows of doc_id, text and tag; a document has a row for each block that found some."""
+    numbers) of each document that loses bytes, for rows of doc_id, text and tag."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.select("doc_id", "text", "tag").mapInArrow(_deal(pieces(size * 3.5, 16 << 20, 12), window), "block int, pieces binary")
-    return dealt.groupBy("block").applyInArrow(_solve(window), "doc_id long, tag long, runs binary")
+    found = dealt.groupBy("block").applyInArrow(_solve(window, pieces(size, 32 << 20, 12)), "part int, found binary")
+    return found.groupBy("part").applyInArrow(_by_document, "doc_id long, tag long, runs binary")
 
 
-def spans_of(runs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(runs: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed byte ranges of a document from its runs."""
-    both = np.concatenate([np.frombuffer(r, np.uint32).reshape(2, -1) for r in runs], axis=1).astype(np.int64)
-    both = both[:, np.argsort(both[0], kind="stable")]
+    both = np.frombuffer(runs, np.uint32).reshape(2, -1).astype(np.int64)
     start, end = both[0], np.maximum.accumulate(both[0] + both[1] + window)
     new = np.concatenate([[True], start[1:] > end[:-1]])
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
@@ -339,12 +362,12 @@ def spans_of(runs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 def _joined(docs: DataFrame, window: int, *more: str) -> DataFrame:
     """Rows with their text and what is to be removed of it (column runs)."""
     rows = _tagged(docs, *more)
-    gone = checkpoint(removed_runs(rows, window).groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")))
+    gone = checkpoint(removed_runs(rows, window))
     release_shuffles(docs.sparkSession)  # the pieces are as large as the input; texts are dealt next
     return rows.join(gone, ["doc_id", "tag"], "left")
 
 
-def _kept(text: str | None, runs: list[bytes] | None, window: int) -> tuple[int, int, int, bytes]:
+def _kept(text: str | None, runs: bytes | None, window: int) -> tuple[int, int, int, bytes]:
     """Bytes of a text, bytes and spans removed, and the bytes that stay."""
     raw = (text or "").encode("utf-8")
     if not runs:
