@@ -52,13 +52,14 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _ngrams(letters: np.ndarray) -> np.ndarray:
-    """Codes of all n-grams of one to three symbols; 0, the border, may only stand at an end."""
+    """Codes of all n-grams of one to three symbols, 21 bits each; a border, which no letter
+    has the code of, may only stand at an end."""
     if not letters.any():
         return np.zeros(0, np.int64)
     x = np.concatenate([[0], letters, [0]])
-    one, two = x[x > 0], x[:-1] << 21 | x[1:]
-    three = (x[:-2] << 42 | x[1:-1] << 21 | x[2:])[x[1:-1] > 0]
-    return np.concatenate([one, two[(x[:-1] > 0) | (x[1:] > 0)], three])
+    letter, x = x > 0, np.maximum(x, 1)
+    two, three = x[:-1] << 21 | x[1:], x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+    return np.concatenate([x[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]])
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

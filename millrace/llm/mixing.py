@@ -166,7 +166,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     again = F.when(F.col("times") > 1, F.col("to") - F.col("from")).when(F.col("times") == 1, F.col("part")).otherwise(F.lit(0))
     span = F.struct("start", "from", once.alias("once"), again.alias("again"))
     plan = cut.withColumns({"once": once, "again": again}).filter("once > 0").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.max("size").alias("size"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), rest.alias("whole_row")).dropDuplicates(["doc_id", "text_key"])
     word = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     joined = keyed.join(plan.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
 
@@ -177,5 +178,5 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = (F.size("spans") > 0) & F.forall("spans", lambda s: s["again"] == 0) & (F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["once"]) == F.col("size"))
     text = F.when(whole, F.col("text")).otherwise(F.trim(F.array_join(F.concat(taken("once"), taken("again")), "")))
     made = joined.withColumn("words", F.when(~whole, word)).withColumn("text", text)
-    shown = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return made.select(*shown)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return made.select(*(new[c].alias(c) if c in new else F.col(f"whole_row.`{c}`").alias(c) for c in docs.columns))
