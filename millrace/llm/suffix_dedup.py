@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpoint, pieces, release_shuffles, slices, utf8
 
 WINDOW = 50
-KMER = 12
+KMER = 16
 PERIOD = 7
 #: The difference cover: any two residues modulo 7 are met by a common shift into it.
 COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
 GATHERED = 24 << 20
 #: Text of pieces whose suffixes are sorted together.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -169,7 +169,7 @@ def _deal(blocks: int, window: int):
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of integers."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     of = keys[order]
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(np.concatenate([[False], of[1:] != of[:-1]])) if len(of) else 0
@@ -194,6 +194,16 @@ def _names(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
         span *= 2
     ahead = np.array([next(d for d in range(PERIOD) if COVER[(r + d) % PERIOD]) for r in range(PERIOD)])[at % PERIOD]
     name = rank[slot[at + ahead]]
+    tied = np.bincount(name, minlength=1)[name] > 1 if len(at) else np.zeros(0, bool)
+    if not tied.all():  # what stands alone after ``span`` bytes needs no further look
+        out = np.arange(len(at))
+        out[tied] = _told_apart(padded, at[tied], name[tied], ahead[tied], rank, slot, span, window) + len(at)
+        return out
+    return _told_apart(padded, at, name, ahead, rank, slot, span, window)
+
+
+def _told_apart(padded: np.ndarray, at: np.ndarray, name: np.ndarray, ahead: np.ndarray, rank: np.ndarray, slot: np.ndarray, span: int, window: int) -> np.ndarray:
+    """Names of whole windows from names of ``span`` bytes from their first cover places."""
     done = ahead + span  # bytes from each start that the name stands for
     head = np.zeros(len(at), np.int64)
     for i in range(PERIOD):
