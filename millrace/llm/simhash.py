@@ -37,7 +37,7 @@ from millrace.llm.components import components, local_roots
 
 BITS, GROUP, SEED = 64, 8, 42
 #: Rows of one key that meet in one task; more are cut into tiles.
-TILE = 8192
+TILE = 32768
 #: What one probe row costs against one comparison of two fingerprints.
 PROBE_COST = 600.0
 
@@ -273,7 +273,7 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
     return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
-def keep_one(docs: DataFrame, width: int = 5, k: int = 10, checked: int = 28) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, k: int = 14, checked: int = 26) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the
     smallest id stays. A doc_id names one document; where rows repeat an id and a text, one
     of them stays."""
