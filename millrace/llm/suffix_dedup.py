@@ -46,6 +46,8 @@ COVER = np.array([True, True, False, True, False, False, False])
 GATHERED = 24 << 20
 #: Text of pieces whose suffixes are sorted together.
 BUCKET_BYTES = 4 << 20
+#: Low bits of a hash that give way to a place.
+PLACE_BITS = np.uint64(20)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,6 +70,19 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
+def _leftmost(hashed: np.ndarray, n: int) -> np.ndarray:
+    """The place of the smallest hash of each ``n`` neighbours, the leftmost on ties. Hashes
+    count without their low bits, as many in a text of any length: these hold a place."""
+    mask = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    room = (1 << int(PLACE_BITS)) - n + 1  # of longer texts so many windows at a time
+    out = np.empty(len(hashed) - n + 1, np.int64)
+    for first in range(0, len(out), room):
+        own = hashed[first : first + room + n - 1]
+        least = _least(own & ~mask | np.arange(len(own), dtype=np.uint64), n)
+        out[first : first + room] = (least & mask).astype(np.int64) + first
+    return out
+
+
 def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Pieces of a slice of texts: text number, start, first window after the last, place
     of the minimiser (all in the slice), and the minimiser's hash."""
@@ -75,10 +90,7 @@ def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     if len(raw) < window:
         return none
     hashed = _kmer_hashes(raw)
-    places = np.arange(len(hashed), dtype=np.uint64)
-    low = np.uint64(max(20, int(len(raw)).bit_length()))
-    least = _least(hashed >> low << low | places, window - KMER + 1)
-    at = (least & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    at = _leftmost(hashed, window - KMER + 1)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     inside = np.arange(len(at)) + window <= offsets[1:][doc]
     begins = np.ones(len(at), bool)
@@ -87,7 +99,7 @@ def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     start = np.flatnonzero(begins)
     # a piece ends where the next begins or its text has no further window
     last = np.minimum(np.append(start[1:], len(at)), offsets[1:][doc[start]] - window + 1)
-    return doc[start], start, last, at[start], hashed[at[start]] >> low
+    return doc[start], start, last, at[start], hashed[at[start]] >> PLACE_BITS
 
 
 def _gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

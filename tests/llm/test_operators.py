@@ -338,6 +338,24 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert [(r.n_bytes, r.n_removed) for r in null] == [(110, 80)] * 2
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    rnd = np.random.default_rng(8)
+    letters = lambda n: bytes(rnd.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = [letters(700) for _ in range(4)]
+    long, longer = letters(1 << 20), letters(2 << 20)
+    every = [
+        (1, letters(30) + shared[0] + letters(40)),
+        (2, long[:5000] + shared[0] + long[5000:] + shared[1]),
+        (3, longer[:9] + shared[1] + longer[9:] + shared[2]),
+        (4, letters(60) + shared[2] + long[(1 << 20) - 800 : (1 << 20) - 100] + letters(9)),
+        (5, long[:5000] + shared[0] + long[5000:] + shared[1]),
+        (6, longer[(1 << 20) - 300 : (1 << 20) + 900]),
+    ]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.cut(make(spark, every)).collect()}
+    lost = {1: 0, 2: 700, 3: 700, 4: 1400, 5: len(every[4][1]), 6: 1200}
+    assert got == {i: (len(t), lost[i]) for i, t in every}
+
+
 # 8
 
 
