@@ -204,8 +204,9 @@ def _reread(width: int):
     return run
 
 
-def _linked(similar: float):
-    """Spanning links of the classes of a meeting that are similar enough."""
+def _linked(similar: float, first: str = "doc_id", second: str = "line", kind: type = np.int32):
+    """Spanning links of the classes of a meeting that are similar enough; a class is named
+    by two columns, of which the second is of a type to be named."""
 
     def compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = len(sets)
@@ -234,10 +235,13 @@ def _linked(similar: float):
                 unseen[near] = False
                 found += [(one, int(j)) for j in near]
                 reached += near.tolist()
+                left = unseen[owner]
+                if 2 * left.sum() < len(owner):  # what was reached is not looked for again
+                    flat, owner = flat[left], owner[left]
         return found
 
     def run(table: pa.Table) -> pa.Table:
-        meeting, doc, line = (table[c].to_numpy() for c in ("key", "doc_id", "line"))
+        meeting, doc, line = (table[c].to_numpy() for c in ("key", first, second))
         sets = table["shingles"].to_pylist()
         order = np.lexsort((line, doc, meeting))
         ends = np.append(np.flatnonzero(np.concatenate([[True], meeting[order][1:] != meeting[order][:-1]])), len(order))
@@ -252,7 +256,7 @@ def _linked(similar: float):
         u, v = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
         root = local_roots(len(nodes), node[u], node[v])
         kept = np.flatnonzero(root != np.arange(len(nodes)))
-        pick = lambda rows: pa.StructArray.from_arrays([pa.array(nodes[rows, 0]), pa.array(nodes[rows, 1].astype(np.int32))], names=["doc_id", "line"])
+        pick = lambda rows: pa.StructArray.from_arrays([pa.array(nodes[rows, 0]), pa.array(nodes[rows, 1].astype(kind))], names=[first, second])
         return pa.table({"u": pick(kept), "v": pick(root[kept])})
 
     return run

@@ -14,7 +14,8 @@ compared in a task of its own. Each task passes on a spanning star of what it li
 that a group of g near copies gives about g rows and not g * g.
 
 For larger k, 64 bits alone would link unrelated texts; ``checked`` then takes 64 further
-bits of each text and the most bits that all 128 may differ in.
+bits of each text and the most bits that all 128 may differ in. ``keep_one`` uses such
+links only to find candidates, and compares their sets of shingles exactly.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like
 any other; an empty table gives an empty result; repeated rows share a fingerprint, and a
@@ -32,31 +33,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, pieces
+from millrace.llm.common import checkpoint, pieces, release_shuffles
 from millrace.llm.components import components, local_roots
+from millrace.llm.paragraphs import _linked as linked_sets
 
 BITS, GROUP, SEED = 64, 8, 42
 #: Rows of one key that meet in one task; more are cut into tiles.
 TILE = 32768
+#: Sets of shingles that meet others in one task; more are cut into tiles.
+SETS = 4096
 #: What one probe row costs against one comparison of two fingerprints.
 PROBE_COST = 600.0
 
 
-def fingerprint(raw: bytes, width: int, further: bool = False) -> tuple[int, int]:
-    """Bits set in over half of the hashes of a text's word shingles; with ``further`` 64
-    more bits, of hashes made from those, else 0."""
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """A hash of each word shingle of a text; one of fewer words is a single shingle."""
     import xxhash
 
     words = raw.lower().split()
     if not words:
-        return 0, 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     digest = xxhash.xxh64_intdigest
-    hashed = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])], "<u8")
-    return _majority(hashed), _majority((hashed ^ (hashed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) if further else 0
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])], "<u8")
+
+
+def fingerprint(raw: bytes, width: int) -> int:
+    """Bits set in over half of the hashes of a text's word shingles."""
+    hashed = shingle_hashes(raw, width)
+    return _majority(hashed) if len(hashed) else 0
+
+
+def _further(hashed: np.ndarray) -> np.ndarray:
+    """Other hashes, made from those."""
+    return (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def set_fingerprint(hashed: np.ndarray) -> tuple[int, int]:
+    """64 bits, and 64 more, of a set of hashes: those set in most. Where as many have a bit
+    as have not, the smallest hash tells, so that bits of few shingles are as often set as not."""
+    if not len(hashed):
+        return 0, 0
+    odd = lambda x: np.append(x, x.min()) if len(x) % 2 == 0 else x
+    return _majority(odd(hashed)), _majority(odd(_further(hashed)))
 
 
 def _majority(hashed: np.ndarray) -> int:
@@ -66,14 +88,13 @@ def _majority(hashed: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, further: bool = False) -> DataFrame:
-    """doc_id, fp and fq (64 bits each as a signed long) of each row."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) and fq (zero) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py().encode("utf-8"), width, further) if t.is_valid else (0, 0) for t in batch.column(1)]
-            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "fp", "fq"])
+            found = np.array([fingerprint(t.as_py().encode("utf-8"), width) if t.is_valid else 0 for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(np.zeros_like(found))], names=["doc_id", "fp", "fq"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fq long")
 
@@ -273,25 +294,92 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
     return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
-def keep_one(docs: DataFrame, width: int = 5, k: int = 14, checked: int = 26) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the
-    smallest id stays. A doc_id names one document; where rows repeat an id and a text, one
-    of them stays."""
-    found = near_duplicates(docs, width, k, checked)
-    first = checkpoint(found.select(F.col("component_id").alias("id")).distinct())
+def _set_of(text: pa.Scalar, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_py().encode("utf-8"), width)) if text.is_valid else np.zeros(0, "<u8")
+
+
+def _described(width: int):
+    """doc_id, fingerprints, the 128-bit key of the set of shingles, and the text's hash."""
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                own = _set_of(text, width)
+                rows.append((*set_fingerprint(own), *np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<u8").tolist()))
+            both = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(4)), batch.column(2)], names=["doc_id", "fp", "fq", "a", "b", "text_hash"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_set_of(t, width).tobytes() for t in batch.column(2)], pa.binary())], names=["a", "b", "shingles"])
+
+    return run
+
+
+def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int = 17, checked: int = 32) -> DataFrame:
+    """a, b (the key of a set of word shingles) and root of each distinct set of ``docs``, with
+    the smallest doc_id: sets of one root are connected by pairs of that Jaccard similarity.
+
+    Fingerprints within the limits only say which sets to compare: those that they connect
+    meet, with all of their shingles, in tiles of ``SETS`` against ``SETS``."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = checkpoint(texts.mapInArrow(_described(width), "doc_id long, fp long, fq long, a long, b long, text_hash long"))
+    classes = checkpoint(found.groupBy("a", "b", "fp", "fq").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one")))
+    nodes = checkpoint(classes.select("fp", "fq").distinct())
+    n = nodes.count()
+    own = F.struct("a", "b")
+    if not n:
+        return classes.select("a", "b", "least", own.alias("root"))
+    near = checkpoint(components(links(nodes, n, k, checked)).select("node.fp", "node.fq", F.col("root").alias("around")))
+    release_shuffles(docs.sparkSession)
+    # several sets may also share a fingerprint
+    members = classes.join(near, ["fp", "fq"], "left").withColumn("around", F.coalesce("around", F.struct("fp", "fq")))
+    sizes = members.groupBy("around").count().filter("count > 1").select("around", F.ceil(F.col("count") / SETS).cast("int").alias("tiles"))
+    members = checkpoint(members.join(sizes, "around").select("a", "b", "one", "tiles", F.xxhash64("around").alias("meeting")))
+    wanted = members.select("a", "b", F.col("one.text_hash").alias("hash"), F.col("one.doc_id").alias("id"))
+    chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id) & texts.text_hash.eqNullSafe(wanted.hash))
+    sets = checkpoint(chosen.select("a", "b", "text").mapInArrow(_sets(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
+    release_shuffles(docs.sparkSession)
+    tile = F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(tile, other).alias("i"), F.greatest(tile, other).alias("j")))
+    tiled = members.select("a", "b", "meeting", F.explode(cells).alias("cell")).withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
+    size = tiled.join(sets, ["a", "b"]).agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    parts = pieces(size, 8 << 20, 12)
+    keyed = tiled.join(sets, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
+    edges = keyed.groupBy("part").applyInArrow(linked_sets(similar, "a", "b", np.int64), "u struct<a: long, b: long>, v struct<a: long, b: long>")
+    joined = components(edges)
+    return classes.withColumn("own", own).join(joined, F.col("own") == joined.node, "left").select("a", "b", "least", F.coalesce("root", "own").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, k: int = 17, checked: int | None = 32, similar: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of the documents that pairs of a Jaccard
+    similarity of ``similar`` connect, the one with the smallest id stays; without ``checked``,
+    of those that fingerprints alone connect. A doc_id names one document; where rows repeat
+    an id and a text, one of them stays."""
+    if checked is None:
+        first = near_duplicates(docs, width, k).select(F.col("component_id").alias("id"))
+    else:
+        first = similar_sets(docs, width, similar, k, checked).groupBy("root").agg(F.min("least").alias("id")).select("id")
+    first = checkpoint(first.distinct())
     kept = docs.join(first, docs.doc_id.eqNullSafe(first.id), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.withColumn("text_key_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
     return kept
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, checked: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
-    found = checkpoint(fingerprints(docs, width, checked is not None))
+    found = checkpoint(fingerprints(docs, width))
     nodes = checkpoint(found.groupBy("fp", "fq").agg(F.min("doc_id").alias("least")))
     n = nodes.count()
     if n:
-        joined = components(links(nodes, n, k, checked))
+        joined = components(links(nodes, n, k))
         node = F.struct("fp", "fq")
         roots = nodes.withColumn("own", node).join(joined, F.col("own") == joined.node, "left").select("fp", "fq", "least", F.coalesce("root", "own").alias("root"))
         named = roots.groupBy("root").agg(F.min("least").alias("component_id"))

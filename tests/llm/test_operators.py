@@ -237,6 +237,23 @@ def test_simhash(spark, rows):
     assert simhash.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_keep_one_compares_exactly(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randint(0, 9999)}" for _ in range(n)]
+    every = [(i, " ".join(words(6))) for i in range(400)]
+    for i in range(100):  # 96 shingles, of which the other text has 77 or 58
+        one = words(100)
+        every += [(1000 + 2 * i, " ".join(one)), (1001 + 2 * i, " ".join(one[: 81 if i % 2 else 62]))]
+    every += [(2000, None), (2001, ""), (2002, every[5][1].upper())]
+    kept = {r.doc_id for r in simhash.keep_one(make(spark, every)).collect()}
+    close = {1001 + 2 * i for i in range(100) if i % 2}
+    assert kept >= {d for d, _ in every} - close - {2001, 2002} and not kept & {2001, 2002}
+    assert len(close - kept) >= 0.95 * len(close)
+    monkeypatch.setattr(simhash, "SETS", 1)
+    near = every[600:] + [(3000 + i, " ".join(x if j != i else "new" for j, x in enumerate(every[400][1].split()))) for i in range(30)]
+    assert {r.doc_id for r in simhash.keep_one(make(spark, every[400:401] + near)).collect()} == {1000, 2000, 2002}
+
+
 @pytest.mark.parametrize("k", [0, 2, 4, 7, 10])
 def test_thresholds_cover(k):
     rng = np.random.default_rng(k)
