@@ -14,8 +14,8 @@ compared once; a group of many classes is cut into tiles, and each pair of tiles
 in a task of its own. A group passes on a spanning star of what it linked.
 
 Defined results: null, empty and short-lined texts have no paragraphs; a cluster may lie
-within one document; a text repeated under its id keeps its paragraphs once for each row
-only if the rows' ids differ; rows with a null doc_id come last; an empty table gives an
+within one document; different texts under one id are told apart by a hash of the text, and
+rows that repeat an id and a text lose the same lines; rows with a null doc_id come last; an empty table gives an
 empty result. Other columns are ignored.
 """
 
@@ -124,14 +124,14 @@ def _bands(lines: Lines, bands: int, rows: int) -> np.ndarray:
 def _describe(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             raw, offsets = utf8(batch.column(1))
             for start, end in slices(offsets):
                 lines = Lines(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
                 values = np.ascontiguousarray(_bands(lines, bands, rows))
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * 8), len(values), [None, pa.py_buffer(values)]).cast(pa.binary())
                 key = lines.key.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(ids[start + lines.doc]), pa.array(lines.line.astype(np.int32)), packed], names=["a", "b", "doc_id", "line", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(ids[start + lines.doc]), pa.array(tags[start + lines.doc]), pa.array(lines.line.astype(np.int32)), packed], names=["a", "b", "doc_id", "tag", "line", "bands"])
 
     return run
 
@@ -147,16 +147,16 @@ def _deal_bands(blocks: int, bands: int):
                 continue
             raw, _ = utf8(batch.column(2))
             value = _mixed(raw.view(np.uint64) + np.tile(np.arange(bands, dtype=np.uint64), n))
-            doc, line = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
+            a, b = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
             block = (value % np.uint64(blocks)).astype(np.int64)
-            order = np.lexsort((line, doc, block))
+            order = np.lexsort((b, a, block))
             ends = np.searchsorted(block[order], np.arange(blocks + 1))
             press = zstandard.ZstdCompressor(level=1).compress
-            for b in range(blocks):
-                own = order[ends[b] : ends[b + 1]]
+            for number in range(blocks):
+                own = order[ends[number] : ends[number + 1]]
                 if len(own):
-                    parts = (np.diff(doc[own], prepend=0).view(np.uint8).reshape(-1, 8).T, line[own].astype(np.int32).view(np.uint8).reshape(-1, 4).T, value[own])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([press(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))], pa.binary())], names=["block", "packed"])
+                    parts = (a[own], b[own], value[own])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([press(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))], pa.binary())], names=["block", "packed"])
 
     return run
 
@@ -165,14 +165,14 @@ def _meetings(table: pa.Table) -> pa.Table:
     """Groups of at least two classes with one band value."""
     import zstandard
 
-    docs, lines, values = [], [], []
+    ones, others, values = [], [], []
     for packed in table["packed"]:
         raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
-        n = len(raw) // 20
-        docs.append(np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel()))
-        lines.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 * n).reshape(4, n).T).view(np.int32).ravel())
-        values.append(np.frombuffer(raw, np.uint64, n, 12 * n))
-    doc, line, value = np.concatenate(docs), np.concatenate(lines), np.concatenate(values)
+        n = len(raw) // 24
+        ones.append(np.frombuffer(raw, np.int64, n))
+        others.append(np.frombuffer(raw, np.int64, n, 8 * n))
+        values.append(np.frombuffer(raw, np.uint64, n, 16 * n))
+    a, b, value = np.concatenate(ones), np.concatenate(others), np.concatenate(values)
     order = np.argsort(value, kind="stable")
     of = value[order]
     new = np.concatenate([[True], of[1:] != of[:-1]])
@@ -180,26 +180,26 @@ def _meetings(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(head, len(of)))
     met = np.repeat(size > 1, size)
     order, group = order[met], of[met]
-    return pa.table({"meeting": pa.array(group.view(np.int64)), "doc_id": pa.array(doc[order]), "line": pa.array(line[order])})
+    return pa.table({"meeting": pa.array(group.view(np.int64)), "a": pa.array(a[order]), "b": pa.array(b[order])})
 
 
 def _reread(width: int):
-    """Shingles of chosen lines: sorted and without repeats."""
+    """Shingles of chosen lines, under the keys of their classes: sorted and without repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            raw, offsets = utf8(batch.column(1))
+            wanted = batch.column(1).to_pylist()
+            raw, offsets = utf8(batch.column(0))
             for start, end in slices(offsets):
                 lines = Lines(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
-                docs, numbers, sets = [], [], []
+                keys, sets = [], []
                 chosen = [set(w) for w in wanted[start:end]]
                 for i in range(len(lines.doc)):
                     if int(lines.line[i]) in chosen[lines.doc[i]]:
-                        docs.append(ids[start + lines.doc[i]])
-                        numbers.append(int(lines.line[i]))
+                        keys.append(lines.key[i])
                         sets.append(np.unique(lines.shingles[lines.first[i] : lines.first[i + 1]]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "line", "shingles"])
+                key = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
 
     return run
 
@@ -262,49 +262,55 @@ def _linked(similar: float, first: str = "doc_id", second: str = "line", kind: t
     return run
 
 
-NODE = "struct<doc_id: long, line: int>"
+NODE = "struct<a: long, b: long>"
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id (null ids as the largest long), text and tag, which tells the texts of one id apart."""
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"))
 
 
 def clusters(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """doc_id (null ids as the largest long), line and kept (doc_id and line of the
-    cluster's first paragraph) of every paragraph."""
+    """doc_id (null ids as the largest long), tag (of the text), line, kept (doc_id and
+    line of the cluster's first paragraph) and stays (it is this one) of every paragraph."""
     bands, rows = tuned(similar, recall)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    found = checkpoint(texts.mapInArrow(_describe(width, bands, rows), "a long, b long, doc_id long, line int, bands binary"))
-    node = F.struct("doc_id", "line")
-    classes = checkpoint(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line", "bands")).alias("x")).select("a", "b", F.struct("x.doc_id", "x.line").alias("node"), "x.bands"))
-    found = found.select("a", "b", "doc_id", "line")
+    texts = _tagged(docs)
+    found = checkpoint(texts.mapInArrow(_describe(width, bands, rows), "a long, b long, doc_id long, tag long, line int, bands binary"))
+    classes = checkpoint(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line", "tag", "bands")).alias("x")).select("a", "b", F.struct("x.doc_id", "x.line", "x.tag").alias("first"), "x.bands"))
+    found = found.select("a", "b", "doc_id", "tag", "line")
     n = classes.count()
-    blocks = pieces(n * bands * 20, 24 << 20, 12)
-    dealt = classes.select("node.doc_id", "node.line", "bands").mapInArrow(_deal_bands(blocks, bands), "block int, packed binary")
-    met = dealt.groupBy("block").applyInArrow(_meetings, "meeting long, doc_id long, line int")
+    blocks = pieces(n * bands * 24, 24 << 20, 12)
+    dealt = classes.select("a", "b", "bands").mapInArrow(_deal_bands(blocks, bands), "block int, packed binary")
+    met = dealt.groupBy("block").applyInArrow(_meetings, "meeting long, a long, b long")
     met = checkpoint(met)
     release_shuffles(docs.sparkSession)
     # the same classes often meet in several bands: one meeting of each set of classes is compared
-    groups = met.groupBy("meeting").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "line").cast("decimal(20,0)")).alias("of"), F.sum(F.xxhash64("line", "doc_id").cast("decimal(20,0)")).alias("too"))
+    groups = met.groupBy("meeting").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("of"), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")).alias("too"))
     groups = groups.groupBy("n", "of", "too").agg(F.min("meeting").alias("meeting")).select("meeting", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     met = met.join(groups, "meeting")
-    wanted = met.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    shingles = checkpoint(texts.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_reread(width), "doc_id long, line int, shingles binary").dropDuplicates(["doc_id", "line"]))
+    wanted = classes.join(met.select("a", "b").distinct(), ["a", "b"]).groupBy("first.doc_id", "first.tag").agg(F.collect_set("first.line").alias("lines"))
+    shingles = checkpoint(texts.join(wanted, ["doc_id", "tag"]).select("text", "lines").mapInArrow(_reread(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
     release_shuffles(docs.sparkSession)
-    own = F.pmod(F.xxhash64("doc_id", "line"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    tiled = met.select("meeting", "doc_id", "line", F.explode(cells).alias("cell")).withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
+    tiled = met.select("meeting", "a", "b", F.explode(cells).alias("cell")).withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
     parts = pieces(met.count() * 400, 8 << 20, 12)
-    keyed = tiled.join(shingles, ["doc_id", "line"]).select("key", "doc_id", "line", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
-    edges = keyed.groupBy("part").applyInArrow(_linked(similar), f"u {NODE}, v {NODE}")
+    keyed = tiled.join(shingles, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
+    edges = keyed.groupBy("part").applyInArrow(_linked(similar, "a", "b", np.int64), f"u {NODE}, v {NODE}")
     joined = components(edges)
-    kept = classes.select("a", "b", "node").join(joined, "node", "left").select("a", "b", F.coalesce("root", "node").alias("kept"))
-    return found.join(kept, ["a", "b"]).select("doc_id", "line", "kept")
+    named = classes.select("a", "b", "first", F.struct("a", "b").alias("own")).join(joined, F.col("own") == joined.node, "left").select("a", "b", "first", F.coalesce("root", "own").alias("root"))
+    kept = named.join(named.groupBy("root").agg(F.min("first").alias("kept")), "root").select("a", "b", "kept")
+    stays = F.struct("doc_id", "line", "tag") == F.col("kept")
+    return found.join(kept, ["a", "b"]).select("doc_id", "tag", "line", F.struct("kept.doc_id", "kept.line").alias("kept"), stays.alias("stays"))
 
 
 def removals(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """Each row's doc_id, n_lines (lines of its text), n_removed, and removed: the numbers of
     the lines (from 0) that go, each with the doc_id and line that stays for it."""
-    away = clusters(docs, width, similar, recall).filter("doc_id <> kept.doc_id or line <> kept.line")
+    away = clusters(docs, width, similar, recall).filter("not stays")
     one = F.struct("line", F.when(F.col("kept.doc_id") != NULL_ID, F.col("kept.doc_id")).alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
-    gone = away.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("removed")).withColumnRenamed("doc_id", "id")
+    gone = away.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(one)).alias("removed")).withColumnsRenamed({"doc_id": "id", "tag": "id_tag"})
     lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    rows = docs.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
+    rows = docs.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("id_tag"))
     none = F.from_json(F.lit("[]"), "array<struct<line int, kept_doc_id long, kept_line int>>")
-    return rows.join(gone, "id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    return rows.join(gone, ["id", "id_tag"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))

@@ -448,6 +448,15 @@ def test_paragraphs(spark, rows):
     assert out[80].n_lines == 0 and paragraphs.removals(make(spark, [])).count() == 0
 
 
+def test_paragraphs_of_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    one, two, three, four = (" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(40)) for _ in range(4))
+    near = lambda t: t + " more"
+    every = [(1, one), (2, two), (None, near(one)), (None, near(two)), (None, three), (7, near(one)), (7, four)]
+    got = sorted((r.doc_id or 99, r.removed[0].kept_doc_id if r.removed else 0) for r in paragraphs.removals(make(spark, every)).collect())
+    assert got == [(1, 0), (2, 0), (7, 0), (7, 1), (99, 0), (99, 1), (99, 2)]
+
+
 def test_bands_reach_the_recall():
     for similar in (0.5, 0.8, 0.9):
         bands, rows = paragraphs.tuned(similar, 0.99)
