@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,15 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; one of its own only where none is set and all
+    tasks run in the driver's process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
         application = spark.sparkContext.applicationId
         if application not in _OWN_FOLDERS:
             _OWN_FOLDERS[application] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -58,6 +63,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be sent to every task.
+MOST_BROADCAST = 100_000
+
+
+def join_counted(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows to ``few``, which is written down and counted first: up to ``MOST_BROADCAST``
+    of its rows go to the rows, so that a common key is not gathered; with more of them both
+    sides are dealt by the key, and Spark splits the partitions of common keys as it runs
+    (which it can, as the counted side is a plain table)."""
+    few = checkpoint(few)
+    return rows.join(F.broadcast(few) if few.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else few, on, how)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more, which
     it otherwise does when the driver happens to collect its garbage. What one collection
@@ -95,3 +113,67 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 def pieces(total_bytes: int, each: int, least: int = 8) -> int:
     """How many parts a job of so many bytes is dealt to."""
     return max(least, -(-int(total_bytes) // each))
+
+
+#: Low bits of a hash that give way to a place.
+PLACE_BITS = np.uint64(20)
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each ``n`` neighbours."""
+    span = 1
+    while span * 2 <= n:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
+
+
+def leftmost(hashed: np.ndarray, n: int) -> np.ndarray:
+    """The place of the smallest hash of each ``n`` neighbours, the leftmost on ties. Hashes
+    count without their low bits, as many in a text of any length: these hold a place."""
+    mask = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    room = (1 << int(PLACE_BITS)) - n + 1  # of longer texts so many windows at a time
+    out = np.empty(len(hashed) - n + 1, np.int64)
+    for first in range(0, len(out), room):
+        own = hashed[first : first + room + n - 1]
+        least = _least(own & ~mask | np.arange(len(own), dtype=np.uint64), n)
+        out[first : first + room] = (least & mask).astype(np.int64) + first
+    return out
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; each is preceded by its length in bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in (x.tobytes() for x in arrays)))
+
+
+def unpacked(value: bytes, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = zstandard.ZstdDecompressor().decompress(value), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
+        at += 8 + n
+    return out
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, all first bytes before all second ones; these compress well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
+#: Stands for a null doc_id, which comes after all others.
+NULL_ID = (1 << 63) - 1
+
+
+def tagged(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and tag: 0 while ids are unique, else a hash that tells the texts of an id apart."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", *more)
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    return rows.withColumn("tag", F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 30)) if repeated else F.lit(0).cast("long"))

@@ -1,22 +1,30 @@
 """Operator 10: near-duplicate paragraphs by MinHash bands.
 
-A paragraph is a line of a text that has at least ``width`` words; its shingles are runs
-of ``width`` words, without regard to the case of A-Z or the kind of white space. Equal
-paragraphs (128 bits of hash over their words) are one class, so copies cost a row each.
-Bands of MinHash values are tuned so that a pair at the wanted similarity meets in a band
-with probability ``recall``; the fewest hashes that do so are taken. Classes that meet in
-a band, and only those, have their shingles read again and compared exactly by Jaccard
-similarity. The links' components are the clusters; the first paragraph of a cluster by
-(doc_id, paragraph) stays and every other one is removed.
-
-Band values are dealt to blocks as compressed arrays; groups that several bands share are
-compared once; a group of many classes is cut into tiles, and each pair of tiles compared
-in a task of its own. A group passes on a spanning star of what it linked.
-
-Defined results: null, empty and short-lined texts have no paragraphs; a cluster may lie
-within one document; different texts under one id are told apart by a hash of the text, and
-rows that repeat an id and a text lose the same lines; rows with a null doc_id come last; an empty table gives an
-empty result. Other columns are ignored.
+A paragraph is a line of at least ``LEAST`` words, or a run of ``LEAST`` words that begins
+at an anchor. Anchors are places that the words themselves choose, the smallest hash of a
+word shingle among each ``GAP`` neighbours, so they fall alike wherever a passage stands:
+every run of ``LEAST + GAP - 1`` (51) words holds a whole paragraph, within a line or across
+lines, and words that many texts share but that are fewer than ``LEAST`` in a row are none.
+
+Shingles are runs of ``width`` words, without regard to the case of A-Z or the kind of white
+space. Equal paragraphs (128 bits of hash over their words) are one class, named by its
+first paragraph by (doc_id, place). Bands of MinHash values are tuned so that a pair at the
+wanted similarity meets in a band with probability ``recall``; the fewest hashes that do so
+are taken. Classes that meet in a band, and only those, have their shingles read again and
+compared exactly by Jaccard similarity. The components of the links are the clusters. A
+paragraph goes if the first of its cluster stands in a document with a smaller id; what
+stays is the first.
+
+A task sends each block its paragraphs' keys and band values as compressed arrays, equal
+paragraphs once, so a very common one costs a block one entry from each task. Groups that
+several bands share are compared once; a group of many classes is cut into tiles, and each
+pair of tiles compared in a task of its own. A group passes on a spanning star of its links.
+
+Defined results: null, empty and short texts have no paragraphs; a text loses nothing to
+itself; all texts of one doc_id are one document's, told apart by a hash, and lose nothing
+to each other; rows that repeat an id and a text lose the same words; rows with a null
+doc_id come after all others and lose nothing to each other; an empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +36,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, pieces, release_shuffles, slices, utf8
+from millrace.llm.common import NULL_ID, checkpoint, join_counted, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 from millrace.llm.components import components, local_roots
 
-WIDTH, SIMILAR, RECALL = 5, 0.8, 0.995
+WIDTH, SIMILAR, RECALL = 5, 0.8, 0.99
+#: Fewest words of a paragraph, and neighbouring places of which one is an anchor.
+LEAST, GAP = 25, 27
 TILE = 4096
-NULL_ID = (1 << 63) - 1
+#: Text whose paragraphs a task gathers before it sends them.
+GATHERED = 16 << 20
+#: Bytes of a band value and of a key that are sent; the block stands for further bits.
+VALUE_BYTES, KEY_BYTES = 5, 6
 _RNG = np.random.default_rng(17)
 _BYTE = _RNG.integers(1 << 62, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+NODE = "struct<doc_id: long, place: long>"
 
 
 def tuned(similar: float = SIMILAR, recall: float = RECALL, most_rows: int = 8) -> tuple[int, int]:
     """Bands and rows of a band: the fewest hashes that reach the recall at the similarity,
-    among shapes that let at most one in a hundred pairs at half the similarity meet."""
+    among shapes that let at most half of the pairs at half the similarity meet."""
     shapes = []
     for rows in range(1, most_rows + 1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similar**rows)))
@@ -65,148 +79,203 @@ def _folded() -> np.ndarray:
 _LOWER = _folded()
 
 
-class Lines:
-    """The paragraphs of a slice of texts: their text's number, line number, word counts and shingles."""
+def _spread(start: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs of ``each`` from ``start``, one after the other, and where each run begins."""
+    first = np.concatenate([[0], np.cumsum(each)])
+    return np.arange(first[-1]) + np.repeat(start - first[:-1], each), first
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, width: int):
+
+class Paragraphs:
+    """The paragraphs of a slice of texts: number of their text, first word in it, words,
+    whether they are a line, 128-bit key, and shingles from ``first`` on."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, least: int = LEAST, gap: int = GAP):
         raw = _LOWER[raw]
-        n = len(raw)
-        self.doc = self.line = self.words = np.zeros(0, np.int64)
-        self.shingles, self.first, self.key = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros((0, 2), np.uint64)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        begins = ~blank
-        begins[1:] &= blank[:-1]
-        starts_text = offsets[:-1][np.diff(offsets) > 0]
-        begins[starts_text] |= ~blank[starts_text]
-        at = np.flatnonzero(begins)
-        if not len(at):
+        self.doc = self.start = self.words = self.line = np.zeros(0, np.int64)
+        self.key, self.shingles, self.first = np.zeros((0, 2), np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        at, text = word_starts(raw, offsets)
+        if len(at) < least:
             return
-        text = np.searchsorted(offsets, at, "right") - 1
-        breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-        line = breaks[at] - breaks[offsets[text]]
-        until = np.append(at[1:], n)
-        lead = at[0]
-        place = np.arange(lead, n) - np.repeat(at, until - at)
-        value = np.where(blank[lead:], 0, _mixed(_BYTE[0][raw[lead:]] * _STEP[place & 63] + (place >> 6).astype(np.uint64)))
-        words = _mixed(np.add.reduceat(value, at - lead))
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
-        head = np.flatnonzero(new)
+        words = _word_hashes(raw, at)
+        breaks = np.concatenate([[0], np.cumsum(raw == 10)])[at]
+        head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (breaks[1:] != breaks[:-1])]))
         count = np.diff(np.append(head, len(at)))
-        # two hashes of all words of a line, in order
-        inside = np.arange(len(at)) - np.repeat(head, count)
-        order = _mixed(words + (inside.astype(np.uint64) << np.uint64(1)) * _MIX)
-        key = np.stack([np.add.reduceat(order, head), np.add.reduceat(_mixed(order + np.uint64(1)), head)], axis=1)
-        kept = count >= width
-        self.doc, self.line, self.words, self.key = text[head][kept], line[head][kept], count[kept], key[kept]
-        run = np.zeros(max(0, len(words) - width + 1), np.uint64)
+        head, count = head[count >= least], count[count >= least]
+        run = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
             run = _mixed(run * _MIX + words[i : i + len(run)])
-        each = count[kept] - width + 1
-        self.first = np.concatenate([[0], np.cumsum(each)])
-        index = np.arange(self.first[-1]) + np.repeat(head[kept] - self.first[:-1], each)
-        self.shingles = run[index]
+        anchors = np.zeros(0, np.int64)
+        if len(run) >= gap:
+            chosen = leftmost(run, gap)
+            ends = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
+            inside = np.arange(len(chosen)) + gap - 1 + least <= ends[text[: len(chosen)]]
+            anchors = np.unique(chosen[inside])
+        begin = np.concatenate([head, anchors])
+        self.words = np.concatenate([count, np.full(len(anchors), least)])
+        self.line = np.repeat([1, 0], [len(head), len(anchors)])
+        self.doc = text[begin]
+        self.start = begin - np.searchsorted(text, np.arange(len(offsets) - 1))[self.doc]
+        if not len(begin):
+            return
+        place, first = _spread(begin, self.words)
+        order = _mixed(words[place] + ((np.arange(len(place)) - np.repeat(first[:-1], self.words)).astype(np.uint64) << np.uint64(1)) * _MIX)
+        self.key = np.stack([np.add.reduceat(order, first[:-1]), np.add.reduceat(_mixed(order + np.uint64(1)), first[:-1])], axis=1)
+        place, self.first = _spread(begin, self.words - width + 1)
+        self.shingles = run[place]
+
+    def place(self) -> np.ndarray:
+        """First word and kind as one number."""
+        return self.start << 1 | self.line
+
 
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word of a slice of texts, and the word's text."""
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    starts_text = offsets[:-1][np.diff(offsets) > 0]
+    begins[starts_text] |= ~blank[starts_text]
+    at = np.flatnonzero(begins)
+    return at, np.searchsorted(offsets, at, "right") - 1
 
-def _bands(lines: Lines, bands: int, rows: int) -> np.ndarray:
+
+def _word_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    place = np.arange(at[0], len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw))))
+    value = np.where(blank[at[0] :], 0, _mixed(_BYTE[0][raw[at[0] :]] * _STEP[place & 63] + (place >> 6).astype(np.uint64)))
+    return _mixed(np.add.reduceat(value, at - at[0]))
+
+
+def _bands(found: Paragraphs, bands: int, rows: int) -> np.ndarray:
     """One 64-bit value for each paragraph and band."""
-    out = np.zeros((len(lines.doc), bands), np.uint64)
+    out = np.zeros((len(found.doc), bands), np.uint64)
     if not len(out):
         return out
     rng = np.random.default_rng(23)
     odd = rng.integers(1 << 62, size=(bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    folded = found.shingles ^ (found.shingles >> np.uint64(32))
     for band in range(bands):
         for row in range(rows):
-            least = np.minimum.reduceat((lines.shingles ^ (lines.shingles >> np.uint64(32))) * odd[band, row], lines.first[:-1])
+            least = np.minimum.reduceat(folded * odd[band, row], found.first[:-1])
             out[:, band] = _mixed(out[:, band] * _MIX + least)
     return out
 
 
-def _describe(width: int, bands: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
-            raw, offsets = utf8(batch.column(1))
-            for start, end in slices(offsets):
-                lines = Lines(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
-                values = np.ascontiguousarray(_bands(lines, bands, rows))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bands * 8), len(values), [None, pa.py_buffer(values)]).cast(pa.binary())
-                key = lines.key.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(ids[start + lines.doc]), pa.array(tags[start + lines.doc]), pa.array(lines.line.astype(np.int32)), packed], names=["a", "b", "doc_id", "tag", "line", "bands"])
-
-    return run
+def _blocks_of(block: np.ndarray, order: np.ndarray, blocks: int) -> np.ndarray:
+    return np.searchsorted(block[order], np.arange(blocks + 1))
 
 
-def _deal_bands(blocks: int, bands: int):
-    """Sends each block the band values that fall to it, with the class they belong to."""
-    import zstandard
+def _deal(blocks: int, width: int, bands: int, rows: int):
+    """Sends each block the keys and the band values that fall to it, each with the first
+    paragraph of its class in what was gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            raw, _ = utf8(batch.column(2))
-            value = _mixed(raw.view(np.uint64) + np.tile(np.arange(bands, dtype=np.uint64), n))
-            a, b = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
-            block = (value % np.uint64(blocks)).astype(np.int64)
-            order = np.lexsort((b, a, block))
-            ends = np.searchsorted(block[order], np.arange(blocks + 1))
-            press = zstandard.ZstdCompressor(level=1).compress
+        held: list[tuple] = []
+        size = 0
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            doc, place, a, b, values = (np.concatenate([h[i] for h in held]) for i in range(5))
+            held.clear()
+            order = np.lexsort((place, doc, b, a))
+            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
+            one = order[new]
+            last = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1] if len(order) else order
+            many = (doc[last] != doc[one]).astype(np.uint8)
+            doc, place, a, b, values = doc[one], place[one], a[one], b[one], values[one]
+            n = len(one)
+            values = _mixed(values + np.arange(bands, dtype=np.uint64)).ravel()
+            of = np.repeat(np.arange(n), bands)
+            whole, part = (a % np.uint64(blocks)).astype(np.int64), (values % np.uint64(blocks)).astype(np.int64)
+            values //= np.uint64(blocks)
+            exact, near = np.lexsort((place, doc, whole)), np.lexsort((place[of], doc[of], part))
+            exact_ends, near_ends = _blocks_of(whole, exact, blocks), _blocks_of(part, near, blocks)
             for number in range(blocks):
-                own = order[ends[number] : ends[number + 1]]
-                if len(own):
-                    parts = (a[own], b[own], value[own])
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([press(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))], pa.binary())], names=["block", "packed"])
+                x, y = exact[exact_ends[number] : exact_ends[number + 1]], near[near_ends[number] : near_ends[number + 1]]
+                if not len(x) + len(y):
+                    continue
+                z = of[y]
+                value = packed(
+                    planes(np.diff(doc[x], prepend=0)), planes(place[x]), planes(a[x].view(np.int64)), planes(b[x].view(np.int64)), many[x],
+                    planes(np.diff(doc[z], prepend=0)), planes(place[z]), planes(a[z].view(np.int64))[:KEY_BYTES], planes(values[y].view(np.int64))[:VALUE_BYTES],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([value], pa.binary())], names=["block", "packed"])
+
+        for batch in batches:
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            raw, offsets = utf8(batch.column(1))
+            for first, end in slices(offsets):
+                found = Paragraphs(raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], width)
+                held.append((ids[first + found.doc], tags[first + found.doc] << 33 | found.place(), found.key[:, 0], found.key[:, 1], _bands(found, bands, rows)))
+                size += offsets[end] - offsets[first]
+                if size >= GATHERED:
+                    yield from passed()
+                    size = 0
+        if held:
+            yield from passed()
 
     return run
 
 
-def _meetings(table: pa.Table) -> pa.Table:
-    """Groups of at least two classes with one band value."""
-    import zstandard
-
-    ones, others, values = [], [], []
-    for packed in table["packed"]:
-        raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
-        n = len(raw) // 24
-        ones.append(np.frombuffer(raw, np.int64, n))
-        others.append(np.frombuffer(raw, np.int64, n, 8 * n))
-        values.append(np.frombuffer(raw, np.uint64, n, 16 * n))
-    a, b, value = np.concatenate(ones), np.concatenate(others), np.concatenate(values)
-    order = np.argsort(value, kind="stable")
-    of = value[order]
-    new = np.concatenate([[True], of[1:] != of[:-1]])
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(of)))
+def _widened(some: np.ndarray, count: int) -> np.ndarray:
+    """Numbers whose first ``count`` byte planes were sent."""
+    return numbers(np.concatenate([some, np.zeros((8 - count) * (len(some) // count), np.uint8)]))
+
+
+def _meetings(key: tuple, table: pa.Table) -> pa.Table:
+    """Classes of more than one paragraph (a, b), and the classes of each band value that has
+    at least two of them (meeting), each by its first paragraph."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(9)]
+    for value in table["packed"]:
+        got = unpacked(value.as_py(), *[np.uint8] * 9)
+        doc, place, a, b, many, near, where, keys, values = got
+        for i, x in enumerate((np.cumsum(numbers(doc)), numbers(place), numbers(a), numbers(b), many, np.cumsum(numbers(near)), numbers(where), _widened(keys, KEY_BYTES), _widened(values, VALUE_BYTES))):
+            parts[i].append(x)
+    doc, place, a, b, many, near, where, keys, values = (np.concatenate(p) for p in parts)
+    order = np.lexsort((place, doc, b, a))
+    a, b, doc, place, many = a[order], b[order], doc[order], place[order], many[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    several = (np.diff(np.append(head, len(a))) > 1) | (np.maximum.reduceat(many, head) > 0 if len(head) else np.zeros(0, bool))
+    head = head[several]
+    order = np.lexsort((where, near, keys, values))
+    keys, values, near, where = keys[order], values[order], near[order], where[order]
+    kinds = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
+    values, near, where = values[kinds], near[kinds], where[kinds]
+    groups = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    size = np.diff(np.append(groups, len(values)))
     met = np.repeat(size > 1, size)
-    order, group = order[met], of[met]
-    return pa.table({"meeting": pa.array(group.view(np.int64)), "a": pa.array(a[order]), "b": pa.array(b[order])})
+    meeting = _mixed(values[met].view(np.uint64) + _mixed(np.array([key[0].as_py()], np.uint64))).view(np.int64)
+    blank = lambda n: pa.nulls(n, pa.int64())
+    return pa.table({
+        "meeting": pa.chunked_array([blank(len(head)), pa.array(meeting)]),
+        "doc_id": np.concatenate([doc[head], near[met]]),
+        "place": np.concatenate([place[head], where[met]]),
+        "a": pa.chunked_array([pa.array(a[head]), blank(len(meeting))]),
+        "b": pa.chunked_array([pa.array(b[head]), blank(len(meeting))]),
+    })
 
 
 def _reread(width: int):
-    """Shingles of chosen lines, under the keys of their classes: sorted and without repeats."""
+    """Keys and shingles (sorted, without repeats) of chosen paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
-            raw, offsets = utf8(batch.column(0))
+            ids, wanted = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            raw, offsets = utf8(batch.column(1))
             for start, end in slices(offsets):
-                lines = Lines(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
-                keys, sets = [], []
-                chosen = [set(w) for w in wanted[start:end]]
-                for i in range(len(lines.doc)):
-                    if int(lines.line[i]) in chosen[lines.doc[i]]:
-                        keys.append(lines.key[i])
-                        sets.append(np.unique(lines.shingles[lines.first[i] : lines.first[i + 1]]).tobytes())
-                key = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
+                found = Paragraphs(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
+                chosen = [{w & ((1 << 33) - 1): w for w in some} for some in wanted[start:end]]
+                places = [chosen[d].get(p) for d, p in zip(found.doc.tolist(), found.place().tolist())]
+                rows = [i for i, p in enumerate(places) if p is not None]
+                sets = [np.unique(found.shingles[found.first[i] : found.first[i + 1]]).tobytes() for i in rows]
+                key = found.key[rows].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start + found.doc[rows]], pa.int64()), pa.array([places[i] for i in rows], pa.int64()), *(pa.array(np.ascontiguousarray(key[:, i])) for i in (0, 1)), pa.array(sets, pa.binary())], names=["doc_id", "place", "a", "b", "shingles"])
 
     return run
 
 
-def _linked(similar: float, first: str = "doc_id", second: str = "line", kind: type = np.int32):
+def _linked(similar: float, first: str = "doc_id", second: str = "place"):
     """Spanning links of the classes of a meeting that are similar enough; a class is named
-    by two columns, of which the second is of a type to be named."""
+    by two columns of longs."""
 
     def compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = len(sets)
@@ -241,9 +310,9 @@ def _linked(similar: float, first: str = "doc_id", second: str = "line", kind: t
         return found
 
     def run(table: pa.Table) -> pa.Table:
-        meeting, doc, line = (table[c].to_numpy() for c in ("key", first, second))
+        meeting, one, two = (table[c].to_numpy() for c in ("key", first, second))
         sets = table["shingles"].to_pylist()
-        order = np.lexsort((line, doc, meeting))
+        order = np.lexsort((two, one, meeting))
         ends = np.append(np.flatnonzero(np.concatenate([[True], meeting[order][1:] != meeting[order][:-1]])), len(order))
         out: list[tuple[int, int]] = []
         for a, b in zip(ends[:-1], ends[1:]):
@@ -251,66 +320,127 @@ def _linked(similar: float, first: str = "doc_id", second: str = "line", kind: t
             if b - a > 1:
                 out += [(int(rows[i]), int(rows[j])) for i, j in compare([np.frombuffer(sets[r], np.uint64) for r in rows])]
         # of all links of this task a spanning star stays
-        code = np.unique(np.stack([doc, line.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+        code = np.unique(np.stack([one, two], axis=1), axis=0, return_inverse=True)
         nodes, node = code[0], code[1].ravel()
         u, v = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
         root = local_roots(len(nodes), node[u], node[v])
         kept = np.flatnonzero(root != np.arange(len(nodes)))
-        pick = lambda rows: pa.StructArray.from_arrays([pa.array(nodes[rows, 0]), pa.array(nodes[rows, 1].astype(kind))], names=[first, second])
+        pick = lambda rows: pa.StructArray.from_arrays([pa.array(nodes[rows, 0]), pa.array(nodes[rows, 1])], names=[first, second])
         return pa.table({"u": pick(kept), "v": pick(root[kept])})
 
     return run
 
 
-NODE = "struct<a: long, b: long>"
+def _standing(width: int):
+    """Where every paragraph stands, under its class's key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            raw, offsets = utf8(batch.column(1))
+            for start, end in slices(offsets):
+                found = Paragraphs(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], width)
+                key = found.key.view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(key[:, i])) for i in (0, 1)), pa.array(ids[start + found.doc]), pa.array(tags[start + found.doc]), pa.array(found.start), pa.array(found.words.astype(np.int64))], names=["a", "b", "doc_id", "tag", "start", "words"])
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """doc_id (null ids as the largest long), text and tag, which tells the texts of one id apart."""
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"))
+    return run
 
 
-def clusters(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """doc_id (null ids as the largest long), tag (of the text), line, kept (doc_id and
-    line of the cluster's first paragraph) and stays (it is this one) of every paragraph."""
+def duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """doc_id (null ids as the largest long), tag (of the text), start and words of every
+    paragraph that goes, and kept_doc_id, where the first of its cluster stands."""
     bands, rows = tuned(similar, recall)
-    texts = _tagged(docs)
-    found = checkpoint(texts.mapInArrow(_describe(width, bands, rows), "a long, b long, doc_id long, tag long, line int, bands binary"))
-    classes = checkpoint(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line", "tag", "bands")).alias("x")).select("a", "b", F.struct("x.doc_id", "x.line", "x.tag").alias("first"), "x.bands"))
-    found = found.select("a", "b", "doc_id", "tag", "line")
-    n = classes.count()
-    blocks = pieces(n * bands * 24, 24 << 20, 12)
-    dealt = classes.select("a", "b", "bands").mapInArrow(_deal_bands(blocks, bands), "block int, packed binary")
-    met = dealt.groupBy("block").applyInArrow(_meetings, "meeting long, a long, b long")
-    met = checkpoint(met)
+    texts = tagged(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = texts.select("doc_id", "text", "tag").mapInArrow(_deal(pieces(size * 1.2, 16 << 20, 12), width, bands, rows), "block int, packed binary")
+    met = checkpoint(dealt.groupBy("block").applyInArrow(_meetings, "meeting long, doc_id long, place long, a long, b long"))
     release_shuffles(docs.sparkSession)
+    several = met.filter("meeting is null").select("a", "b", "doc_id", "place")
+    near = met.filter("meeting is not null").select("meeting", "doc_id", "place")
     # the same classes often meet in several bands: one meeting of each set of classes is compared
-    groups = met.groupBy("meeting").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("of"), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")).alias("too"))
+    groups = near.groupBy("meeting").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "place").cast("decimal(20,0)")).alias("of"), F.sum(F.xxhash64("place", "doc_id").cast("decimal(20,0)")).alias("too"))
     groups = groups.groupBy("n", "of", "too").agg(F.min("meeting").alias("meeting")).select("meeting", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = met.join(groups, "meeting")
-    wanted = classes.join(met.select("a", "b").distinct(), ["a", "b"]).groupBy("first.doc_id", "first.tag").agg(F.collect_set("first.line").alias("lines"))
-    shingles = checkpoint(texts.join(wanted, ["doc_id", "tag"]).select("text", "lines").mapInArrow(_reread(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
+    near = checkpoint(join_counted(near, groups, ["meeting"]))
+    wanted = near.select("doc_id", "place").distinct().groupBy("doc_id", F.shiftright("place", 33).alias("tag")).agg(F.collect_list("place").alias("places"))
+    chosen = join_counted(texts, wanted, ["doc_id", "tag"]).select("doc_id", "text", "places")
+    sets = checkpoint(chosen.mapInArrow(_reread(width), "doc_id long, place long, a long, b long, shingles binary").dropDuplicates(["doc_id", "place"]))
     release_shuffles(docs.sparkSession)
-    own = F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "place"), F.col("tiles")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    tiled = met.select("meeting", "a", "b", F.explode(cells).alias("cell")).withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
-    parts = pieces(met.count() * 400, 8 << 20, 12)
-    keyed = tiled.join(shingles, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
-    edges = keyed.groupBy("part").applyInArrow(_linked(similar, "a", "b", np.int64), f"u {NODE}, v {NODE}")
-    joined = components(edges)
-    named = classes.select("a", "b", "first", F.struct("a", "b").alias("own")).join(joined, F.col("own") == joined.node, "left").select("a", "b", "first", F.coalesce("root", "own").alias("root"))
-    kept = named.join(named.groupBy("root").agg(F.min("first").alias("kept")), "root").select("a", "b", "kept")
-    stays = F.struct("doc_id", "line", "tag") == F.col("kept")
-    return found.join(kept, ["a", "b"]).select("doc_id", "tag", "line", F.struct("kept.doc_id", "kept.line").alias("kept"), stays.alias("stays"))
+    tiled = near.select("doc_id", "place", F.explode(cells).alias("cell"), "meeting").withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
+    parts = pieces(near.count() * 400, 8 << 20, 12)
+    keyed = tiled.join(sets.select("doc_id", "place", "shingles"), ["doc_id", "place"]).select("key", "doc_id", "place", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
+    roots = checkpoint(components(keyed.groupBy("part").applyInArrow(_linked(similar), f"u {NODE}, v {NODE}")).select("node.doc_id", "node.place", F.col("root.doc_id").alias("kept_doc_id")))
+    linked = sets.select("a", "b", "doc_id", "place").join(roots, ["doc_id", "place"])
+    alone = several.join(roots, ["doc_id", "place"], "left").withColumn("kept_doc_id", F.coalesce("kept_doc_id", "doc_id"))
+    kept = linked.unionByName(alone).select("a", "b", "kept_doc_id").distinct()
+    standing = texts.select("doc_id", "text", "tag").mapInArrow(_standing(width), "a long, b long, doc_id long, tag long, start long, words long")
+    return join_counted(standing, kept, ["a", "b"]).filter("kept_doc_id < doc_id").select("doc_id", "tag", "start", "words", "kept_doc_id")
+
+
+def spans_of(gone: list[dict]) -> list[tuple[int, int, int]]:
+    """Maximal spans (first word, end, smallest kept doc_id) of paragraphs that go."""
+    out: list[list[int]] = []
+    for start, end, kept in sorted((g["start"], g["start"] + g["words"], g["kept_doc_id"]) for g in gone):
+        if out and start <= out[-1][1]:
+            out[-1][1:] = max(out[-1][1], end), min(out[-1][2], kept)
+        else:
+            out.append([start, end, kept])
+    return [tuple(x) for x in out]
+
+
+SPANS = "array<struct<start: long, end: long, kept_doc_id: long>>"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_doc_id", pa.int64())]))
+    for batch in batches:
+        removed = [[dict(zip(("start", "end", "kept_doc_id"), s)) for s in spans_of(gone)] for gone in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, kind)], names=["id", "id_tag", "removed"])
+
+
+def _joined(docs: DataFrame, width: int, similar: float, recall: float, *more: str) -> DataFrame:
+    """Rows of doc_id, text and more, with the spans that go (null: none)."""
+    gone = duplicates(docs, width, similar, recall).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "words", "kept_doc_id")).alias("gone"))
+    spans = gone.select("doc_id", "tag", "gone").mapInArrow(_spans, f"id long, id_tag long, removed {SPANS}")
+    rows = tagged(docs, *more)
+    return rows.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("tag") == F.col("id_tag")), "left")
 
 
 def removals(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """Each row's doc_id, n_lines (lines of its text), n_removed, and removed: the numbers of
-    the lines (from 0) that go, each with the doc_id and line that stays for it."""
-    away = clusters(docs, width, similar, recall).filter("not stays")
-    one = F.struct("line", F.when(F.col("kept.doc_id") != NULL_ID, F.col("kept.doc_id")).alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
-    gone = away.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(one)).alias("removed")).withColumnsRenamed({"doc_id": "id", "tag": "id_tag"})
-    lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    rows = docs.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("id_tag"))
-    none = F.from_json(F.lit("[]"), "array<struct<line int, kept_doc_id long, kept_line int>>")
-    return rows.join(gone, ["id", "id_tag"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    """Each row's doc_id, n_bytes of its text, n_removed words in n_spans spans, and removed:
+    the spans (first word and the one after the last, counted from 0), each with the
+    smallest doc_id that keeps such a paragraph."""
+    none = F.from_json(F.lit("[]"), SPANS)
+    words = F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return _joined(docs, width, similar, recall).select(
+        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        words.alias("n_removed"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("removed", none).alias("removed"),
+    )
+
+
+def cut_documents(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` without the words that go; a word goes with the white space behind it."""
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole_row"))
+
+    def kept(text: str | None, removed: list | None) -> str | None:
+        if not removed:
+            return text
+        raw = text.encode("utf-8")
+        array = np.frombuffer(raw, np.uint8)
+        at = np.append(word_starts(array, np.array([0, len(raw)]))[0], len(raw)).tolist()
+        edges = [0, *(at[x] for s in removed for x in (s["start"], s["end"])), len(raw)]
+        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [kept(t, r) for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], names=["text", "whole_row"])
+
+    joined = _joined(whole, width, similar, recall, "whole_row").select("text", "removed", "whole_row")
+    made = joined.mapInArrow(run, joined.select("text", "whole_row").schema)
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return made.select(*(new[c].alias(c) if c in new else F.col(f"whole_row.`{c}`").alias(c) for c in docs.columns))

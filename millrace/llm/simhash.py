@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, pieces, release_shuffles
+from millrace.llm.common import checkpoint, join_counted, pieces, release_shuffles
 from millrace.llm.components import components, local_roots
 from millrace.llm.paragraphs import _linked as linked_sets
 
@@ -280,7 +280,7 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
 
     signed = nodes.select("fp", "fq").mapInArrow(sign, "part byte, value long, side byte, fp long, fq long")
     hot = signed.groupBy("part", "value").count().filter(F.col("count") > TILE).select("part", "value", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiled = signed.join(hot, ["part", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiled = join_counted(signed, hot, ["part", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", "fq"), F.col("tiles")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
     keyed = tiled.select("fp", "fq", "side", F.explode(cells).alias("cell"), "part", "value").select("fp", "fq", "side", F.xxhash64("part", "value", "cell.i", "cell.j").alias("key"))
@@ -341,7 +341,7 @@ def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int =
     # several sets may also share a fingerprint
     members = classes.join(near, ["fp", "fq"], "left").withColumn("around", F.coalesce("around", F.struct("fp", "fq")))
     sizes = members.groupBy("around").count().filter("count > 1").select("around", F.ceil(F.col("count") / SETS).cast("int").alias("tiles"))
-    members = checkpoint(members.join(sizes, "around").select("a", "b", "one", "tiles", F.xxhash64("around").alias("meeting")))
+    members = checkpoint(join_counted(members, sizes, ["around"]).select("a", "b", "one", "tiles", F.xxhash64("around").alias("meeting")))
     wanted = members.select("a", "b", F.col("one.text_hash").alias("hash"), F.col("one.doc_id").alias("id"))
     chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id) & texts.text_hash.eqNullSafe(wanted.hash))
     sets = checkpoint(chosen.select("a", "b", "text").mapInArrow(_sets(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
@@ -352,7 +352,7 @@ def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int =
     size = tiled.join(sets, ["a", "b"]).agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     parts = pieces(size, 8 << 20, 12)
     keyed = tiled.join(sets, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
-    edges = keyed.groupBy("part").applyInArrow(linked_sets(similar, "a", "b", np.int64), "u struct<a: long, b: long>, v struct<a: long, b: long>")
+    edges = keyed.groupBy("part").applyInArrow(linked_sets(similar, "a", "b"), "u struct<a: long, b: long>, v struct<a: long, b: long>")
     joined = components(edges)
     return classes.withColumn("own", own).join(joined, F.col("own") == joined.node, "left").select("a", "b", "least", F.coalesce("root", "own").alias("root"))
 
@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4) -> DataFrame:
         node = F.struct("fp", "fq")
         roots = nodes.withColumn("own", node).join(joined, F.col("own") == joined.node, "left").select("fp", "fq", "least", F.coalesce("root", "own").alias("root"))
         named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-        nodes = roots.join(named, "root").select("fp", "fq", "component_id")
+        nodes = join_counted(roots, named, ["root"]).select("fp", "fq", "component_id")
     else:
         nodes = nodes.select("fp", "fq", F.col("least").alias("component_id"))
     return found.join(nodes, ["fp", "fq"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, pieces, release_shuffles, slices, utf8
+from millrace.llm.common import NULL_ID, PLACE_BITS, checkpoint, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 
 WINDOW = 50
 KMER = 16
@@ -46,8 +46,6 @@ COVER = np.array([True, True, False, True, False, False, False])
 GATHERED = 24 << 20
 #: Text of pieces whose suffixes are sorted together.
 BUCKET_BYTES = 4 << 20
-#: Low bits of a hash that give way to a place.
-PLACE_BITS = np.uint64(20)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,28 +59,6 @@ def _kmer_hashes(raw: np.ndarray) -> np.ndarray:
     return h * _MIX
 
 
-def _least(x: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of each ``n`` neighbours."""
-    span = 1
-    while span * 2 <= n:
-        x = np.minimum(x[:-span], x[span:])
-        span *= 2
-    return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
-
-
-def _leftmost(hashed: np.ndarray, n: int) -> np.ndarray:
-    """The place of the smallest hash of each ``n`` neighbours, the leftmost on ties. Hashes
-    count without their low bits, as many in a text of any length: these hold a place."""
-    mask = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-    room = (1 << int(PLACE_BITS)) - n + 1  # of longer texts so many windows at a time
-    out = np.empty(len(hashed) - n + 1, np.int64)
-    for first in range(0, len(out), room):
-        own = hashed[first : first + room + n - 1]
-        least = _least(own & ~mask | np.arange(len(own), dtype=np.uint64), n)
-        out[first : first + room] = (least & mask).astype(np.int64) + first
-    return out
-
-
 def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Pieces of a slice of texts: text number, start, first window after the last, place
     of the minimiser (all in the slice), and the minimiser's hash."""
@@ -90,7 +66,7 @@ def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     if len(raw) < window:
         return none
     hashed = _kmer_hashes(raw)
-    at = _leftmost(hashed, window - KMER + 1)
+    at = leftmost(hashed, window - KMER + 1)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     inside = np.arange(len(at)) + window <= offsets[1:][doc]
     begins = np.ones(len(at), bool)
@@ -109,33 +85,6 @@ def _gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return raw[index], offsets
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; each is preceded by its length in bytes."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in (x.tobytes() for x in arrays)))
-
-
-def _unpacked(value: bytes, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    raw, at, out = zstandard.ZstdDecompressor().decompress(value), 0, []
-    for kind in kinds:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
-    return out
-
-
-def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of 64-bit numbers, all first bytes before all second ones; these compress well."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
-
-
-def _numbers(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
-
-
 def _deal(blocks: int, window: int):
     """Sends each block the pieces of its minimisers: one row for each block and gathering."""
 
@@ -157,7 +106,7 @@ def _deal(blocks: int, window: int):
                     continue
                 text, _ = _gather(texts, offsets[rows], text_len[rows])
                 step = lambda x: np.diff(x, prepend=0)
-                value = _packed(_planes(step(doc[rows])), _planes(place[rows]), count[rows].astype(np.uint8), ahead[rows].astype(np.uint8), _planes(mini[rows].view(np.int64)), text)
+                value = packed(planes(step(doc[rows])), planes(place[rows]), count[rows].astype(np.uint8), ahead[rows].astype(np.uint8), planes(mini[rows].view(np.int64)), text)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([value], pa.binary())], names=["block", "pieces"])
 
         for batch in batches:
@@ -290,12 +239,12 @@ def _solve(window: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         docs, places, counts, aheads, minis, texts = [], [], [], [], [], []
         for value in table["pieces"]:
-            step, place, count, ahead, mini, text = _unpacked(value.as_py(), np.uint8, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8)
-            docs.append(np.cumsum(_numbers(step)))
-            places.append(_numbers(place))
+            step, place, count, ahead, mini, text = unpacked(value.as_py(), np.uint8, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8)
+            docs.append(np.cumsum(numbers(step)))
+            places.append(numbers(place))
             counts.append(count)
             aheads.append(ahead)
-            minis.append(_numbers(mini))
+            minis.append(numbers(mini))
             texts.append(text)
         doc, place, count, ahead, mini = np.concatenate(docs), np.concatenate(places), np.concatenate(counts).astype(np.int64), np.concatenate(aheads).astype(np.int64), np.concatenate(minis)
         length = count + window - 1
@@ -326,7 +275,7 @@ def _solve(window: int, parts: int):
         order = np.argsort(part, kind="stable")
         d, b, e = d[order], b[order], e[order]
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, _packed(_planes(np.diff(d[i:j], prepend=0)), _planes(b[i:j]), (e[i:j] - b[i:j]).astype(np.uint32))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        rows = [(p, packed(planes(np.diff(d[i:j], prepend=0)), planes(b[i:j]), (e[i:j] - b[i:j]).astype(np.uint32))) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -341,9 +290,9 @@ def _by_document(table: pa.Table) -> pa.Table:
     """All runs of each document of a part, in one row."""
     ds, bs, extras = [], [], []
     for value in table["found"]:
-        step, first, extra = _unpacked(value.as_py(), np.uint8, np.uint8, np.uint32)
-        ds.append(np.cumsum(_numbers(step)))
-        bs.append(_numbers(first))
+        step, first, extra = unpacked(value.as_py(), np.uint8, np.uint8, np.uint32)
+        ds.append(np.cumsum(numbers(step)))
+        bs.append(numbers(first))
         extras.append(extra)
     d, b, extra = np.concatenate(ds), np.concatenate(bs), np.concatenate(extras)
     order = np.lexsort((b, d))
@@ -354,16 +303,6 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(d[cut]), "tag": pa.array(tag[cut]), "runs": pa.array(runs, pa.binary())})
 
 
-NULL_ID = (1 << 63) - 1
-
-
-def _tagged(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and tag: 0 while ids are unique, else a hash that tells the texts of an id apart."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", *more)
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return rows.withColumn("tag", F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 30)) if repeated else F.lit(0).cast("long"))
-
-
 def removed_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tag and runs (starts and extra lengths of runs of windows to remove, as 32-bit
     numbers) of each document that loses bytes, for rows of doc_id, text and tag."""
@@ -383,7 +322,7 @@ def spans_of(runs: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _joined(docs: DataFrame, window: int, *more: str) -> DataFrame:
     """Rows with their text and what is to be removed of it (column runs)."""
-    rows = _tagged(docs, *more)
+    rows = tagged(docs, *more)
     gone = checkpoint(removed_runs(rows, window))
     release_shuffles(docs.sparkSession)  # the pieces are as large as the input; texts are dealt next
     return rows.join(gone, ["doc_id", "tag"], "left")

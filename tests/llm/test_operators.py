@@ -422,7 +422,44 @@ def test_mixing_is_native(spark, rows):
 # 10
 
 
-def test_paragraphs(spark, rows):
+def brute_paragraphs(text):
+    """(first word, words): the set of shingles of each paragraph, by the same anchors."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    found = paragraphs.Paragraphs(raw, np.array([0, len(raw)]))
+    runs = {int(s) for s, line in zip(found.start, found.line) if not line}
+    words, out, at = (text or "").encode().lower().split(), {}, 0
+    for line in (text or "").split("\n"):
+        n = len(line.encode().split())
+        if n >= paragraphs.LEAST:
+            out[at, n] = None
+        at += n
+    assert {(int(s), int(n)) for s, n, line in zip(found.start, found.words, found.line) if line} == set(out)
+    # an anchor among each GAP neighbours, so that each run of LEAST + GAP - 1 words holds a paragraph
+    last = len(words) - paragraphs.LEAST
+    assert all(runs & set(range(i, i + paragraphs.GAP)) for i in range(last - paragraphs.GAP + 2)) and all(r <= last for r in runs)
+    out |= {(r, paragraphs.LEAST): None for r in runs}
+    return {(s, n): {tuple(words[j : j + 5]) for j in range(s, s + n - 4)} for s, n in out}
+
+
+def brute_removed(every):
+    """Words that go of each row: those of paragraphs whose cluster begins in a smaller doc_id."""
+    sets = {(d, i, *at): s for i, (d, t) in enumerate(every) for at, s in brute_paragraphs(t).items()}
+    keys = sorted(sets)
+    by = {}
+    for k in keys:
+        for g in sets[k]:
+            by.setdefault(g, []).append(k)
+    number = {k: i for i, k in enumerate(keys)}
+    pairs = {(number[k], number[o]) for k in keys for o in {o for g in sets[k] for o in by[g]} if o < k and len(sets[k] & sets[o]) >= 0.8 * len(sets[k] | sets[o])}
+    root = local_roots(len(keys), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+    gone = {i: set() for i in range(len(every))}
+    for k, r in zip(keys, root):
+        if keys[r][0] < k[0]:
+            gone[k[1]] |= set(range(k[2], k[2] + k[3]))
+    return [len(gone[i]) for i in range(len(every))]
+
+
+def test_paragraphs(spark, rows, monkeypatch):
     rnd = random.Random(9)
     base = [f"t{i}" for i in range(60)]
     near = []
@@ -432,29 +469,38 @@ def test_paragraphs(spark, rows):
             words[rnd.randrange(60)] = f"c{i}"
         near.append((400 + i, "short line\n" + " ".join(words)))
     every = rows + near
-    got = {(r.doc_id, r.line): tuple(r.kept) for r in paragraphs.clusters(make(spark, every)).collect()}
-    sets = {}
-    for i, t in every:
-        for n, line in enumerate((t or "").split("\n")):
-            words = line.encode().lower().split()
-            if len(words) >= 5:
-                sets[i, n] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
-    keys = sorted(sets)
-    pairs = [(a, b) for a in range(len(keys)) for b in range(a) if len(sets[keys[a]] & sets[keys[b]]) >= 0.8 * len(sets[keys[a]] | sets[keys[b]])]
-    root = local_roots(len(keys), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
-    assert got == {k: keys[root[i]] for i, k in enumerate(keys)}
-    out = {r.doc_id: r for r in paragraphs.removals(make(spark, every)).collect()}
-    assert len(out) == len(every) and sum(r.n_removed for r in out.values()) == sum(k != keys[root[i]] for i, k in enumerate(keys))
-    assert out[80].n_lines == 0 and paragraphs.removals(make(spark, [])).count() == 0
+    got = {r.doc_id: r for r in paragraphs.removals(make(spark, every)).collect()}
+    assert [got[d].n_removed for d, _ in every] == brute_removed(every)
+    assert all(r.n_removed == sum(s.end - s.start for s in r.removed) and r.n_spans == len(r.removed) and all(s.kept_doc_id < r.doc_id for s in r.removed) for r in got.values())
+    monkeypatch.setattr(paragraphs, "TILE", 3)
+    monkeypatch.setattr(paragraphs, "GATHERED", 3000)
+    assert {r.doc_id: r for r in paragraphs.removals(make(spark, every)).collect()} == got
+    cut = paragraphs.cut_documents(make(spark, every))
+    assert cut.columns == make(spark, []).columns
+    size = lambda t: len((t or "").encode().split())
+    assert {r.doc_id: size(r.text) for r in cut.collect()} == {d: size(t) - got[d].n_removed for d, t in every}
+    assert paragraphs.removals(make(spark, [])).count() == 0
+
+
+def test_passages_within_lines_and_stock_lines(spark):
+    rnd = random.Random(13)
+    words = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    shared, stock = [words(51) for _ in range(30)], words(12)
+    every = [(i, f"{words(40)}\n{stock}\n{words(rnd.randint(5, 300))} {shared[i % 30]} {words(rnd.randint(5, 90))}\n{stock}") for i in range(60)]
+    every += [(100, words(30_000) + " " + shared[3] + " " + words(120_000)), (101, f"{stock}\n{stock}\n{stock}"), (102, " ".join([shared[0]] * 2))]
+    got = {r.doc_id: r for r in paragraphs.removals(make(spark, every)).collect()}
+    # a run may begin or end a few words beside the passage
+    assert all(25 <= got[d].n_removed <= 55 for d in [*range(30, 60), 100]) and got[102].n_removed >= 50
+    assert all(got[d].n_removed == 0 for d in [*range(30), 101]) and got[100].n_bytes > 1 << 20
 
 
 def test_paragraphs_of_null_and_repeated_ids(spark):
     rnd = random.Random(12)
-    one, two, three, four = (" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(40)) for _ in range(4))
+    one, two, three, four = (" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
     near = lambda t: t + " more"
-    every = [(1, one), (2, two), (None, near(one)), (None, near(two)), (None, three), (7, near(one)), (7, four)]
-    got = sorted((r.doc_id or 99, r.removed[0].kept_doc_id if r.removed else 0) for r in paragraphs.removals(make(spark, every)).collect())
-    assert got == [(1, 0), (2, 0), (7, 0), (7, 1), (99, 0), (99, 1), (99, 2)]
+    every = [(1, one), (2, two), (2, two + "\n" + four), (3, four), (None, near(one)), (None, near(two)), (None, three), (None, three), (7, near(one)), (7, four), (7, four)]
+    got = sorted((r.doc_id or 99, r.n_removed > 0, min([s.kept_doc_id for s in r.removed], default=0)) for r in paragraphs.removals(make(spark, every)).collect())
+    assert got == [(1, False, 0), (2, False, 0), (2, False, 0), (3, True, 2), (7, True, 1), (7, True, 2), (7, True, 2), (99, False, 0), (99, False, 0), (99, True, 1), (99, True, 2)]
 
 
 def test_bands_reach_the_recall():
