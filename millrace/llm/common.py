@@ -168,12 +168,19 @@ def numbers(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
-#: Stands for a null doc_id, which comes after all others.
-NULL_ID = (1 << 63) - 1
+#: Larger doc_ids stand for null ones, which come after all others.
+NULL_FROM = (1 << 63) - 1 - (1 << 31)
 
 
-def tagged(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and tag: 0 while ids are unique, else a hash that tells the texts of an id apart."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", *more)
+def tagged(docs: DataFrame, *more: str, bits: int = 30) -> DataFrame:
+    """doc_id, text and tag: 0 while ids are unique, else a hash that tells the texts of an id
+    apart. Null ids become numbers above ``NULL_FROM``, by another hash of the text."""
+    unnamed = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 31))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc_id"), "text", *more)
     repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return rows.withColumn("tag", F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << 30)) if repeated else F.lit(0).cast("long"))
+    return rows.withColumn("tag", F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(1 << bits)) if repeated else F.lit(0).cast("long"))
+
+
+def named(doc_id: str = "doc_id") -> Column:
+    """The id that a row of ``tagged`` came with."""
+    return F.when(F.col(doc_id) <= NULL_FROM, F.col(doc_id))

@@ -11,7 +11,8 @@ space. Equal paragraphs (128 bits of hash over their words) are one class, named
 first paragraph by (doc_id, place). Bands of MinHash values are tuned so that a pair at the
 wanted similarity meets in a band with probability ``recall``; the fewest hashes that do so
 are taken. Classes that meet in a band, and only those, have their shingles read again and
-compared exactly by Jaccard similarity. The components of the links are the clusters. A
+compared exactly by Jaccard similarity; classes whose first paragraphs stand in one document
+(a line and the runs within it) are not. The components of the links are the clusters. A
 paragraph goes if the first of its cluster stands in a document with a smaller id; what
 stays is the first.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, checkpoint, join_counted, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
+from millrace.llm.common import NULL_FROM, checkpoint, join_counted, leftmost, named, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 from millrace.llm.components import components, local_roots
 
 WIDTH, SIMILAR, RECALL = 5, 0.8, 0.99
@@ -222,8 +223,8 @@ def _widened(some: np.ndarray, count: int) -> np.ndarray:
 
 
 def _meetings(key: tuple, table: pa.Table) -> pa.Table:
-    """Classes of more than one paragraph (a, b), and the classes of each band value that has
-    at least two of them (meeting), each by its first paragraph."""
+    """Classes of more than one paragraph (a, b), and the classes of each band value whose
+    first paragraphs stand in different documents (meeting), each by its first paragraph."""
     parts: list[list[np.ndarray]] = [[] for _ in range(9)]
     for value in table["packed"]:
         got = unpacked(value.as_py(), *[np.uint8] * 9)
@@ -241,8 +242,8 @@ def _meetings(key: tuple, table: pa.Table) -> pa.Table:
     kinds = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
     values, near, where = values[kinds], near[kinds], where[kinds]
     groups = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
-    size = np.diff(np.append(groups, len(values)))
-    met = np.repeat(size > 1, size)
+    apart = np.minimum.reduceat(near, groups) != np.maximum.reduceat(near, groups) if len(groups) else np.zeros(0, bool)
+    met = np.repeat(apart, np.diff(np.append(groups, len(values))))
     meeting = _mixed(values[met].view(np.uint64) + _mixed(np.array([key[0].as_py()], np.uint64))).view(np.int64)
     blank = lambda n: pa.nulls(n, pa.int64())
     return pa.table({
@@ -273,15 +274,15 @@ def _reread(width: int):
     return run
 
 
-def _linked(similar: float, first: str = "doc_id", second: str = "place"):
-    """Spanning links of the classes of a meeting that are similar enough; a class is named
-    by two columns of longs."""
+def _linked(similar: float, first: str = "doc_id", second: str = "place", apart: bool = False):
+    """Spanning links of the classes of a meeting that are similar enough, and, if they are
+    to be ``apart``, differ in the first of the two columns of longs that name a class."""
 
-    def compare(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def compare(sets: list[np.ndarray], own: np.ndarray) -> list[tuple[int, int]]:
         n = len(sets)
         if n == 2:
             both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-            return [(0, 1)] if both >= similar * (len(sets[0]) + len(sets[1]) - both) else []
+            return [(0, 1)] if both >= similar * (len(sets[0]) + len(sets[1]) - both) and not (apart and own[0] == own[1]) else []
         size = np.array([len(s) for s in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
         order = np.argsort(flat, kind="stable")
@@ -300,7 +301,8 @@ def _linked(similar: float, first: str = "doc_id", second: str = "place"):
                 each = right - left
                 hits = owner[np.arange(each.sum()) + np.repeat(left - np.concatenate([[0], np.cumsum(each)[:-1]]), each)]
                 both = np.bincount(hits, minlength=n)
-                near = np.flatnonzero(unseen & (both >= similar * (size + size[one] - both)))
+                close = unseen & (both >= similar * (size + size[one] - both))
+                near = np.flatnonzero(close & (own != own[one]) if apart else close)
                 unseen[near] = False
                 found += [(one, int(j)) for j in near]
                 reached += near.tolist()
@@ -318,7 +320,7 @@ def _linked(similar: float, first: str = "doc_id", second: str = "place"):
         for a, b in zip(ends[:-1], ends[1:]):
             rows = order[a:b]
             if b - a > 1:
-                out += [(int(rows[i]), int(rows[j])) for i, j in compare([np.frombuffer(sets[r], np.uint64) for r in rows])]
+                out += [(int(rows[i]), int(rows[j])) for i, j in compare([np.frombuffer(sets[r], np.uint64) for r in rows], one[rows])]
         # of all links of this task a spanning star stays
         code = np.unique(np.stack([one, two], axis=1), axis=0, return_inverse=True)
         nodes, node = code[0], code[1].ravel()
@@ -347,8 +349,8 @@ def _standing(width: int):
 
 
 def duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """doc_id (null ids as the largest long), tag (of the text), start and words of every
-    paragraph that goes, and kept_doc_id, where the first of its cluster stands."""
+    """doc_id and tag (as of ``tagged``), start and words of every paragraph that
+    goes, and kept_doc_id, where the first of its cluster stands."""
     bands, rows = tuned(similar, recall)
     texts = tagged(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -370,12 +372,12 @@ def duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, re
     tiled = near.select("doc_id", "place", F.explode(cells).alias("cell"), "meeting").withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
     parts = pieces(near.count() * 400, 8 << 20, 12)
     keyed = tiled.join(sets.select("doc_id", "place", "shingles"), ["doc_id", "place"]).select("key", "doc_id", "place", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
-    roots = checkpoint(components(keyed.groupBy("part").applyInArrow(_linked(similar), f"u {NODE}, v {NODE}")).select("node.doc_id", "node.place", F.col("root.doc_id").alias("kept_doc_id")))
+    roots = checkpoint(components(keyed.groupBy("part").applyInArrow(_linked(similar, apart=True), f"u {NODE}, v {NODE}")).select("node.doc_id", "node.place", F.col("root.doc_id").alias("kept_doc_id")))
     linked = sets.select("a", "b", "doc_id", "place").join(roots, ["doc_id", "place"])
     alone = several.join(roots, ["doc_id", "place"], "left").withColumn("kept_doc_id", F.coalesce("kept_doc_id", "doc_id"))
     kept = linked.unionByName(alone).select("a", "b", "kept_doc_id").distinct()
     standing = texts.select("doc_id", "text", "tag").mapInArrow(_standing(width), "a long, b long, doc_id long, tag long, start long, words long")
-    return join_counted(standing, kept, ["a", "b"]).filter("kept_doc_id < doc_id").select("doc_id", "tag", "start", "words", "kept_doc_id")
+    return join_counted(standing, kept, ["a", "b"]).filter(F.col("kept_doc_id") < F.least("doc_id", F.lit(NULL_FROM + 1))).select("doc_id", "tag", "start", "words", "kept_doc_id")
 
 
 def spans_of(gone: list[dict]) -> list[tuple[int, int, int]]:
@@ -414,7 +416,7 @@ def removals(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, reca
     none = F.from_json(F.lit("[]"), SPANS)
     words = F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return _joined(docs, width, similar, recall).select(
-        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+        named().alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         words.alias("n_removed"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"),

@@ -3,10 +3,10 @@
 A document is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded from its
 hashed byte trigrams and a few shape measures by a learned layer; gated attention weighs
 the encoded passages, and the weighted sum is scored. Encoder, gates and score are learned
-together from document labels (multiple-instance learning), by plain gradient steps over a
-bounded sample of labelled rows: at most ``sample`` documents, taken by the order of a hash
-of their id, and of each at most ``SAMPLE_PASSAGES`` passages spread over its whole text.
-Scoring reads every passage of every text.
+together from document labels (multiple-instance learning), by plain gradient steps over
+all passages of a bounded sample of labelled rows: at most ``sample`` documents and
+``sample_bytes`` of text, taken by the order of a hash of their id. Scoring reads every
+passage of every text; a score depends on nothing but the model and the text.
 
 Defined results: null and empty texts are one empty passage and get that bag's score; an
 empty table gives an empty result; without two classes among the labels every score is the
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held_out, slices, utf8
@@ -30,13 +30,15 @@ TRIGRAMS = 256
 SHAPES = 10
 FEATURES = TRIGRAMS + SHAPES
 SAMPLE = 6000
-SAMPLE_PASSAGES = 48
+#: Most bytes of text in the sample; a labelled text of over a 64th of them is not drawn.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.7
 _ODD = np.random.default_rng(5).integers(1 << 62, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 
 
 def passages_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of a slice of texts, and each text's first passage."""
+    """Features of every passage of a slice of texts, and each text's first passage. A
+    passage's features depend on its own bytes only."""
     lengths = np.diff(offsets)
     each = np.maximum(1, -(-lengths // PASSAGE))
     first = np.concatenate([[0], np.cumsum(each)])
@@ -48,30 +50,29 @@ def passages_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     passage = np.repeat(first[:-1], lengths) + inside // PASSAGE
     size = np.bincount(passage, minlength=n).astype(np.float32)
     size[size == 0] = 1
-    grams = _ODD[0][raw]
-    grams[:-1] += _ODD[1][raw[1:]]
-    grams[:-2] += _ODD[2][raw[2:]]
+    whole = passage[2:] == passage[:-2]
+    grams = (_ODD[0][raw[:-2]] + _ODD[1][raw[1:-1]] + _ODD[2][raw[2:]])[whole]
     bucket = (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
-    out[:, :TRIGRAMS] = np.sqrt(np.bincount(passage * TRIGRAMS + bucket, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS) / size[:, None])
+    out[:, :TRIGRAMS] = np.sqrt(np.bincount(passage[:-2][whole] * TRIGRAMS + bucket, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS) / size[:, None])
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     upper, lower, digit = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
     mark = ~(blank | upper | lower | digit) & (raw < 128)
     share = lambda mask: np.bincount(passage, mask, n) / size
     shape = [share(upper), share(digit), share(mark), share(blank), share(raw == 10) * 10, share(raw >= 128)]
     begins = ~blank
-    begins[1:] &= blank[:-1] | (inside[1:] == 0)
+    begins[1:] &= blank[:-1] | (passage[1:] != passage[:-1])
     at = np.flatnonzero(begins)
     words = np.zeros(n)
     repeated, distinct, length = np.zeros(n), np.zeros(n), np.zeros(n)
     if len(at):
-        place = np.arange(len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw)))) if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64), np.arange(at[0], len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw))))])
-        value = np.where(blank, 0, _ODD[3][raw] * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)))
-        hashed = np.add.reduceat(value, at)
+        place = np.arange(at[0], len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw))))
+        value = np.where(blank[at[0] :], 0, _ODD[3][raw[at[0] :]] * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)))
+        hashed = np.add.reduceat(value, at - at[0])
         hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         of = passage[at]
         words = np.bincount(of, minlength=n)
         same = np.zeros(len(at), bool)
-        same[1:] = hashed[1:] == hashed[:-1]
+        same[1:] = (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])
         repeated = np.bincount(of, same, n)
         seen = np.unique(of.astype(np.uint64) << np.uint64(36) | hashed >> np.uint64(28))
         distinct = np.bincount((seen >> np.uint64(36)).astype(np.int64), minlength=n)
@@ -108,8 +109,9 @@ class GatedAttention:
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(first) - 1, self.constant)
-        x = np.clip((x - self.mean) * self.scale, -5, 5)
-        return self._forward(x, first)[-1].astype(np.float64)
+        x = np.clip((x - self.mean) * self.scale, -5, 5).astype(np.float64)
+        # matrix products may differ in their last bits with the number of rows
+        return np.round(self._forward(x, first)[-1], 6)
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4) -> GatedAttention:
         if len(set(y.tolist())) < 2:
@@ -156,29 +158,31 @@ def _encode_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for start, end in slices(offsets):
             x, first = passages_of(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
-            for i in range(end - start):
-                own = x[first[i] : first[i + 1]]
-                if len(own) > SAMPLE_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, SAMPLE_PASSAGES).astype(int)]
-                rows.append(own.astype(np.float16).tobytes())
+            rows += [x[first[i] : first[i + 1]].astype(np.float16).tobytes() for i in range(end - start)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["passages", "quality"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention:
-    """A model of labels.quality, from at most ``sample`` labelled documents of the given rows."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> GatedAttention:
+    """A model of labels.quality, from all passages of a bounded sample of labelled rows: the
+    first ``sample`` by a hash of the id, of these as many as hold ``sample_bytes`` of text."""
+    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
     chosen = (
         labels.select("doc_id", "quality")
         .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .dropDuplicates()
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .orderBy(*order)
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
-    rows = rows.dropDuplicates(["doc_id", "quality"]).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"))
+    # of an id's several texts one is learned from
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("one")).select("doc_id", "quality", "one.text")
+    size = F.octet_length("text")
+    rows = rows.filter(size <= sample_bytes // 64).withColumn("until", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.filter(F.col("until") <= sample_bytes).orderBy(*order).select("text", "quality")
     found = rows.mapInArrow(_encode_sample, "passages binary, quality int").collect()
-    bags = [np.frombuffer(r[0], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in found]
+    bags = [np.frombuffer(r[0], np.float16).reshape(-1, FEATURES) for r in found]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
-    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
+    x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, FEATURES), np.float32)
     return GatedAttention().fit(x, first, np.array([r[1] for r in found], np.float32))
 
 

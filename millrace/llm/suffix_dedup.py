@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, PLACE_BITS, checkpoint, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
+from millrace.llm.common import NULL_FROM, PLACE_BITS, checkpoint, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 
 WINDOW = 50
 KMER = 16
@@ -196,8 +196,9 @@ def _bucket(doc: np.ndarray, place: np.ndarray, count: np.ndarray, ahead: np.nda
     view = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(text))])
     same = view.dictionary_encode().indices.to_numpy()
     kinds = int(same.max()) + 1
+    rank = np.minimum(doc, NULL_FROM + 1)  # documents without an id come last, all at once
     smallest = np.full(kinds, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, same, doc)
+    np.minimum.at(smallest, same, rank)
     one = np.empty(kinds, np.int64)
     one[same[::-1]] = np.arange(len(same))[::-1]
     # lay the pieces out with their minimisers on multiples of the period
@@ -217,11 +218,11 @@ def _bucket(doc: np.ndarray, place: np.ndarray, count: np.ndarray, ahead: np.nda
     least = least[name]
     rows = np.flatnonzero((np.maximum.reduceat((least < np.iinfo(np.int64).max).astype(np.int8), first[:-1]) > 0)[same]) if len(first) > 1 else np.zeros(0, np.int64)
     low = np.minimum.reduceat(least, first[:-1])[same]
-    rows = rows[low[rows] < doc[rows]]
+    rows = rows[low[rows] < rank[rows]]
     each = count[rows]
     start = np.concatenate([[0], np.cumsum(each)])
     index = np.arange(start[-1]) + np.repeat(first[:-1][same[rows]] - start[:-1], each)
-    hit = least[index] < np.repeat(doc[rows], each)
+    hit = least[index] < np.repeat(rank[rows], each)
     owner = np.repeat(np.arange(len(rows)), each)
     begins = hit.copy()
     begins[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
@@ -346,7 +347,7 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ids, texts, runs = (batch.column(i).to_pylist() for i in range(3))
             found = [_kept(t, r, window) for t, r in zip(texts, runs)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(f[3]).hexdigest() for f in found], pa.string())],
+                [pa.array([None if i > NULL_FROM else i for i in ids], pa.int64()), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(f[3]).hexdigest() for f in found], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 

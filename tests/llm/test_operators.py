@@ -119,6 +119,56 @@ def test_quality(spark):
     assert quality_mil.classify(make(spark, []), labels).count() == 0
 
 
+def plain_features(passage):
+    """A passage's features, word for word as the docstrings say."""
+    odd = [[int(x) for x in row] for row in quality_mil._ODD]
+    m, out, n = (1 << 64) - 1, [0.0] * quality_mil.TRIGRAMS, max(1, len(passage))
+    for a, b, c in zip(passage, passage[1:], passage[2:]):
+        out[((odd[0][a] + odd[1][b] + odd[2][c]) * 0x9E3779B97F4A7C15 & m) >> 56] += 1
+    share = lambda some: sum(b in some for b in passage) / n
+    blank, letters = {32, *range(9, 14)}, {*range(65, 91), *range(97, 123)}
+    mark = {b for b in range(128) if b not in blank | letters and not 48 <= b <= 57}
+    words = passage.split()
+    many = max(1, len(words))
+    shape = [share(range(65, 91)), share(range(48, 58)), share(mark), share(blank), share({10}) * 10, share(range(128, 256))]
+    shape += [sum(x == y for x, y in zip(words, words[1:])) / many, len(set(words)) / many, sum(map(len, words)) / many / 10, len(words) / n * 5]
+    return [(x / n) ** 0.5 for x in out] + shape
+
+
+def plain_score(model, text):
+    import math
+
+    raw = (text or "").encode()
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    hidden, raised = [], []
+    for i in range(0, max(1, len(raw)), quality_mil.PASSAGE):
+        x = [min(5, max(-5, (f - m) * s)) for f, m, s in zip(plain_features(raw[i : i + quality_mil.PASSAGE]), model.mean.tolist(), model.scale.tolist())]
+        h = [math.tanh(dot(x, w) + b) for w, b in zip(zip(*p["W"]), p["b"])]
+        gates = [math.tanh(dot(h, v)) * sigmoid(dot(h, u)) for v, u in zip(zip(*p["V"]), zip(*p["U"]))]
+        hidden.append(h)
+        raised.append(math.exp(dot(gates, p["w"])))
+    z = [sum(r * h[j] for r, h in zip(raised, hidden)) / sum(raised) for j in range(len(hidden[0]))]
+    return sigmoid(dot(z, p["c"]) + p["c0"][0])
+
+
+def test_scores_depend_on_the_text_alone(spark, rows):
+    every = rows + [(500, "end same"), (501, "same start of the next text"), (502, "x" * 511 + "ü tail"), (None, "no id"), (503, " ".join(["word"] * 250_000)), (5, "another text of an id")]
+    docs = make(spark, every)
+    labels = spark.createDataFrame([(i, int(len(t or "") % 2), 0) for i, t in rows[:70]], "doc_id long, quality int, toxic int")
+    model = quality_mil.fit(docs, labels)
+    assert model.constant is None and all(np.array_equal(v, model.p[k]) for k, v in quality_mil.fit(docs.repartition(7), labels).p.items())
+    scores = lambda d: {(r.doc_id, r.text): r.score for r in quality_mil.score(d, model).join(d, "doc_id").collect() if r.doc_id != 5}
+    one, other = scores(docs), scores(docs.orderBy(F.desc("doc_id")).coalesce(1))
+    assert one == other == scores(docs.repartition(40))
+    for doc, text in rows[::7] + every[-7:-2]:
+        if doc is not None and doc != 5:
+            assert one[doc, text] == pytest.approx(plain_score(model, text), abs=2e-5)
+    alone = quality_mil.score(make(spark, [(1, rows[3][1])]), model).first().score
+    assert alone == one[3, rows[3][1]]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     model = quality_mil.GatedAttention(hidden=4, gate=3)
@@ -288,8 +338,55 @@ def test_components_of_a_long_path(spark):
 # 5
 
 
+def naive_packing(sizes, capacities, overhead):
+    """Bins as lists of sizes, found by looking through all bins and all pieces still to come."""
+    bins = []
+    for at, size in enumerate(sizes):
+        fits = [b for b in bins if b[0] >= size]
+        if not fits:
+            cost = {}
+            for c in (c for c in capacities if c >= size):
+                room = c - size
+                for later in sizes[at + 1 :]:
+                    room -= later if later <= room else 0
+                cost[c] = (c + overhead) / (c - room)
+            c = min(cost, key=lambda c: (cost[c], -c))
+            fits = [[c, []]]
+            bins += fits
+        best = min(fits, key=lambda b: b[0])
+        best[0] -= size
+        best[1].append(size)
+    return sorted(b for _, b in bins)
+
+
+def cost_of(bins, capacities, overhead):
+    return sum(min(c for c in capacities if c >= sum(b)) + overhead for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_against_a_naive_one(seed):
+    rnd = random.Random(seed)
+    capacities, overhead = (16, 24, 64, 128), rnd.choice([0, 2, 16, 64])
+    sizes = sorted((rnd.randint(1, rnd.choice([10, 128])) for _ in range(rnd.randint(1, 120))), reverse=True)
+    of, position, capacity = packing.pack(sizes, capacities, overhead)
+    bins = [[s for s, o in zip(sizes, of) if o == n] for n in range(len(capacity))]
+    assert all(p == sum(s for s, o in zip(sizes[:i], of) if o == of[i]) for i, p in enumerate(position))
+    joint, single = (naive_packing(sizes, c, overhead) for c in (capacities, capacities[-1:]))
+    costs = cost_of(joint, capacities, overhead), cost_of(single, capacities, overhead)
+    assert sum(capacity) + overhead * len(capacity) == cost_of(bins, capacities, overhead) == min(costs) >= sum(sizes)
+    if len({*map(len, joint), *map(len, single)}) > 1 and costs[0] != costs[1]:
+        assert sorted(map(sum, bins)) == sorted(map(sum, joint if costs[0] < costs[1] else single))
+
+
+def test_smaller_lengths_are_opened_where_they_cost_less():
+    sizes = [50, 50, 10]  # what is left fills neither of the longer lengths
+    assert packing.pack(sizes, (64, 200), 0)[2] == [64, 64] and packing._packed(sizes, [200], 0)[2] == [110]
+    assert packing.pack(sizes, (64, 110, 200), 0)[2] == [110]
+
+
 def test_packing(spark, rows):
-    docs = make(spark, rows + [rows[0]])
+    every = rows + [rows[0], (3, "another text of the id"), (None, rows[1][1]), (None, rows[1][1]), (None, rows[2][1])]
+    docs = make(spark, every)
     got = packing.best_fit(docs, (16, 64, 128), 2).collect()
     bins = {}
     for r in got:
@@ -302,10 +399,23 @@ def test_packing(spark, rows):
         used = sum(w for _, w in held)
         assert [p for p, _ in held] == [sum(w for _, w in held[:i]) for i in range(len(held))]
         assert used <= capacity and capacity == min(c for c in (16, 64, 128) if c >= used)
-    want = sum(len((t or "").encode().split()) for _, t in rows + [rows[0]])
+    # one shard: costs and lengths are those of the naive packing
+    sizes = sorted((r.words for r in got if r.words), reverse=True)
+    least = min(cost_of(naive_packing(sizes, c, 2), (16, 64, 128), 2) for c in ((16, 64, 128), (128,)))
+    assert sum(c + 2 for _, c in bins) == least
+    want = sum(len((t or "").encode().split()) for _, t in every)
     assert sum(r.words for r in got) == want
     made = packing.sequences(docs, (16, 64, 128), 2).collect()
-    assert sum(len(p.split()) for r in made for p in r.pieces) == want and all(len(r.doc_ids) == len(r.pieces) for r in made)
+    assert all(len(r.doc_ids) == len(r.pieces) and sum(len(p.split()) for p in r.pieces) == r.words <= r.capacity for r in made)
+    from collections import Counter
+
+    packed_words, words = Counter(), Counter()
+    for r in made:
+        for d, p in zip(r.doc_ids, r.pieces):
+            packed_words.update((d, w) for w in p.encode().split())
+    for d, t in every:
+        words.update((d, w) for w in (t or "").encode().split())
+    assert packed_words == words
     assert packing.best_fit(make(spark, [])).count() == 0
 
 
@@ -376,36 +486,76 @@ def test_suffix_dedup_of_long_texts(spark):
 # 8
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([200.0, 250 / 3, 500 / 3])
-    assert mixing.targets([10, 1000, 0]) == [20.0, 1495.0, 0.0]
-    assert mixing.targets([]) == []
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Words to take from each source, by going round until no source is above its most."""
+    weigh = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, rest, left = {}, share * sum(sizes), list(range(len(sizes)))
+    while left:
+        total = sum(weigh[i] for i in left)
+        above = [i for i in left if rest * weigh[i] / total > most * sizes[i]]
+        out |= {i: most * sizes[i] for i in above} if above else {i: rest * weigh[i] / total for i in left}
+        rest -= sum(out[i] for i in above)
+        left = [i for i in left if i not in out]
+    return [out[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 0], [1, 2, 4, 8, 16, 5000, 3], [0, 0], []])
+def test_targets(spark, sizes):
+    names = sorted(["", "A", "a", "b", "é", "中", "\U0001f600"][: max(0, len(sizes) - 1)], key=lambda n: n.encode()) + [None] * bool(sizes)
+    sized = spark.createDataFrame([(s, n) for s, n in zip(names, sizes)], "source string, size long").repartition(3)
+    got = sorted(mixing.targets(mixing.placed_sources(sized)).collect(), key=lambda r: r.place)
+    assert [(r.place, r.source, r.source_size) for r in got] == [(i, s, n) for i, (s, n) in enumerate(zip(names, sizes))]
+    assert [r.target for r in got] == pytest.approx(targets(sizes))
+
+
+def test_many_sources_are_in_order(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.pmod(F.col("id") * 7919, F.lit(1500))).alias("source"), F.lit(1).cast("long").alias("size"))
+    got = mixing.placed_sources(rows).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1500)) and [r.source for r in got] == sorted(r.source for r in got)
 
 
 def test_mixing(spark, rows):
-    every = [(i, t, "en", [None, "a", "B", "ü"][i % 4]) for i, t in rows]
-    docs = make(spark, every + [every[3]])
-    got = mixing.mix(docs, 16).collect()
-    assert len(got) == len(every) + 1 and {tuple(r) for r in mixing.mix(docs.repartition(5), 16).collect()} == {tuple(r) for r in got}
+    more = [(None, rows[3][1], "en", "a"), (None, rows[3][1], "en", "a"), (None, rows[5][1], "en", None), (3, "other words of the id", "en", "B"), (700, "w " * 6000, "en", "a")]
+    every = [(i, t, "en", [None, "a", "B", "ü"][i % 4]) for i, t in rows] + more
+    every.append(every[3])
+    docs = make(spark, every)
+    block = 16
+    got = mixing.mix(docs, block).collect()
+    assert len(got) == len(every) and sorted(map(str, mixing.mix(docs.repartition(5), block).collect())) == sorted(map(str, got))
     size = lambda t: len((t or "").encode().split())
-    of = {i: s for i, _, _, s in every}
-    total = {s: sum(size(t) for i, t, _, x in every + [every[3]] if x == s) for s in of.values()}
+    total = {s: sum(size(t) for _, t, _, x in every if x == s) for *_, s in every}
     order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
-    wanted = dict(zip(order, mixing.targets([total[s] for s in order])))
-    taken = dict.fromkeys(order, 0)
-    for r in got:
-        s = of[r.doc_id]
-        assert r.source_size == total[s] and r.target == pytest.approx(wanted[s]) and r.taken <= 2 * r.size
-        taken[s] += r.taken
+    wanted = dict(zip(order, targets([total[s] for s in order])))
+    # words taken, recomputed from the plan of slots by walking through every source's words
+    rows_, sources, buckets = mixing.size_sources(docs)
+    plan = mixing.slots(sources, block).collect()
+    place, held = {r.source: r.place for r in sources.collect()}, {r.place: r.source_size for r in sources.collect()}
+    times = {}
+    for r in plan:  # a source's last block may be short
+        for w in range(min(r.words, held[r.place] - r.block * block)):
+            at = (r.place, r.block * block + w)
+            times[at] = times.get(at, 0) + 1
+    own = sorted(mixing.located(rows_.filter("size > 0"), buckets).collect(), key=lambda r: (r.place, r.start))
+    ends = {}
+    for r in own:  # the documents of a source lie one after the other
+        assert r.start == ends.get(r.place, 0)
+        ends[r.place] = r.start + r.size
+    assert ends == {place[s]: n for s, n in total.items() if n}
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in got if r["size"]) == sorted((r.doc_id or -1, r["size"], sum(times.get((r.place, w), 0) for w in range(r.start, r.start + r["size"]))) for r in own)
+    assert max(times.values()) <= 2 and sum(r.taken for r in got) == sum(times.values())
+    taken = {s: sum(n for (p, _), n in times.items() if p == place[s]) for s in order}
     assert all(taken[s] == pytest.approx(wanted[s], abs=1) for s in order)
-    made = mixing.mixed_documents(docs, 16)
+    key = sorted((str(d), size(t), total[s], round(wanted[s], 6)) for d, t, _, s in every)
+    assert sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 6)) for r in got) == key and all(r.taken <= 2 * r["size"] for r in got)
+    made = mixing.mixed_documents(docs, block)
     assert made.columns == docs.columns
-    words = {r.doc_id: size(r.text) for r in made.collect()}
-    want = {}
+    words, want = {}, {}
+    for r in made.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + size(r.text)
     for r in got:
         want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
     assert words == {d: n for d, n in want.items() if n}
-    assert mixing.mix(make(spark, [])).count() == 0
+    assert mixing.mix(make(spark, [])).count() == 0 and mixing.mixed_documents(make(spark, [])).count() == 0
 
 
 def test_permutation(spark):
@@ -442,20 +592,26 @@ def brute_paragraphs(text):
 
 
 def brute_removed(every):
-    """Words that go of each row: those of paragraphs whose cluster begins in a smaller doc_id."""
-    sets = {(d, i, *at): s for i, (d, t) in enumerate(every) for at, s in brute_paragraphs(t).items()}
-    keys = sorted(sets)
+    """Words that go of each row: those of paragraphs whose cluster begins in a smaller doc_id.
+    Equal paragraphs are a class; classes that begin in different documents may be linked."""
+    classes = {}
+    for i, (d, t) in enumerate(every):
+        words = (t or "").encode().lower().split()
+        for (s, n), grams in brute_paragraphs(t).items():
+            classes.setdefault(tuple(words[s : s + n]), (grams, []))[1].append((d, s, i, n))
+    found = sorted((min(at), grams, at) for grams, at in classes.values())
     by = {}
-    for k in keys:
-        for g in sets[k]:
+    for k, (_, grams, _) in enumerate(found):
+        for g in grams:
             by.setdefault(g, []).append(k)
-    number = {k: i for i, k in enumerate(keys)}
-    pairs = {(number[k], number[o]) for k in keys for o in {o for g in sets[k] for o in by[g]} if o < k and len(sets[k] & sets[o]) >= 0.8 * len(sets[k] | sets[o])}
-    root = local_roots(len(keys), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    pairs = {(k, o) for k, (first, grams, _) in enumerate(found) for g in grams for o in by[g] if o < k and found[o][0][0] != first[0] and near(grams, found[o][1])}
+    root = local_roots(len(found), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
     gone = {i: set() for i in range(len(every))}
-    for k, r in zip(keys, root):
-        if keys[r][0] < k[0]:
-            gone[k[1]] |= set(range(k[2], k[2] + k[3]))
+    for (_, _, at), r in zip(found, root):
+        for d, s, i, n in at:
+            if found[r][0][0] < d:
+                gone[i] |= set(range(s, s + n))
     return [len(gone[i]) for i in range(len(every))]
 
 
