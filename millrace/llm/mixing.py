@@ -12,7 +12,8 @@ a source gives exactly its target, rounded to words, and no word more than twice
 
 The permutation is a swap-or-not network, so a block number is computed from a slot number
 without a sort. Offsets of documents in a source are sums over buckets of documents and
-sums within a bucket, so no task holds a source. The driver sees one row for each source.
+sums within a bucket, and sources are numbered in the same way, so no task holds a source or
+all sources, and the driver sees sums alone.
 
 Defined results: null and wordless texts have size 0 and give nothing; a null source is a
 source of its own, the last; sources without words have target 0; an empty table gives an
@@ -21,12 +22,10 @@ empty result; repeated rows are rows of their own. Other columns are ignored.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, words_of
+from millrace.llm.common import checkpoint, join_counted, pieces, words_of
 
 BLOCK = 256
 SHARD_SLOTS = 8192
@@ -41,24 +40,6 @@ BUCKET_ROWS = 4096
 CELLS = 4096
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Words to take from each source: shares by weight, none above ``most`` times its size."""
-    weigh = [weights[i % len(weights)] for i in range(len(sizes))]
-    out: dict[int, float] = {}
-    rest = share * sum(sizes)
-    left = list(range(len(sizes)))
-    while left:
-        total = sum(weigh[i] for i in left)
-        above = [i for i in left if rest * weigh[i] / total > most * sizes[i]]
-        if not above:
-            out |= {i: rest * weigh[i] / total for i in left}
-            break
-        out |= {i: most * sizes[i] for i in above}
-        rest -= sum(out[i] for i in above)
-        left = [i for i in left if i not in out]
-    return [out[i] for i in range(len(sizes))]
-
-
 def _permuted(k: Column, n: Column, *key: Column) -> Column:
     """A permutation of 0 to n - 1 that depends on the key: in each round a number and its
     mirror image change places or stay, by a hash of the larger one."""
@@ -70,18 +51,46 @@ def _permuted(k: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.array(*(F.lit(r) for r in range(ROUNDS))), k.cast("long"), swap)
 
 
+def _before(sources: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the sum of a value over the sources of smaller places: sums over ``part``, ranges
+    of places, and sums within a range, so that no task holds all sources."""
+    parts = sources.groupBy("part").agg(F.sum(value).alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("ahead"))
+    inside = F.sum(value).over(Window.partitionBy("part").orderBy("place")) - value
+    return sources.withColumn(name, inside).join(parts, "part").withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
+
+
+def placed_sources(sized: DataFrame) -> DataFrame:
+    """part, place, source and source_size: places are numbers in code point order, null last."""
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # numbered in order within the ranges that the sort deals; then by what is ahead of a range
+    found = checkpoint(found.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()))
+    found = found.withColumn("part", F.shiftright("place", 33))
+    return checkpoint(_before(found, F.lit(1).cast("long"), "number").withColumn("place", F.col("number")).drop("number"))
+
+
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Adds target, the words to take from each source: shares by weight, none above ``most``
+    times its size, with the excess reshared until none is above. The driver sees sums only."""
+    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
+    most_of, above, level = F.col("source_size") * float(most), F.lit(False), 0.0
+    total, before = float(share) * (weighed.agg(F.sum("source_size")).first()[0] or 0), -1
+    while True:
+        n, held, rest = weighed.agg(F.count_if(above), F.sum(F.when(above, most_of)), F.sum(F.when(~above, F.col("weight")))).first()
+        if n == before or not rest:
+            break
+        level, before = (total - (held or 0.0)) / rest, n
+        above = F.col("weight") * level > most_of
+    return weighed.withColumn("target", F.when(above, most_of).otherwise(F.col("weight") * level)).drop("weight")
+
+
 def size_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Rows (doc_id, text_key, size and what the source has) and the sources, in code point order."""
-    spark = docs.sparkSession
+    """Rows (doc_id, text_key, size and what the source has), the sources, and how many buckets the rows fill."""
     sized = checkpoint(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), words_of().alias("size")))
-    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
-    wanted = targets([r["n"] for r in found])
-    rows = [{"place": i, "source": r["source"], "source_size": r["n"], "target": t} for i, (r, t) in enumerate(zip(found, wanted))]
-    schema = "array<struct<place int, source string, source_size long, target double>>"
-    sources = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    joined = sized.join(sources.withColumnRenamed("source", "named"), sized.source.eqNullSafe(F.col("named"))).drop("named", "source")
-    return joined, sources, max(1, sum(r["rows"] for r in found) // BUCKET_ROWS)
+    sources = checkpoint(targets(placed_sources(sized)))
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("named")  # a null source is a source
+    joined = join_counted(sized.select("*", key).drop("source"), sources.select(key, "place", "source_size", "target"), ["named"]).drop("named")
+    return joined, sources, max(1, sized.count() // BUCKET_ROWS)
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -89,20 +98,22 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     spark = sources.sparkSession
     words = F.round("target").cast("long")
     sources = sources.filter("source_size > 0 and round(target) > 0").select(
+        "part",
         "place",
         F.ceil(F.col("source_size") / block).cast("long").alias("blocks"),
         F.floor(F.col("source_size") / block).cast("long").alias("full"),
         F.floor(words / F.col("source_size")).cast("long").alias("passes"),
         F.pmod(words, "source_size").alias("over"),
     ).withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("over") / block))
-    total = sources.agg(F.sum("slots")).first()[0] or 0
+    odds = checkpoint(_before(sources, F.col("slots"), "ahead_of"))
+    total = odds.agg(F.sum("slots")).first()[0] or 0
     shards = -(-total // shard_slots)
-    running = F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("place"))
-    odds = sources.withColumns({"hi": running / max(1, total), "lo": (running - F.col("slots")) / max(1, total)})
+    sources = odds.drop("part", "ahead_of")
+    odds = odds.withColumns({"hi": (F.col("ahead_of") + F.col("slots")) / max(1, total), "lo": F.col("ahead_of") / max(1, total)})
     cells = odds.select("place", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     draw = (F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("u")
     draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), draw).withColumn("cell", F.floor(F.col("u") * CELLS))
-    drawn = draws.join(cells, "cell").filter("u >= lo and u < hi").groupBy("shard", "place").count()
+    drawn = checkpoint(draws.join(cells, "cell").filter("u >= lo and u < hi").groupBy("shard", "place").count())
     until = F.sum("count").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     ranges = drawn.withColumn("until", until).join(sources, "place")
     dealt = ranges.select("place", "shard", (F.col("until") - F.col("count")).alias("start"), F.least("until", "slots").alias("end"))
@@ -110,7 +121,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     extra = short.filter("start < end").select(
         "place", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(shard_slots).cast("long"))).alias("start"), "end"
     ).select("place", (F.lit(shards) + F.floor(F.col("start") / shard_slots)).alias("shard"), "start", F.least("end", F.col("start") + shard_slots).alias("end"))
-    every = dealt.unionByName(extra).filter("start < end").select("place", "shard", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("k"))
+    # a source's slots are numbered where its few shards are; they become rows where each shard is
+    every = dealt.unionByName(extra).filter("start < end").repartition(pieces(total, 1 << 17), "place", "shard")
+    every = every.select("place", "shard", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("k"))
     every = every.join(sources, "place").withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
     whole = F.col("pass") < F.col("passes")
     within = F.when(whole, F.pmod("k", "blocks")).otherwise(F.col("k") - F.col("passes") * F.col("blocks"))
@@ -123,7 +136,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 def located(rows: DataFrame, buckets: int) -> DataFrame:
     """Adds start: where a row's words begin in its source."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
     totals = rows.groupBy("place", "bucket").agg(F.sum("size").alias("n"))
     before = totals.select("place", "bucket", (F.sum("n").over(Window.partitionBy("place").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("place", "bucket").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
