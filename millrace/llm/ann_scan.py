@@ -2,22 +2,24 @@
 
 Vectors are made unit length, so the largest cosine is the least distance. Lists come from
 k-means on a bounded sample (``SAMPLE`` rows by the order of a hash of the id); every row
-is put into the list of its nearest centre, and a list of many rows is cut into parts. A
-query probes its nearest lists: as many as held ``RECALL`` of the true neighbours of
-``ASKED`` sample rows within the sample, and as many more as it takes to hold ``k + 1``
-rows. Its k-th best among the sample's first ``REFERENCE`` rows, which are candidates like
-any other, is the limit that its scans start from. In a list's part all vectors are turned by one random rotation
-and scanned in blocks of columns: after each block a candidate is given up when its
-partial distance is larger than the query's k-th best so far allows at the significance
-of the test (the partial sum over d of D rotated dimensions estimates the whole distance
-with an error of about 1 / sqrt(d)). Candidates that are left are scored exactly on the
-original vectors in double precision, and the lists of a query's parts are merged.
+is put into the list of its nearest centre. A query probes its nearest lists: as many as
+held ``RECALL`` of the true neighbours of ``ASKED`` sample rows within the sample, and as
+many more as it takes to hold ``k + 1`` rows. Neighbouring lists form groups of about the
+same number of rows (a larger list is cut into several groups), and a query is sent once to
+each group that holds one of its lists, not once to each list. In a group all vectors are
+turned by one random rotation, and each list that the query probes is scanned in blocks of
+columns: after each block a candidate is given up when its partial distance is larger than
+the query's k-th best so far allows at the significance of the test (the partial sum over d
+of D rotated dimensions estimates the whole distance with an error of about 1 / sqrt(d)).
+Candidates that are left are scored exactly on the original vectors in double precision; a
+group returns k for each query, and these are merged.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows whose id is null or vectors of another length than most of the sample
-has; a candidate with the query's own id is the query's own; repeated query ids are asked
-once. Equal vectors are scanned once for all their ids, so ties go to the smaller vec_id.
-An empty table gives an empty result. Other columns are ignored.
+has; a candidate with the query's own id is the query's own; of a query id's several vectors
+the smallest is asked, and a candidate id counts by its best vector. Equal vectors are scanned
+once for all their ids, so ties go to the smaller vec_id. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpoint
 
 SAMPLE = 20_000
-MOST_LISTS = 4096
-PART_ROWS = 16_384
-ASKED, REFERENCE = 512, 4096
+#: Sample rows for each list at least; more rows of the table make lists longer.
+SAMPLE_A_LIST = 4
+#: Fewest and most rows of a group, and groups of a table that fills neither bound.
+GROUP_ROWS, GROUPS = (512, 65_536), 24
+ASKED = 512
 RECALL = 0.97
 COLUMNS = 16
 #: Standard errors that a partial distance must lie above before it is given up.
@@ -45,8 +49,10 @@ SEED = 9
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and x (array<double>) of the rows that take part."""
-    x = F.col("embedding").cast("array<double>")
+    """vec_id and x (floats, or else doubles) of the rows that take part."""
+    x = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":
+        x = x.cast("array<double>")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
     return vectors.select("vec_id", x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(finite)
 
@@ -58,7 +64,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 def centres(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
@@ -126,21 +132,93 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, own: np.ndarray, limit: np.ndarr
     return out
 
 
+def grouped(sizes: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first group and how many it is cut into; lists of one group are neighbours."""
+    most = int(np.clip(sizes.sum() // GROUPS, *GROUP_ROWS))
+    coarse = centres(means, max(1, int(np.ceil(np.sqrt(len(means))))))
+    first, parts = np.zeros(len(sizes), np.int32), np.maximum(1, -(-sizes // most)).astype(np.int32)
+    group, held = 0, 0
+    for lst in np.argsort((means @ coarse.T).argmax(axis=1), kind="stable"):
+        if held and (held + sizes[lst] > most or parts[lst] > 1):
+            group, held = group + 1, 0
+        first[lst] = group
+        held += int(sizes[lst])
+        if parts[lst] > 1:
+            group, held = group + int(parts[lst]), 0
+    return first, parts
+
+
+def _merged(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, ties to the smaller id, each id by its best score."""
+    order = np.lexsort((ids, -scores))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+    return scores[order], ids[order]
+
+
+def scanner(means: np.ndarray, k: int):
+    """Scans a group: rows of list -1 are queries, with the similarity of the farthest centre that they probe."""
+    d = means.shape[1]
+    turn = rotation(d)
+
+    def scan(table: pa.Table) -> pa.Table:
+        of, ids, x, bound = table["list"].to_numpy(), table["vec_id"].to_numpy(), _matrix(table["x"]), table["bound"].to_numpy()
+        asks = np.flatnonzero(of < 0)
+        q, q_ids, bound = x[asks], ids[asks], bound[asks]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        limit = np.full(len(q), np.inf, np.float32)
+        turned_q = (_unit(q) @ turn).astype(np.float32) if len(q) else q
+        unit_q = _unit(q).astype(np.float32) if len(q) else q
+        order = np.lexsort((ids, of))
+        order = order[len(asks) :]
+        cuts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(order) and len(q) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+            rows = order[a:b]
+            probing = np.flatnonzero(unit_q @ means[of[rows[0]]] >= bound - 1e-6)
+            if not len(probing):
+                continue
+            c, c_ids = x[rows], ids[rows]
+            # equal vectors are one row with all of its ids, in order
+            whole = np.ascontiguousarray(c).view(np.dtype((np.void, d * 8))).ravel()
+            _, head, same = np.unique(whole, return_index=True, return_inverse=True)
+            by = np.argsort(same, kind="stable")
+            ends = np.searchsorted(same[by], np.arange(len(head) + 1))
+            one = c[head]
+            turned = (_unit(one) @ turn).astype(np.float32)
+            sole = np.diff(ends) == 1
+            for at in range(0, len(probing), 64):
+                mine = probing[at : at + 64]
+                place = np.minimum(np.searchsorted(c_ids, q_ids[mine]), len(c_ids) - 1)
+                own = np.where((c_ids[place] == q_ids[mine]) & sole[same[place]], same[place], -1)
+                for i, picked in zip(mine.tolist(), adaptive_scan(turned_q[mine], turned, own, limit[mine], k)):
+                    found, named = [best[i][0]], [best[i][1]]
+                    for score, p in zip(_cosines(one[picked], q[i]).tolist(), picked.tolist()):
+                        copies = np.unique(c_ids[by[ends[p] : ends[p + 1]]])
+                        copies = copies[copies != q_ids[i]][:k]
+                        found.append(np.full(len(copies), score))
+                        named.append(copies)
+                    best[i] = _merged(np.concatenate(found), np.concatenate(named), k)
+                    if len(best[i][0]) == k:
+                        limit[i] = max(0.0, 2 - 2 * best[i][0][-1])
+        each = [len(s) for s, _ in best]
+        scores, named = (np.concatenate([b[j] for b in best]) if best else np.zeros(0) for j in (0, 1))
+        return pa.table({"query_id": pa.array(np.repeat(q_ids, each), pa.int64()), "vec_id": pa.array(named.astype(np.int64)), "score": pa.array(scores, pa.float64())})
+
+    return scan
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest found for each query id."""
     spark = candidates.sparkSession
     rows = valid(candidates)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    empty = "query_id long, rank int, vec_id long, score double"
+    kind = rows.schema["x"].dataType.simpleString()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
     if not len(sample):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.array([len(v) for v in sample["x"]])
     d = int(np.bincount(lengths).argmax())
-    sample = sample.filter(pa.array(lengths == d))
-    some_ids, some = sample["vec_id"].to_numpy()[:REFERENCE], _matrix(sample["x"])[:REFERENCE]
-    sample = _unit(_matrix(sample["x"]))
+    sample = _unit(_matrix(sample.filter(pa.array(lengths == d))["x"]))
     rows = rows.filter(F.size("x") == d)
-    lists = min(MOST_LISTS, max(1, int(np.sqrt(rows.count()))), len(sample))
+    lists = min(max(1, int(np.sqrt(rows.count()))), max(1, len(sample) // SAMPLE_A_LIST))
     means = centres(sample, lists)
     probes = probes_needed(sample, means, k, recall)
 
@@ -150,96 +228,35 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, recall: float = RE
                 near = (_unit(_matrix(batch.column(1))).astype(np.float32) @ means.T).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0), batch.column(1)], names=["list", "vec_id", "x"])
 
-    placed = checkpoint(rows.mapInArrow(put, "list int, vec_id long, x array<double>"))
+    placed = checkpoint(rows.mapInArrow(put, f"list int, vec_id long, x {kind}"))
     sizes = np.zeros(lists, np.int64)
     for row in placed.groupBy("list").count().collect():
         sizes[row[0]] = row[1]
-    parts = np.maximum(1, -(-sizes // PART_ROWS))
-
-    def nearest_reference(x: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        unit = _unit(some).astype(np.float32)
-        for at in range(0, len(x), 256):
-            near = _unit(x[at : at + 256]).astype(np.float32) @ unit.T
-            for i in range(len(near)):
-                near[i, some_ids == ids[at + i]] = -3
-                cut = max(0, len(unit) - k)
-                level = np.partition(near[i], cut)[cut]
-                rows = np.flatnonzero((near[i] >= level - SLACK) & (near[i] > -3))
-                score = _cosines(some[rows], x[at + i])
-                order = np.lexsort((some_ids[rows], -score))[:k]
-                yield at + i, some_ids[rows][order], score[order]
-
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                ids, out = batch.column(0).to_numpy(), ([], [], [])
-                for i, vec, score in nearest_reference(_matrix(batch.column(1)), ids):
-                    out[0].extend([ids[i]] * len(vec))
-                    out[1].extend(vec)
-                    out[2].extend(score)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+    first, parts = grouped(sizes, means)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            limit = np.full(len(batch), np.inf)
-            for i, vec, score in nearest_reference(x, ids):
-                if len(vec) == k:
-                    limit[i] = max(0.0, 2 - 2 * score[-1])
-            order = np.argsort(-(_unit(x).astype(np.float32) @ means.T), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            enough = 1 + np.argmax(held >= min(k + 1, int(sizes.sum())), axis=1)
-            asked = np.minimum(np.maximum(enough, probes), lists)
-            found = [(lst, part, row) for row in range(len(batch)) for lst in order[row, : asked[row]].tolist() if sizes[lst] for part in range(parts[lst])]
-            rows = pa.array([f[2] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(limit).take(rows)], names=["list", "part", "vec_id", "x", "asks"])
-
-    asked = valid(queries).filter(F.size("x") == d).dropDuplicates(["vec_id"])
-    seeds = asked.mapInArrow(seed, "query_id long, vec_id long, score double")
-    asked = asked.mapInArrow(probe, "list int, part int, vec_id long, x array<double>, asks double")
-    cuts = F.array(*(F.lit(int(p)) for p in parts)) if lists <= 64 else F.lit(",".join(map(str, parts)))
-    cut = F.element_at(cuts if lists <= 64 else F.split(cuts, ","), F.col("list") + 1).cast("int")
-    split = F.pmod(F.xxhash64("vec_id", F.lit(2)), cut).cast("int") if parts.max() > 1 else F.lit(0)
-    held = placed.select("list", split.alias("part"), "vec_id", "x", F.lit(-1.0).alias("asks"))  # asks: a query's limit, -1 for a candidate
-    turn = rotation(d)
-
-    def scan(table: pa.Table) -> pa.Table:
-        limit, ids, x = table["asks"].to_numpy(), table["vec_id"].to_numpy(), _matrix(table["x"])
-        asks = limit >= 0
-        q, q_ids, limit = x[asks], ids[asks], limit[asks].astype(np.float32)
-        order = np.argsort(ids[~asks], kind="stable")
-        c_ids, c = ids[~asks][order], x[~asks][order]
-        out: list[list] = [[], [], []]
-        if len(q) and len(c):
-            # equal vectors are one row with all of its ids, in order
-            whole = np.ascontiguousarray(c).view(np.dtype((np.void, c.shape[1] * 8))).ravel()
-            _, first, same = np.unique(whole, return_index=True, return_inverse=True)
-            by = np.argsort(same, kind="stable")
-            ends = np.searchsorted(same[by], np.arange(len(first) + 1))
-            one = c[first]
-            turned = (_unit(one) @ turn).astype(np.float32)
-            sole = ends[1:] - ends[:-1] == 1
-            for at in range(0, len(q), 64):
-                mine = q[at : at + 64]
-                own = np.full(len(mine), -1, np.int64)
-                place = np.searchsorted(c_ids, q_ids[at : at + 64])
-                for i, p in enumerate(place):
-                    if p < len(c_ids) and c_ids[p] == q_ids[at + i] and sole[same[p]]:
-                        own[i] = same[p]
-                for i, picked in enumerate(adaptive_scan((_unit(mine) @ turn).astype(np.float32), turned, own, limit[at : at + 64], k)):
-                    a = mine[i]
-                    score = _cosines(one[picked], a)
-                    for s, p in zip(score.tolist(), picked.tolist()):
-                        copies = c_ids[by[ends[p] : min(ends[p + 1], ends[p] + k + 1)]]
-                        copies = copies[copies != q_ids[at + i]][:k].tolist()
-                        out[0] += [int(q_ids[at + i])] * len(copies)
-                        out[1] += copies
-                        out[2] += [s] * len(copies)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = asked.unionByName(held).groupBy("list", "part").applyInArrow(scan, "query_id long, vec_id long, score double")
-    found = found.unionByName(seeds).dropDuplicates(["query_id", "vec_id"])
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                near = _unit(_matrix(some.column(1))).astype(np.float32) @ means.T
+                order = np.argsort(-near, axis=1, kind="stable")
+                held = np.cumsum(sizes[order], axis=1)
+                enough = 1 + np.argmax(held >= min(k + 1, int(sizes.sum())), axis=1)
+                asked = np.minimum(np.maximum(enough, probes), lists)
+                bound = np.take_along_axis(near, order[np.arange(len(some)), asked - 1][:, None], axis=1)[:, 0]
+                row, lst = np.nonzero((near >= bound[:, None]) & (sizes > 0))
+                each = parts[lst]
+                group = np.repeat(first[lst], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                pairs = np.unique(np.stack([np.repeat(row, each), group]), axis=1)
+                take = pa.array(pairs[0])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.int32)), pa.array(np.full(len(take), -1, np.int32)), some.column(0).take(take), some.column(1).take(take), pa.array(bound[pairs[0]].astype(np.float64))], names=["group", "list", "vec_id", "x", "bound"])
+
+    shape = f"group int, list int, vec_id long, x {kind}, bound double"
+    asked = valid(queries).filter(F.size("x") == d).groupBy("vec_id").agg(F.min("x").cast(kind).alias("x")).mapInArrow(probe, shape)
+    groups = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "list int, first int, parts int")
+    group = (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts"))).cast("int")
+    held = placed.join(F.broadcast(groups), "list").select(group.alias("group"), "list", "vec_id", "x", F.lit(0.0).alias("bound"))
+    found = asked.unionByName(held).groupBy("group").applyInArrow(scanner(means, k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -225,25 +225,29 @@ def test_exact_topk_of_large_numbers(spark):
     assert [(r.vec_id, r.score) for r in got] == [(3, 60000000000000007), (1, 59999999999999995), (2, -89999999999999998)]
 
 
+def brute_nearest(x, q, k):
+    u = x.astype(np.float64)
+    with np.errstate(invalid="ignore"):
+        s = (u @ u[q]) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((u[q] ** 2).sum()))
+    s[q] = -9
+    s = np.nan_to_num(s, nan=-9)
+    return np.lexsort((np.arange(len(x)), -np.round(s, 12)))[:k], s
+
+
 def test_ann(spark):
     x = np.random.default_rng(3).standard_normal((700, 16)).astype(np.float32)
     x[300:330] = x[7]
     x[11] = 0
-    whole = vectors(spark, x, [(1000, None, 0), (1050, [float("nan")] * 16, 0), (None, [0.5] * 16, 2), (1100, [1.0] * 5, 0)])
+    whole = vectors(spark, x, [(1000, None, 0), (1050, [float("nan")] * 16, 0), (None, [0.5] * 16, 2), (1100, [1.0] * 5, 0), (7, x[7].tolist(), 0), (300, x[300].tolist(), 9)])
     got = ann_scan.search(whole.filter("vec_id % 50 = 0 or vec_id = 7"), whole, 5)
     found = {}
     for r in got.collect():
         found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    u = x.astype(np.float64)
-    norm = np.sqrt((u * u).sum(axis=1))
-    norm[11] = np.nan
     hits = 0
     for q in [*range(0, 700, 50), 7]:
-        s = (u @ u[q]) / (norm * norm[q])
-        s[[q, 11]] = -9
-        best = np.lexsort((np.arange(700), -np.round(s, 12)))[:5]
+        best, s = brute_nearest(x, q, 5)
         hits += len({v for v, _ in found[q].values()} & set(best.tolist()))
-        assert all(score == pytest.approx(s[v], abs=1e-12) for v, score in found[q].values()) and len(found[q]) == 5
+        assert all(score == pytest.approx(s[v], abs=1e-12) for v, score in found[q].values()) and sorted(found[q]) == [1, 2, 3, 4, 5]
     assert hits / 75 >= 0.9
     assert [found[7][i][0] for i in range(1, 6)] == [300, 301, 302, 303, 304]
     few = whole.filter("vec_id in (0, 1, 2)")
@@ -251,6 +255,35 @@ def test_ann(spark):
     assert ann_scan.search(whole.limit(0), whole.limit(0), 5).count() == 0
 
 
+def test_ann_of_more_rows_than_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32)).astype(np.float32)
+    x[1000:3000] = x[0] + 0.3 * rng.standard_normal((2000, 32))  # a list of a third of all rows
+    x[3000:4500] = x[5]
+    monkeypatch.setattr(ann_scan, "SAMPLE", 600)
+    whole = vectors(spark, x)
+    found = {}
+    for r in ann_scan.search(whole.filter("vec_id % 50 = 0"), whole, 5).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = 0
+    for q in range(0, 6000, 50):
+        best, s = brute_nearest(x, q, 5)
+        level = s[best[-1]] - 1e-12
+        hits += sum(s[v] >= level for v, _ in found[q].values())
+        assert sorted(found[q]) == [1, 2, 3, 4, 5]
+    assert hits / 600 >= 0.9
+
+
+def test_lists_form_groups():
+    sizes = np.array([10, 3000, 0, 400, 400, 400, 1, 5])
+    first, parts = ann_scan.grouped(sizes, np.random.default_rng(0).standard_normal((8, 4)).astype(np.float32))
+    held = {}
+    for f, p, n in zip(first, parts, sizes):
+        for part in range(p):
+            held[f + part] = held.get(f + part, 0) + n / p
+    assert max(held.values()) <= ann_scan.GROUP_ROWS[0] and parts.tolist() == [1, 6, 1, 1, 1, 1, 1, 1]
+
+
 # 4
 
 
@@ -446,7 +479,7 @@ def brute_cut(docs, window):
 
 def test_suffix_dedup(spark, rows, monkeypatch):
     rnd = random.Random(6)
-    more = [(200 + i, "".join(rnd.choice(["ab", "ba", "é", "abababababab", " " * 60]) for _ in range(60))) for i in range(40)]
+    more = [(200 + i, "".join(rnd.choice(["ab", "ba", "é", "abababababab", " " * 60, "\0" * 40 + "q", "\0q"]) for _ in range(60))) for i in range(40)]
     every = rows + more
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.cut(make(spark, every)).collect()}
@@ -461,8 +494,10 @@ def test_suffix_dedup_of_repeated_ids(spark):
     a, b = "x" * 20 + "0123456789" * 8, "0123456789" * 8 + "y" * 30
     got = sorted(tuple(r)[:3] for r in suffix_dedup.cut(make(spark, [(1, a), (1, b), (2, b), (None, b), (None, b)])).collect() if r.doc_id is not None)
     assert got == [(1, 100, 0), (1, 110, 0), (2, 110, 110)]
-    null = [r for r in suffix_dedup.cut(make(spark, [(1, a), (None, b), (None, b)])).collect() if r.doc_id is None]
-    assert [(r.n_bytes, r.n_removed) for r in null] == [(110, 80)] * 2
+    null = [r for r in suffix_dedup.cut(make(spark, [(1, a), (None, b), (None, b), (None, b + "z")])).collect() if r.doc_id is None]
+    assert sorted((r.n_bytes, r.n_removed) for r in null) == [(110, 80), (110, 80), (111, 80)]
+    with pytest.raises(ValueError):
+        suffix_dedup.cut(make(spark, [(1, a)]), 300)
 
 
 def test_suffix_dedup_of_long_texts(spark):
