@@ -8,9 +8,11 @@ minimiser travel as a single piece of text. Equal pieces of a task travel once,
 ids that the task needs to answer them.
 
 A block sorts its suffixes one bucket (a range of minimisers) at a time. Pieces are laid
-out so that their minimisers fall on multiples of the cover's period; a window is then
-compared by the bytes before its first cover place, the ranks of two cover places that
-span the rest, and the bytes behind them. Ranks of cover places (difference cover
+out so that their minimisers fall on multiples of the cover's period, so equal windows have
+equal residues; the suffixes that begin windows are ordered by the bytes before their first
+cover place, the ranks of the cover places that span the rest, and the bytes behind them, and
+repeats are read off neighbours. Suffixes that stand alone after the first bytes need no
+further order. Ranks of cover places (difference cover
 {0, 1, 3} modulo 7) come from sorting 7, 14 and 28 bytes by doubling, so that ties of any
 length cost two integers and no block holds a text's whole suffix array. Everything is
 compared exactly; hashes only deal the rows.
@@ -138,8 +140,9 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 def _names(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """For each window start an integer, equal where ``window`` bytes are equal; starts
-    that may be equal must have equal residues modulo the cover's period."""
+    """For each window start an integer, equal just where ``window`` bytes and the start's
+    residue modulo the cover's period are equal; windows that share their first bytes with
+    another one are numbered in suffix order, by precomputed ranks of the cover's places."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(64, np.uint8)])
     covered = np.flatnonzero(np.resize(COVER, n))
@@ -164,12 +167,14 @@ def _names(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 
 def _told_apart(padded: np.ndarray, at: np.ndarray, name: np.ndarray, ahead: np.ndarray, rank: np.ndarray, slot: np.ndarray, span: int, window: int) -> np.ndarray:
-    """Names of whole windows from names of ``span`` bytes from their first cover places."""
+    """Places of whole windows in the order of suffixes, equal for equal windows, from ranks of
+    ``span`` bytes from their first cover places: by residue, then by the bytes before that
+    place, its rank, and the ranks of further cover places."""
     done = ahead + span  # bytes from each start that the name stands for
     head = np.zeros(len(at), np.int64)
     for i in range(PERIOD):
         head = np.where(i < ahead, head << 8 | padded[at + i], head)
-    name = _ranks(name << np.int64(24) | head) if len(at) else name
+    name = _ranks((at % PERIOD) << np.int64(56) | head << np.int64(32) | name) if len(at) else name
     while True:
         short = window - done
         if not (short > 0).any():
@@ -212,10 +217,11 @@ def _bucket(doc: np.ndarray, place: np.ndarray, count: np.ndarray, ahead: np.nda
     first = np.concatenate([[0], np.cumsum(n)])
     windows = np.arange(first[-1]) + np.repeat(base[:-1] + pad - first[:-1], n)
     name = _names(laid, windows, window)
-    least = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, name, np.repeat(smallest, n))
+    order = np.argsort(name, kind="stable")  # repeats are neighbours in suffix order
+    head = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)])
+    least = np.empty(len(name), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(np.repeat(smallest, n)[order], head), np.diff(np.append(head, len(order))))
     # runs of windows of each row for which a smaller id was found
-    least = least[name]
     rows = np.flatnonzero((np.maximum.reduceat((least < np.iinfo(np.int64).max).astype(np.int8), first[:-1]) > 0)[same]) if len(first) > 1 else np.zeros(0, np.int64)
     low = np.minimum.reduceat(least, first[:-1])[same]
     rows = rows[low[rows] < rank[rows]]
@@ -307,6 +313,8 @@ def _by_document(table: pa.Table) -> pa.Table:
 def removed_runs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tag and runs (starts and extra lengths of runs of windows to remove, as 32-bit
     numbers) of each document that loses bytes, for rows of doc_id, text and tag."""
+    if not 2 * KMER <= window <= KMER + 254:
+        raise ValueError(f"window must be from {2 * KMER} to {KMER + 254} bytes")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.select("doc_id", "text", "tag").mapInArrow(_deal(pieces(size * 3.5, 16 << 20, 12), window), "block int, pieces binary")
     found = dealt.groupBy("block").applyInArrow(_solve(window, pieces(size, 32 << 20, 12)), "part int, found binary")
