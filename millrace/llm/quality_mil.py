@@ -10,7 +10,7 @@ passage of every text; a score depends on nothing but the model and the text.
 
 Defined results: null and empty texts are one empty passage and get that bag's score; an
 empty table gives an empty result; without two classes among the labels every score is the
-share of good labels (0.5 if there are none). Repeated label rows count once for each
+share of good labels (0.5 if there are none) and ``keep`` keeps every row. Repeated label rows count once for each
 different label; labels that are null are skipped. Other columns are ignored.
 """
 
@@ -207,7 +207,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 
 def keep(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns;
+    all rows, if the model has seen no two classes and so rejects nothing."""
+    if model.constant is not None:
+        return docs
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -709,6 +709,73 @@ def test_registry():
     assert set(registry.oracle_sql()) <= set(names)
 
 
+def jaccard_components(texts):
+    """For each text the number of the first one that pairs of a similarity of 0.8 lead to."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return local_roots(len(sets), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    prose = lambda n: " ".join(rnd.choice(["river", "stone", "walks", "slowly", "under", "light"]) + rnd.choice(["", "s", "ed"]) + str(rnd.randint(0, 40)) for _ in range(n)) + "."
+    junk = lambda: " ".join(rnd.choice(["BUY!!", "NOW!!", "WIN!!"]) for _ in range(40))
+    shared, rows = prose(70), []
+    for i in range(120):
+        text = junk() if i % 4 == 0 else prose(60) + (" " + shared if i % 10 == 3 else "") + "\n" + prose(20)
+        rows.append((i, text, "en", ["a", "b", None][i % 3]))
+    rows += [(200 + i, rows[i][1] + " end", "en", "a") for i in range(0, 40, 3)]  # near copies
+    rows += [(300, None, "en", "a"), (301, "", "en", None), (None, prose(80), None, "b"), (None, rows[1][1], "en", "a"), (302, prose(9000), "en", "c"), rows[2], (5, prose(50), "en", "a")]
+    docs = make(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(120)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf_dir, size = str(tmp_path), lambda t: len((t or "").encode().split())
+    now, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, now, sf_dir)
+        made.write.parquet(f"{sf_dir}/stage{number}.parquet")
+        given, before = sorted(((r.doc_id, r.text) for r in now.collect()), key=str), now
+        now = spark.read.parquet(f"{sf_dir}/stage{number}.parquet")
+        if number < 4:
+            assert now.columns == docs.columns
+            got = sorted(((r.doc_id, r.text) for r in now.collect()), key=str)
+        if number == 0:
+            labels = {i: int(i % 4 != 0) for i in range(120)}
+            assert set(got) <= set(given) and all(bool((d, t) in set(got)) == bool(labels[d]) for d, t in given if d in labels and t != rows[-1][1])
+        elif number == 1:
+            order = sorted(set(given), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+            root = jaccard_components([t for _, t in order])
+            stay = {order[r][0] for r in root}
+            assert sorted(got, key=str) == sorted({r for r in order if r[0] in stay}, key=str) and len(got) < len(given)
+        elif number == 2:
+            own = {d: (t or "").encode() for d, t in given if d is not None and d != 5}
+            assert len(got) == len(given)
+            cut = brute_cut({**own, 5: b"\n".join((t or "").encode() for d, t in given if d == 5)}, 50)
+            assert {d: (len(own[d]) - cut[d][1]) for d in own} == {d: len((t or "").encode()) for d, t in got if d in own}
+        elif number == 3:
+            taken = {}
+            for r in mixing.mix(before).collect():
+                taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+            words = {}
+            for d, t in got:
+                words[d] = words.get(d, 0) + size(t)
+            assert words == {d: n for d, n in taken.items() if n}
+        else:
+            packed_rows = now.collect()
+            assert sum(r.words for r in packed_rows) == sum(size(t) for _, t in given) == sum(size(p) for r in packed_rows for p in r.pieces)
+            assert all(r.words <= r.capacity for r in packed_rows) and {d for r in packed_rows for d in r.doc_ids} == {d for d, _ in given}
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, packed_rows))
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{sf_dir}/none/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
