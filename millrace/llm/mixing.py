@@ -22,6 +22,8 @@ empty result; repeated rows are rows of their own. Other columns are ignored.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 20
 ROUNDS = 12
-#: Documents of a source whose offsets are summed together.
-BUCKET_ROWS = 4096
+#: Fewest documents whose offsets are summed together; of many documents it is their square root.
+BUCKET_ROWS = 256
 #: Equal parts of the unit interval by which a draw finds its source.
 CELLS = 4096
 
@@ -90,7 +92,7 @@ def size_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     sources = checkpoint(targets(placed_sources(sized)))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("named")  # a null source is a source
     joined = join_counted(sized.select("*", key).drop("source"), sources.select(key, "place", "source_size", "target"), ["named"]).drop("named")
-    return joined, sources, max(1, sized.count() // BUCKET_ROWS)
+    return joined, sources, max(1, (n := sized.count()) // max(BUCKET_ROWS, isqrt(n)))
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
