@@ -1,4 +1,4 @@
-"""An index: tables of chunks, vectors, symbols and edges that are kept in step.
+"""An index: tables of chunks, postings, vectors, symbols and edges that are kept in step.
 
 The chunk table is written last. A chunk counts as indexed only by its row there, so an
 index run that failed half way is made good by the next one.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import MissingRepository
-from millrace.operators import fusion, graph, store
+from millrace.operators import fusion, graph, lexical, store
 from millrace.providers import Embedder, embedded
 from millrace.schema import CHUNKS, EDGES, SYMBOLS, checked_chunks
 from millrace.sources import files
@@ -21,46 +21,50 @@ from millrace.sources import files
 class Index:
     def __init__(self, spark: SparkSession, root: str, embed: Embedder):
         self.spark, self.embed, self.root = spark, embed, root
-        of = lambda name, schema, key: store.Table(spark, f"{root}/{name}", schema, key)
-        self.chunks = of("chunks", f"{CHUNKS}, indexed_at timestamp", "chunk_id")
-        self.vectors = of("vectors", "chunk_id string, repo_id string, path string, language string, kind string, vector array<float>", "chunk_id")
-        self.symbols = of("symbols", f"repo_id string, {SYMBOLS}", "key")
-        self.edges = of("edges", f"repo_id string, {EDGES}", "key")
+        of = lambda name, schema, **more: store.Table(spark, f"{root}/{name}", schema, **more)
+        self.chunks = of("chunks", f"{CHUNKS}, indexed_at timestamp")
+        self.vectors = of("vectors", "chunk_id string, repo_id string, path string, language string, kind string, vector array<float>")
+        self.postings = of("postings", "term string, chunk_id string, repo_id string, dl int, tf int", order=("term",))
+        self.lengths = of("lengths", "chunk_id string, repo_id string, dl int")
+        self.symbols = of("symbols", f"repo_id string, {SYMBOLS}", order=("name",))
+        self.edges = of("edges", f"repo_id string, {EDGES}")
 
     def add(self, chunks: DataFrame, prune: bool = False) -> dict[str, int]:
-        """Chunks that are new are embedded and written; symbols of the repositories are made
-        anew. With ``prune`` chunks that a repository no longer has are taken out."""
-        chunks = self._staged(checked_chunks(chunks).dropDuplicates(["chunk_id"]))
-        known = self.chunks.read()
-        new = store.not_indexed(chunks, known)
-        n_all, n_new = chunks.count(), new.count()
-        if n_new:
-            vectors = embedded(new, self.embed).select("chunk_id", "repo_id", "path", "language", "kind", "vector")
-            self.vectors.upsert(vectors)
+        """Chunks that are new are embedded, cut into terms and written; symbols of their files
+        are made anew. With ``prune`` what a repository no longer has is taken out."""
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        checked_chunks(chunks).dropDuplicates(["chunk_id"]).write.parquet(f"{staged}/chunks")  # read several times
+        chunks = self.spark.read.schema(CHUNKS).parquet(f"{staged}/chunks")
         repos = chunks.select("repo_id").distinct()
-        links, symbols = graph.python_edges(chunks), graph.symbols_of(chunks)
-        keyed = symbols.join(chunks.select("path", "repo_id").distinct(), "path")
-        self._replace(self.symbols, keyed, repos)
-        self._replace(self.edges, links, repos)
+        known = self.chunks.read().join(F.broadcast(repos), "repo_id", "left_semi")
+        store.not_indexed(chunks, known).write.parquet(f"{staged}/new")
+        new = self.spark.read.schema(CHUNKS).parquet(f"{staged}/new")
+        n_all, n_new = chunks.count(), new.count()
+        ids = new.select("repo_id", "chunk_id")
         gone = 0
-        if n_new or prune:
-            rows = store.upserted(known, new.withColumn("indexed_at", F.current_timestamp()), "chunk_id")
-            if prune:
-                old = store.stale(rows, chunks)
-                gone = old.count()
-                rows = rows.join(old.select("chunk_id"), "chunk_id", "left_anti")
-                self.vectors.write(self.vectors.read().join(old.select("chunk_id"), "chunk_id", "left_anti"))
-            self.chunks.write(rows)
-        return {"chunks_total": n_all, "chunks_embedded": n_new, "chunks_cached": n_all - n_new, "chunks_pruned": gone, "edges": links.count(), "edges_distinct": graph.edges(links).count()}
-
-    def _staged(self, chunks: DataFrame) -> DataFrame:
-        """The chunks as a table of their own, as they are read several times."""
-        path = f"{self.root}/staged/{uuid.uuid4().hex}"
-        chunks.write.parquet(path)
-        return self.spark.read.schema(CHUNKS).parquet(path)
+        if prune:
+            stale = store.stale(known, chunks).select("repo_id", "chunk_id")
+            stale.write.parquet(f"{staged}/stale")
+            stale = self.spark.read.schema("repo_id string, chunk_id string").parquet(f"{staged}/stale")
+            gone, ids = stale.count(), ids.union(stale)
+        links, files_of = graph.python_edges(chunks), chunks.select("repo_id", "path").distinct()
+        symbols = graph.with_ends(graph.symbols_of(chunks), links)
+        self.symbols.swap(symbols, repos if prune else files_of)
+        self.edges.swap(links, repos if prune else files_of.withColumnRenamed("path", "src_path"))
+        if n_new or gone:
+            made = embedded(new, self.embed).select("chunk_id", "repo_id", "path", "language", "kind", "vector")
+            self.vectors.swap(made, ids)
+            self.postings.swap(lexical.postings(new, "chunk_id", "content", "symbol", keep=("repo_id",)), ids)
+            self.lengths.swap(lexical.lengths(new, "chunk_id", "content", "symbol", keep=("repo_id",)), ids)
+            self.chunks.swap(new.withColumn("indexed_at", F.current_timestamp()), ids)
+        counted = {"chunks_total": n_all, "chunks_embedded": n_new, "chunks_cached": n_all - n_new, "chunks_pruned": gone, "edges": links.count(), "edges_distinct": graph.edges(links).count()}
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return counted
 
-    def _replace(self, table: store.Table, rows: DataFrame, repos: DataFrame) -> None:
-        table.write(table.read().join(repos, "repo_id", "left_anti").unionByName(rows.select(*table.read().columns)))
+    def delete_repo(self, repo_id: str) -> dict[str, int]:
+        """Rows that went from each table; the chunk table, which says what is indexed, is first."""
+        return {name: getattr(self, name).delete_repo(repo_id) for name in ("chunks", "lengths", "postings", "vectors", "symbols", "edges")}
 
     def ingest(self, root: str, repo_id: str, extra_ignores: list[str] | None = None, known: DataFrame | None = None, prune: bool = False) -> dict[str, int]:
         chunks, stats = files.ingest(files.scan(self.spark, root, repo_id, extra_ignores), known)
@@ -71,4 +75,4 @@ class Index:
         repo = fusion.repo_of(filters)
         if repo is not None and not self.chunks.count(repo):
             raise MissingRepository("not indexed", {"repo_id": repo})
-        return fusion.hybrid(rows, self.vectors.read(), "chunk_id", ("content", "symbol"), question, self.embed([question])[0], k, filters)
+        return fusion.hybrid(rows, self.vectors.read(), "chunk_id", ("content", "symbol"), question, self.embed([question])[0], k, filters, stored=(self.postings.read(), self.lengths.read()))

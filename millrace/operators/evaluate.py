@@ -42,6 +42,22 @@ def ndcg_at_k(retrieved: str, expected: str, k: int) -> Column:
     return F.when(want == 0, 0.0).otherwise(gained / best)
 
 
+def of_hits(hits: str, relevant: str, k: int) -> Column:
+    """recall, mrr and ndcg of the different items of a ranking, given for each of the first k
+    whether it is relevant, and how many relevant items there are; no list of these is needed."""
+    own, n = F.slice(hits, 1, k), F.col(relevant)
+    add = lambda s, x: s + x
+    found = F.aggregate(F.transform(own, lambda h: h.cast("int").cast("double")), F.lit(0.0), add)
+    place = F.array_position(own, True)
+    gained = F.aggregate(F.transform(own, lambda h, i: F.when(h, 1.0 / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), add)
+    best = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.least(n, F.lit(k)))), lambda i: 1.0 / F.log2(i + 1.0)), F.lit(0.0), add)
+    return F.struct(
+        F.when(n == 0, 1.0).otherwise(found / n).alias("recall"),
+        F.when(place > 0, 1.0 / place).otherwise(0.0).alias("mrr"),
+        F.when(n == 0, 0.0).otherwise(gained / best).alias("ndcg"),
+    )
+
+
 def grounded(cited: DataFrame, chunks: DataFrame, *case: str) -> DataFrame:
     """Checks citations (repo_id, path, start_line, end_line, snippet and the columns ``case``).
 

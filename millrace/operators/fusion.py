@@ -67,11 +67,13 @@ def hybrid(
     rrf_k: int = RRF_K,
     oversample: int = OVERSAMPLE,
     rerank: Rerank = unchanged,
+    stored: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The k best rows by vector and by text, with score, rank and source, best first.
 
     Both searches rank keys alone; contents are read for the k keys that are left. A query
-    without a term is searched by vector only.
+    without a term is searched by vector only. Texts are searched by their ``stored`` postings
+    and lengths, or read through where there are none.
     """
     if not query or not 1 <= k <= MOST_K:
         raise RetrieveError("a request needs a text and a k in range", {"k": k, "most": MOST_K})
@@ -82,7 +84,8 @@ def hybrid(
     near = ranked(vector.cosine_topk(vectors, key, vector_column, query_vector, k * oversample, of_repo), key, "vec_rank")
     words = lexical.query_terms(rows.sparkSession, query)
     if words:
-        matching = ranked(lexical.bm25(rows, key, columns, words, k * oversample, of_repo), key, "lex_rank")
+        found = lexical.bm25_scan(rows, key, columns, words, k * oversample, of_repo) if stored is None else lexical.bm25(stored, key, words, k * oversample, of_repo)
+        matching = ranked(found, key, "lex_rank")
     else:
         matching = rows.limit(0).select(key, F.lit(0).alias("lex_rank"))
     best = fuse(near, matching, key, k, rrf_k)

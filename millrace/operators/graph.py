@@ -1,7 +1,7 @@
 """Symbols and the edges between them as two tables.
 
-A node is a path and a name. Rows of one node are ordered by seq, and the last holds. An
-edge table carries a repo_id where several repositories share it.
+A node is a path and a name, of a repository where the tables have a repo_id: what several
+repositories call alike stays apart. Rows of one node are ordered by seq, and the last holds.
 """
 
 from __future__ import annotations
@@ -18,13 +18,26 @@ _ENDS = ["src_path", "src_name", "dst_path", "dst_name", "kind"]
 
 def nodes(symbols: DataFrame) -> DataFrame:
     """The last row of each path and name."""
-    return symbols.groupBy("path", "name").agg(F.max_by(F.struct("kind", "line", "parent", "seq"), "seq").alias("s")).select("path", "name", "s.*")
+    own = [*_repo(symbols), "path", "name"]
+    return symbols.groupBy(*own).agg(F.max_by(F.struct("kind", "line", "parent", "seq"), "seq").alias("s")).select(*own, "s.*")
+
+
+def _repo(*tables: DataFrame) -> list[str]:
+    return ["repo_id"] if all("repo_id" in rows.columns for rows in tables) else []
+
+
+def with_ends(symbols: DataFrame, links: DataFrame) -> DataFrame:
+    """The symbols, and as nodes of no known kind the ends of edges that none of them is."""
+    repo = _repo(symbols, links)
+    ends = [links.select(*repo, F.col(f"{e}_path").alias("path"), F.col(f"{e}_name").alias("name")) for e in ("src", "dst")]
+    bare = ends[0].unionByName(ends[1]).distinct().join(symbols, [*repo, "path", "name"], "left_anti")
+    return symbols.unionByName(bare.select("*", F.lit("other").alias("kind"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("parent"), F.lit(-1).cast("long").alias("seq")))
 
 
 def edges(rows: DataFrame) -> DataFrame:
     """Each edge once; an unknown kind fails when rows are read."""
     kind = F.when(F.col("kind").isin(*EDGE_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of edge: "), "kind")))
-    return rows.withColumn("kind", kind).dropDuplicates(_ENDS)
+    return rows.withColumn("kind", kind).dropDuplicates([*_repo(rows), *_ENDS])
 
 
 def _python(chunks: DataFrame) -> DataFrame:
@@ -64,9 +77,9 @@ def python_edges(chunks: DataFrame) -> DataFrame:
 def symbols_of(chunks: DataFrame) -> DataFrame:
     """The nodes that the edges of chunks have: definitions and their modules."""
     named = _python(chunks).filter(F.col("kind").isin("class", "function", "method"))
-    own = named.select("path", F.col("symbol").alias("name"), "kind", F.col("start_line").alias("line"), F.lit(None).cast("string").alias("parent"), F.col("start_line").cast("long").alias("seq"))
-    module = named.filter(F.col("kind").isin("class", "function")).select("path", t.stem(F.col("path")).alias("name")).distinct()
-    return module.select("path", "name", F.lit("module").alias("kind"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("seq")).unionByName(own)
+    own = named.select("repo_id", "path", F.col("symbol").alias("name"), "kind", F.col("start_line").alias("line"), F.lit(None).cast("string").alias("parent"), F.col("start_line").cast("long").alias("seq"))
+    module = named.filter(F.col("kind").isin("class", "function")).select("repo_id", "path", t.stem(F.col("path")).alias("name")).distinct()
+    return module.select("repo_id", "path", "name", F.lit("module").alias("kind"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("seq")).unionByName(own)
 
 
 def by_name(symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
@@ -81,24 +94,30 @@ def has_symbol(symbols: DataFrame, path: str, name: str) -> bool:
 def neighbours(symbols: DataFrame, links: DataFrame, name: str, callers: bool) -> DataFrame:
     """Symbols that call (or that are called by) any symbol of a name, each once, in order."""
     here, there = ("dst", "src") if callers else ("src", "dst")
-    anchors = nodes(symbols).filter(F.col("name") == name).select(F.col("path").alias(f"{here}_path"), F.col("name").alias(f"{here}_name"))
-    ends = links.filter("kind = 'calls'").join(anchors, [f"{here}_path", f"{here}_name"], "left_semi")
-    found = ends.select(F.col(f"{there}_path").alias("path"), F.col(f"{there}_name").alias("name")).distinct()
-    return found.join(nodes(symbols), ["path", "name"]).select("name", "kind", "path", "line", "parent").orderBy("path", "name")
+    repo, known = _repo(symbols, links), nodes(symbols)
+    anchors = known.filter(F.col("name") == name).select(*repo, F.col("path").alias(f"{here}_path"), F.col("name").alias(f"{here}_name"))
+    ends = links.filter("kind = 'calls'").join(anchors, [*repo, f"{here}_path", f"{here}_name"], "left_semi")
+    found = ends.select(*repo, F.col(f"{there}_path").alias("path"), F.col(f"{there}_name").alias("name")).distinct()
+    return found.join(known, [*repo, "path", "name"]).select(*repo, "name", "kind", "path", "line", "parent").orderBy(*repo, "path", "name")
 
 
 def export_json(symbols: DataFrame, links: DataFrame, path: str) -> None:
     """Nodes and edges as gzipped JSON lines."""
-    nodes(symbols).select(F.to_json(F.struct(F.lit("node").alias("type"), "*")).alias("value")).unionByName(
+    nodes(symbols).drop("repo_id").select(F.to_json(F.struct(F.lit("node").alias("type"), "*")).alias("value")).unionByName(
         edges(links).select(F.to_json(F.struct(F.lit("edge").alias("type"), F.col("src_path"), F.col("src_name"), F.col("dst_path"), F.col("dst_name"), F.col("kind").alias("edge_kind"))).alias("value"))
     ).write.option("compression", "gzip").mode("overwrite").text(path)
 
 
 def import_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """The two tables that ``export_json`` wrote."""
-    rows = spark.read.text(path)
+    """The two tables that ``export_json`` wrote; anything else is refused."""
+    try:
+        rows = spark.read.text(path)
+        rows.limit(1).count()
+    except Exception as error:
+        raise StoreError("a graph can't be read", {"path": path, "error": str(error)[:300]}) from error
     node = rows.select(F.from_json("value", f"type string, {SYMBOLS}").alias("x")).filter("x.type = 'node'").select("x.*").drop("type")
     edge = rows.select(F.from_json("value", f"type string, {EDGES.replace('kind', 'edge_kind')}").alias("x")).filter("x.type = 'edge'").select("x.*").drop("type").withColumnRenamed("edge_kind", "kind")
-    if rows.filter(F.get_json_object("value", "$.type").isNull()).limit(1).count():
+    kind, name = F.get_json_object("value", "$.type"), F.coalesce(F.get_json_object("value", "$.name"), F.get_json_object("value", "$.dst_name"))
+    if rows.filter(kind.isNull() | ~kind.isin("node", "edge") | name.isNull()).limit(1).count():
         raise StoreError("not a graph", {"path": path})
     return node, edge

@@ -1,13 +1,13 @@
-"""Full-text search by BM25 over token arrays.
+"""Full-text search by BM25.
 
-Counts of the query's terms are taken while rows are scanned, so a query needs one pass
-for the table's statistics (a row of sums), one for the scores, and no shuffle of tokens.
-Statistics are those of the whole table; filters on rows come after them.
+Asked often, a table is indexed once: ``postings`` and ``lengths`` are stored, and ``bm25``
+reads the postings of the asked terms and nothing of the texts. ``bm25_scan`` asks a table
+that has no index, by one pass for the statistics and one for the scores. Statistics are
+those of the whole table; filters on rows come after them.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +32,23 @@ def tokenised(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumn("tokens", parts[0] if len(parts) == 1 else F.concat(*parts))
 
 
-def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """term, key and tf of every term of every row."""
-    return tokenised(rows, *columns).select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def lengths(rows: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, what else is kept, and dl (number of tokens) of every row."""
+    return tokenised(rows, *columns).select(key, *keep, F.size("tokens").alias("dl"))
 
 
-def term_statistics(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """term, df (rows that have it) and cf (times it occurs)."""
-    return postings(rows, key, *columns).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def postings(rows: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, key, what else is kept, dl and tf of every term of every row."""
+    found = tokenised(rows, *columns).select(key, *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return found.groupBy("term", key, *keep, "dl").agg(F.count("*").cast("int").alias("tf"))
+
+
+def term_statistics(rows: DataFrame, *columns: str) -> DataFrame:
+    """term, df (rows that have it) and cf (times it occurs). Rows are counted by the first of
+    a term's places in each, so that only terms are shuffled, and these after partial sums."""
+    of = lambda tokens, first: F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(first).alias("first")))
+    marked = tokenised(rows, *columns).select(F.inline(F.concat(of("tokens", 0), of(F.array_distinct("tokens"), 1))))
+    return marked.groupBy("term").agg(F.sum("first").cast("long").alias("df"), F.count_if(F.col("first") == 0).alias("cf"))
 
 
 # Ways to match, as conditions on the column tokens.
@@ -77,37 +86,50 @@ def _places(word: str) -> Column:
     return F.filter(every, lambda i: i.isNotNull())
 
 
-def bm25(rows: DataFrame, key: str, columns: tuple[str, ...], words: list[str], k: int | None = 10, where: Column | None = None, match: Column | None = None, places: int = 6) -> DataFrame:
-    """The k best rows: key, and score rounded to ``places`` so that ties are ties everywhere.
-
-    ``match`` (default: any of the words) says which rows count as found; ``where`` limits
-    what is returned and leaves the statistics alone. Ties go to the smaller key.
-    """
+def _checked(words: list[str], k: int | None) -> None:
     if k is not None and k < 1:
         raise RetrieveError("k must be at least 1", {"k": k})
     if not words:
         raise StoreError("a query needs a term")
+
+
+def _part(n: Column, tf: Column) -> Column:
+    """What a term adds to a row's score, beside the columns N, avgdl and dl."""
+    idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
+    return F.when(idf > 0, idf).otherwise(LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(stored: tuple[DataFrame, DataFrame], key: str, words: list[str], k: int | None = 10, where: Column | None = None, every: bool = False, places: int = 6) -> DataFrame:
+    """The k best rows of a table whose postings and lengths are ``stored``: key, and score
+    rounded to ``places`` so that ties are ties everywhere. Found is a row with any of the
+    words, or with ``every`` one; ``where`` may ask for columns that the postings keep."""
+    _checked(words, k)
+    words = list(dict.fromkeys(words))
+    asked = stored[0].filter(F.col("term").isin(*words))
+    df = asked.groupBy("term").agg(F.count("*").alias("n_rows"))
+    totals = stored[1].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    hits = asked if where is None else asked.filter(where)
+    weighed = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row for each word, one row
+    found = weighed.groupBy(key).agg(F.round(F.sum(_part(F.col("n_rows"), F.col("tf"))), places).alias("score"), F.count("*").alias("n_words"))
+    ranked = (found.filter(F.col("n_words") == len(words)) if every else found).select(key, "score").orderBy(F.desc("score"), key)
+    return ranked if k is None else ranked.limit(k)
+
+
+def bm25_scan(rows: DataFrame, key: str, columns: tuple[str, ...], words: list[str], k: int | None = 10, where: Column | None = None, match: Column | None = None, places: int = 6) -> DataFrame:
+    """As ``bm25``, for a table without an index. ``match`` (default: any of the words) is a
+    condition on the column tokens that says which rows count as found."""
+    _checked(words, k)
     tokens = tokenised(rows, *columns)
-    counts = [F.size(_places(q)).alias(f"tf{i}") for i, q in enumerate(words)]
+    times = lambda word: F.size(F.filter("tokens", lambda w: w == word))
+    counts = [times(word).alias(f"tf{i}") for i, word in enumerate(words)]
     kept = [c for c in rows.columns if c != "tokens"]
-    counted = tokens.select(*kept, "tokens", F.size("tokens").alias("dl"), *counts)
+    counted = tokens.select(*kept, F.size("tokens").alias("dl"), *counts, *([] if match is None else [match.alias("matches")]))
     totals = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(words))))
     scored = counted.crossJoin(F.broadcast(totals))  # one row
-    parts = []
-    for i in range(len(words)):
-        n, tf = F.col(f"n{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        parts.append(F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0))
-    score = F.round(reduce(lambda a, b: a + b, parts), places).alias("score")
-    found = scored.filter(has_any(*words) if match is None else match)
+    part = lambda i: F.when(F.col(f"tf{i}") > 0, _part(F.col(f"n{i}"), F.col(f"tf{i}"))).otherwise(0.0)
+    score = F.round(reduce(lambda a, b: a + b, map(part, range(len(words)))), places).alias("score")
+    found = scored.filter(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(words)))) if match is None else F.col("matches"))
     if where is not None:
         found = found.filter(where)
     ranked = found.select(key, score).orderBy(F.desc("score"), key)
     return ranked if k is None else ranked.limit(k)
-
-
-def idf(n: int, total: int) -> float:
-    """The weight of a term that n of all rows have."""
-    value = math.log((total - n + 0.5) / (n + 0.5))
-    return value if value > 0 else LEAST_IDF

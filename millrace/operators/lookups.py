@@ -45,9 +45,9 @@ def citations(found: DataFrame, rank: str = "rank", most: int = SNIPPET) -> Data
     return kept.select(rank, citation(most).alias("citation")).orderBy(rank)
 
 
-def context(found: DataFrame, rank: str = "rank") -> DataFrame:
-    """One row: the ranked chunks as text for a prompt, best first."""
-    header = F.format_string("[%s:%d-%d] symbol=%s", "path", "start_line", "end_line", F.coalesce("symbol", F.lit("-")))
+def context(found: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of ``by``): the ranked chunks as text for a prompt, best first."""
+    header = F.concat_ws(" ", F.concat("path", F.lit(", lines "), "start_line", F.lit("-"), "end_line"), F.concat(F.lit("in "), "symbol"))
     block = F.struct(rank, F.concat_ws("\n", header, "content").alias("block"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n\n")
-    return found.agg(F.when(F.count("*") == 0, "No indexed code was retrieved for this question.").otherwise(joined).alias("context"))
+    return found.groupBy(*by).agg(F.when(F.count("*") == 0, "Nothing in the index matches the question.").otherwise(joined).alias("context"))

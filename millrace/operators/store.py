@@ -1,14 +1,11 @@
 """Tables of chunks, postings, vectors and symbols as Parquet, kept by key.
 
-A write goes to a new version folder and then moves a pointer file, so readers see the old
-table or the new one, and a write that fails leaves the old one. Rows are partitioned by
-repo_id: filters on it prune folders.
+Rows are partitioned by repo_id: filters on it prune folders, and writes replace the folders
+of the repositories they touch when all their rows are written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,38 +37,49 @@ def stale(known: DataFrame, current: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A table at a path that any Hadoop file system can hold."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "chunk_id", partition: str = "repo_id"):
-        self.spark, self.path, self.schema, self.key, self.partition = spark, path.rstrip("/"), schema, key, partition
-        jvm = spark._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._at = jvm.org.apache.hadoop.fs.Path
-
-    def _version(self) -> str | None:
-        """The newest version that was completed; pointers are empty files, ordered by name."""
-        folder = self._at(f"{self.path}/versions")
-        if not self._fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        return names[-1] if names else None
+    """A table at a path that any Hadoop file system can hold; writes touch the partitions of
+    the repositories that they concern and no others. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "chunk_id", order: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, order
+        self.columns = spark.createDataFrame([], schema).columns
+
+    def _folder(self, *names: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        system, at = self._folder()
+        return self.spark.read.schema(self.schema).parquet(self.path) if system.exists(at) else self.spark.createDataFrame([], self.schema)
 
     def write(self, rows: DataFrame) -> None:
-        last = self._version()
-        number = int(last.split("-")[0]) + 1 if last else 1
-        version = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.partitionBy(self.partition).parquet(f"{self.path}/{version}")
-        self._fs.mkdirs(self._at(f"{self.path}/versions"))
-        self._fs.create(self._at(f"{self.path}/versions/{version}")).close()
-
-    def upsert(self, rows: DataFrame) -> None:
-        self.write(upserted(self.read(), rows, self.key))
+        """The rows become all rows of the repositories that they name. With ``order``, files hold
+        ranges of it, so that a condition on its columns opens few of them."""
+        rows = rows.select(*self.columns)
+        if self.order:
+            rows = rows.repartitionByRange("repo_id", *self.order).sortWithinPartitions("repo_id", *self.order)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(self.path)
+
+    def swap(self, rows: DataFrame, gone: DataFrame) -> None:
+        """Adds rows, in place of those whose repo_id and further columns are in ``gone``."""
+        touched = rows.select("repo_id").union(gone.select("repo_id")).distinct()
+        old = self.read().join(touched, "repo_id", "left_semi").join(gone, gone.columns, "left_anti")
+        now = old.unionByName(rows.select(*self.columns))
+        empty = touched.join(now.select("repo_id").distinct(), "repo_id", "left_anti").collect()  # repositories that are left without rows
+        self.write(now)
+        for row in empty:
+            self._drop(row[0])
+
+    def upsert(self, rows: DataFrame) -> int:
+        """Number of rows that the table has got, new or anew."""
+        rows = upserted(rows.limit(0), rows, self.key)
+        self.swap(rows, rows.select("repo_id", self.key))
+        return rows.count()
+
+    def _drop(self, repo_id: str) -> None:
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo_id)
+        system, at = self._folder(f"repo_id={escaped}")
+        system.delete(at, True)
 
     def delete_repo(self, repo_id: str) -> int:
         """Rows that went."""
@@ -79,7 +87,7 @@ class Table:
             raise StoreError("repo_id must not hold a quote", {"repo_id": repo_id})
         n = self.count(repo_id)
         if n:
-            self.write(without_repo(self.read(), repo_id))
+            self._drop(repo_id)
         return n
 
     def count(self, repo_id: str | None = None) -> int:

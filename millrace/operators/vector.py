@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.errors import RetrieveError, StoreError
 from millrace.functions import text as t
 
-#: Queries that one job sends to every task.
+#: Queries that one job sends to every task, and rows of a tile or a shard beyond that.
 MOST_QUERIES = 4096
 
 
@@ -37,33 +37,60 @@ def cosine_topk(vectors: DataFrame, key: str, column: str, query: list[float], k
     return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9) -> DataFrame:
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, rows and scores: of each unit query's rows at least the k best, ties with the last of them too."""
+    score = np.round(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T, places)
+    score[ids[:, None] == own[None, :]] = -np.inf
+    keep = min(k, len(own))
+    edge = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
+    row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+    return ids[row], own[col], score[row, col]
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9, most: int = MOST_QUERIES) -> DataFrame:
     """query_id, key, score and rank for each row (query_id, vector) of ``queries``.
 
-    Queries are sent to the tasks, which must be no more than ``MOST_QUERIES`` (ask in
-    parts beyond that). Each batch of rows is one matrix product, of which k rows for each
-    query go on; a window ranks what is left. A row with the query's own id is left out.
+    Up to ``most`` queries are sent to every task, where each batch of rows is one matrix
+    product, of which k rows for each query go on. More of them are dealt into tiles and the
+    rows into shards, and each tile meets each shard in a task of its own. A window ranks what
+    is left. A row with the query's own id is left out.
     """
-    asked = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise RetrieveError("too many queries for one job", {"most": MOST_QUERIES})
+    asked = queries.select("query_id", "vector").limit(most + 1).collect()
+    shape = f"query_id long, {key} long, score double"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    if len(asked) > most:
+        found = _tiled(vectors.select(F.col(key).alias("key"), F.col(column).alias("x")), queries, key, k, places, most, shape)
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
     ids = np.array([r[0] for r in asked], np.int64)
     q = np.array([r[1] for r in asked], np.float64).reshape(len(ids), -1)
     q = q / np.sqrt((q * q).sum(axis=1, keepdims=True)) if len(ids) else q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(batch), -1)
-            score = np.round(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T, places)
-            score[ids[:, None] == own[None, :]] = -np.inf
-            keep = min(k, len(own))
-            edge = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
-            row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(score[row, col])], names=["query_id", key, "score"])
-
-    found = vectors.select(key, column).mapInArrow(run, f"query_id long, {key} long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+            if len(batch) and len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _best(ids, q, batch.column(0).to_numpy(), _rows(batch.column(1)), k, places)], names=["query_id", key, "score"])
+
+    return vectors.select(key, column).mapInArrow(run, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, most: int, shape: str) -> DataFrame:
+    tiles, shards = (-(-frame.count() // most) for frame in (queries, rows))
+    tile, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)), F.pmod(F.xxhash64("key"), F.lit(max(1, shards)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
+    asked = queries.select(tile.alias("tile"), every(shards).alias("shard"), "query_id", "vector")
+    held = rows.select(shard.alias("shard"), every(tiles).alias("tile"), "key", "x")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, x = (_rows(t.combine_chunks().column(c).combine_chunks()) if len(t) else np.zeros((0, 1)) for t, c in ((left, "vector"), (right, "x")))
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(x):
+            q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+            ids, own = left["query_id"].to_numpy(), right["key"].to_numpy()
+            out += [_best(ids[i : i + 256], q[i : i + 256], own, x, k, places) for i in range(0, len(q), 256)]
+        return pa.table({name: pa.array(np.concatenate([o[i] for o in out])) for i, name in enumerate(("query_id", key, "score"))})
+
+    return asked.groupBy("tile", "shard").cogroup(held.groupBy("tile", "shard")).applyInArrow(meet, shape)

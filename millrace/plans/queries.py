@@ -6,13 +6,16 @@ language, and embeddings.vec_id is the id of a document's vector.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import text as t
 from millrace.operators import chunking, evaluate, fusion, graph, lexical, lookups, store, vector
+from millrace.sources import files as source_files
 from millrace.sources import language
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +89,25 @@ def asked_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR_OF).select("embedding").first()[0]
 
 
+#: Where the postings of a session's tables are stored, by application and folder.
+_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the documents, indexed when they are first asked for."""
+    schemas = "term string, doc_id long, repo_id string, dl int, tf int", "doc_id long, repo_id string, dl int"
+    named = spark.sparkContext.applicationId, sf_dir
+    if named not in _INDEXED:
+        root = f"{session.shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+        paths = f"{root}/postings", f"{root}/lengths"
+        docs = documents(spark, sf_dir)
+        found = lexical.postings(docs, "doc_id", "text", keep=("repo_id",)).select("term", "doc_id", "repo_id", "dl", "tf")
+        found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(paths[0])
+        lexical.lengths(docs, "doc_id", "text", keep=("repo_id",)).write.parquet(paths[1])
+        _INDEXED[named] = paths
+    return tuple(spark.read.schema(s).parquet(p) for s, p in zip(schemas, _INDEXED[named]))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("repo_id", F.col("source"))
 
@@ -141,11 +163,11 @@ def path_lookup_ordered(spark, sf_dir):
     return lookups.by_path(own, "src7", path).select("chunk_id", "path", "start_line", "end_line")
 
 
-@query("WITH ids AS (SELECT item_id AS place, (item_id * 37) % 211 AS doc_id FROM benchmark) SELECT place, doc_id, lang, source FROM ids JOIN documents USING (doc_id) ORDER BY place")
+@query("WITH ids AS (SELECT doc_id AS place, (doc_id * 37) % (SELECT count(*) FROM documents) AS doc_id FROM labels) SELECT place, doc_id, lang, source FROM ids JOIN documents USING (doc_id) ORDER BY place")
 def get_many_ordered(spark, sf_dir):
-    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), ((F.col("item_id") * 37) % 211).alias("doc_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return lookups.get_many(docs, "doc_id", ids).select("place", "doc_id", "lang", "source")
+    ids = table(spark, sf_dir, "labels").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
+    return lookups.get_many(docs, "doc_id", ids.select(F.col("doc_id").alias("place"), ((F.col("doc_id") * 37) % F.col("n")).alias("doc_id"))).select("place", "doc_id", "lang", "source")
 
 
 @query(f"WITH {WINDOWS} SELECT path, start_line, end_line FROM chunks WHERE start_line <= 60 AND end_line >= 48")
@@ -158,22 +180,32 @@ def open_range_overlap(spark, sf_dir):
 
 @query(f"WITH {bm25_sql(['the', 'nation', 'of'])} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25(documents(spark, sf_dir), "doc_id", ("text",), lexical.query_terms(spark, WORDS), 20)
+    return lexical.bm25(lexicon(spark, sf_dir), "doc_id", lexical.query_terms(spark, WORDS), 20)
 
 
 @query(f"WITH {bm25_sql(['the', 'and'], 'tf0 > 0 AND tf1 > 0')} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_and_topk(spark, sf_dir):
-    return lexical.bm25(documents(spark, sf_dir), "doc_id", ("text",), ["the", "and"], 20, match=lexical.has_all("the", "and"))
+    return lexical.bm25(lexicon(spark, sf_dir), "doc_id", ["the", "and"], 20, every=True)
 
 
 @query(f"WITH {bm25_sql(['die', 'und'])} SELECT doc_id, score FROM scored WHERE source = 'src3' ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_repo_filtered(spark, sf_dir):
-    return lexical.bm25(documents(spark, sf_dir), "doc_id", ("text",), ["die", "und"], 20, where=F.col("repo_id") == "src3")
+    return lexical.bm25(lexicon(spark, sf_dir), "doc_id", ["die", "und"], 20, where=F.col("repo_id") == "src3")
+
+
+@query(f"WITH {bm25_sql(['and', 'the'], "contains(' ' || array_to_string(tokens, ' ') || ' ', ' and the ')")} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_phrase_scan(spark, sf_dir):
+    return lexical.bm25_scan(documents(spark, sf_dir), "doc_id", ("text",), ["and", "the"], 20, match=lexical.has_phrase("and", "the"))
+
+
+@query(f"WITH {TOKENS}, x AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) SELECT term, doc_id, CAST(dl AS INTEGER) AS dl, CAST(count(*) AS INTEGER) AS tf FROM x GROUP BY ALL")
+def stored_postings(spark, sf_dir):
+    return lexicon(spark, sf_dir)[0].drop("repo_id")
 
 
 @query(f"WITH {TOKENS}, x AS (SELECT doc_id, unnest(tokens) AS term FROM tok), y AS (SELECT term, doc_id, count(*) AS tf FROM x GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM y GROUP BY term")
 def term_df_stats(spark, sf_dir):
-    return lexical.term_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.term_statistics(table(spark, sf_dir, "documents"), "text")
 
 
 @query("WITH t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS j FROM documents) SELECT doc_id FROM t WHERE contains(j, ' and the ')")
@@ -212,14 +244,21 @@ def cosine_label_filter(spark, sf_dir):
 BATCH = """n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings),
 pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, a.label AS q_label, b.label AS label,
   round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.norm * b.norm), 9) AS score
-  FROM n a JOIN n b ON a.vec_id < 20 AND a.vec_id <> b.vec_id),
+  FROM n a JOIN n b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)"""
 
 
 @query(f"WITH {BATCH} SELECT query_id, vec_id, score, rank FROM best WHERE rank <= 10")
 def cosine_topk_batch(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return vector.cosine_topk_batch(rows, "vec_id", "embedding", rows.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return vector.cosine_topk_batch(rows, "vec_id", "embedding", rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+
+
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings), pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.norm * b.norm), 9) AS score FROM n a JOIN n b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 3")
+def cosine_topk_tiled(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.cosine_topk_batch(rows, "vec_id", "embedding", asked, 3, most=16)
 
 
 # Both
@@ -233,7 +272,7 @@ fused AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_rank NULLS LAST,
 
 def _lists(spark, sf_dir):
     near = vector.cosine_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id", "embedding", asked_vector(spark, sf_dir), 16)
-    match = lexical.bm25(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id", ("text",), lexical.query_terms(spark, WORDS), 16)
+    match = lexical.bm25(tuple(x.withColumnRenamed("doc_id", "id") for x in lexicon(spark, sf_dir)), "id", lexical.query_terms(spark, WORDS), 16)
     return fusion.ranked(near, "id", "vec_rank"), fusion.ranked(match, "id", "lex_rank")
 
 
@@ -246,7 +285,7 @@ def rrf_fuse(spark, sf_dir):
 def hybrid_retrieve(spark, sf_dir):
     rows = documents(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    found = fusion.hybrid(rows, vectors, "doc_id", ("text",), WORDS, asked_vector(spark, sf_dir), 8, vector_column="embedding")
+    found = fusion.hybrid(rows, vectors, "doc_id", ("text",), WORDS, asked_vector(spark, sf_dir), 8, vector_column="embedding", stored=lexicon(spark, sf_dir))
     return found.select("doc_id", "score", "rank", "lang", "repo_id")
 
 
@@ -260,27 +299,27 @@ def hybrid_hydrate(spark, sf_dir):
 # Citations and evaluation
 
 
-@query(f"WITH {WINDOWS}, r AS (SELECT *, (start_line - 1) // 90 AS part, row_number() OVER (PARTITION BY path, (start_line - 1) // 90 ORDER BY start_line) AS first FROM chunks) SELECT path, start_line, end_line, left(content, 800) AS snippet FROM r WHERE first = 1")
+@query(f"WITH {WINDOWS} SELECT path, start_line, end_line, left(content, 800) AS snippet FROM chunks")
 def citations_dedup(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("path", F.floor((F.col("start_line") - 1) / 90)).orderBy("start_line"))
-    kept = chunks(spark, sf_dir).withColumn("n", first).filter("n = 1")
-    return kept.select(lookups.citation().alias("c")).select("c.path", "c.start_line", "c.end_line", "c.snippet")
+    own = chunks(spark, sf_dir).withColumn("symbol", F.lit(None).cast("string")).withColumn("rank", F.col("start_line"))
+    again = own.withColumns({"rank": F.col("rank") + 1_000_000, "content": F.lit("a later one of the same lines")})
+    return lookups.citations(again.unionByName(own)).select("citation.path", "citation.start_line", "citation.end_line", "citation.snippet")
 
 
 @query(
-    f"WITH {BATCH}, rel AS (SELECT vec_id AS query_id, (SELECT count(*) - 1 FROM embeddings e WHERE e.label = q.label) AS n_rel FROM embeddings q WHERE vec_id < 20), "
+    f"WITH {BATCH}, rel AS (SELECT vec_id AS query_id, (SELECT count(*) - 1 FROM embeddings e WHERE e.label = q.label) AS n_rel FROM embeddings q WHERE vec_id % 100 = 0), "
     "hit AS (SELECT query_id, rank, CASE WHEN q_label = label THEN 1 ELSE 0 END AS rel FROM best WHERE rank <= 10), "
     "ideal AS (SELECT i, sum(1 / log2(i + 1)) OVER (ORDER BY i) AS g FROM generate_series(1, 10) t(i)) "
     "SELECT query_id, round(sum(rel) / max(n_rel), 9) AS recall, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0::DOUBLE / rank END), 0), 9) AS mrr, "
     "round(sum(rel / log2(rank + 1)) / max(g), 9) AS ndcg FROM hit JOIN rel USING (query_id) JOIN ideal ON i = least(10, n_rel) GROUP BY query_id"
 )
 def recall_mrr_ndcg(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    found = cosine_topk_batch(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("r"))
-    relevant = rows.groupBy("label").agg(F.collect_list("vec_id").alias("same"))
-    asked = rows.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label")
-    both = found.join(asked, "query_id").select("query_id", F.col("r.vec_id").alias("retrieved"), F.array_remove("same", F.col("query_id")).alias("expected"))
-    return both.select("query_id", *(F.round(c, 9).alias(n) for n, c in (("recall", evaluate.recall_at_k("retrieved", "expected", 10)), ("mrr", evaluate.mrr("retrieved", "expected")), ("ndcg", evaluate.ndcg_at_k("retrieved", "expected", 10)))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = rows.filter("vec_id % 100 = 0").join(rows.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), "n_relevant")
+    hits = cosine_topk_batch(spark, sf_dir).join(rows, "vec_id").join(asked, "query_id")
+    ranked = hits.groupBy("query_id", "n_relevant").agg(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("wanted")).alias("hit")))).alias("r"))
+    measured = ranked.select("query_id", "n_relevant", F.col("r.hit").alias("hits")).select("query_id", evaluate.of_hits("hits", "n_relevant", 10).alias("m"))
+    return measured.select("query_id", *(F.round(f"m.{c}", 9).alias(c) for c in ("recall", "mrr", "ndcg")))
 
 
 GROUND = f"""{WINDOWS}, cited AS (SELECT item_id, source AS repo_id, concat('doc/', doc_id, '.txt') AS path, 1 + item_id % 3 AS start_line, 1 + item_id % 7 + item_id % 3 AS end_line,
@@ -364,11 +403,11 @@ def conversation_usage(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), of(F.col("role") == "user").alias("prompt"), of(F.col("role") != "user").alias("completion"))
 
 
-@query("SELECT conv_id, sha256(string_agg(concat('[', role, ':', turn, ']', chr(10), text), chr(10) || chr(10) ORDER BY turn, role, text)) AS context_hash FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sha256(string_agg(b, chr(10) || chr(10) ORDER BY turn, b)) AS context_hash FROM (SELECT conv_id, turn, concat(role, ', lines ', turn + 1, '-', turn + 1, CASE WHEN turn % 2 = 0 THEN ' in s' ELSE '' END, chr(10), text) AS b FROM conversations) GROUP BY conv_id")
 def context_render(spark, sf_dir):
-    block = F.concat(F.lit("["), "role", F.lit(":"), F.col("turn").cast("string"), F.lit("]\n"), "text")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", block.alias("block")))).alias("b"))
-    return rows.select("conv_id", t.content_hash(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("context_hash"))
+    line = F.col("turn") + 1
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("rank"), F.col("role").alias("path"), line.alias("start_line"), line.alias("end_line"), F.when(F.col("turn") % 2 == 0, "s").alias("symbol"), F.col("text").alias("content"))
+    return lookups.context(turns, by=("conv_id",)).select("conv_id", t.content_hash(F.col("context")).alias("context_hash"))
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -395,8 +434,9 @@ def anti_join_new(spark, sf_dir):
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 1 OR n_chars % 2 = 0")
 def incremental_skip(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return rows.join(rows.filter("doc_id % 10 = 1 and n_chars % 2 <> 0"), ["doc_id", "n_chars"], "left_anti")
+    known = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("source").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.col("n_chars").cast("long").alias("size"))
+    now = known.withColumn("mtime", F.when(F.col("doc_id") % 10 != 1, 2.0).otherwise(1.0)).withColumn("size", F.when(F.col("n_chars") % 2 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return source_files.changed(now, known).select("doc_id", "n_chars")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE source <> 'src5' GROUP BY source")
@@ -448,16 +488,31 @@ def edges_contained_in(spark, sf_dir):
     return graph.contained_in(symbol_chunks(spark, sf_dir))
 
 
-CALLS = "calls AS (SELECT DISTINCT concat('pkg/', d.doc_id, '.py') AS src_path, concat('f', d.doc_id % 7) AS src_name, concat('pkg/', l.o_custkey % 200, '.py') AS dst_path, concat('f', (l.o_custkey % 200) % 7) AS dst_name FROM orders l JOIN documents d ON d.doc_id = l.o_orderkey % 200)"
+CALLS = "calls AS (SELECT DISTINCT concat('pkg/', d.doc_id, '.py') AS src_path, concat('f', d.doc_id % 7) AS src_name, concat('pkg/', l.o_custkey % n, '.py') AS dst_path, concat('f', (l.o_custkey % n) % 7) AS dst_name FROM orders l, (SELECT count(*) AS n FROM documents) JOIN documents d ON d.doc_id = l.o_orderkey % n)"
 
 
 @query(f"WITH {SYMBOL_CHUNKS}, {CALLS} SELECT DISTINCT s.symbol AS name, s.kind, s.path, CAST(s.start_line AS INTEGER) AS line FROM calls c JOIN sym s ON s.path = c.src_path AND s.symbol = c.src_name WHERE c.dst_name = 'f3'")
 def callers_callees(spark, sf_dir):
     path = lambda c: F.concat(F.lit("pkg/"), c.cast("string"), F.lit(".py"))
     name = lambda c: F.concat(F.lit("f"), (c % 7).cast("string"))
-    links = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 200).alias("a"), (F.col("o_custkey") % 200).alias("b"))
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))  # one row
+    links = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select((F.col("o_orderkey") % F.col("n")).alias("a"), (F.col("o_custkey") % F.col("n")).alias("b"))
     rows = links.select(path(F.col("a")).alias("src_path"), name(F.col("a")).alias("src_name"), path(F.col("b")).alias("dst_path"), name(F.col("b")).alias("dst_name"), F.lit("calls").alias("kind"))
-    return graph.neighbours(graph.symbols_of(symbol_chunks(spark, sf_dir)), graph.edges(rows), "f3", callers=True).drop("parent")
+    return graph.neighbours(graph.symbols_of(symbol_chunks(spark, sf_dir)), graph.edges(rows), "f3", callers=True).select("name", "kind", "path", "line")
+
+
+@query(f"WITH {SYMBOL_CHUNKS}, s AS (SELECT repo_id, 'pkg/m.py' AS path, symbol AS name, start_line FROM sym UNION ALL SELECT DISTINCT repo_id, 'pkg/m.py', 'm', 0 FROM sym) SELECT repo_id, path, name, CAST(greatest(1, max(start_line)) AS INTEGER) AS line FROM s GROUP BY ALL")
+def symbols_by_repo(spark, sf_dir):
+    one_path = symbol_chunks(spark, sf_dir).withColumn("path", F.lit("pkg/m.py"))  # the same in every repository
+    return graph.nodes(graph.symbols_of(one_path)).select("repo_id", "path", "name", "line")
+
+
+@query(f"WITH {SYMBOL_CHUNKS}, e AS (SELECT DISTINCT repo_id, path, CASE WHEN kind = 'method' THEN 'gone' ELSE 'f' END AS src, symbol AS dst FROM sym WHERE kind <> 'class') SELECT repo_id, path, name, kind FROM (SELECT repo_id, path, src AS name, 'other' AS kind FROM e UNION SELECT repo_id, path, dst, 'function' FROM e WHERE src = 'f' UNION SELECT repo_id, path, dst, 'other' FROM e WHERE src = 'gone')")
+def edge_ends_are_nodes(spark, sf_dir):
+    own = symbol_chunks(spark, sf_dir).filter("kind <> 'class'")
+    links = own.select("repo_id", F.col("path").alias("src_path"), F.when(F.col("kind") == "method", "gone").otherwise("f").alias("src_name"), F.col("path").alias("dst_path"), F.col("symbol").alias("dst_name"), F.lit("calls").alias("kind"))
+    symbols = graph.symbols_of(own.filter("kind = 'function'")).filter("kind = 'function'")
+    return graph.nodes(graph.with_ends(symbols, graph.edges(links))).select("repo_id", "path", "name", "kind")
 
 
 @query(

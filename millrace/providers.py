@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -131,16 +132,20 @@ def register_chat(name: str, factory: Callable[..., ChatModel]) -> None:
     _CHATS[_named(name)] = factory
 
 
-def _make(known: dict[str, Callable], name: str, **options: Any):
-    factory = known.get(_named(name))
-    if factory is None:
-        raise ProviderFailure("no such provider", {"name": name, "known": sorted(known)})
+@contextmanager
+def _making(name: str) -> Iterator[None]:
+    """Whatever a factory raises comes out as a ``ProviderFailure``."""
     try:
-        return factory(**options)
-    except ProviderFailure:
-        raise
+        yield
     except Exception as error:
-        raise ProviderFailure("a provider can't be made", {"name": name, "error": str(error)}) from error
+        raise error if isinstance(error, ProviderFailure) else ProviderFailure("a provider can't be made", {"name": name, "error": str(error)}) from error
+
+
+def _make(known: dict[str, Callable], name: str, **options: Any):
+    with _making(name):
+        if (own := _named(name)) not in known:
+            raise ProviderFailure("no such provider", {"name": name, "known": sorted(known)})
+        return known[own](**options)
 
 
 def embedder(name: str, **options: Any) -> Embedder:

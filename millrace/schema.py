@@ -14,7 +14,6 @@ CHUNKS = (
     "chunk_id string, repo_id string, path string, language string, kind string, symbol string, "
     "start_line int, end_line int, content string, content_hash string"
 )
-VECTORS = "chunk_id string, repo_id string, vector array<float>, metadata map<string,string>"
 SYMBOLS = "path string, name string, kind string, line int, parent string, seq bigint"
 EDGES = "src_path string, src_name string, dst_path string, dst_name string, kind string"
 CITATION = "struct<path:string,start_line:int,end_line:int,symbol:string,snippet:string>"
@@ -38,10 +37,3 @@ def checked_chunks(chunks: DataFrame) -> DataFrame:
     )
     fault = F.raise_error(F.concat(F.lit("not a valid chunk: "), F.coalesce("chunk_id", F.lit("null"))))
     return chunks.withColumn("chunk_id", F.when(F.coalesce(holds, F.lit(False)), F.col("chunk_id")).otherwise(fault))
-
-
-def reconciled_usage(usage: str = "token_usage"):
-    """A usage whose total is filled in where it is 0 and refused where it is too small."""
-    prompt, completion, total = (F.col(f"{usage}.{x}") for x in ("prompt", "completion", "total"))
-    right = F.when(total == 0, prompt + completion).when(total >= prompt + completion, total).otherwise(F.raise_error(F.lit("total is less than prompt and completion")).cast("int"))
-    return F.struct(prompt.alias("prompt"), completion.alias("completion"), right.alias("total"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import agent as agents
 from millrace import providers, runner
@@ -64,6 +65,19 @@ def test_index_twice_and_prune(index, folder):
     assert changed["chunks_embedded"] == 1 and changed["chunks_pruned"] == 1 and index.chunks.count("r") == 6 == index.vectors.count()
 
 
+def test_repositories_stay_apart(index, folder):
+    other = folder.parent / "other"
+    (other / "src").mkdir(parents=True)
+    (other / "src/alpha.py").write_text("def only_here():\n    return 1\n")
+    index.ingest(str(other), "s")
+    names = lambda repo: {r.name for r in index.symbols.read().filter(F.col("repo_id") == repo).collect()}
+    assert names("s") == {"alpha", "only_here"} and "only_here" not in names("r")
+    assert {r.chunk_id for r in index.postings.read().collect()} == {r.chunk_id for r in index.chunks.read().collect()} == {r.chunk_id for r in index.lengths.read().collect()}
+    gone = index.delete_repo("s")
+    assert gone["chunks"] == gone["vectors"] == gone["lengths"] == 1 and gone["symbols"] == 2 and index.chunks.count("s") == index.postings.count("s") == 0
+    assert index.chunks.count("r") == 6 and not list(folder.parent.glob("index/staged/*"))
+
+
 def test_ask_with_tools(index):
     calls = (providers.Call("1", "find_symbol", {"name": "load"}), providers.Call("2", "open_file", {"path": "src/beta.py", "start_line": 1, "end_line": 2}), providers.Call("3", "nope", {}), providers.Call("4", "find_symbol", {"wrong": 1}))
     chat = providers.ScriptedChat([providers.Reply("", calls, providers.Usage(5, 1)), providers.Reply("It reads a file.", usage=providers.Usage(7, 3), finish_reason="stop")])

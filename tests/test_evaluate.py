@@ -65,7 +65,9 @@ def test_store_round_trip(spark, tmp_path):
     assert table.count() == 0
     make = lambda rows: spark.createDataFrame(rows, "chunk_id string, repo_id string, v int")
     table.upsert(make([("a", "r1", 1), ("b", "r2", 2)]))
-    table.upsert(make([("b", "r2", 3), ("c", "r2", 4)]))
+    assert table.upsert(make([("b", "r2", 3), ("c", "r2", 4), ("d", "r/4 =", 5)])) == 3
+    table.swap(table.read().limit(0), make([("d", "r/4 =", 0)]).select("repo_id", "chunk_id"))
+    assert table.count("r/4 =") == 0
     assert {(r.chunk_id, r.v) for r in table.read().collect()} == {("a", 1), ("b", 3), ("c", 4)}
     assert table.delete_repo("r2") == 2 and table.delete_repo("zz") == 0 and table.count() == 1
 
@@ -83,3 +85,29 @@ def test_symbol_graph(spark, tmp_path):
     assert graph.nodes(back[0]).count() == 3 and graph.edges(back[1]).count() == 3
     with pytest.raises(Exception, match="unknown kind"):
         graph.edges(links.withColumn("kind", F.lit("other"))).collect()
+
+
+def test_symbols_of_several_repositories(spark):
+    of = "repo_id string, path string, name string, kind string, line int, parent string, seq long"
+    symbols = spark.createDataFrame([("a", "m.py", "f", "function", 1, None, 1), ("b", "m.py", "g", "function", 3, None, 1), ("b", "m.py", "f", "class", 2, None, 1)], of)
+    links = spark.createDataFrame([("a", "m.py", "h", "m.py", "f", "calls"), ("b", "m.py", "g", "m.py", "f", "calls"), ("b", "m.py", "g", "m.py", "f", "calls")], "repo_id string, src_path string, src_name string, dst_path string, dst_name string, kind string")
+    whole = graph.with_ends(symbols, links)
+    assert graph.nodes(whole).count() == 4 and graph.edges(links).count() == 2
+    assert [(r.repo_id, r.name, r.kind) for r in graph.neighbours(whole, links, "f", True).collect()] == [("a", "h", "other"), ("b", "g", "function")]
+
+
+def test_foreign_graphs_are_refused(spark, tmp_path):
+    from millrace.errors import StoreError
+
+    for number, text in enumerate(['{"type": "else", "name": "x"}', "no json", '{"type": "node"}']):
+        (tmp_path / f"{number}.txt").write_text(text + "\n")
+        with pytest.raises(StoreError):
+            graph.import_json(spark, str(tmp_path / f"{number}.txt"))
+    with pytest.raises(StoreError):
+        graph.import_json(spark, str(tmp_path / "none"))
+
+
+def test_measures_of_hits(spark):
+    row = spark.createDataFrame([(["a", "b", "c", "d"], ["b", "d", "x"], [False, True, False, True], 3), (["a"], [], [False], 0)], "r array<string>, e array<string>, h array<boolean>, n long")
+    for got in row.select(evaluate.of_hits("h", "n", 3).alias("m"), evaluate.recall_at_k("r", "e", 3).alias("recall"), evaluate.mrr("r", "e").alias("mrr"), evaluate.ndcg_at_k("r", "e", 3).alias("ndcg")).collect():
+        assert (got.m.recall, got.m.mrr, got.m.ndcg) == pytest.approx((got.recall, got.mrr, got.ndcg))

@@ -14,22 +14,22 @@ def _docs(spark):
 
 def test_bm25_ranks_and_values(spark):
     docs = _docs(spark)
-    got = lexical.bm25(docs, "id", ("content", "symbol"), ["needle"], 10).collect()
+    got = lexical.bm25_scan(docs, "id", ("content", "symbol"), ["needle"], 10).collect()
     assert [r.id for r in got] == ["dense", "rare"]
     lengths = [3, 6, 4, 5]
     idf = math.log((4 - 2 + 0.5) / (2 + 0.5))
     idf = idf if idf > 0 else 1e-6
     want = idf * 4 * 2.2 / (4 + 1.2 * (0.25 + 0.75 * 6 / (sum(lengths) / 4)))
     assert got[0].score == pytest.approx(want, abs=1e-6)
-    assert [r.id for r in lexical.bm25(docs, "id", ("content", "symbol"), lexical.query_terms(spark, "NADLE?"), 10).collect()] == ["none"]
+    assert [r.id for r in lexical.bm25_scan(docs, "id", ("content", "symbol"), lexical.query_terms(spark, "NADLE?"), 10).collect()] == ["none"]
 
 
 def test_statistics_ignore_the_filter(spark):
     from pyspark.sql import functions as F
 
     docs = _docs(spark)
-    whole = {r.id: r.score for r in lexical.bm25(docs, "id", ("content",), ["foo", "needle"], None).collect()}
-    part = lexical.bm25(docs, "id", ("content",), ["foo", "needle"], 5, where=F.col("repo_id") == "r2").collect()
+    whole = {r.id: r.score for r in lexical.bm25_scan(docs, "id", ("content",), ["foo", "needle"], None).collect()}
+    part = lexical.bm25_scan(docs, "id", ("content",), ["foo", "needle"], 5, where=F.col("repo_id") == "r2").collect()
     assert [(r.id, r.score) for r in part] == [("two", whole["two"])]
 
 
@@ -48,9 +48,9 @@ def test_ways_to_match(spark):
 def test_wrong_requests(spark):
     docs = _docs(spark)
     with pytest.raises(RetrieveError):
-        lexical.bm25(docs, "id", ("content",), ["a"], 0)
+        lexical.bm25_scan(docs, "id", ("content",), ["a"], 0)
     with pytest.raises(StoreError):
-        lexical.bm25(docs, "id", ("content",), [], 5)
+        lexical.bm25_scan(docs, "id", ("content",), [], 5)
     with pytest.raises(RetrieveError):
         fusion.repo_of({"repo_id": 3})
     assert fusion.repo_of({"other": 3}) is None
@@ -87,3 +87,27 @@ def test_lookups(spark):
     assert [r.chunk_id for r in lookups.overlapping(rows, 8, 15).collect()] == ["c1", "c2"]
     ids = spark.createDataFrame([(0, "c3"), (1, "zz"), (2, "c1"), (3, "c3")], "place int, chunk_id string")
     assert [r.chunk_id for r in lookups.get_many(rows, "chunk_id", ids).collect()] == ["c3", "c1", "c3"]
+
+
+def test_stored_postings_give_the_scores_of_a_scan(spark):
+    from pyspark.sql import functions as F
+
+    docs = _docs(spark).union(spark.createDataFrame([("empty", "r3", "", None)], "id string, repo_id string, content string, symbol string"))
+    stored = (lexical.postings(docs, "id", "content", "symbol", keep=("repo_id",)), lexical.lengths(docs, "id", "content", "symbol", keep=("repo_id",)))
+    for words in (["needle"], ["foo", "needle", "nadle", "absent"], ["bar", "baz"]):
+        scan = lambda **more: {tuple(r) for r in lexical.bm25_scan(docs, "id", ("content", "symbol"), words, None, **more).collect()}  # noqa: E731, B023
+        asked = lambda **more: {tuple(r) for r in lexical.bm25(stored, "id", words, None, **more).collect()}  # noqa: E731, B023
+        assert asked() == scan() and asked(where=F.col("repo_id") == "r2") == scan(where=F.col("repo_id") == "r2")
+        assert asked(every=True) == scan(match=lexical.has_all(*words))
+    with pytest.raises(StoreError):
+        lexical.bm25(stored, "id", [])
+    with pytest.raises(RetrieveError):
+        lexical.bm25(stored, "id", ["a"], 0)
+
+
+def test_many_queries_are_dealt_into_tiles(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((90, 5)))], "vec_id long, x array<float>")
+    asked = rows.filter("vec_id % 2 = 0").selectExpr("vec_id as query_id", "x as vector")
+    one, tiled = (sorted(map(tuple, vector.cosine_topk_batch(rows, "vec_id", "x", asked, 4, most=most).collect())) for most in (100, 7))
+    assert one == tiled and len(one) == 45 * 4
