@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, join_counted, pieces, release_shuffles
@@ -322,12 +322,62 @@ def _sets(width: int):
     return run
 
 
+SET_NODE = "struct<a: long, b: long>"
+
+
+def _meet(keyed: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links of the sets that share a key."""
+    size = keyed.join(sets.select("a", "b", F.octet_length("shingles").alias("n")), ["a", "b"]).agg(F.sum("n")).first()[0] or 0
+    parts = F.lit(pieces(size, 8 << 20, 12))
+    rows = keyed.join(sets, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", parts).alias("part"))
+    return rows.groupBy("part").applyInArrow(linked_sets(similar, "a", "b"), f"u {SET_NODE}, v {SET_NODE}")
+
+
+def _cells(rows: DataFrame, tiles: str) -> DataFrame:
+    """Each row once for each pair of tiles of its meeting that its own is in."""
+    own = F.pmod(F.xxhash64("a", "b"), F.col(tiles)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    return rows.select("a", "b", "meeting", F.explode(pairs).alias("cell")).select("a", "b", F.xxhash64("meeting", "cell.i", "cell.j").alias("key"))
+
+
+def _tiles(n: str) -> Column:
+    return F.ceil(F.col(n) / SETS).cast("int")
+
+
+def _compared(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links that connect whatever pairs of one meeting connect. A meeting of up to ``SETS``
+    sets meets in one task. Of a larger one first each tile meets by itself, then one set of
+    each cluster that was found so; what is not in the meeting's largest cluster then meets
+    all others, so that a large group of copies of one text costs about as much as it has sets."""
+    own = F.struct("a", "b")
+    found = checkpoint(_meet(members.select("a", "b", F.xxhash64("meeting", F.pmod(F.xxhash64("a", "b"), "tiles")).alias("key")), sets, similar))
+    large = members.filter("tiles > 1").select("a", "b", "meeting", own.alias("own"))
+    if large.isEmpty():
+        return found
+    counted = lambda rows, n: join_counted(rows, rows.groupBy("meeting").agg(F.count("*").alias(n)), ["meeting"])
+    roots = checkpoint(components(found))
+    one_each = large.join(roots, large.own == roots.node, "left_anti")
+    found = checkpoint(found.unionByName(_meet(_cells(counted(one_each, "n").withColumn("tiles", _tiles("n")), "tiles"), sets, similar)))
+    roots = checkpoint(components(found))
+    named = large.join(roots, large.own == roots.node, "left").select("a", "b", "meeting", F.coalesce("root", "own").alias("root"))
+    sizes = checkpoint(named.groupBy("meeting", "root").agg(F.count("*").alias("n")))
+    most = sizes.groupBy("meeting").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"))
+    most = most.select("meeting", "most", F.greatest(F.lit(1), _tiles("n_most")).alias("inner"), F.ceil((F.col("n") - F.col("n_most")) / SETS).cast("int").alias("outer")).filter("outer > 0")
+    named = checkpoint(join_counted(named, most, ["meeting"]))
+    rest, core = named.filter(F.col("root") != F.col("most")), named.filter(F.col("root") == F.col("most"))
+    tile = lambda of: F.pmod(F.xxhash64("a", "b"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    key = F.xxhash64("meeting", "i", "j", F.lit("core")).alias("key")
+    across = rest.select("a", "b", "meeting", tile("outer").alias("i"), each("inner").alias("j")).unionByName(core.select("a", "b", "meeting", each("outer").alias("i"), tile("inner").alias("j")))
+    return found.unionByName(_meet(across.select("a", "b", key).unionByName(_cells(rest, "outer")), sets, similar))
+
+
 def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int = 17, checked: int = 32) -> DataFrame:
     """a, b (the key of a set of word shingles) and root of each distinct set of ``docs``, with
     the smallest doc_id: sets of one root are connected by pairs of that Jaccard similarity.
 
     Fingerprints within the limits only say which sets to compare: those that they connect
-    meet, with all of their shingles, in tiles of ``SETS`` against ``SETS``."""
+    meet, with all of their shingles, as ``_compared`` says."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = checkpoint(texts.mapInArrow(_described(width), "doc_id long, fp long, fq long, a long, b long, text_hash long"))
     classes = checkpoint(found.groupBy("a", "b", "fp", "fq").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one")))
@@ -346,13 +396,7 @@ def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int =
     chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id) & texts.text_hash.eqNullSafe(wanted.hash))
     sets = checkpoint(chosen.select("a", "b", "text").mapInArrow(_sets(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
     release_shuffles(docs.sparkSession)
-    tile = F.pmod(F.xxhash64("a", "b"), F.col("tiles")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least(tile, other).alias("i"), F.greatest(tile, other).alias("j")))
-    tiled = members.select("a", "b", "meeting", F.explode(cells).alias("cell")).withColumn("key", F.xxhash64("meeting", "cell.i", "cell.j"))
-    size = tiled.join(sets, ["a", "b"]).agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    parts = pieces(size, 8 << 20, 12)
-    keyed = tiled.join(sets, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", F.lit(parts)).alias("part"))
-    edges = keyed.groupBy("part").applyInArrow(linked_sets(similar, "a", "b"), "u struct<a: long, b: long>, v struct<a: long, b: long>")
+    edges = checkpoint(_compared(members, sets, similar))
     joined = components(edges)
     return classes.withColumn("own", own).join(joined, F.col("own") == joined.node, "left").select("a", "b", "least", F.coalesce("root", "own").alias("root"))
 

@@ -45,7 +45,7 @@ PERIOD = 7
 #: The difference cover: any two residues modulo 7 are met by a common shift into it.
 COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
-GATHERED = 24 << 20
+GATHERED = 12 << 20
 #: Text of pieces whose suffixes are sorted together.
 BUCKET_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
