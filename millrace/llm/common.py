@@ -89,6 +89,16 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def let_go() -> None:
+    """Gives memory that arrays no longer use back to the system: Python workers serve one
+    stage after the other, and would keep the most that any of them needed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # where the C library has it
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets, without a copy of the bytes; nulls are empty."""
     if column.null_count:

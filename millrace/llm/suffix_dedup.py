@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_FROM, PLACE_BITS, checkpoint, leftmost, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
+from millrace.llm.common import NULL_FROM, PLACE_BITS, checkpoint, leftmost, let_go, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 
 WINDOW = 50
 KMER = 16
@@ -91,6 +91,7 @@ def _deal(blocks: int, window: int):
     """Sends each block the pieces of its minimisers: one row for each block and gathering."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[tuple] = []
         size = 0
 
@@ -126,6 +127,7 @@ def _deal(blocks: int, window: int):
                     size = 0
         if held:
             yield from passed()
+        let_go()
 
     return run
 
@@ -275,6 +277,8 @@ def _solve(window: int, parts: int):
             own, own_at = _gather(text, offsets[rows], length[rows])
             found.append(_bucket(doc[rows], place[rows], count[rows], ahead[rows], own, own_at, window))
             at = end
+        del text, offsets, minis, texts, docs, places, counts, aheads
+        let_go()
         d, b, e = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         order = np.lexsort((b, d))
         d, b, e = d[order], b[order], e[order]
