@@ -246,38 +246,42 @@ def _solve(window: int, parts: int):
     """Removed runs of a block, packed by parts of the documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, places, counts, aheads, minis, texts = [], [], [], [], [], []
+        docs, places, counts, aheads, minis, filling = [], [], [], [], [], bytearray()
         for value in table["pieces"]:
-            step, place, count, ahead, mini, text = unpacked(value.as_py(), np.uint8, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8)
+            step, place, count, ahead, mini, own = unpacked(value.as_py(), np.uint8, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8)
             docs.append(np.cumsum(numbers(step)))
             places.append(numbers(place))
-            counts.append(count)
-            aheads.append(ahead)
+            counts.append(count.copy())  # copies, so that the unpacked value can go
+            aheads.append(ahead.copy())
             minis.append(numbers(mini))
-            texts.append(text)
-        doc, place, count, ahead, mini = np.concatenate(docs), np.concatenate(places), np.concatenate(counts).astype(np.int64), np.concatenate(aheads).astype(np.int64), np.concatenate(minis)
-        length = count + window - 1
-        text = np.concatenate(texts)
-        offsets = np.concatenate([[0], np.cumsum(length)])
+            filling += memoryview(own)
+        step = place = count = ahead = mini = own = None
+        text = np.frombuffer(filling, np.uint8)
+        mini, doc = np.concatenate(minis), np.concatenate(docs)
+        del minis, docs
+        place, count, ahead = np.concatenate(places), np.concatenate(counts), np.concatenate(aheads)
+        del places, counts, aheads
+        length = count.astype(np.int16) + np.int16(window - 1)
+        offsets = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         order = np.lexsort((doc, mini))
         # a minimiser of a single document has nothing to remove
         m, d = mini[order], doc[order]
         starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         shared = np.repeat(d[starts] != d[np.append(starts[1:], len(d)) - 1], np.diff(np.append(starts, len(d))))
-        order = order[shared]
-        m = mini[order]
+        order, m = order[shared], m[shared]
+        del mini, d, starts, shared
         found: list[tuple] = []
         at = 0
-        filled = np.concatenate([[0], np.cumsum(length[order])])
+        filled = np.concatenate([[0], np.cumsum(length[order], dtype=np.int64)])
         while at < len(order):
             end = int(np.searchsorted(filled, filled[at] + BUCKET_BYTES, "right")) - 1
             end = max(at + 1, min(end, len(order)))
             end = int(np.searchsorted(m, m[end - 1], "right"))  # whole minimisers
             rows = order[at:end]
-            own, own_at = _gather(text, offsets[rows], length[rows])
-            found.append(_bucket(doc[rows], place[rows], count[rows], ahead[rows], own, own_at, window))
+            own, own_at = _gather(text, offsets[rows], length[rows].astype(np.int64))
+            found.append(_bucket(doc[rows], place[rows], count[rows].astype(np.int64), ahead[rows].astype(np.int64), own, own_at, window))
             at = end
-        del text, offsets, minis, texts, docs, places, counts, aheads
+        del text, filling, offsets, order, m, filled, doc, place, count, ahead, length
         let_go()
         d, b, e = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         order = np.lexsort((b, d))
