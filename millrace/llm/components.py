@@ -52,12 +52,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
-        both = now.union(now.select("v", "u"))
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         large = _star(both, 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _star(large, mark[0])
-        now = checkpoint(
-            small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        )
+        # written down, as each star reads its links several times over
+        small = _star(checkpoint(large), mark[0])
+        led = small.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        now = checkpoint(led.filter("u <> v").distinct())
         before, mark = mark, _mark(now)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
