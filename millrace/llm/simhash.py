@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, join_counted, pieces, release_shuffles
+from millrace.llm.common import MOST_BROADCAST, checkpoint, join_counted, pieces, release_shuffles
 from millrace.llm.components import components, local_roots
 from millrace.llm.paragraphs import _linked as linked_sets
 
@@ -393,6 +393,8 @@ def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int =
     sizes = members.groupBy("around").count().filter("count > 1").select("around", F.ceil(F.col("count") / SETS).cast("int").alias("tiles"))
     members = checkpoint(join_counted(members, sizes, ["around"]).select("a", "b", "one", "tiles", F.xxhash64("around").alias("meeting")))
     wanted = members.select("a", "b", F.col("one.text_hash").alias("hash"), F.col("one.doc_id").alias("id"))
+    # whole texts are not moved where what is wanted of them is small enough to go to them
+    wanted = F.broadcast(wanted) if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else wanted
     chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id) & texts.text_hash.eqNullSafe(wanted.hash))
     sets = checkpoint(chosen.select("a", "b", "text").mapInArrow(_sets(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
     release_shuffles(docs.sparkSession)

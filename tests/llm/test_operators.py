@@ -333,6 +333,7 @@ def test_keep_one_compares_exactly(spark, monkeypatch):
     assert kept >= {d for d, _ in every} - close - {2001, 2002} and not kept & {2001, 2002}
     assert len(close - kept) >= 0.95 * len(close)
     monkeypatch.setattr(simhash, "SETS", 1)
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", 0)
     near = every[600:] + [(3000 + i, " ".join(x if j != i else "new" for j, x in enumerate(every[400][1].split()))) for i in range(30)]
     assert {r.doc_id for r in simhash.keep_one(make(spark, every[400:401] + near)).collect()} == {1000, 2000, 2002}
 
