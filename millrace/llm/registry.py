@@ -1,4 +1,4 @@
-"""Queries of the ten operators and of the pipeline, with SQL where SQL can state them."""
+"""Queries of the operators and of the pipeline, with SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann_scan, bpe_count, exact_topk, langid, mixing, packing, paragraphs, quality_mil, simhash, suffix_dedup
+from millrace.llm import ann_scan, bpe_count, centroids, exact_topk, langid, mixing, packing, paragraphs, quality_mil, simhash, suffix_dedup
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.removals(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
@@ -77,7 +81,30 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as three steps: nearest centroids, sums by component, new centroids."""
+    ctes = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id) - 1 AS INTEGER) AS k, e AS c FROM v QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        square = "CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, e, k, {square} AS d FROM v, c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT k, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, generate_series(1, 64) g(i) GROUP BY k, i)")
+            ctes.append(f"m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (k))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other nine rest on hashes, models or byte strings that SQL has no form for, or
+    """The others rest on hashes, models or byte strings that SQL has no form for, or
     are too slow in it on whole tables; tests hold them against brute force."""
-    return {"op3_exact_topk": TOPK_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op13_centroid_clustering": clustering_sql()}
