@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann_scan, bpe_count, centroids, exact_topk, langid, mixing, packing, paragraphs, quality_mil, simhash, suffix_dedup
+from millrace.llm import ann_scan, bpe_count, centroids, exact_topk, langid, merkle, mixing, packing, paragraphs, quality_mil, simhash, suffix_dedup
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +85,56 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+#: crc32 has no function there: eight steps for each byte, as a table of 256 and a fold over digits.
+MERKLE_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT range AS byte, CAST(range AS UBIGINT) AS r, 0 AS step FROM range(256)
+  UNION ALL SELECT byte, xor(r >> 1, (r & 1) * 3988292384), step + 1 FROM bits WHERE step < 8
+), steps AS MATERIALIZED (SELECT list(r ORDER BY byte) AS t FROM bits WHERE step = 8),
+docs AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+                lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) % 7 = 0 AS tampers
+  FROM documents, steps
+), fields AS (
+  SELECT doc_id, lang, n_chars, tampers, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         coalesce(strlen(text) || ':' || text, '-') AS b
+  FROM docs
+), leaves AS (
+  SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+         sha256(a || coalesce(strlen(CAST(CASE WHEN tampers THEN n_chars + 1 ELSE n_chars END AS VARCHAR)) || ':' || CASE WHEN tampers THEN n_chars + 1 ELSE n_chars END, '-') || b) AS tampered
+  FROM fields
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), low AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lang, level, i // 2, n
+), subroots AS MATERIALIZED (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 2, n
+), way AS (
+  SELECT p.doc_id, p.leaf, p.i AS place, p.lang, o.level, (p.i >> o.level) % 2 AS side, s.h
+  FROM placed p JOIN (SELECT DISTINCT lang, level, n FROM low WHERE n > 1) o ON o.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = o.level AND s.i = xor(p.i >> o.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.i, p.lang, 100 + o.level, (r.i >> o.level) % 2, s.h
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT DISTINCT level FROM high WHERE n > 1) o
+  LEFT JOIN high s ON s.level = o.level AND s.i = xor(r.i >> o.level, 1)
+), ways AS (
+  SELECT lang, place, list(CASE WHEN h IS NULL THEN '-' WHEN side = 1 THEN 'l' || h ELSE 'r' || h END ORDER BY level) AS steps FROM way GROUP BY lang, place
+), found AS (
+  SELECT p.doc_id, p.leaf, r.subroot, (SELECT h FROM high WHERE n = 1) AS root, coalesce(w.steps, []) AS steps, p.tampered
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM p.lang AND w.place = p.i
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(tampered, steps), lambda h, s: sha256(CASE s[1] WHEN 'l' THEN s[2:] || h WHEN 'r' THEN h || s[2:] ELSE h END)) AS folded_root
+  FROM found
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 def clustering_sql(k: int = 8, rounds: int = 10) -> str:
     """Every round as three steps: nearest centroids, sums by component, new centroids."""
     ctes = [
@@ -107,4 +161,4 @@ FROM a{rounds} JOIN c{rounds} USING (k)"""
 def oracle_sql() -> dict[str, str]:
     """The others rest on hashes, models or byte strings that SQL has no form for, or
     are too slow in it on whole tables; tests hold them against brute force."""
-    return {"op3_exact_topk": TOPK_SQL, "op13_centroid_clustering": clustering_sql()}
+    return {"op3_exact_topk": TOPK_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_centroid_clustering": clustering_sql()}
