@@ -194,3 +194,58 @@ def tagged(docs: DataFrame, *more: str, bits: int = 30) -> DataFrame:
 def named(doc_id: str = "doc_id") -> Column:
     """The id that a row of ``tagged`` came with."""
     return F.when(F.col(doc_id) <= NULL_FROM, F.col(doc_id))
+
+
+def join_hubs(rows: DataFrame, few: DataFrame, on: list[str], many: str, most: int = 2000) -> DataFrame:
+    """Inner join of rows with ``few`` (a written table of unique keys), whose column ``many``
+    says how many rows have the key. The keys of more than a ``most``-th of all these rows,
+    which are at most ``most``, go to the rows; the rest are dealt by the key."""
+    total = few.agg(F.sum(many)).first()[0] or 0
+    hot = F.col(many) > max(256, total // most)
+    hubs = F.broadcast(few.filter(hot))
+    return rows.join(hubs, on).unionByName(rows.join(F.broadcast(few.filter(hot).select(*on)), on, "left_anti").join(few.filter(~hot), on))
+
+
+class Sieve:
+    """A bitmap of 64-bit names: has() is true for all that are in it, and few others while it
+    is not crowded. Its size is bounded, so it can go to every task; a crowded one lets more
+    through, and whoever asks must be right with that."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        out = np.ones(len(names), bool)
+        for turn in range(SIEVE_HASHES):
+            at = _sieved(names.view(np.uint64), turn, len(self.words) * 64)
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+#: Bits of each name, and the most bits of a sieve (16 MB).
+SIEVE_HASHES, SIEVE_BITS = 2, 1 << 27
+
+
+def _sieved(names: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    x = (names ^ (names >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)
+
+
+def sieve(rows: DataFrame, column: str, count: int) -> Sieve:
+    """A bitmap of the longs in a column of ``count`` rows. Tasks set bits, words of 64 are
+    joined by Spark, and the driver sees these words alone."""
+    bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (16 * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_sieved(names, turn, bits) for turn in range(SIEVE_HASHES)]))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(word):
+                value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    words = np.zeros(bits // 64, np.uint64)
+    found = rows.select(column).mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return Sieve(words)
