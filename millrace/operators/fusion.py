@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import RetrieveError
@@ -34,13 +34,32 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, key: str, k: int | None = Non
     if rrf_k < 1:
         raise RetrieveError("rrf_k must be at least 1", {"rrf_k": rrf_k})
     both = by_vector.join(by_text, key, "full_outer")
-    part = lambda c: F.coalesce(1.0 / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
-    scored = both.withColumn("score", F.round(part("vec_rank") + part("lex_rank"), 9))
-    order = Window.orderBy(F.desc("score"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("lex_rank"))
-    out = scored.withColumn("rank", F.row_number().over(order))
+    out = both.withColumn("score", _reciprocal(rrf_k)).withColumn("rank", F.row_number().over(Window.orderBy(*(by(c) for by, c in _FUSED))))
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+_FUSED = (F.desc, "score"), (F.asc_nulls_last, "vec_rank"), (F.asc_nulls_last, "lex_rank")
+
+
+def _reciprocal(rrf_k: int) -> Column:
+    part = lambda c: F.coalesce(1.0 / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
+    return F.round(part("vec_rank") + part("lex_rank"), 9)
+
+
+def hybrid_many(vectors: DataFrame, stored: tuple[DataFrame, DataFrame], key: str, asked: DataFrame, k: int = 10, where: Column | None = None, vector_column: str = "vector", rrf_k: int = RRF_K, oversample: int = OVERSAMPLE) -> DataFrame:
+    """query_id, key, score, vec_rank, lex_rank and rank: for each row (query_id, words, vector)
+    of ``asked`` what ``hybrid`` ranks, all questions in one plan. A question without words,
+    or whose vector has no direction, is searched by the other alone."""
+    if not 1 <= k <= MOST_K or oversample < 1 or rrf_k < 1:
+        raise RetrieveError("k, oversample or rrf_k out of range", {"k": k, "oversample": oversample, "rrf_k": rrf_k})
+    rows = vectors if where is None else vectors.filter(where)
+    near = vector.cosine_topk_batch(rows, key, vector_column, asked.select("query_id", "vector"), k * oversample, own=True)
+    matching = lexical.bm25_many(stored, key, asked.select("query_id", "words"), k * oversample, where)
+    both = near.select("query_id", key, F.col("rank").alias("vec_rank")).join(matching.select("query_id", key, F.col("rank").alias("lex_rank")), ["query_id", key], "full_outer")
+    order = Window.partitionBy("query_id").orderBy(*(by(c) for by, c in _FUSED))
+    return both.withColumn("score", _reciprocal(rrf_k)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def hydrated(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """What the rows of ``rows`` hold for the short list ``found``; keys without a row go."""
     return F.broadcast(found).join(rows, key)

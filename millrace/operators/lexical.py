@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import RetrieveError, StoreError
@@ -43,6 +43,22 @@ def postings(rows: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = (
     return found.groupBy("term", key, *keep, "dl").agg(F.count("*").cast("int").alias("tf"))
 
 
+def placed_postings(rows: DataFrame, key: str, fields: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, key, what else is kept, field, dl (tokens of all fields), tf and positions (from 0,
+    ascending) of every term of every field; ``fields`` names the column of each."""
+    tokens = F.array(*(F.struct(F.lit(name).alias("field"), t.terms(F.coalesce(F.col(column), F.lit(""))).alias("tokens")) for name, column in fields.items()))
+    each = rows.select(key, *keep, tokens.alias("each")).withColumn("dl", F.aggregate("each", F.lit(0), lambda n, f: n + F.size(f["tokens"])))
+    found = each.select(key, *keep, "dl", F.inline("each")).select(key, *keep, "dl", "field", F.posexplode("tokens").alias("at", "term"))
+    grouped = found.groupBy("term", key, *keep, "field", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    return grouped.select("term", key, *keep, "field", "dl", F.size("positions").alias("tf"), "positions")
+
+
+def merged(placed: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of all fields taken together, as ``postings`` gives them; a condition on terms
+    is applied before."""
+    return placed.groupBy("term", key, *keep, "dl").agg(F.sum("tf").cast("int").alias("tf"))
+
+
 def term_statistics(rows: DataFrame, *columns: str) -> DataFrame:
     """term, df (rows that have it) and cf (times it occurs). Rows are counted by the first of
     a term's places in each, so that only terms are shuffled, and these after partial sums."""
@@ -93,10 +109,15 @@ def _checked(words: list[str], k: int | None) -> None:
         raise StoreError("a query needs a term")
 
 
-def _part(n: Column, tf: Column) -> Column:
-    """What a term adds to a row's score, beside the columns N, avgdl and dl."""
+def weight(n: Column) -> Column:
+    """What a term that n rows have counts, beside the column N."""
     idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
-    return F.when(idf > 0, idf).otherwise(LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return F.when(idf > 0, idf).otherwise(LEAST_IDF)
+
+
+def part(n: Column, tf: Column) -> Column:
+    """What a term adds to a row's score, beside the columns N, avgdl and dl."""
+    return weight(n) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def bm25(stored: tuple[DataFrame, DataFrame], key: str, words: list[str], k: int | None = 10, where: Column | None = None, every: bool = False, places: int = 6) -> DataFrame:
@@ -110,11 +131,57 @@ def bm25(stored: tuple[DataFrame, DataFrame], key: str, words: list[str], k: int
     totals = stored[1].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     hits = asked if where is None else asked.filter(where)
     weighed = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row for each word, one row
-    found = weighed.groupBy(key).agg(F.round(F.sum(_part(F.col("n_rows"), F.col("tf"))), places).alias("score"), F.count("*").alias("n_words"))
+    found = weighed.groupBy(key).agg(F.round(F.sum(part(F.col("n_rows"), F.col("tf"))), places).alias("score"), F.count("*").alias("n_words"))
     ranked = (found.filter(F.col("n_words") == len(words)) if every else found).select(key, "score").orderBy(F.desc("score"), key)
     return ranked if k is None else ranked.limit(k)
 
 
+#: Parts that a common term's postings are dealt to, and what scores may be off by.
+SALTS, SLACK = 8, 2e-6
+
+
+def bm25_many(stored: tuple[DataFrame, DataFrame], key: str, asked: DataFrame, k: int = 10, where: Column | None = None, places: int = 6) -> DataFrame:
+    """query_id, key, score and rank: for each row (query_id, words) of ``asked`` the k best
+    rows with any of its words, as ``bm25`` finds them one query after the other.
+
+    All questions are one table of terms that meets the postings, dealt by term and a part of
+    the keys, so no term's postings are one task's. Common terms are not asked of all rows: a
+    question's rare terms give its k-th score at least; terms whose most parts add up to less
+    cannot make a row enter, and are added to rows that others have found.
+    """
+    if k < 1:
+        raise RetrieveError("k must be at least 1", {"k": k})
+    totals = F.broadcast(stored[1].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")))  # one row
+    terms = asked.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
+    held = stored[0].join(terms.select("term").distinct(), "term", "left_semi").crossJoin(totals)
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    counted = held.groupBy("term", "N").agg(F.count("*").alias("n_rows"), F.max(gain).alias("most"))
+    counted = counted.select("term", "n_rows", weight(F.col("n_rows")).alias("weight"), (weight(F.col("n_rows")) * F.col("most")).alias("bound"), (F.col("n_rows") <= F.col("N") / 100).alias("rare"))
+    weighed = terms.join(counted, "term")
+    hits = (held if where is None else held.filter(where)).select("term", key, gain.alias("gain"))
+
+    def added(some: DataFrame) -> DataFrame:
+        """query_id, key and what these terms of a question add to it."""
+        salted = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+        return found.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("gain")).alias("part"))
+
+    by_query = Window.partitionBy("query_id")
+    placed = weighed.withColumn("place", F.row_number().over(by_query.orderBy("n_rows", "term")))
+    first = added(placed.filter("rare or place = 1").drop("place"))
+    best = first.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("part")))).filter(F.col("place") <= k)
+    least = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("least"))
+    known = weighed.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    summed = F.sum("bound").over(by_query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("helps", summed >= F.col("least") - SLACK)
+    idle = known.filter("not helps").select("query_id", "term", "weight", "bound")
+    limits = known.groupBy("query_id").agg(F.first("least").alias("least"), F.sum(F.when(F.col("helps"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    found = added(known.filter("helps")).join(limits, "query_id").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query_id", key, "part")
+    more = found.drop("part").join(idle, "query_id").join(hits, ["term", key]).select("query_id", key, (F.col("weight") * F.col("gain")).alias("part"))
+    scored = found.unionByName(more).groupBy("query_id", key).agg(F.round(F.sum("part"), places).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+
+
 def bm25_scan(rows: DataFrame, key: str, columns: tuple[str, ...], words: list[str], k: int | None = 10, where: Column | None = None, match: Column | None = None, places: int = 6) -> DataFrame:
     """As ``bm25``, for a table without an index. ``match`` (default: any of the words) is a
     condition on the column tokens that says which rows count as found."""
@@ -126,8 +193,8 @@ def bm25_scan(rows: DataFrame, key: str, columns: tuple[str, ...], words: list[s
     counted = tokens.select(*kept, F.size("tokens").alias("dl"), *counts, *([] if match is None else [match.alias("matches")]))
     totals = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(words))))
     scored = counted.crossJoin(F.broadcast(totals))  # one row
-    part = lambda i: F.when(F.col(f"tf{i}") > 0, _part(F.col(f"n{i}"), F.col(f"tf{i}"))).otherwise(0.0)
-    score = F.round(reduce(lambda a, b: a + b, map(part, range(len(words)))), places).alias("score")
+    one = lambda i: F.when(F.col(f"tf{i}") > 0, part(F.col(f"n{i}"), F.col(f"tf{i}"))).otherwise(0.0)
+    score = F.round(reduce(lambda a, b: a + b, map(one, range(len(words)))), places).alias("score")
     found = scored.filter(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(words)))) if match is None else F.col("matches"))
     if where is not None:
         found = found.filter(where)

@@ -38,16 +38,21 @@ def citation(most: int = SNIPPET, content: str = "content") -> Column:
     return F.struct("path", "start_line", "end_line", "symbol", F.substring(content, 1, most).alias("snippet"))
 
 
-def citations(found: DataFrame, rank: str = "rank", most: int = SNIPPET) -> DataFrame:
-    """Citations of ranked chunks; of equal path and lines the first stays."""
-    first = F.row_number().over(Window.partitionBy("path", "start_line", "end_line").orderBy(rank))
+def citations(found: DataFrame, rank: str = "rank", most: int = SNIPPET, by: tuple[str, ...] = ()) -> DataFrame:
+    """Citations of ranked chunks; of equal path and lines (of one value of ``by``) the first stays."""
+    first = F.row_number().over(Window.partitionBy(*by, "path", "start_line", "end_line").orderBy(rank))
     kept = found.withColumn("n_", first).filter("n_ = 1")
-    return kept.select(rank, citation(most).alias("citation")).orderBy(rank)
+    return kept.select(*by, rank, citation(most).alias("citation")).orderBy(*by, rank)
 
 
-def context(found: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row (or one for each value of ``by``): the ranked chunks as text for a prompt, best first."""
+def blocks(found: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of ``by``): the ranked chunks as texts, best first."""
     header = F.concat_ws(" ", F.concat("path", F.lit(", lines "), "start_line", F.lit("-"), "end_line"), F.concat(F.lit("in "), "symbol"))
     block = F.struct(rank, F.concat_ws("\n", header, "content").alias("block"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n\n")
-    return found.groupBy(*by).agg(F.when(F.count("*") == 0, "Nothing in the index matches the question.").otherwise(joined).alias("context"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]).alias("blocks"))
+
+
+def context(found: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """The ranked chunks as one text for a prompt, as ``blocks`` gives them."""
+    joined = F.when(F.size("blocks") == 0, "Nothing in the index matches the question.").otherwise(F.array_join("blocks", "\n\n"))
+    return blocks(found, rank, by).select(*by, joined.alias("context"))

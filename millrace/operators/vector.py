@@ -17,67 +17,96 @@ MOST_QUERIES = 4096
 
 
 def checked(vectors: DataFrame, column: str, dimension: int) -> DataFrame:
-    """Fails, when rows are read, on a vector of another length."""
-    right = F.size(column) == dimension
+    """Fails, when rows are read, on a vector of another number of components; null is none."""
+    right = F.col(column).isNull() | (F.size(column) == dimension)
     return vectors.withColumn(column, F.when(right, F.col(column)).otherwise(F.raise_error(F.lit(f"vectors must have {dimension} components")).cast(vectors.schema[column].dataType)))
 
 
+def has_direction(query: list[float]) -> bool:
+    """Whether a vector can be compared by cosine: it has a length, and that is finite."""
+    return bool(np.isfinite(query).all() and np.any(query))
+
+
 def cosine_topk(vectors: DataFrame, key: str, column: str, query: list[float], k: int = 10, where: Column | None = None, places: int = 9) -> DataFrame:
     """key and score of the k rows nearest to one vector; ties go to the smaller key.
 
-    A condition on rows is applied before the search, so it can prune the scan.
+    A condition on rows is applied before the search, so it can prune the scan. Null vectors,
+    those of length zero and those with null or non-finite components have no score and are
+    left out, and a query vector of length zero finds nothing. A vector of another number of
+    components fails the search.
     """
+    asked_for(query, k)
+    rows = checked(vectors if where is None else vectors.filter(where), column, len(query))
+    asked = F.array(*(F.lit(float(x)) for x in query))
+    score = F.round(t.cosine(F.col(column), asked), places)
+    scored = rows.filter(F.col(column).isNotNull() & F.lit(has_direction(query))).select(key, score.alias("score"))
+    return scored.filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def asked_for(query: list[float], k: int) -> None:
     if k < 1:
         raise RetrieveError("k must be at least 1", {"k": k})
     if not query:
         raise StoreError("a query vector needs components")
-    rows = vectors if where is None else vectors.filter(where)
-    asked = F.array(*(F.lit(float(x)) for x in query))
-    score = F.round(t.cosine(F.col(column), asked), places)
-    return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, places: int, with_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Queries, rows and scores: of each unit query's rows at least the k best, ties with the last of them too."""
-    score = np.round(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T, places)
-    score[ids[:, None] == own[None, :]] = -np.inf
+    with np.errstate(all="ignore"):
+        score = np.round(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T, places)
+    score[~np.isfinite(score)] = -np.inf
+    if not with_own:
+        score[ids[:, None] == own[None, :]] = -np.inf
     keep = min(k, len(own))
     edge = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
     row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
     return ids[row], own[col], score[row, col]
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+def _rows(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows, null components as not a number; all have as many components."""
+    each = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = width or (int(each[0]) if len(each) else 1)
+    if (each != width).any():
+        raise ValueError(f"vectors must have {width} components")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row without direction scores nothing."""
+    with np.errstate(all="ignore"):
+        return q / np.sqrt((q * q).sum(axis=1, keepdims=True))
 
 
-def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9, most: int = MOST_QUERIES) -> DataFrame:
+def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9, most: int = MOST_QUERIES, own: bool = False) -> DataFrame:
     """query_id, key, score and rank for each row (query_id, vector) of ``queries``.
 
     Up to ``most`` queries are sent to every task, where each batch of rows is one matrix
     product, of which k rows for each query go on. More of them are dealt into tiles and the
     rows into shards, and each tile meets each shard in a task of its own. A window ranks what
-    is left. A row with the query's own id is left out.
+    is left. A row with the query's own id is left out, unless ``own`` asks for it too, as where
+    queries are no rows. Vectors without a score are left out as in ``cosine_topk``, also as queries.
     """
+    kind = vectors.schema[key].dataType.simpleString()
+    vectors, queries = vectors.filter(F.col(column).isNotNull()), queries.filter(F.col("vector").isNotNull())
     asked = queries.select("query_id", "vector").limit(most + 1).collect()
-    shape = f"query_id long, {key} long, score double"
+    shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     if len(asked) > most:
-        found = _tiled(vectors.select(F.col(key).alias("key"), F.col(column).alias("x")), queries, key, k, places, most, shape)
+        found = _tiled(vectors.select(F.col(key).alias("key"), F.col(column).alias("x")), queries, key, k, places, most, shape, own)
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    ids = np.array([r[0] for r in asked], np.int64)
-    q = np.array([r[1] for r in asked], np.float64).reshape(len(ids), -1)
-    q = q / np.sqrt((q * q).sum(axis=1, keepdims=True)) if len(ids) else q
+    ids = pa.array([r[0] for r in asked]).to_numpy(zero_copy_only=False) if asked else np.zeros(0, np.int64)
+    q = _unit(_rows(pa.array([r[1] for r in asked], pa.list_(pa.float64())))) if asked else np.zeros((0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch) and len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _best(ids, q, batch.column(0).to_numpy(), _rows(batch.column(1)), k, places)], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _best(ids, q, batch.column(0).to_numpy(zero_copy_only=False), _rows(batch.column(1), q.shape[1]), k, places, own)], names=["query_id", key, "score"])
 
     return vectors.select(key, column).mapInArrow(run, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, most: int, shape: str) -> DataFrame:
+def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, most: int, shape: str, with_own: bool) -> DataFrame:
     tiles, shards = (-(-frame.count() // most) for frame in (queries, rows))
     tile, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)), F.pmod(F.xxhash64("key"), F.lit(max(1, shards)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
@@ -88,9 +117,9 @@ def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, m
         q, x = (_rows(t.combine_chunks().column(c).combine_chunks()) if len(t) else np.zeros((0, 1)) for t, c in ((left, "vector"), (right, "x")))
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(x):
-            q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+            q = _unit(q)
             ids, own = left["query_id"].to_numpy(), right["key"].to_numpy()
-            out += [_best(ids[i : i + 256], q[i : i + 256], own, x, k, places) for i in range(0, len(q), 256)]
+            out += [_best(ids[i : i + 256], q[i : i + 256], own, x, k, places, with_own) for i in range(0, len(q), 256)]
         return pa.table({name: pa.array(np.concatenate([o[i] for o in out])) for i, name in enumerate(("query_id", key, "score"))})
 
     return asked.groupBy("tile", "shard").cogroup(held.groupBy("tile", "shard")).applyInArrow(meet, shape)

@@ -30,6 +30,10 @@ class Message:
     name: str | None = None
 
 
+#: The name of messages that hold a retrieved block each.
+BLOCK = "context"
+
+
 @dataclass(frozen=True)
 class Tool:
     name: str
@@ -103,14 +107,13 @@ class ScriptedChat:
 
 
 class ExtractChat(ScriptedChat):
-    """Answers with the first retrieved block."""
+    """Answers with the first retrieved block, which comes as a message of its own."""
 
     def __init__(self):
         super().__init__([Reply()])
 
     def chat(self, messages: list[Message], tools: list[Tool]) -> Reply:
-        context = next((m.content for m in reversed(messages) if m.role == "user"), "").partition("\n\nContext:\n")[2]
-        block = context.split("\n\n", 1)[0] if context.startswith("[") else ""
+        block = next((m.content for m in messages if m.name == BLOCK), "")
         return Reply(block, usage=Usage(sum(len(m.content.split()) for m in messages), len(block.split())), finish_reason="stop")
 
 

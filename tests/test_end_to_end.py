@@ -92,6 +92,60 @@ def test_ask_with_tools(index):
     assert agents.Agent(index, looping, "r", max_tool_rounds=2).ask("load?").text == agents.DECLINED and len(looping.asked) == 3
 
 
+def test_the_default_model_answers_with_the_first_block(index):
+    answer = agents.Agent(index, providers.chat_model("extract"), "r").ask("where is save of a path and text")
+    assert answer.text.startswith("src/alpha.py, lines ") and "def save(path, text):" in answer.text and answer.citations
+    assert agents.Agent(index, providers.chat_model("extract"), "r").ask("???").text == agents.DECLINED  # no term, no direction
+
+
+def test_match_texts_of_an_index(index):
+    symbols = {r.chunk_id: r.symbol for r in index.chunks.read().collect()}
+    names = lambda text: sorted(filter(None, (symbols[r.chunk_id] for r in index.match(text).collect())))
+    assert names("symbol: load") == ["load"] and names('"open path"') == ["load", "save"] and names("return NOT open") == ["Store", "fetch", "helper"]
+    assert names("sym*") == [] and names("symbol: sto*") == ["Store"]
+
+
+def test_a_flush_rewrites_touched_buckets_only(spark, tmp_path):
+    made = Index(spark, str(tmp_path / "index"), providers.HashingEmbedder(8))
+    row = lambda i: ("%032d" % i, "r", f"p{i}.txt", "text", "block", None, 1, 2, f"text number {i}", "%08d" % i)
+    from millrace.schema import CHUNKS
+
+    frame = lambda ids: spark.createDataFrame([row(i) for i in ids], CHUNKS)
+    assert made.add(frame(range(200)))["chunks_embedded"] == 200
+    files = lambda: {p: p.stat().st_mtime_ns for name in ("chunks", "vectors", "postings", "lengths") for p in (tmp_path / "index" / name).rglob("*.parquet")}
+    before = files()
+    assert made.add(frame(range(100)))["chunks_cached"] == 100 and files() == before  # nothing new: nothing is written
+    made.add(frame([500]))
+    after = files()
+    touched = {p.parent for p in set(before) ^ set(after)}
+    assert len(touched) == 4 and made.chunks.count() == 201 == made.vectors.count() and len({p.parent for p in after}) > 40
+    gone = frame(range(150)).filter("chunk_id < '%032d'" % 150)
+    assert made.add(gone, prune=True)["chunks_pruned"] == 51 and made.lengths.count() == 150
+
+
+def test_rows_without_a_repository_are_refused(spark, tmp_path):
+    from millrace.operators import store
+
+    table = store.Table(spark, str(tmp_path / "t"), "repo_id string, chunk_id string, n int")
+    make = lambda *rows: spark.createDataFrame(list(rows), "repo_id string, chunk_id string, n int")
+    assert table.upsert(make(("r", "a", 1), ("s", "b", 2))) == 2
+    for bad in (None, ""):
+        with pytest.raises(Exception, match="a row needs a repo_id"):
+            table.upsert(make((bad, "z", 3)))
+    table.upsert(make(("r", "a", 4)))
+    assert {tuple(r) for r in table.read().select("repo_id", "chunk_id", "n").collect()} == {("r", "a", 4), ("s", "b", 2)}
+    table.swap(make().limit(0), make(("r", "a", 0)).select("repo_id", "chunk_id"))
+    assert [tuple(r) for r in table.read().collect()] == [("s", "b", 2)] or table.count() == 1
+
+
+def test_many_questions_in_one_job(spark, index):
+    questions = [("q1", "where is load of a path"), ("q2", "fetch a key of rows"), ("q3", "???"), ("q4", "helper")]
+    many = index.retrieve_many(spark.createDataFrame(questions, "query_id string, question string"), 3).collect()
+    for name, text in questions:
+        one = [(r.chunk_id, r.score, r["rank"]) for r in index.retrieve(text, 3).collect()]
+        assert sorted(((r.chunk_id, r.score, r["rank"]) for r in many if r.query_id == name), key=lambda x: x[2]) == one
+
+
 def test_stream_of_tokens(index):
     chat = providers.ScriptedChat([providers.Reply("two words", usage=providers.Usage(1, 2))])
     events = list(agents.Agent(index, chat, "r").ask_stream("what is fetch"))

@@ -111,3 +111,39 @@ def test_many_queries_are_dealt_into_tiles(spark):
     asked = rows.filter("vec_id % 2 = 0").selectExpr("vec_id as query_id", "x as vector")
     one, tiled = (sorted(map(tuple, vector.cosine_topk_batch(rows, "vec_id", "x", asked, 4, most=most).collect())) for most in (100, 7))
     assert one == tiled and len(one) == 45 * 4
+
+
+def test_vectors_without_direction_and_of_another_length(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.5, 0.5]), (5, [float("nan"), 1.0]), (6, [None, 1.0])], "id long, v array<double>")
+    assert [(r.id, r.score) for r in vector.cosine_topk(rows, "id", "v", [2.0, 0.0], 9).collect()] == [(1, 1.0), (4, 0.707106781)]
+    assert vector.cosine_topk(rows, "id", "v", [0.0, 0.0], 9).count() == 0
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (7, [0.0, 0.0]), (8, None)], "query_id long, vector array<double>")
+    for most in (100, 2):
+        got = vector.cosine_topk_batch(rows, "id", "v", asked, 3, most=most).collect()
+        assert [(r.query_id, r.id, r.score) for r in got] == [(1, 4, 0.707106781)]
+        both = vector.cosine_topk_batch(rows, "id", "v", asked, 3, most=most, own=True).collect()
+        assert sorted((r.query_id, r.id) for r in both) == [(1, 1), (1, 4)]
+    for bad in ([1.0], [1.0, 2.0, 3.0]):
+        with pytest.raises(Exception, match="components"):
+            vector.cosine_topk(rows, "id", "v", bad, 2).collect()
+        with pytest.raises(Exception, match="components"):
+            vector.cosine_topk_batch(rows, "id", "v", spark.createDataFrame([(1, bad)], "query_id long, vector array<double>"), 2).collect()
+
+
+def test_many_questions_are_each_answered_as_alone(spark):
+    import random
+
+    rnd = random.Random(3)
+    bank = [f"w{i}" for i in range(40)]
+    texts = [(i, "r" + str(i % 2), " ".join(["the"] * rnd.randint(0, 3) + rnd.choices(bank, k=rnd.randint(1, 30)))) for i in range(150)]
+    docs = spark.createDataFrame(texts, "id long, repo_id string, content string")
+    stored = (lexical.postings(docs, "id", "content", keep=("repo_id",)).cache(), lexical.lengths(docs, "id", "content", keep=("repo_id",)).cache())
+    questions = [(n, rnd.sample(["the", "absent", *bank], rnd.randint(1, 6))) for n in range(12)] + [(50, []), (51, ["absent"]), (52, ["the", "the"])]
+    asked = spark.createDataFrame(questions, "query_id long, words array<string>")
+    from pyspark.sql import functions as F
+
+    for where in (None, F.col("repo_id") == "r1"):
+        many = lexical.bm25_many(stored, "id", asked, 5, where).collect()
+        for n, words in questions:
+            one = [tuple(r) for r in lexical.bm25(stored, "id", words, 5, where).collect()] if words else []
+            assert [(r.id, r.score) for r in sorted(many, key=lambda r: r["rank"]) if r.query_id == n] == one
