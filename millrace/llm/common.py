@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,6 +222,15 @@ class Sieve:
             out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
+    def lets(self, name: Column) -> Column:
+        """has() as a column; only the names go to Python."""
+
+        @F.pandas_udf("boolean")
+        def held(names: pd.Series) -> pd.Series:
+            return pd.Series(self.has(names.to_numpy()))
+
+        return held(name)
+
 
 #: Bits of each name, and the most bits of a sieve (16 MB).
 SIEVE_HASHES, SIEVE_BITS = 2, 1 << 27

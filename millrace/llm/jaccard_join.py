@@ -7,21 +7,23 @@ a few spare ones, and meet where they hold the same: a meeting is named by the s
 the group and the hash of what is in it. Groups of less than ``LIGHT`` elements name no
 meeting, unless a set has more of them than there are spare ones.
 
-Within a meeting every set is a point of ``GROUPS`` counts in an R-tree that is loaded in
-bulk. The overlap of two sets is at most the sum of the smaller counts, coordinate by
+Within a meeting every set is a point of group counts in an R-tree that is loaded in bulk;
+larger sets have more groups, which are added up where they meet a smaller one's. The overlap of two sets is at most the sum of the smaller counts, coordinate by
 coordinate, so a box whose upper corner does not reach the overlap that is asked for is left
-out with all its points; what is left is compared element by element. Links are kept as a
-spanning star, and what is linked already is not compared again, so a large group of near
-copies costs about as much as it has members.
+out with all its points. Points meet first; only the sets whose point has another one in
+reach are then fetched and compared element by element. Links are kept as a spanning star,
+and what is linked already is not compared again, so a large group of near copies costs
+about as much as it has members.
 
-Meetings are held in three rounds of ever more groups. After each the sets that are known to
+Meetings are held in three rounds of ever more groups, and no two sets meet for what they share
+in a later one. After each the sets that are known to
 be linked share a label, and a meeting that only one label is left in, or whose members have
 met under another name, is not held. A meeting of more than ``TILE_BYTES`` is cut into tiles:
 each meets by itself, then one set of every label meets the others of its kind, then what is
 outside the largest label meets all.
 
-Texts are read twice and never move: once for the keys of their groups, and once for the sets
-of those that meet others, which a bitmap of bounded size picks out.
+Texts never move: they are read once for keys and points, and once in each round for the sets
+of those whose points are in reach, which a bitmap of bounded size picks out.
 
 Defined results: null and empty texts and those without words have an empty set, and are
 linked with nothing, not even each other. Fewer words than a shingle has are one shingle.
@@ -40,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, join_hubs, pieces, sieve, slices, utf8
+from millrace.llm.common import Sieve, checkpoint, join_hubs, pieces, sieve, slices, utf8
 from millrace.llm.components import components, local_roots
 from millrace.llm.paragraphs import _LOWER, _MIX, _mixed, _word_hashes, word_starts
 
 WIDTH, PERCENT = 3, 90
-#: Coordinates of a point; points of a leaf and boxes of a node of the tree.
-GROUPS, LEAF, FAN = 32, 32, 16
+#: Fewest and most coordinates of a point, elements for each; points of a leaf and boxes of a node of the tree.
+GROUPS, MOST_GROUPS, EACH = 64, 1 << 16, 4
+LEAF, FAN = 32, 16
 #: Fewer elements of a group name no meeting where it can be helped.
 LIGHT = 3
 #: Groups of the first and of the second round; the third has the rest.
@@ -134,7 +137,7 @@ class Cuts:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _named(own: np.ndarray) -> tuple[int, int]:
+def named_set(own: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist())
 
 
@@ -145,7 +148,7 @@ def _described(width: int, percent: int):
             raw, offsets = utf8(batch.column(1))
             for begin, end in slices(offsets):
                 sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
-                names = [_named(own) for own in sets]
+                names = [named_set(own) for own in sets]
                 keys = []
                 for own, name in zip(sets, names):  # of equal sets of a task one has keys
                     keys.append(np.zeros(0, np.uint64) if name in seen else cuts.keys(own))
@@ -153,32 +156,33 @@ def _described(width: int, percent: int):
                 at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 both = np.array(names, np.int64).reshape(-1, 2)
                 columns = [batch.column(0).slice(begin, end - begin), *(pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)), pa.array(np.array([len(s) for s in sets], np.int64)), batch.column(2).slice(begin, end - begin)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "a", "b", "n", "row_hash", "keys"])
+                points = pa.array([packed_point(own) if len(k) else None for own, k in zip(sets, keys)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, points, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "a", "b", "n", "row_hash", "point", "keys"])
 
     return run
 
 
-def _kept_sets(width: int, wanted):
-    """a, b, n and shingles of the rows that the sieve lets through."""
+def kept_sets(texts: DataFrame, width: int, wanted: Sieve) -> DataFrame:
+    """sid, a, b and shingles of the rows (text, row_hash) that the sieve lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.has(batch.column(1).to_numpy())))
             raw, offsets = utf8(batch.column(0))
             for begin, end in slices(offsets):
                 sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
                 rows = []
                 for own in sets:
-                    if (name := _named(own)) not in seen:
+                    if (name := named_set(own)) not in seen:
                         seen.add(name)
-                        rows.append((*name, len(own), own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "n", "shingles"])
+                        rows.append((*name, own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "shingles"])
 
-    return run
+    found = texts.filter(wanted.lets(F.col("row_hash"))).select("text").mapInArrow(run, "a long, b long, shingles binary")
+    return found.select(sid().alias("sid"), "a", "b", "shingles")
 
 
-def _kept_keys(wanted):
+def _kept_keys(wanted: Sieve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
@@ -190,6 +194,27 @@ def _kept_keys(wanted):
     return run
 
 
+def point_of(own: np.ndarray) -> np.ndarray:
+    groups = GROUPS
+    while groups < min(MOST_GROUPS, len(own) // EACH):
+        groups *= 2
+    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def packed_point(own: np.ndarray) -> bytes:
+    """A point's counts as bytes; the first says how many each count takes."""
+    point = point_of(own)
+    each = 1 if point.max(initial=0) < 256 else 4
+    return bytes([each]) + point.astype(f"<u{each}").tobytes()
+
+
+def together(points: list[bytes]) -> np.ndarray:
+    """Points as rows of as many groups as the shortest has; further ones are added up."""
+    rows = [np.frombuffer(p, f"<u{p[0]}", offset=1) for p in points]
+    groups = min(map(len, rows))
+    return np.stack([row.reshape(-1, groups).sum(axis=0, dtype=np.int32) for row in rows])
+
+
 class CountTree:
     """An R-tree over points of counts, loaded in bulk: points are split at the median of the
     widest coordinate down to leaves. A box is its upper corner, and its sets' least and most
@@ -279,19 +304,15 @@ def _linked_here(percent: int):
         order = np.lexsort((b, a, key))
         new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
         order = order[new]  # rows of one set and meeting
-        chosen = table["shingles"].take(pa.array(order)).combine_chunks()
-        raw, offsets = utf8(chosen)
-        flat = raw.view(np.uint64) if raw.flags.aligned and raw.ctypes.data % 8 == 0 else np.frombuffer(raw.tobytes(), np.uint64)
-        size = np.diff(offsets) // 8
-        at = offsets // 8
-        owner = np.repeat(np.arange(len(size)), size)
-        points = np.bincount(owner * GROUPS + (flat & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+        raw, offsets = utf8(table["shingles"].take(pa.array(order)).combine_chunks())
+        flat, size, at = np.frombuffer(raw.tobytes(), np.uint64), np.diff(offsets) // 8, offsets // 8
+        points = table["point"].take(pa.array(order)).to_pylist()
         key, a, b, label = key[order], a[order], b[order], label[order]
         ends = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         out: list[tuple[int, int]] = []
         for s, e in zip(ends[:-1], ends[1:]):
             if e - s > 1:
-                out += [(s + i, s + j) for i, j in linked([flat[at[r] : at[r + 1]] for r in range(s, e)], points[s:e], size[s:e], label[s:e], percent)]
+                out += [(s + i, s + j) for i, j in linked([flat[at[r] : at[r + 1]] for r in range(s, e)], together(points[s:e]), size[s:e], label[s:e], percent)]
         nodes, node = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
         node = node.ravel()
         u, v = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
@@ -303,23 +324,75 @@ def _linked_here(percent: int):
     return run
 
 
-def _sid(a: str = "a", b: str = "b") -> Column:
+def sid(a: str = "a", b: str = "b") -> Column:
     """A set's name as one number; two sets of one number would only meet more others."""
     return F.xxhash64(a, b)
 
 
-def _meet(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the sets (sid, label) that share a key."""
-    size = rows.agg(F.sum(8 * F.col("n"))).first()[0] or 0
-    held = rows.drop("n").join(sets, "sid").withColumn("part", F.pmod("key", F.lit(pieces(size, TILE_BYTES, 12))))
-    return held.select("part", "key", "a", "b", "label", "shingles").groupBy("part").applyInArrow(_linked_here(percent), f"u {NODE}, v {NODE}")
+def _in_reach(percent: int):
+    """The rows of each key whose point has one in reach that has another label, and that it
+    has not met before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, label, size = (table[c].to_numpy() for c in ("key", "label", "n"))
+        order = np.argsort(key, kind="stable")
+        every = table["point"].to_pylist()
+        before = [frozenset(x or ()) for x in table["before"].to_pylist()]
+        ends = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
+        kept: list[int] = []
+        for s, e in zip(ends[:-1], ends[1:]):
+            rows = order[s:e]
+            if e - s > 1:
+                points = together([every[r] for r in rows])
+                tree = CountTree(points, size[rows], percent) if e - s > 2 else None
+                for i, r in enumerate(rows):
+                    near = rows[tree.near(points[i], size[r])] if tree else rows[[1 - i]] if _reaches(points, size[rows], percent) else rows[:0]
+                    near = near[label[near] != label[r]]
+                    if any(before[r].isdisjoint(before[other]) for other in near):
+                        kept.append(r)
+        return table.select(["key", "sid", "label", "n"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def _reaches(two: np.ndarray, size: np.ndarray, percent: int) -> bool:
+    return (100 + percent) * int(np.minimum(two[0], two[1]).sum()) >= percent * int(size.sum())
+
+
+class Known:
+    """What is known of sets: their points (sid, a, b, n, one: the hash of a row that has it, and
+    point), a written table, and the texts (text, row_hash) that the sets are cut from anew."""
+
+    def __init__(self, points: DataFrame, texts: DataFrame, width: int):
+        self.points, self.texts, self.width = points, texts, width
+
+    def sets(self, some: DataFrame) -> DataFrame:
+        """sid, a, b, point and shingles of the sets that the rows name, and few others."""
+        wanted = checkpoint(self.points.join(some.select("sid").distinct(), "sid", "left_semi").select("one"))
+        found = kept_sets(self.texts, self.width, sieve(wanted, "one", wanted.count()))
+        return found.join(self.points.select("a", "b", "point"), ["a", "b"])
+
+
+def _meet(rows: DataFrame, known: Known, percent: int, before: DataFrame | None) -> DataFrame:
+    """Links of the sets (sid, label, n) that share a key."""
+    bytes_ = lambda each: lambda of: of.agg(F.sum(each)).first()[0] or 0
+    points, sets = bytes_(F.greatest(F.lit(GROUPS), F.col("n") / 2) + 40), bytes_(8 * F.col("n"))
+    part = lambda size: F.pmod("key", F.lit(pieces(size, TILE_BYTES, 12))).alias("part")
+    own = known.points.select("sid", "point")
+    own = own.withColumn("before", F.lit(None).cast("array<long>")) if before is None else own.join(before, "sid", "left")
+    held = rows.join(own, "sid").select(part(points(rows)), "key", "sid", "label", "n", "point", "before")
+    near = checkpoint(held.groupBy("part").applyInArrow(_in_reach(percent), "key long, sid long, label long, n long"))
+    if near.isEmpty():  # no text is read
+        return rows.sparkSession.createDataFrame([], f"u {NODE}, v {NODE}")
+    held = near.join(known.sets(near), "sid").select(part(sets(near)), "key", "a", "b", "label", "point", "shingles")
+    return held.groupBy("part").applyInArrow(_linked_here(percent), f"u {NODE}, v {NODE}")
 
 
 def _labelled(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     """rows with label: equal ones are linked."""
     if edges is None:
         return rows.withColumn("label", F.col("sid"))
-    first = edges.groupBy(_sid("u.a", "u.b").alias("sid")).agg(F.min(_sid("v.a", "v.b")).alias("label"))
+    first = edges.groupBy(sid("u.a", "u.b").alias("sid")).agg(F.min(sid("v.a", "v.b")).alias("label"))
     first = checkpoint(first)
     further = first.join(first.select(F.col("sid").alias("label"), F.col("label").alias("next")), "label", "left").select("sid", F.coalesce("next", "label").alias("label"))
     return rows.join(further, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -340,8 +413,10 @@ def _pairs_of_tiles(rows: DataFrame, tiles: str) -> DataFrame:
     return rows.select("key", "sid", "label", "n", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.i", "cell.j").alias("key"), "sid", "label", "n")
 
 
-def _round(held: DataFrame, edges: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
-    """edges with those that the meetings of a round add."""
+def met(held: DataFrame, edges: DataFrame | None, known: Known, percent: int, before: DataFrame | None = None) -> DataFrame | None:
+    """edges (u, v) with those that the meetings (key, sid, n) of a round add, so that they
+    connect whatever similar sets of one meeting connect. ``before`` (sid, before) has the keys
+    under which sets have met in earlier rounds, which need not meet again."""
     rows = checkpoint(_labelled(held, edges))
     found = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("sid")).alias("who"), F.count("*").alias("many"), F.sum(8 * F.col("n")).alias("size"))
     once = checkpoint(found.filter("low < high").groupBy("who", "many", "size").agg(F.min("key").alias("key")).select("key", "many", "size", _tiles(F.col("size")).alias("tiles")))
@@ -349,7 +424,7 @@ def _round(held: DataFrame, edges: DataFrame | None, sets: DataFrame, percent: i
         return edges
     rows = checkpoint(join_hubs(rows, once.select("key", "many", "tiles"), ["key"], "many"))
     more = lambda new: checkpoint(new if edges is None else edges.unionByName(new))
-    edges = more(_meet(rows.select(F.xxhash64("key", _tile("tiles")).alias("key"), "sid", "label", "n"), sets, percent))
+    edges = more(_meet(rows.select(F.xxhash64("key", _tile("tiles")).alias("key"), "sid", "label", "n"), known, percent, before))
     large = rows.filter("tiles > 1").select("key", "sid", "n", "many")
     if large.isEmpty():
         return edges
@@ -357,7 +432,7 @@ def _round(held: DataFrame, edges: DataFrame | None, sets: DataFrame, percent: i
     again = checkpoint(_labelled(large, edges))
     one_each = again.groupBy("key", "label").agg(F.min(F.struct("sid", "n")).alias("one")).select("key", "one.sid", "one.n", "label")
     sizes = one_each.groupBy("key").agg(F.sum(8 * F.col("n")).alias("size"), F.count("*").alias("few")).select("key", "few", _tiles(F.col("size")).alias("tiles"))
-    edges = more(_meet(_pairs_of_tiles(join_hubs(one_each, checkpoint(sizes), ["key"], "few"), "tiles"), sets, percent))
+    edges = more(_meet(_pairs_of_tiles(join_hubs(one_each, checkpoint(sizes), ["key"], "few"), "tiles"), known, percent, before))
     again = checkpoint(_labelled(large, edges))
     sizes = again.groupBy("key", "label").agg(F.sum(8 * F.col("n")).alias("size"))
     most = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("core"), F.sum("size").alias("all"))
@@ -367,31 +442,37 @@ def _round(held: DataFrame, edges: DataFrame | None, sets: DataFrame, percent: i
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     cell = F.xxhash64("key", "i", "j", F.lit("core")).alias("key")
     across = rest.select("key", "sid", "label", "n", _tile("outer").alias("i"), each("inner").alias("j")).unionByName(core.select("key", "sid", "label", "n", each("outer").alias("i"), _tile("inner").alias("j")))
-    return more(_meet(across.select(cell, "sid", "label", "n").unionByName(_pairs_of_tiles(rest, "outer")), sets, percent))
+    return more(_meet(across.select(cell, "sid", "label", "n").unionByName(_pairs_of_tiles(rest, "outer")), known, percent, before))
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Rows (doc_id, a, b, n), classes (a, b, least doc_id, many) of the sets that are not
     empty, and edges (u, v) that connect whatever similar sets connect."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", "doc_id").alias("row_hash"))
-    rows = checkpoint(texts.mapInArrow(_described(width, percent), "doc_id long, a long, b long, n long, row_hash long, keys array<long>"))
-    classes = checkpoint(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"), F.min("row_hash").alias("one")))
-    meetings = rows.select(F.explode("keys").alias("key"), _sid().alias("sid")).groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    rows = checkpoint(texts.mapInArrow(_described(width, percent), "doc_id long, a long, b long, n long, row_hash long, point binary, keys array<long>"))
+    classes = checkpoint(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")))
+    meetings = rows.select(F.explode("keys").alias("key"), sid().alias("sid")).groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
     keys = checkpoint(meetings.filter("low < high").select("key"))
     some = keys.count()
     if not some:
         return rows, classes, None
-    held = rows.filter(F.size("keys") > 0).select("keys", _sid().alias("sid"), "n").mapInArrow(_kept_keys(sieve(keys, "key", some)), "key long, sid long, n long")
+    held = rows.filter(F.size("keys") > 0).select("keys", sid().alias("sid"), "n").mapInArrow(_kept_keys(sieve(keys, "key", some)), "key long, sid long, n long")
     held = checkpoint(held.groupBy("key", "sid").agg(F.min("n").alias("n")))
-    wanted = checkpoint(classes.withColumn("sid", _sid()).join(held.select("sid").distinct(), "sid", "left_semi").select("one"))
-    sets = texts.select("text", "row_hash").mapInArrow(_kept_sets(width, sieve(wanted, "one", wanted.count())), "a long, b long, n long, shingles binary")
-    sets = checkpoint(sets.select(_sid().alias("sid"), "a", "b", "shingles"))
+    known = Known(known_points(rows, held), texts, width)
     edges = None
-    for number in range(len(ROUNDS) + 1):
-        edges = _round(held.filter(F.col("key").bitwiseAND(F.lit(3).cast("long")) == number), edges, sets, percent)
+    number_of = F.col("key").bitwiseAND(F.lit(3).cast("long"))
+    for number in range(len(ROUNDS) + 1):  # the rounds before the last have few groups
+        before = checkpoint(held.filter(number_of < number).groupBy("sid").agg(F.collect_list("key").alias("before"))) if number else None
+        edges = met(held.filter(number_of == number), edges, known, percent, before)
     return rows, classes, edges
 
 
+def known_points(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The points (of ``rows``) of the sets that meet others, each once."""
+    own = rows.filter("point is not null").select(sid().alias("sid"), "a", "b", "n", F.col("row_hash").alias("one"), "point")
+    return checkpoint(own.join(held.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["a", "b"]))
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles (distinct) and component_id (smallest doc_id that links reach) of each row."""
     rows, classes, edges = similar_sets(docs, width, percent)

@@ -118,6 +118,15 @@ def test_the_tree_leaves_out_nothing_that_is_similar():
         assert np.array_equal(np.sort(tree.near(points[q], size[q])), wanted)
 
 
+def test_points_of_larger_sets_have_more_groups_and_add_up():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(1 << 63, size=n).astype(np.uint64)) for n in (70, 3000, 90_000)]
+    points = [jaccard_join.point_of(s) for s in sets]
+    assert [len(p) for p in points] == [64, 1024, 32768] and [p.sum() for p in points] == [len(s) for s in sets]
+    met = jaccard_join.together([jaccard_join.packed_point(s) for s in sets])
+    assert met.shape == (3, 64) and all((row == np.bincount((s & np.uint64(63)).astype(int), minlength=64)).all() for row, s in zip(met, sets))
+
+
 def test_sieve_and_hubs(spark):
     names = spark.range(5000).selectExpr("xxhash64(id) as name", "id")
     made = sieve(names, "name", 5000)
