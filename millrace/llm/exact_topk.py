@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE, SHARD, FAN = 4096, 32768, 16
@@ -94,8 +94,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 64.
     whole = lambda df: valid(df).withColumn("x", F.transform("x", lambda v: _floor(v * scale)))
     q, c = whole(queries), whole(candidates)
     tiles, shards = max(1, -(-q.count() // tile)), max(1, -(-c.count() // shard))
-    q = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "x")
-    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "x")
+    q = q.withColumn("row", F.row_number().over(Window.partitionBy("vec_id").orderBy("x")).cast("long"))  # tells rows of one id apart
+    q = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "row", "x")
+    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("long").alias("row"), "x")
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:
         at, number = key[0].as_py(), key[1].as_py()
@@ -108,8 +109,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 64.
             order = np.argsort(ids[~asks], kind="stable")
             asked = np.argsort(ids[asks], kind="stable")
             mine = ids[asks][asked]
-            # copies of a query row are told apart by their number
-            copy = np.arange(len(mine)) - np.searchsorted(mine, mine)
+            copy = own["row"].to_numpy()[asks][asked]
             if len(order) and len(mine):
                 out.append(_lists(at, number, copy, mine, list(_best(x[asks][asked], x[~asks][order], mine, ids[~asks][order], k))))
         return pa.concat_tables(out) if out else _lists(at, number, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
