@@ -121,3 +121,27 @@ def import_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
     if rows.filter(kind.isNull() | ~kind.isin("node", "edge") | name.isNull()).limit(1).count():
         raise StoreError("not a graph", {"path": path})
     return node, edge
+
+
+NODE = "struct<id: array<string>, node_id: array<string>, name: string, kind: string, path: string, line: int, parent: string>"
+LINK = "struct<source: array<string>, target: array<string>, key: string, kind: string>"
+
+
+def import_node_link(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of node-link documents (JSON, gzipped or not): arrays of nodes, whose id
+    is a path and a name, and of edges or links between ids. Several documents of a folder are
+    read in parallel. What can't be read, or has other ids, is refused."""
+    try:
+        rows = spark.read.schema(f"nodes array<{NODE}>, edges array<{LINK}>, links array<{LINK}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+        found = rows.select(F.inline("nodes"))
+        own = F.coalesce("node_id", "id")
+        node = found.select(own[0].alias("path"), own[1].alias("name"), "kind", "line", "parent", F.monotonically_increasing_id().alias("seq"), F.size(own).alias("size_"))
+        ends = rows.select(F.inline(F.coalesce("edges", "links")))
+        edge = ends.select(*(F.col(f"{a}")[i].alias(f"{b}_{c}") for a, b in (("source", "src"), ("target", "dst")) for i, c in enumerate(("path", "name"))), F.coalesce("kind", "key").alias("kind"), (F.size("source") + F.size("target")).alias("size_"))
+        wrong = rows.filter(F.col("nodes").isNull() | F.coalesce("edges", "links").isNull()).count()
+        wrong += node.filter("size_ <> 2 or name is null or path is null").count() + edge.filter("size_ <> 4").count()
+    except Exception as error:
+        raise StoreError("a graph can't be read", {"path": path, "error": str(error)[:300]}) from error
+    if wrong or not edge.filter(~F.col("kind").isin(*EDGE_KINDS)).isEmpty():
+        raise StoreError("not a graph", {"path": path})
+    return node.drop("size_"), edges(edge.drop("size_"))

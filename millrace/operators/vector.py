@@ -1,4 +1,4 @@
-"""Exact cosine search over a table of vectors."""
+"""Exact cosine search over a table of vectors, or over lists of them that can be skipped."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import RetrieveError, StoreError
@@ -123,3 +123,76 @@ def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, m
         return pa.table({name: pa.array(np.concatenate([o[i] for o in out])) for i, name in enumerate(("query_id", key, "score"))})
 
     return asked.groupBy("tile", "shard").cogroup(held.groupBy("tile", "shard")).applyInArrow(meet, shape)
+
+
+#: What an angle may be off by, as arccos is steep near its ends.
+ANGLE_SLACK = 1e-6
+
+
+class Lists:
+    """Vectors stored in lists around centres, for exact search that skips lists.
+
+    Every vector goes to the centre of the smallest angle; a list's least and largest angle are
+    kept. By the triangle inequality of angles, a query at angle a from a centre finds nothing
+    in its list that is nearer than a minus the largest, or the least minus a. The k-th score
+    of the nearest lists then leaves out all lists whose bound is lower."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def write(self, rows: DataFrame, column: str, dimension: int, lists: int = 256) -> Lists:
+        """Stores the rows that have a direction; at most ``lists`` of them are centres. A vector
+        of another number of components fails the write."""
+        x = F.col(column).cast("array<double>")
+        directed = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
+        kept = checked(rows, column, dimension).select(self.key, x.alias("x")).filter(F.col("x").isNotNull()).filter(directed)
+        chosen = kept.orderBy(F.xxhash64(F.lit(11), self.key), self.key).limit(lists).select("x").collect()
+        centres = _unit(np.array([r[0] for r in chosen], np.float64).reshape(-1, dimension))
+        key, kind = self.key, kept.schema[self.key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = _unit(_rows(batch.column(1), dimension)) @ centres.T if len(batch) else np.zeros((0, 1))
+                own = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(near)), own], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(angle)], names=[key, "x", "list", "angle"])
+
+        placed = kept.mapInArrow(run, f"{self.key} {kind}, x array<double>, list int, angle double")
+        placed.repartition("list").write.partitionBy("list").parquet(f"{self.path}/vectors")
+        stored = self.spark.read.parquet(f"{self.path}/vectors").groupBy("list").agg(F.min("angle").alias("least"), F.max("angle").alias("largest"), F.count("*").alias("n"))
+        centre = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
+        centre.join(stored, "list").coalesce(1).write.parquet(f"{self.path}/centres")
+        return self
+
+    def _bounds(self, query: list[float]) -> list[tuple[float, float, int, int]]:
+        """Of each list, nearest centre first: its angle, its best score at most, number and rows."""
+        rows = self.spark.read.parquet(f"{self.path}/centres").collect()  # as many as lists
+        if not rows:
+            return []
+        if len(rows[0].centre) != len(query):
+            raise StoreError(f"vectors must have {len(rows[0].centre)} components", {"given": len(query)})
+        angle = np.arccos(np.clip(np.array([r.centre for r in rows]) @ _unit(np.array([query], np.float64))[0], -1, 1))
+        gap = np.maximum(0, np.maximum(angle - [r.largest for r in rows], np.array([r.least for r in rows]) - angle) - ANGLE_SLACK)
+        return sorted((float(a), float(b), r.list, r.n) for a, b, r in zip(angle, np.cos(gap), rows))
+
+    def _of(self, lists: list[int]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors").filter(F.col("list").isin(lists)).drop("list", "angle")
+
+    def needed(self, query: list[float], k: int, places: int = 9) -> list[int]:
+        """The lists that can hold one of the k nearest rows."""
+        asked_for(query, k)
+        if not has_direction(query) or not (bounds := self._bounds(query)):
+            return []
+        first, held = [], 0
+        for _, _, number, n in bounds:
+            first.append(number)
+            held += n
+            if held >= k:
+                break
+        found = cosine_topk(self._of(first), self.key, "x", query, k, places=places).collect()
+        least = found[-1].score - 10.0**-places if len(found) == k else -2.0
+        return [number for _, bound, number, _ in bounds if bound >= least]
+
+    def search(self, query: list[float], k: int = 10, places: int = 9) -> DataFrame:
+        """As ``cosine_topk`` over all stored rows."""
+        return cosine_topk(self._of(self.needed(query, k, places)), self.key, "x", query, k, places=places)

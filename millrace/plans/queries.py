@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace import session
 from millrace.functions import text as t
-from millrace.operators import chunking, evaluate, fusion, graph, lexical, lookups, store, vector
+from millrace.operators import chunking, evaluate, fusion, graph, lexical, lookups, match, store, vector
 from millrace.sources import files as source_files
 from millrace.sources import language
 
@@ -89,23 +89,42 @@ def asked_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == VECTOR_OF).select("embedding").first()[0]
 
 
-#: Where the postings of a session's tables are stored, by application and folder.
-_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+#: Where what a session derives from a table is stored, by the table's files and their times.
+_INDEXED: dict[tuple, str] = {}
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of the documents, indexed when they are first asked for."""
-    schemas = "term string, doc_id long, repo_id string, dl int, tf int", "doc_id long, repo_id string, dl int"
-    named = spark.sparkContext.applicationId, sf_dir
+def stored(spark: SparkSession, table_: DataFrame, kind: str, build: Callable[[str], object]) -> str:
+    """The folder of an index of a table, built when it is first asked for, and again when the
+    table's files are others."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    times = [path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getModificationTime() for f in table_.inputFiles()]
+    named = spark.sparkContext.applicationId, kind, *sorted(zip(table_.inputFiles(), times))
     if named not in _INDEXED:
-        root = f"{session.shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
-        paths = f"{root}/postings", f"{root}/lengths"
-        docs = documents(spark, sf_dir)
+        root = f"{session.shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        build(root)
+        _INDEXED[named] = root
+    return _INDEXED[named]
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the documents."""
+    docs = documents(spark, sf_dir)
+
+    def build(root: str) -> None:
         found = lexical.postings(docs, "doc_id", "text", keep=("repo_id",)).select("term", "doc_id", "repo_id", "dl", "tf")
-        found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(paths[0])
-        lexical.lengths(docs, "doc_id", "text", keep=("repo_id",)).write.parquet(paths[1])
-        _INDEXED[named] = paths
-    return tuple(spark.read.schema(s).parquet(p) for s, p in zip(schemas, _INDEXED[named]))
+        found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
+        lexical.lengths(docs, "doc_id", "text", keep=("repo_id",)).write.parquet(f"{root}/lengths")
+
+    root = stored(spark, docs, "lexicon", build)
+    schemas = "term string, doc_id long, repo_id string, dl int, tf int", "doc_id long, repo_id string, dl int"
+    return tuple(spark.read.schema(s).parquet(f"{root}/{name}") for s, name in zip(schemas, ("postings", "lengths")))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> match.Lexicon:
+    """Postings with positions and a dictionary of the documents: fields text and lang."""
+    docs = documents(spark, sf_dir)
+    made = lambda root: match.Lexicon(spark, root, "doc_id", ("text", "lang"), ("repo_id",))
+    return made(stored(spark, docs, "placed", lambda root: made(root).write(docs, text="text", lang="lang")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +247,114 @@ def near_match(spark, sf_dir):
     return lexical.tokenised(table(spark, sf_dir, "documents"), "text").filter(lexical.has_near("from", "was", 5)).select("doc_id")
 
 
+# Match texts: each leaf is a count of a row's terms, and the condition says which must hold.
+
+FIELD_TOKENS = """tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS x,
+  regexp_extract_all(strip_accents(lower(coalesce(lang, ''))), '[\\p{L}\\p{N}]+') AS y FROM documents)"""
+
+
+def match_sql(leaves: list[str], holds: str, plain: list[str] | None = None) -> str:
+    tf = ", ".join(f"{leaf} AS tf{i}, {any_} AS any{i}" for i, (leaf, any_) in enumerate(zip(leaves, plain or leaves)))
+    n = ", ".join(f"count(*) FILTER (any{i} > 0) AS n{i}" for i in range(len(leaves)))
+    idf = "CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
+    parts = " + ".join(f"CASE WHEN tf{i} > 0 THEN {idf.format(i=i)} * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0.0 END" for i in range(len(leaves)))
+    return f"WITH {FIELD_TOKENS}, tf AS (SELECT doc_id, len(x) + len(y) AS dl, {tf} FROM tok), stats AS (SELECT count(*) AS N, avg(dl) AS avgdl, {n} FROM tf) SELECT doc_id, round({parts}, 6) AS score FROM tf, stats WHERE {holds}"
+
+
+def _times(word: str, of: str = "x") -> str:
+    return f"len(list_filter({of}, lambda w: w = '{word}'))"
+
+
+def _phrase(*words: str) -> str:
+    return f"len(list_filter(generate_series(1, len(x)), lambda i: {' AND '.join(f"x[i + {i}] = '{w}'" for i, w in enumerate(words))}))"
+
+
+def _beside(word: str, other: str, most: int) -> str:
+    return f"len(list_filter(generate_series(1, len(x)), lambda i: x[i] = '{word}' AND list_contains(x[greatest(1, i - {most + 1}):i + {most + 1}], '{other}')))"
+
+
+@query(match_sql([_phrase("of", "the"), "len(list_filter(x, lambda w: starts_with(w, 'nation'))) + len(list_filter(y, lambda w: starts_with(w, 'nation')))", f"{_times('and')} + {_times('and', 'y')}", f"{_times('und')} + {_times('und', 'y')}", _times("es", "y")], "(tf0 > 0 OR tf1 > 0) AND (tf2 > 0 OR tf3 > 0) AND NOT tf4 > 0"))
+def match_mixed(spark, sf_dir):
+    return placed(spark, sf_dir).search('(text : "of the" OR nation*) AND (and OR und) NOT lang:es', None)
+
+
+@query(match_sql([_phrase("and", "the")], "tf0 > 0"))
+def bm25_phrase(spark, sf_dir):
+    return placed(spark, sf_dir).search('text : "and the"', None)
+
+
+@query(match_sql([_beside("from", "was", 5), _beside("was", "from", 5)], "tf0 > 0 AND tf1 > 0", [_times("from"), _times("was")]))
+def bm25_near(spark, sf_dir):
+    return placed(spark, sf_dir).search("text : NEAR(from was, 5)", None)
+
+
+@query(match_sql(["len(list_filter(x, lambda w: starts_with(w, 'th'))) + len(list_filter(y, lambda w: starts_with(w, 'th')))"], "tf0 > 0"))
+def bm25_prefix(spark, sf_dir):
+    return placed(spark, sf_dir).search("th*", None)
+
+
+@query(match_sql([_times("de", "y"), f"{_times('die')} + {_times('die', 'y')}"], "tf0 > 0 AND tf1 > 0"))
+def bm25_fields(spark, sf_dir):
+    return placed(spark, sf_dir).search("lang : de die", None)
+
+
+@query(f"WITH {FIELD_TOKENS}, w AS (SELECT doc_id, unnest(list_concat(x, y)) AS term FROM tok) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w WHERE starts_with(term, 'th') GROUP BY term")
+def term_dictionary(spark, sf_dir):
+    return placed(spark, sf_dir).with_prefix("th").select("term", "df", "cf")
+
+
+#: Every text of benchmark as a question; its vector is that of the same number.
+MANY = f"""{TOKENS}, words AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark),
+post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS h FROM post GROUP BY term), totals AS (SELECT count(*) AS N, avg(len(tokens)) AS avgdl FROM tok),
+lexed AS (SELECT item_id AS query_id, doc_id, round(sum(CASE WHEN ln((N - h + 0.5) / (h + 0.5)) > 0 THEN ln((N - h + 0.5) / (h + 0.5)) ELSE 1e-6 END * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM words JOIN post USING (term) JOIN df USING (term), totals GROUP BY ALL),
+lex_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM lexed)"""
+
+
+def questions(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), t.terms(F.col("text")).alias("words"))
+    return rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
+
+
+@query(f"WITH {MANY} SELECT query_id, doc_id, score, rank FROM lex_ranked WHERE rank <= 10")
+def bm25_many_questions(spark, sf_dir):
+    return lexical.bm25_many(lexicon(spark, sf_dir), "doc_id", questions(spark, sf_dir), 10)
+
+
+@query(
+    f"""WITH {MANY}, norm AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings),
+near AS (SELECT item_id AS query_id, c.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (q.norm * c.norm), 9) AS score
+  FROM benchmark JOIN norm q ON q.vec_id = item_id CROSS JOIN norm c),
+vec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS vec_rank FROM near QUALIFY vec_rank <= 16),
+lex AS (SELECT query_id, doc_id, rank AS lex_rank FROM lex_ranked WHERE rank <= 16),
+both_ AS (SELECT query_id, doc_id, vec_rank, lex_rank, round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0), 9) AS score FROM vec FULL JOIN lex USING (query_id, doc_id))
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS INTEGER) AS rank FROM both_ QUALIFY rank <= 8"""
+)
+def hybrid_many_questions(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    found = fusion.hybrid_many(vectors, lexicon(spark, sf_dir), "doc_id", questions(spark, sf_dir), 8, vector_column="embedding")
+    return found.select("query_id", "doc_id", "score", "rank")
+
+
 # Search by vector
 
 
+@query(f"WITH {COSINE} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_topk_lists(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    made = lambda root: vector.Lists(spark, root, "vec_id")
+    root = stored(spark, rows, "lists", lambda root: made(root).write(rows, "embedding", len(asked_vector(spark, sf_dir))))
+    return made(root).search(asked_vector(spark, sf_dir), 20)
+
+
+@query(f"WITH {COSINE} SELECT vec_id, score FROM cos WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0 ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_with_zero_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    zero = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).when(F.col("vec_id") % 11 != 0, F.col("embedding"))
+    return vector.cosine_topk(rows.withColumn("embedding", zero), "vec_id", "embedding", asked_vector(spark, sf_dir), 20)
+
+
 @query(f"WITH {COSINE} SELECT vec_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 20")
 def cosine_topk(spark, sf_dir):
     return vector.cosine_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asked_vector(spark, sf_dir), 20)

@@ -211,3 +211,66 @@ def test_command_line(tmp_path, capsys):
     path = str(tmp_path / "m.yaml")
     assert cli.main(["--config", path, "init"]) == 0 and cli.main(["--config", path, "init"]) == 1
     assert settings.load(path, None, {}) == settings.Settings()
+
+
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_stream_passes_changed_files_and_reports_silent_ones(spark, tmp_path, one_partition):
+    import time
+
+    from millrace.schema import FILES
+
+    def scanned(name, *rows):
+        spark.createDataFrame([("r", p, float(m), n, "text", c) for p, m, n, c in rows], FILES).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        time.sleep(1.1)  # files are taken in order of their times
+
+    def run(*wanted):
+        """Rows of the stream once these are there; it is stopped then, as timers keep it going."""
+        files = streams.file_stream(spark, str(tmp_path / "in") + "/*", 1)
+        out = streams.changed_files(files, "6 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+        query, rows = out.trigger(processingTime="1 second").start(), []
+        for _ in range(60):
+            time.sleep(1)
+            rows = sorted((r.path, r.mtime, r.event) for r in spark.read.schema(streams.FILE_EVENTS).parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out").exists() else []
+            if set(wanted) <= set(rows):
+                break
+        query.stop()
+        return rows
+
+    scanned("one", ("a", 1, 10, "x"), ("b", 1, 10, "y"))
+    scanned("two", ("a", 1, 10, "x"), ("b", 2, 10, "z"))
+    first = run(("b", 2.0, "changed"))
+    assert [r for r in first if r[2] == "changed"] == [("a", 1.0, "changed"), ("b", 1.0, "changed"), ("b", 2.0, "changed")]
+    scanned("three", ("b", 2, 10, "z"), ("b", 2, 11, "zz"), ("c", 5, 1, "c"))
+    again = run(("c", 5.0, "changed"), ("a", 1.0, "gone"))  # a restart: what was seen is still known
+    assert [r for r in again if r[:2] == ("c", 5.0)][0] == ("c", 5.0, "changed") and ("a", 1.0, "gone") in again
+    assert len([r for r in again if r[0] == "a" and r[2] == "changed"]) == 1
+
+
+def test_node_link_documents(spark, tmp_path):
+    import gzip
+
+    from millrace.errors import StoreError
+    from millrace.operators import graph
+
+    node = lambda name, path, line: {"id": [path, name], "node_id": [path, name], "name": name, "kind": "function", "path": path, "line": line, "parent": None}
+    link = lambda a, b, kind: {"source": ["p/a.py", a], "target": ["p/b.py", b], "key": kind}
+    document = {"directed": True, "multigraph": True, "graph": {}, "nodes": [node("a", "p/a.py", 10), node("b", "p/b.py", 20), node("solo", "p/s.py", 1)], "edges": [link("a", "b", "calls"), link("a", "b", "imports")]}
+    path = tmp_path / "graph.json.gz"
+    path.write_bytes(gzip.compress(json.dumps(document).encode()))
+    symbols, links = graph.import_node_link(spark, str(path))
+    assert {(r.path, r.name, r.kind, r.line) for r in symbols.collect()} == {("p/a.py", "a", "function", 10), ("p/b.py", "b", "function", 20), ("p/s.py", "solo", "function", 1)}
+    assert {(r.src_name, r.dst_path, r.dst_name, r.kind) for r in links.collect()} == {("a", "p/b.py", "b", "calls"), ("a", "p/b.py", "b", "imports")}
+    assert [(r.name, r.line) for r in graph.neighbours(symbols, links, "a", callers=False).collect()] == [("b", 20)]
+    (tmp_path / "links.json").write_text(json.dumps({k if k != "edges" else "links": v for k, v in document.items()}))
+    assert graph.import_node_link(spark, str(tmp_path / "links.json"))[1].count() == 2
+    for bad in (b"this is not gzip", gzip.compress(b"{"), gzip.compress(json.dumps({"nodes": [{"id": ["x"]}], "edges": []}).encode()), gzip.compress(b"{}")):
+        path.write_bytes(bad)
+        with pytest.raises(StoreError):
+            graph.import_node_link(spark, str(path))

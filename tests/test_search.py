@@ -147,3 +147,19 @@ def test_many_questions_are_each_answered_as_alone(spark):
         for n, words in questions:
             one = [tuple(r) for r in lexical.bm25(stored, "id", words, 5, where).collect()] if words else []
             assert [(r.id, r.score) for r in sorted(many, key=lambda r: r["rank"]) if r.query_id == n] == one
+
+
+def test_lists_give_exact_results_and_are_skipped(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((12, 6))
+    x = np.concatenate([c + 0.05 * rng.standard_normal((40, 6)) for c in centre] + [np.zeros((2, 6)), centre[:1], centre[:1]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] + [1.0] * 5)], "id long, v array<double>")
+    lists = vector.Lists(spark, str(tmp_path / "lists"), "id").write(rows, "v", 6, 30)
+    for k, query in ((5, x[3]), (45, x[100]), (3, rng.standard_normal(6)), (600, x[7]), (1, -x[9])):
+        plain = vector.cosine_topk(rows, "id", "v", query.tolist(), k).collect()
+        assert lists.search(query.tolist(), k).collect() == plain
+    assert len(lists.needed(x[3].tolist(), 5)) < 8 and lists.needed([0.0] * 6, 5) == [] and lists.search([0.0] * 6, 5).count() == 0
+    with pytest.raises(StoreError):
+        lists.search([1.0], 5)
+    with pytest.raises(Exception, match="components"):
+        vector.Lists(spark, str(tmp_path / "wrong"), "id").write(rows, "v", 7)
