@@ -81,28 +81,40 @@ def grounding_rate(grounded_count: Column, total: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(grounded_count / total)
 
 
+#: What a judge's malformed text comes out as (fixed value).
+MALFORMED = "judge returned malformed output"
+
+
 def _true(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value)).isin("true", "yes", "1"), F.lit(False))
+    """The words for yes, numbers other than zero (quoted or not), and lists and objects that hold something."""
+    said = F.lower(F.trim(value))
+    number = said.rlike(r"^-?[0-9.]*[1-9][0-9.]*(e[+-]?[0-9]+)?$")
+    return F.coalesce(said.isin("true", "yes") | number | said.rlike(r"^[\[{]\s*[^\s\]}]"), F.lit(False))
+
+
+def percentile(column: str, p: float) -> Column:
+    """Linear between ranks; 0 without rows."""
+    return F.coalesce(F.percentile(column, p), F.lit(0.0))
 
 
 def rubric(content: str, traits: str) -> Column:
     """A judge's JSON (or the outermost braces of its text) as score, per_trait and rationale.
 
-    A trait that it leaves out is false, others that it names are dropped. Malformed text
-    scores 0. Without traits the score is 1, whatever the text is.
+    The score is the number of different traits that hold by the number of listed ones. A
+    trait that it leaves out is false, others that it names are dropped. Malformed text scores 0. Without traits the score is 1, whatever the text is.
     """
     shape = "struct<per_trait: map<string,string>, rationale: string>"
     whole = F.from_json(F.col(content), shape)
     cut = F.from_json(F.regexp_extract(content, r"(?s)\{.*\}", 0), shape)
     parsed = F.when(whole["per_trait"].isNotNull(), whole).otherwise(cut)
-    values = F.transform(traits, lambda name: _true(F.try_element_at(parsed["per_trait"], name)))
+    values = F.transform(F.array_distinct(traits), lambda name: _true(F.try_element_at(parsed["per_trait"], name)))
     score = F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(traits)
     broken = parsed["per_trait"].isNull()
     none = F.from_json(F.lit("{}"), "map<string,boolean>")
     return F.struct(
         F.when(F.size(traits) == 0, 1.0).when(broken, 0.0).otherwise(score).alias("score"),
         F.when((F.size(traits) == 0) | broken, none).otherwise(F.map_from_arrays(F.array_distinct(traits), F.transform(F.array_distinct(traits), lambda name: _true(F.try_element_at(parsed["per_trait"], name))))).alias("per_trait"),
-        F.when(F.size(traits) == 0, "").when(broken, "judge returned malformed output").otherwise(F.coalesce(parsed["rationale"], F.lit(""))).alias("rationale"),
+        F.when(F.size(traits) == 0, "").when(broken, MALFORMED).otherwise(F.coalesce(parsed["rationale"], F.lit(""))).alias("rationale"),
     )
 
 
@@ -120,10 +132,9 @@ def costs(used: DataFrame, rates: DataFrame) -> DataFrame:
 def aggregates(cases: DataFrame, k: int) -> DataFrame:
     """One row of means, percentiles (linear between ranks) and sums; all 0 without cases."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    at = lambda p: F.coalesce(F.percentile("latency_ms", p), F.lit(0.0))
     return cases.agg(
         F.count("*").alias("n_cases"), F.lit(k).alias("k"), mean("recall_at_k").alias("mean_recall_at_k"), mean("mrr").alias("mean_mrr"), mean("ndcg_at_k").alias("mean_ndcg_at_k"),
-        mean("grounding_rate").alias("mean_grounding_rate"), mean("correctness").alias("mean_correctness"), at(0.5).alias("latency_p50_ms"), at(0.95).alias("latency_p95_ms"),
+        mean("grounding_rate").alias("mean_grounding_rate"), mean("correctness").alias("mean_correctness"), percentile("latency_ms", 0.5).alias("latency_p50_ms"), percentile("latency_ms", 0.95).alias("latency_p95_ms"),
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost_usd"), mean("cost_usd").alias("mean_cost_usd"),
     )
 

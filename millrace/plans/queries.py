@@ -484,7 +484,7 @@ def trait_scores(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    at = lambda p: F.round(F.percentile("value", p), 9)
+    at = lambda p: F.round(evaluate.percentile("value", p), 9)
     return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.count("*").alias("n"))
 
 
@@ -652,6 +652,24 @@ def language_map(spark, sf_dir):
     return rows.select("page_id", language.detected(F.col("path"), F.col("content")).alias("language"))
 
 
+@query(
+    "WITH p AS (SELECT DISTINCT rtrim(regexp_extract(url, '^https?://([^?#]*)', 1), '/') AS path FROM pages), q AS (SELECT path, string_split(path, '/') AS s FROM p), "
+    "n AS (SELECT path, s[1] AS host, s[2] AS lang, s[3] AS name FROM q) "
+    "SELECT 'web' AS repo_id, path FROM n WHERE NOT (host LIKE 'blog.%' AND lang = 'fr') "
+    "AND NOT CASE WHEN lang = 'en' AND name LIKE '33_' THEN false WHEN lang = 'en' AND name LIKE '3__' THEN true WHEN name LIKE '%1.html' THEN false ELSE coalesce(name, '') LIKE '%.html' END"
+)
+def paths_by_rules(spark, sf_dir):
+    """Pages as paths; rules of the root, of each blog and of each folder of English pages."""
+    path = F.rtrim(F.regexp_extract("url", r"^https?://([^?#]*)", 1), F.lit("/"))
+    paths = table(spark, sf_dir, "pages").select(F.lit("web").alias("repo_id"), path.alias("path")).distinct()
+    part = lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/")
+    one = lambda folder, number, line: F.struct(folder.alias("folder"), F.lit(number).cast("long").alias("number"), F.lit(line).alias("line"))
+    root = spark.range(1).select(F.lit("web").alias("repo_id"), F.inline(F.array(one(F.lit(""), 1, "*.html"), one(F.lit(""), 2, "!*1.html"), one(F.lit(""), 3, "# a note"))))
+    blogs = paths.filter("path like 'blog.%'").select("repo_id", F.inline(F.array(one(F.concat(part(1), F.lit("/")), 1, "fr/"))))
+    english = paths.filter(F.get(F.split("path", "/"), 1) == "en").select("repo_id", F.inline(F.array(one(F.concat(part(2), F.lit("/")), 1, "3??"), one(F.concat(part(2), F.lit("/")), 2, "!33?"))))
+    return source_files.unignored(paths, root.unionByName(blogs).unionByName(english).distinct())
+
+
 # Extensions on event time
 
 

@@ -71,28 +71,59 @@ def _glob(pattern: str) -> str:
     return "".join(out)
 
 
+def _rule(line: str) -> tuple[bool, str] | None:
+    """Whether a line of an ignore file ignores or takes back, and a regular expression for
+    the paths that it means; none for a comment."""
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    ignored = not line.startswith("!")
+    pattern = line if ignored else line[1:]
+    folder = pattern.endswith("/")
+    pattern = pattern.rstrip("/")
+    rooted = "/" in pattern
+    return ignored, ("" if rooted else "(?:.*/)?") + _glob(pattern.lstrip("/")) + ("/.*" if folder else "(?:/.*)?")
+
+
 class IgnoreRules:
     """Lines of ignore files; the last that matches a path decides, and ``!`` takes it back."""
 
     def __init__(self, lines: list[str]):
-        self.rules: list[tuple[bool, re.Pattern]] = []
-        for line in lines:
-            line = re.sub(r"(?<!\\)\s+$", "", line)
-            if not line or line.startswith("#"):
-                continue
-            ignored = not line.startswith("!")
-            pattern = line if ignored else line[1:]
-            folder = pattern.endswith("/")
-            pattern = pattern.rstrip("/")
-            rooted = "/" in pattern
-            body = _glob(pattern.lstrip("/"))
-            self.rules.append((ignored, re.compile(("" if rooted else "(?:.*/)?") + body + ("/.*" if folder else "(?:/.*)?") + r"\Z", re.DOTALL)))
+        self.rules = [(rule[0], re.compile(rule[1] + r"\Z", re.DOTALL)) for rule in map(_rule, lines) if rule]
 
     def ignores(self, path: str) -> bool:
         """``path`` is relative to the root; a folder's ends with a slash."""
         return next((ignored for ignored, rule in reversed(self.rules) if rule.match(path)), False)
 
 
+def unignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The paths (repo_id, path, from the root of the repository) that no rule ignores.
+
+    ``rules`` (repo_id, folder, number, line) holds the lines of all ignore files: folder is ""
+    for the root, else ends with a slash. Every folder on the way to a path, and the path, meets
+    the rules of the folders above it; of those that match, the deepest folder's last one
+    decides, and what lies in an ignored folder goes with it. Folders are judged once each,
+    however many files they hold, and no path is seen by the driver."""
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(row.repo_id, row.folder, row.number, *rule) for row in batch.itertuples() if (rule := _rule(row.line))]
+            yield pd.DataFrame(found, columns=["repo_id", "folder", "number", "ignored", "pattern"])
+
+    known = rules.select("repo_id", "folder", "number", "line").mapInPandas(compiled, "repo_id string, folder string, number long, ignored boolean, pattern string")
+    parts = F.split("path", "/", -1)
+    folder = lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n < F.size(parts), folder(n)).otherwise(F.col("path")))
+    ways = paths.select("repo_id", "path", F.explode(steps).alias("step"))
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split(F.rtrim("path", F.lit("/")), "/", -1)) - 1), folder)
+    met = ways.select("repo_id", F.col("step").alias("path")).distinct().select("repo_id", "path", F.explode(above).alias("folder")).join(known, ["repo_id", "folder"])
+    holds = met.filter(F.regexp("path", F.concat(F.lit("(?s)^"), "pattern", F.lit("$"))))
+    depth = F.size(F.split("folder", "/", -1))
+    last = holds.groupBy("repo_id", F.col("path").alias("step")).agg(F.max_by("ignored", F.struct(depth, "number")).alias("ignored"))
+    gone = ways.join(last.filter("ignored"), ["repo_id", "step"], "left_semi").select("repo_id", "path").distinct()
+    return paths.join(gone, ["repo_id", "path"], "left_anti")
+
+
 def _lines(path: Path) -> list[str]:
     return path.read_text(encoding="utf-8", errors="replace").splitlines() if path.is_file() else []
 

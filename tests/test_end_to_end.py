@@ -36,6 +36,26 @@ def test_ignore_rules():
         assert rules.ignores(path) is want, path
 
 
+def test_ignore_rules_as_a_relation(spark):
+    """The same answers as those of one rule after the other on the way down a tree."""
+    lines = {"": ["*.log", "build/", "!keep.log", "/top", "a/**/z", "# note", "d?x"], "a/": ["*.txt", "!x.txt"], "a/b/": ["!y.txt", "keep.log"], "build/": ["!in.c"]}
+    paths = ["x.log", "keep.log", "a/keep.log", "a/b/keep.log", "a/x.txt", "a/w.txt", "a/b/y.txt", "y.txt", "build/in.c", "q/build/c", "build", "top", "q/top", "a/z", "a/b/c/z", "a/zz", "dox", "a/dox/e/f.c", "plain"]
+
+    def stays(path):
+        parts, above = path.split("/"), list(lines[""])
+        for n in range(1, len(parts) + 1):
+            step = "/".join(parts[:n]) + "/" * (n < len(parts))
+            if files.IgnoreRules(above).ignores(step):
+                return False
+            above += lines.get(step, [])
+        return True
+
+    rules = spark.createDataFrame([(repo, f, n, x) for repo in ("r", "s") for f, own in lines.items() for n, x in enumerate(own) if repo == "r" or f], "repo_id string, folder string, number long, line string")
+    got = files.unignored(spark.createDataFrame([(r, p) for r in ("r", "s", "t") for p in paths], "repo_id string, path string"), rules).collect()
+    assert {x.path for x in got if x.repo_id == "r"} == set(filter(stays, paths))
+    assert {x.path for x in got if x.repo_id == "t"} == set(paths) and {"x.log", "top"} < {x.path for x in got if x.repo_id == "s"}
+
+
 def test_scan_and_counts(spark, folder):
     rows = files.scan(spark, str(folder), "r")
     assert {r.path: r.language for r in rows.collect()} == {"src/alpha.py": "python", "src/beta.py": "python", "src/notes.txt": None, "run": "python", ".gitignore": None}

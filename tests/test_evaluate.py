@@ -111,3 +111,11 @@ def test_measures_of_hits(spark):
     row = spark.createDataFrame([(["a", "b", "c", "d"], ["b", "d", "x"], [False, True, False, True], 3), (["a"], [], [False], 0)], "r array<string>, e array<string>, h array<boolean>, n long")
     for got in row.select(evaluate.of_hits("h", "n", 3).alias("m"), evaluate.recall_at_k("r", "e", 3).alias("recall"), evaluate.mrr("r", "e").alias("mrr"), evaluate.ndcg_at_k("r", "e", 3).alias("ndcg")).collect():
         assert (got.m.recall, got.m.mrr, got.m.ndcg) == pytest.approx((got.recall, got.mrr, got.ndcg))
+
+
+def test_traits_that_are_listed_twice_and_values_of_other_kinds(spark):
+    said = '{"per_trait": {"a": 2, "b": [1], "c": 0, "d": [], "e": "YES", "f": {"x": 1}, "g": null, "h": 0.5, "i": "no", "j": {}}}'
+    rows = spark.createDataFrame([(said, list("abcdefghij")), (said, ["a", "a", "c", "missing"])], "judged string, traits array<string>")
+    got = [r.r for r in rows.select(evaluate.rubric("judged", "traits").alias("r")).collect()]
+    assert got[0].per_trait == {"a": True, "b": True, "c": False, "d": False, "e": True, "f": True, "g": False, "h": True, "i": False, "j": False}
+    assert got[1].score == 0.25 and got[1].per_trait == {"a": True, "c": False, "missing": False}
