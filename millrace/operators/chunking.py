@@ -54,26 +54,31 @@ def python_definitions(source: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
+#: Beyond any file's last line.
+ITS_END = 2**31 - 1
+
+
 def _definitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(r.repo_id, r.path, r.language, kind, name, first, last, r.content) for r in batch.itertuples() for kind, name, first, last in python_definitions(r.content)]
+        rows = []
+        for r in batch.itertuples():
+            found = python_definitions(r.even)
+            rows += [(r.repo_id, r.path, r.language, *definition, r.even) for definition in found] or [(r.repo_id, r.path, r.language, "file", None, 1, ITS_END, r.content)]
         yield pd.DataFrame(rows, columns=["repo_id", "path", "language", "kind", "symbol", "start_line", "end_line", "content"])
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
-    """Definitions of Python files; a file without one, or that does not parse, is one chunk."""
+    """Definitions of Python files; a file without one, or that does not parse, is one chunk.
+    A file is parsed once."""
     files = files.filter(~t.is_blank(F.col("content"))).select("repo_id", "path", "language", "content")
-    even = files.withColumn("content", F.array_join(t.lines(F.col("content")), "\n"))
+    even = files.withColumn("even", F.array_join(t.lines(F.col("content")), "\n"))
     raw = even.mapInPandas(_definitions, "repo_id string, path string, language string, kind string, symbol string, start_line int, end_line int, content string")
     rows = t.lines(F.col("content"))
     n = F.size(rows)
-    first, last = F.least(F.greatest("start_line", F.lit(1)), n), F.least("end_line", n)
-    part = F.concat(F.array_join(F.slice(rows, first, last - first + 1), "\n"), F.lit("\n"))
-    cut = raw.select("repo_id", "path", "language", "kind", "symbol", first.alias("start_line"), F.greatest(first, last).alias("end_line"), part.alias("content"))
-    whole = files.join(raw.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").select(
-        "repo_id", "path", "language", F.lit("file").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), F.greatest(F.lit(1), F.size(t.lines(F.col("content")))).alias("end_line"), "content"
-    )
-    return _named(cut.unionByName(whole))
+    first, last = F.least(F.greatest("start_line", F.lit(1)), F.greatest(n, F.lit(1))), F.least("end_line", n)
+    part = F.concat(F.array_join(F.slice(rows, first, F.greatest(last - first + 1, F.lit(0))), "\n"), F.lit("\n"))
+    content = F.when(F.col("kind") == "file", F.col("content")).otherwise(part)
+    return _named(raw.select("repo_id", "path", "language", "kind", "symbol", first.alias("start_line"), F.greatest(first, last).alias("end_line"), content.alias("content")))
 
 
 def chunk_files(files: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
