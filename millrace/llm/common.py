@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,9 +224,9 @@ class Sieve:
     def lets(self, name: Column) -> Column:
         """has() as a column; only the names go to Python."""
 
-        @F.pandas_udf("boolean")
-        def held(names: pd.Series) -> pd.Series:
-            return pd.Series(self.has(names.to_numpy()))
+        @F.arrow_udf("boolean")
+        def held(names: pa.Array) -> pa.Array:
+            return pa.array(self.has(names.to_numpy()))
 
         return held(name)
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Sieve, checkpoint, join_hubs, pieces, sieve, slices, utf8
+from millrace.llm.common import Sieve, checkpoint, join_hubs, let_go, pieces, sieve, slices, utf8
 from millrace.llm.components import components, local_roots
 from millrace.llm.paragraphs import _LOWER, _MIX, _mixed, _word_hashes, word_starts
 
@@ -158,6 +158,7 @@ def _described(width: int, percent: int):
                 columns = [batch.column(0).slice(begin, end - begin), *(pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)), pa.array(np.array([len(s) for s in sets], np.int64)), batch.column(2).slice(begin, end - begin)]
                 points = pa.array([packed_point(own) if len(k) else None for own, k in zip(sets, keys)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, points, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))], names=["doc_id", "a", "b", "n", "row_hash", "point", "keys"])
+        let_go()
 
     return run
 
@@ -167,7 +168,8 @@ def kept_sets(texts: DataFrame, width: int, wanted: Sieve) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in batches:  # sifted here, as one more worker would take more memory than its texts
+            batch = batch.filter(pa.array(wanted.has(batch.column(1).to_numpy())))
             raw, offsets = utf8(batch.column(0))
             for begin, end in slices(offsets):
                 sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
@@ -177,8 +179,9 @@ def kept_sets(texts: DataFrame, width: int, wanted: Sieve) -> DataFrame:
                         seen.add(name)
                         rows.append((*name, own.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "shingles"])
+        let_go()
 
-    found = texts.filter(wanted.lets(F.col("row_hash"))).select("text").mapInArrow(run, "a long, b long, shingles binary")
+    found = texts.select("text", "row_hash").mapInArrow(run, "a long, b long, shingles binary")
     return found.select(sid().alias("sid"), "a", "b", "shingles")
 
 
@@ -319,6 +322,7 @@ def _linked_here(percent: int):
         root = local_roots(len(nodes), node[u], node[v])
         kept = np.flatnonzero(root != np.arange(len(nodes)))
         pick = lambda rows: pa.StructArray.from_arrays([pa.array(nodes[rows, 0]), pa.array(nodes[rows, 1])], names=["a", "b"])
+        let_go()
         return pa.table({"u": pick(kept), "v": pick(root[kept])})
 
     return run
@@ -350,6 +354,7 @@ def _in_reach(percent: int):
                     near = near[label[near] != label[r]]
                     if any(before[r].isdisjoint(before[other]) for other in near):
                         kept.append(r)
+        let_go()
         return table.select(["key", "sid", "label", "n"]).take(pa.array(kept, pa.int64()))
 
     return run

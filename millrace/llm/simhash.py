@@ -15,7 +15,8 @@ that a group of g near copies gives about g rows and not g * g.
 
 For larger k, 64 bits alone would link unrelated texts; ``checked`` then takes 64 further
 bits of each text and the most bits that all 128 may differ in. ``keep_one`` uses such
-links only to find candidates, and compares their sets of shingles exactly.
+links only to find which sets of shingles meet, and compares these exactly, pair by pair,
+before anything is connected.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like
 any other; an empty table gives an empty result; repeated rows share a fingerprint, and a
@@ -30,18 +31,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import MOST_BROADCAST, checkpoint, join_counted, pieces, release_shuffles
+from millrace.llm.common import checkpoint, join_counted, let_go, pieces, sieve, slices, utf8
 from millrace.llm.components import components, local_roots
-from millrace.llm.paragraphs import _linked as linked_sets
+from millrace.llm.jaccard_join import Known, known_points, met, named_set, packed_point, sets_of, sid
 
 BITS, GROUP, SEED = 64, 8, 42
 #: Rows of one key that meet in one task; more are cut into tiles.
 TILE = 32768
-#: Sets of shingles that meet others in one task; more are cut into tiles.
-SETS = 4096
 #: What one probe row costs against one comparison of two fingerprints.
 PROBE_COST = 600.0
 
@@ -256,13 +255,11 @@ def _link(fp: np.ndarray, fq: np.ndarray, key: np.ndarray, side: np.ndarray, k:
 NODE = "struct<fp: long, fq: long>"
 
 
-def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataFrame:
-    """u, v: edges that connect whatever fingerprints (columns fp and fq, distinct) within k
-    bits of fp, and ``checked`` bits of both, connect."""
+def _dealt(nodes: DataFrame, n: int, k: int) -> DataFrame:
+    """Probes (fp, fq, side, key) of the fingerprints, dealt to buckets of whole keys."""
     groups = group_bits(nodes, n)
     parts = [([b for g in of for b in groups[g]], t) for of, t in allocate(_pair_distances(nodes, groups, k), n, k)]
     probes = sum(1 + len(_flips(len(bits), t)) // 2 for bits, t in parts)
-    checked = k if checked is None else checked
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,134 +283,104 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
     keyed = tiled.select("fp", "fq", "side", F.explode(cells).alias("cell"), "part", "value").select("fp", "fq", "side", F.xxhash64("part", "value", "cell.i", "cell.j").alias("key"))
     buckets = pieces(n * probes * 25, 8 << 20, 12)
 
+    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+
+
+def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataFrame:
+    """u, v: edges that connect whatever fingerprints (columns fp and fq, distinct) within k
+    bits of fp, and ``checked`` bits of both, connect."""
+    most = k if checked is None else checked
+
     def compare(table: pa.Table) -> pa.Table:
-        u, v = _link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, checked)
+        u, v = _link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, most)
         node = lambda x: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["fp", "fq"])
         return pa.table({"u": node(u), "v": node(v)})
 
-    return keyed.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
+    return _dealt(nodes, n, k).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
-def _set_of(text: pa.Scalar, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text.as_py().encode("utf-8"), width)) if text.is_valid else np.zeros(0, "<u8")
+def meetings(nodes: DataFrame, n: int, k: int, checked: int) -> DataFrame:
+    """key, fp, fq: the clusters that links within one bucket make, each under a key of its own."""
 
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        u, v = _link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, checked)
+        both = np.concatenate([np.stack([u, v], axis=1), np.stack([np.unique(v, axis=0)] * 2, axis=1)])  # each, and the first of its cluster
+        named = _further(both[:, 1].view(np.uint64))
+        named = _further(named[:, 0] ^ _further(named[:, 1] + np.uint64(key[0].as_py() + 1)))
+        named = named & ~np.uint64(3) | np.uint64(key[0].as_py() & 3)
+        let_go()
+        return pa.table({"key": named.view(np.int64), "fp": np.ascontiguousarray(both[:, 0, 0]), "fq": np.ascontiguousarray(both[:, 0, 1])})
 
-def _described(width: int):
-    """doc_id, fingerprints, the 128-bit key of the set of shingles, and the text's hash."""
-    import hashlib
+    return _dealt(nodes, n, k).groupBy("bucket").applyInArrow(compare, "key long, fp long, fq long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                own = _set_of(text, width)
-                rows.append((*set_fingerprint(own), *np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<u8").tolist()))
-            both = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(4)), batch.column(2)], names=["doc_id", "fp", "fq", "a", "b", "text_hash"])
-
-    return run
 
+def _described(width: int):
+    """doc_id, the 128-bit key and size of the set of shingles, its fingerprints, and the row's hash."""
 
-def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_set_of(t, width).tobytes() for t in batch.column(2)], pa.binary())], names=["a", "b", "shingles"])
+            raw, offsets = utf8(batch.column(1))
+            for begin, end in slices(offsets):
+                sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
+                keys = np.array([named_set(own) for own in sets], np.int64).reshape(-1, 2)
+                prints = np.array([set_fingerprint(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                points = pa.array([packed_point(own) for own in sets], pa.binary())
+                own = [batch.column(i).slice(begin, end - begin) for i in (0, 2)]
+                columns = [own[0], *(pa.array(np.ascontiguousarray(x[:, i])) for x in (keys, prints) for i in (0, 1)), pa.array(np.array([len(s) for s in sets], np.int64)), own[1], points]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "fp", "fq", "n", "row_hash", "point"])
+        let_go()
 
     return run
 
 
-SET_NODE = "struct<a: long, b: long>"
-
-
-def _meet(keyed: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links of the sets that share a key."""
-    size = keyed.join(sets.select("a", "b", F.octet_length("shingles").alias("n")), ["a", "b"]).agg(F.sum("n")).first()[0] or 0
-    parts = F.lit(pieces(size, 8 << 20, 12))
-    rows = keyed.join(sets, ["a", "b"]).select("key", "a", "b", "shingles", F.pmod("key", parts).alias("part"))
-    return rows.groupBy("part").applyInArrow(linked_sets(similar, "a", "b"), f"u {SET_NODE}, v {SET_NODE}")
-
-
-def _cells(rows: DataFrame, tiles: str) -> DataFrame:
-    """Each row once for each pair of tiles of its meeting that its own is in."""
-    own = F.pmod(F.xxhash64("a", "b"), F.col(tiles)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    return rows.select("a", "b", "meeting", F.explode(pairs).alias("cell")).select("a", "b", F.xxhash64("meeting", "cell.i", "cell.j").alias("key"))
-
-
-def _tiles(n: str) -> Column:
-    return F.ceil(F.col(n) / SETS).cast("int")
-
-
-def _compared(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links that connect whatever pairs of one meeting connect. A meeting of up to ``SETS``
-    sets meets in one task. Of a larger one first each tile meets by itself, then one set of
-    each cluster that was found so; what is not in the meeting's largest cluster then meets
-    all others, so that a large group of copies of one text costs about as much as it has sets."""
-    own = F.struct("a", "b")
-    found = checkpoint(_meet(members.select("a", "b", F.xxhash64("meeting", F.pmod(F.xxhash64("a", "b"), "tiles")).alias("key")), sets, similar))
-    large = members.filter("tiles > 1").select("a", "b", "meeting", own.alias("own"))
-    if large.isEmpty():
-        return found
-    counted = lambda rows, n: join_counted(rows, rows.groupBy("meeting").agg(F.count("*").alias(n)), ["meeting"])
-    roots = checkpoint(components(found))
-    one_each = large.join(roots, large.own == roots.node, "left_anti")
-    found = checkpoint(found.unionByName(_meet(_cells(counted(one_each, "n").withColumn("tiles", _tiles("n")), "tiles"), sets, similar)))
-    roots = checkpoint(components(found))
-    named = large.join(roots, large.own == roots.node, "left").select("a", "b", "meeting", F.coalesce("root", "own").alias("root"))
-    sizes = checkpoint(named.groupBy("meeting", "root").agg(F.count("*").alias("n")))
-    most = sizes.groupBy("meeting").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"))
-    most = most.select("meeting", "most", F.greatest(F.lit(1), _tiles("n_most")).alias("inner"), F.ceil((F.col("n") - F.col("n_most")) / SETS).cast("int").alias("outer")).filter("outer > 0")
-    named = checkpoint(join_counted(named, most, ["meeting"]))
-    rest, core = named.filter(F.col("root") != F.col("most")), named.filter(F.col("root") == F.col("most"))
-    tile = lambda of: F.pmod(F.xxhash64("a", "b"), F.col(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    key = F.xxhash64("meeting", "i", "j", F.lit("core")).alias("key")
-    across = rest.select("a", "b", "meeting", tile("outer").alias("i"), each("inner").alias("j")).unionByName(core.select("a", "b", "meeting", each("outer").alias("i"), tile("inner").alias("j")))
-    return found.unionByName(_meet(across.select("a", "b", key).unionByName(_cells(rest, "outer")), sets, similar))
-
-
-def similar_sets(docs: DataFrame, width: int = 5, similar: float = 0.8, k: int = 17, checked: int = 32) -> DataFrame:
-    """a, b (the key of a set of word shingles) and root of each distinct set of ``docs``, with
-    the smallest doc_id: sets of one root are connected by pairs of that Jaccard similarity.
-
-    Fingerprints within the limits only say which sets to compare: those that they connect
-    meet, with all of their shingles, as ``_compared`` says."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = checkpoint(texts.mapInArrow(_described(width), "doc_id long, fp long, fq long, a long, b long, text_hash long"))
-    classes = checkpoint(found.groupBy("a", "b", "fp", "fq").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one")))
-    nodes = checkpoint(classes.select("fp", "fq").distinct())
+def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 17, checked: int = 32) -> tuple[DataFrame, DataFrame | None]:
+    """Classes (a, b: the key of a set of word shingles, and its smallest doc_id as least), and
+    edges (u, v) that connect whatever pairs of that Jaccard similarity connect.
+
+    Fingerprints within the limits only say which sets meet: those of one cluster of one
+    bucket of probes, so a chance pair joins no groups. Sets that meet are compared with all
+    of their shingles, and only the pairs that pass are edges. Texts do not
+    move: a bitmap of bounded size says which rows' sets are wanted."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", "doc_id").alias("row_hash"))
+    rows = checkpoint(texts.mapInArrow(_described(width), "doc_id long, a long, b long, fp long, fq long, n long, row_hash long, point binary"))
+    classes = checkpoint(rows.groupBy("a", "b", "fp", "fq", "n").agg(F.min("doc_id").alias("least")))
+    filled = classes.filter("n > 0").withColumn("sid", sid())
+    nodes = checkpoint(filled.groupBy("fp", "fq").agg(F.count("*").alias("sets")))
     n = nodes.count()
-    own = F.struct("a", "b")
     if not n:
-        return classes.select("a", "b", "least", own.alias("root"))
-    near = checkpoint(components(links(nodes, n, k, checked)).select("node.fp", "node.fq", F.col("root").alias("around")))
-    release_shuffles(docs.sparkSession)
-    # several sets may also share a fingerprint
-    members = classes.join(near, ["fp", "fq"], "left").withColumn("around", F.coalesce("around", F.struct("fp", "fq")))
-    sizes = members.groupBy("around").count().filter("count > 1").select("around", F.ceil(F.col("count") / SETS).cast("int").alias("tiles"))
-    members = checkpoint(join_counted(members, sizes, ["around"]).select("a", "b", "one", "tiles", F.xxhash64("around").alias("meeting")))
-    wanted = members.select("a", "b", F.col("one.text_hash").alias("hash"), F.col("one.doc_id").alias("id"))
-    # whole texts are not moved where what is wanted of them is small enough to go to them
-    wanted = F.broadcast(wanted) if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else wanted
-    chosen = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id) & texts.text_hash.eqNullSafe(wanted.hash))
-    sets = checkpoint(chosen.select("a", "b", "text").mapInArrow(_sets(width), "a long, b long, shingles binary").dropDuplicates(["a", "b"]))
-    release_shuffles(docs.sparkSession)
-    edges = checkpoint(_compared(members, sets, similar))
-    joined = components(edges)
-    return classes.withColumn("own", own).join(joined, F.col("own") == joined.node, "left").select("a", "b", "least", F.coalesce("root", "own").alias("root"))
-
-
-def keep_one(docs: DataFrame, width: int = 5, k: int = 17, checked: int | None = 32, similar: float = 0.8) -> DataFrame:
+        return classes, None
+    found = checkpoint(meetings(nodes, n, k, checked))
+    alike = nodes.filter("sets > 1").select(F.xxhash64("fp", "fq").bitwiseAND(F.lit(~3).cast("long")).alias("key"), "fp", "fq")
+    held = checkpoint(found.unionByName(alike).join(filled.select("fp", "fq", "sid", "n"), ["fp", "fq"]).groupBy("key", "sid").agg(F.min("n").alias("n")))
+    known = Known(known_points(rows, held), texts, width)
+    edges = None
+    first = F.col("key").bitwiseAND(F.lit(3).cast("long")) == 0
+    for some in (first, ~first):  # what the first quarter links need not meet again
+        edges = met(held.filter(some), edges, known, percent)
+    return classes, edges
+
+
+def keep_one(docs: DataFrame, width: int = 5, k: int = 17, checked: int | None = 32, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of the documents that pairs of a Jaccard
-    similarity of ``similar`` connect, the one with the smallest id stays; without ``checked``,
+    similarity of ``percent`` connect, the one with the smallest id stays; without ``checked``,
     of those that fingerprints alone connect. A doc_id names one document; where rows repeat
-    an id and a text, one of them stays."""
+    an id and a text, one of them stays. Only the texts of rows that may go are moved."""
     if checked is None:
         first = near_duplicates(docs, width, k).select(F.col("component_id").alias("id"))
     else:
-        first = similar_sets(docs, width, similar, k, checked).groupBy("root").agg(F.min("least").alias("id")).select("id")
+        classes, edges = similar_sets(docs, width, percent, k, checked)
+        if edges is None:
+            first = classes.select(F.col("least").alias("id"))
+        else:
+            joined = components(edges)
+            rooted = classes.join(joined, F.struct("a", "b") == joined.node, "left").select(F.coalesce("root", F.struct("a", "b")).alias("root"), "least")
+            first = rooted.groupBy("root").agg(F.min("least").alias("id")).select("id")
     first = checkpoint(first.distinct())
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.id), "left_semi")
+    ids = docs.select("doc_id").distinct()
+    gone = checkpoint(ids.join(first, ids.doc_id.eqNullSafe(first.id), "left_anti").select(F.xxhash64(F.col("doc_id").cast("long")).alias("name")))
+    may_go = docs.withColumn("may_go_", sieve(gone, "name", gone.count()).lets(F.xxhash64(F.col("doc_id").cast("long"))))
+    asked = may_go.filter("may_go_")
+    kept = may_go.filter("not may_go_").unionByName(asked.join(first, asked.doc_id.eqNullSafe(first.id), "left_semi")).drop("may_go_")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.withColumn("text_key_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key_"]).drop("text_key_")
     return kept

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import ann_scan, bpe_count, exact_topk, langid, mixing, packing, paragraphs, quality_mil, registry, simhash, suffix_dedup
+from millrace.llm import ann_scan, bpe_count, exact_topk, jaccard_join, langid, mixing, packing, paragraphs, quality_mil, registry, simhash, suffix_dedup
 from millrace.llm.components import components, local_roots
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, tag string"
@@ -332,12 +333,41 @@ def test_keep_one_compares_exactly(spark, monkeypatch):
     close = {1001 + 2 * i for i in range(100) if i % 2}
     assert kept >= {d for d, _ in every} - close - {2001, 2002} and not kept & {2001, 2002}
     assert len(close - kept) >= 0.95 * len(close)
-    monkeypatch.setattr(simhash, "SETS", 1)
-    monkeypatch.setattr(simhash, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", 2000)
     near = every[600:] + [(3000 + i, " ".join(x if j != i else "new" for j, x in enumerate(every[400][1].split()))) for i in range(30)]
     assert {r.doc_id for r in simhash.keep_one(make(spark, every[400:401] + near)).collect()} == {1000, 2000, 2002}
 
 
+def test_chance_links_join_nothing(spark):
+    """Sets of nearly one fingerprint that share no shingle stay apart, whatever they meet."""
+    rng = np.random.default_rng(6)
+    fp = rng.integers(1 << 62, dtype=np.uint64)
+    nodes = [(int(np.uint64(fp ^ (np.uint64(1) << np.uint64(i))).view(np.int64)), 7) for i in range(12)]
+    held = simhash.meetings(spark.createDataFrame(nodes, "fp long, fq long"), 12, 17, 32)
+    assert held.select("fp").distinct().count() == 12  # all of them meet
+    words = [f"u{i}" for i in range(1200)]
+    docs = make(spark, [(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(12)] + [(50, " ".join(words[:95]))])
+    classes, edges = simhash.similar_sets(docs, k=64, checked=128)  # limits that let all meet
+    assert classes.count() == 13 and edges.distinct().count() == 1
+    assert {r.doc_id for r in simhash.keep_one(docs, k=64, checked=128).collect()} == set(range(12))
+
+
+def test_topk_of_one_id_with_vectors_of_two_lengths(spark):
+    rnd = random.Random(7)
+    vector = lambda n: [rnd.uniform(-1, 1) for _ in range(n)]
+    rows = [(1, vector(2)), (1, vector(3)), (2, vector(3)), (2, vector(3))] + [(10 + i, vector(2 + i % 2)) for i in range(40)]
+    rows.append(rows[1])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = exact_topk.search(table.filter("vec_id < 3"), table, 4, tile=2, shard=5).collect()
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in whole:
+        if i < 3:
+            scored = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i and len(w) == len(v)))[:4]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("k", [0, 2, 4, 7, 10])
 def test_thresholds_cover(k):
     rng = np.random.default_rng(k)
