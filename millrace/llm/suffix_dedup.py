@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_FROM, PLACE_BITS, checkpoint, leftmost, let_go, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
+from millrace.llm.common import NULL_FROM, PLACE_BITS, SLICE_BYTES, checkpoint, leftmost, let_go, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
 
 WINDOW = 50
 KMER = 16
@@ -45,7 +45,7 @@ PERIOD = 7
 #: The difference cover: any two residues modulo 7 are met by a common shift into it.
 COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
-GATHERED = 12 << 20
+GATHERED = 6 << 20
 #: Text of pieces whose suffixes are sorted together.
 BUCKET_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +115,7 @@ def _deal(blocks: int, window: int):
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             raw, offsets = utf8(batch.column(1))
-            for first, end in slices(offsets):
+            for first, end in slices(offsets, SLICE_BYTES // 2):
                 own, at = raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
                 doc, start, last, mini_at, mini = minimised(own, at, window)
                 length = last - start + window - 1
