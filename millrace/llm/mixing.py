@@ -38,7 +38,7 @@ SEED = 20
 ROUNDS = 12
 #: Fewest documents whose offsets are summed together; of many documents it is their square root.
 BUCKET_ROWS = 256
-#: Equal parts of the unit interval by which a draw finds its source.
+#: Fewest equal parts of the unit interval by which a draw finds its source; of more sources there are as many as these.
 CELLS = 4096
 
 
@@ -86,12 +86,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return weighed.withColumn("target", F.when(above, most_of).otherwise(F.col("weight") * level)).drop("weight")
 
 
-def size_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Rows (doc_id, text_key, size and what the source has), the sources, and how many buckets the rows fill."""
-    sized = checkpoint(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), words_of().alias("size")))
+def size_sources(docs: DataFrame, *keys: Column) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, text_key, size, further keys and what the source has), the sources, and how many buckets the rows fill."""
+    sized = checkpoint(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), words_of().alias("size"), *keys))
     sources = checkpoint(targets(placed_sources(sized)))
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("named")  # a null source is a source
-    joined = join_counted(sized.select("*", key).drop("source"), sources.select(key, "place", "source_size", "target"), ["named"]).drop("named")
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("named")  # a null source is a source
+    joined = join_counted(sized.select("*", named).drop("source"), sources.select(named, "place", "source_size", "target"), ["named"]).drop("named")
     return joined, sources, max(1, (n := sized.count()) // max(BUCKET_ROWS, isqrt(n)))
 
 
@@ -108,13 +108,14 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         F.pmod(words, "source_size").alias("over"),
     ).withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("over") / block))
     odds = checkpoint(_before(sources, F.col("slots"), "ahead_of"))
-    total = odds.agg(F.sum("slots")).first()[0] or 0
+    total, n = odds.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    n_cells = max(CELLS, n)
     shards = -(-total // shard_slots)
     sources = odds.drop("part", "ahead_of")
     odds = odds.withColumns({"hi": (F.col("ahead_of") + F.col("slots")) / max(1, total), "lo": F.col("ahead_of") / max(1, total)})
-    cells = odds.select("place", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    cells = odds.select("place", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1)))).alias("cell"))
     draw = (F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("u")
-    draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), draw).withColumn("cell", F.floor(F.col("u") * CELLS))
+    draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), draw).withColumn("cell", F.floor(F.col("u") * n_cells))
     drawn = checkpoint(draws.join(cells, "cell").filter("u >= lo and u < hi").groupBy("shard", "place").count())
     until = F.sum("count").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     ranges = drawn.withColumn("until", until).join(sources, "place")
@@ -137,11 +138,12 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 
 def located(rows: DataFrame, buckets: int) -> DataFrame:
-    """Adds start: where a row's words begin in its source."""
+    """Adds start: where a row's words begin in its source. A ``row_key`` orders rows that repeat an id and a text."""
+    order = ["doc_id", "text_key", "size", *(c for c in ["row_key"] if c in rows.columns)]
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
     totals = rows.groupBy("place", "bucket").agg(F.sum("size").alias("n"))
     before = totals.select("place", "bucket", (F.sum("n").over(Window.partitionBy("place").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("place", "bucket").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("place", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return rows.withColumn("inside", inside).join(before, ["place", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
 
 
@@ -168,23 +170,31 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return some.select(none.columns).unionByName(none)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, with which of them are null; maps are hashed in their written form."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*plain, *(c.isNull() for c in plain))
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, with the words it takes as text.
 
     A row's pieces follow each other in their order, a first time and, where they are taken
     twice, a second time; words keep the white space before them. Rows that are equal in
-    id and text are one row here, whose pieces are joined. n_chars follows the new text.
+    all columns are one row here, whose pieces are joined; rows that repeat an id and a text
+    in different sources stay apart, each with what its source gives. n_chars follows the new text.
     """
-    rows, sources, buckets = size_sources(docs)
+    row_key = _row_key(docs).alias("row_key")
+    rows, sources, buckets = size_sources(docs, row_key)
     cut = pieces_taken(rows, sources, buckets, block)
     once = F.when(F.col("times") > 0, F.col("to") - F.col("from")).otherwise(F.col("part"))
     again = F.when(F.col("times") > 1, F.col("to") - F.col("from")).when(F.col("times") == 1, F.col("part")).otherwise(F.lit(0))
     span = F.struct("start", "from", once.alias("once"), again.alias("again"))
-    plan = cut.withColumns({"once": once, "again": again}).filter("once > 0").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.max("size").alias("size"))
+    plan = cut.withColumns({"once": once, "again": again}).filter("once > 0").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.max("size").alias("size"))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), rest.alias("whole_row")).dropDuplicates(["doc_id", "text_key"])
+    keyed = docs.select("doc_id", "text", row_key, rest.alias("whole_row")).dropDuplicates(["doc_id", "row_key"])
     word = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    joined = keyed.join(plan.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    joined = keyed.join(plan.withColumnRenamed("doc_id", "id").withColumnRenamed("row_key", "key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
 
     def taken(which: str) -> Column:
         apart = lambda s: F.when((s["from"] == 0) & (s[which] > 0), " ").otherwise("")  # noqa: E731  a text's first word has no white space before it

@@ -4,9 +4,11 @@ A document is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded fr
 hashed byte trigrams and a few shape measures by a learned layer; gated attention weighs
 the encoded passages, and the weighted sum is scored. Encoder, gates and score are learned
 together from document labels (multiple-instance learning), by plain gradient steps over
-all passages of a bounded sample of labelled rows: at most ``sample`` documents and
-``sample_bytes`` of text, taken by the order of a hash of their id. Scoring reads every
-passage of every text; a score depends on nothing but the model and the text.
+a bounded sample of labelled rows: at most ``sample`` documents and ``sample_bytes`` of
+passages, taken by the order of a hash of their id. A labelled text of any length can be
+drawn; it is learned from by all its passages, or by ``BAG`` of them, evenly spaced over the
+whole text, if it has more. Scoring reads every passage of every text; a score depends on
+nothing but the model and the text.
 
 Defined results: null and empty texts are one empty passage and get that bag's score; an
 empty table gives an empty result; without two classes among the labels every score is the
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, slices, utf8
+from millrace.llm.common import checkpoint, held_out, slices, utf8
 
 PASSAGE = 512
 TRIGRAMS = 256
 SHAPES = 10
 FEATURES = TRIGRAMS + SHAPES
 SAMPLE = 6000
-#: Most bytes of text in the sample; a labelled text of over a 64th of them is not drawn.
+#: Most bytes of passages in the sample.
 SAMPLE_BYTES = 64 << 20
+#: Most passages of one labelled text that the fit learns from.
+BAG = 2048
 THRESHOLD = 0.7
 _ODD = np.random.default_rng(5).integers(1 << 62, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 
@@ -152,34 +156,41 @@ class GatedAttention:
         return {"W": x.T @ dx, "b": dx.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * s).T @ ds, "c": z.T @ wrong, "c0": wrong.sum(keepdims=True)}
 
 
-def _encode_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spaced(raw: np.ndarray, bag: int) -> np.ndarray:
+    """The bytes of at most ``bag`` whole passages of a text, evenly spaced from its first to its last."""
+    n = len(raw) // PASSAGE
+    if -(-len(raw) // PASSAGE) <= bag:
+        return raw
+    return raw[: n * PASSAGE].reshape(n, PASSAGE)[np.arange(bag) * (n - 1) // max(1, bag - 1)].reshape(-1)
+
+
+def _encode_sample(batches: Iterator[pa.RecordBatch], bag: int = BAG) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = utf8(batch.column(0))
-        rows = []
-        for start, end in slices(offsets):
-            x, first = passages_of(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
-            rows += [x[first[i] : first[i + 1]].astype(np.float16).tobytes() for i in range(end - start)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["passages", "quality"])
+        raw, offsets = utf8(batch.column(2))
+        rows = [passages_of(text, np.array([0, len(text)]))[0].astype(np.float16).tobytes() for text in (_spaced(raw[a:b], bag) for a, b in zip(offsets[:-1], offsets[1:]))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "passages"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> GatedAttention:
-    """A model of labels.quality, from all passages of a bounded sample of labelled rows: the
-    first ``sample`` by a hash of the id, of these as many as hold ``sample_bytes`` of text."""
+    """A model of labels.quality, from a bounded sample of labelled rows: the first ``sample``
+    by a hash of the id, of these as many as fill ``sample_bytes`` with their passages. Texts
+    are chosen by their sizes and fetched afterwards, so none is sorted."""
     order = [F.xxhash64("doc_id"), "doc_id", "quality"]
     chosen = (
-        labels.select("doc_id", "quality")
+        labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .dropDuplicates()
         .orderBy(*order)
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    sized = texts.withColumn("size", F.least(F.octet_length("text"), F.lit(BAG * PASSAGE)).cast("long")).drop("text").join(F.broadcast(chosen), "doc_id")
     # of an id's several texts one is learned from
-    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("one")).select("doc_id", "quality", "one.text")
-    size = F.octet_length("text")
-    rows = rows.filter(size <= sample_bytes // 64).withColumn("until", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter(F.col("until") <= sample_bytes).orderBy(*order).select("text", "quality")
-    found = rows.mapInArrow(_encode_sample, "passages binary, quality int").collect()
+    sized = sized.groupBy("doc_id", "quality").agg(F.min(F.struct("key", "size")).alias("one")).select("doc_id", "quality", "one.*")
+    sized = sized.withColumn("until", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = checkpoint(sized.filter(F.col("until") <= sample_bytes).select("doc_id", "quality", "key"))
+    encoded = texts.join(F.broadcast(drawn), ["doc_id", "key"]).select("doc_id", "quality", "text").mapInArrow(_encode_sample, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, passages binary")
+    found = encoded.groupBy("doc_id", "quality").agg(F.min("passages").alias("passages")).orderBy(*order).select("passages", "quality").collect()
     bags = [np.frombuffer(r[0], np.float16).reshape(-1, FEATURES) for r in found]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, FEATURES), np.float32)

@@ -120,6 +120,24 @@ def test_quality(spark):
     assert quality_mil.classify(make(spark, []), labels).count() == 0
 
 
+def test_labelled_texts_of_any_length_are_learned_from(spark, monkeypatch):
+    raw = np.frombuffer(b"".join(bytes([65 + i % 26]) * quality_mil.PASSAGE for i in range(20)) + b"rest", np.uint8)
+    spaced = quality_mil._spaced(raw, 5)
+    assert bytes(spaced[:: quality_mil.PASSAGE]) == bytes(65 + i for i in (0, 4, 9, 14, 19))
+    assert quality_mil._spaced(raw, 21) is raw and len(quality_mil._spaced(raw, 20)) == 20 * quality_mil.PASSAGE
+    # the only rows of label 0 are longer than any bound on the passages of a bag
+    monkeypatch.setattr(quality_mil, "BAG", 4)
+    rows = [(i, "calm words of a river " * (3 if i % 2 else 400) if i % 2 else "BUY!! NOW!! " * 4000) for i in range(60)]
+    docs, labels = make(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality_mil.fit(docs, labels)
+    assert model.constant is None
+    got = {r.doc_id: r.predicted for r in quality_mil.score(docs, model).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+    # a bound on all passages draws the first by hash, whatever their lengths
+    bounded = quality_mil.fit(docs, labels, sample_bytes=20 * quality_mil.PASSAGE)
+    assert bounded.p["W"].shape == model.p["W"].shape
+
+
 def plain_features(passage):
     """A passage's features, word for word as the docstrings say."""
     odd = [[int(x) for x in row] for row in quality_mil._ODD]
@@ -624,6 +642,27 @@ def test_mixing(spark, rows):
     assert mixing.mix(make(spark, [])).count() == 0 and mixing.mixed_documents(make(spark, [])).count() == 0
 
 
+def test_rows_of_several_sources_stay_apart(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = make(spark, [(1, text, "en", "a"), (1, text, "de", "b"), (1, text, "de", None), (1, text, "de", "b"), (2, "other words", "en", "a")])
+    docs = docs.withColumn("marks", F.create_map(F.lit("k"), "source"))
+    got = [(r.doc_id, r.source, r.lang, r.marks["k"], r.text) for r in mixing.mixed_documents(docs, 8).collect()]
+    assert {(d, s, lang) for d, s, lang, m, _ in got if d == 1 and s == m} == {(1, "a", "en"), (1, "b", "de"), (1, None, "de")}
+    per = {}
+    for _, s, _, _, t in got:
+        per[s] = per.get(s, 0) + len(t.split())
+    want = dict(zip(["a", "b", None], targets([42, 80, 40])))
+    assert all(per[s] == pytest.approx(want[s], abs=1) for s in want)
+    assert sorted(map(str, got)) == sorted(str((r.doc_id, r.source, r.lang, r.marks["k"], r.text)) for r in mixing.mixed_documents(docs.repartition(7), 8).collect())
+
+
+def test_more_sources_than_cells(spark, monkeypatch):
+    docs = make(spark, [(i, f"one two three {i}", "en", f"s{i % 30}") for i in range(120)])
+    few = {r.doc_id: r.taken for r in mixing.mix(docs, 4).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 7)
+    assert {r.doc_id: r.taken for r in mixing.mix(docs, 4).collect()} == few and sum(few.values()) == pytest.approx(720, abs=30)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(1)).alias("p")).collect()
