@@ -47,7 +47,7 @@ COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
 GATHERED = 6 << 20
 #: Text of pieces whose suffixes are sorted together.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,9 +82,12 @@ def minimised(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
 
 def _gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(length)])
-    index = np.arange(offsets[-1], dtype=np.int64)
-    index += np.repeat(start - offsets[:-1], length)
-    return raw[index], offsets
+    out = np.empty(offsets[-1], np.uint8)
+    for i, j in slices(offsets, SLICE_BYTES // 2):  # an index takes 8 bytes for each byte
+        index = np.arange(offsets[i], offsets[j], dtype=np.int64)
+        index += np.repeat(start[i:j] - offsets[i:j], length[i:j])
+        out[offsets[i] : offsets[j]] = raw[index]
+    return out, offsets
 
 
 def _deal(blocks: int, window: int):
@@ -214,7 +217,8 @@ def _bucket(doc: np.ndarray, place: np.ndarray, count: np.ndarray, ahead: np.nda
     base = np.concatenate([[0], np.cumsum(room)])
     laid = np.zeros(base[-1], np.uint8)
     own, own_at = _gather(text, offsets[one], length[one])
-    laid[np.arange(len(own)) + np.repeat(base[:-1] + pad - own_at[:-1], length[one])] = own
+    for i, j in slices(own_at, SLICE_BYTES // 2):
+        laid[np.arange(own_at[i], own_at[j]) + np.repeat(base[i:j] + pad[i:j] - own_at[i:j], length[one[i:j]])] = own[own_at[i] : own_at[j]]
     n = count[one]
     first = np.concatenate([[0], np.cumsum(n)])
     windows = np.arange(first[-1]) + np.repeat(base[:-1] + pad - first[:-1], n)
