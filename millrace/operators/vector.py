@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import RetrieveError, StoreError
 from millrace.functions import text as t
 
-#: Queries that one job sends to every task, and rows of a tile or a shard beyond that.
-MOST_QUERIES = 4096
+#: Queries that one job sends to every task; rows of a tile or a shard beyond that; scores that
+#: a task holds at once.
+MOST_QUERIES, TILE, SCORES = 4096, 8192, 1 << 21
 
 
 def checked(vectors: DataFrame, column: str, dimension: int) -> DataFrame:
@@ -50,17 +52,24 @@ def asked_for(query: list[float], k: int) -> None:
         raise StoreError("a query vector needs components")
 
 
-def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, places: int, with_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Queries, rows and scores: of each unit query's rows at least the k best, ties with the last of them too."""
-    with np.errstate(all="ignore"):
-        score = np.round(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T, places)
-    score[~np.isfinite(score)] = -np.inf
-    if not with_own:
-        score[ids[:, None] == own[None, :]] = -np.inf
-    keep = min(k, len(own))
-    edge = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
-    row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-    return ids[row], own[col], score[row, col]
+def _best(ids: np.ndarray, q: np.ndarray, own: pa.Array, x: np.ndarray, k: int, places: int, with_own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, rows and scores, some unit queries at a time: of each query's rows the k best, ties to smaller keys."""
+    by_key = pc.sort_indices(own, null_placement="at_start").to_numpy()
+    own, x = own.to_numpy(zero_copy_only=False)[by_key], _unit(x[by_key])
+    keep, step = min(k, len(own)), max(1, SCORES // len(own))
+    for i in range(0, len(q), step):
+        with np.errstate(all="ignore"):
+            score = np.round(q[i : i + step] @ x.T, places)
+        score[~np.isfinite(score)] = -np.inf
+        if not with_own:
+            score[ids[i : i + step, None] == own[None, :]] = -np.inf
+        edge = np.partition(score, len(own) - keep, axis=1)[:, len(own) - keep]
+        row, col = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+        tied = score[row, col] == edge[row]
+        ties, free = row[tied], keep - np.bincount(row[~tied], minlength=len(score))
+        tied[tied] = np.arange(len(ties)) - np.searchsorted(ties, ties) >= free[ties]  # those that come too late
+        row, col = row[~tied], col[~tied]
+        yield ids[i : i + step][row], own[col], score[row, col]
 
 
 def _rows(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -78,13 +87,13 @@ def _unit(q: np.ndarray) -> np.ndarray:
         return q / np.sqrt((q * q).sum(axis=1, keepdims=True))
 
 
-def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9, most: int = MOST_QUERIES, own: bool = False) -> DataFrame:
+def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int = 10, places: int = 9, most: int = MOST_QUERIES, own: bool = False, tile: int = TILE) -> DataFrame:
     """query_id, key, score and rank for each row (query_id, vector) of ``queries``.
 
     Up to ``most`` queries are sent to every task, where each batch of rows is one matrix
     product, of which k rows for each query go on. More of them are dealt into tiles and the
-    rows into shards, and each tile meets each shard in a task of its own. A window ranks what
-    is left. A row with the query's own id is left out, unless ``own`` asks for it too, as where
+    rows into shards of at most about ``tile`` each, and each tile meets each shard in a group of
+    its own. A window ranks what is left. A row with the query's own id is left out, unless ``own`` asks for it too, as where
     queries are no rows. Vectors without a score are left out as in ``cosine_topk``, also as queries.
     """
     kind = vectors.schema[key].dataType.simpleString()
@@ -93,7 +102,7 @@ def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFr
     shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     if len(asked) > most:
-        found = _tiled(vectors.select(F.col(key).alias("key"), F.col(column).alias("x")), queries, key, k, places, most, shape, own)
+        found = _tiled(vectors.select(F.col(key).alias("key"), F.col(column).alias("x")), queries, key, k, places, tile, shape, own)
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
     ids = pa.array([r[0] for r in asked]).to_numpy(zero_copy_only=False) if asked else np.zeros(0, np.int64)
     q = _unit(_rows(pa.array([r[1] for r in asked], pa.list_(pa.float64())))) if asked else np.zeros((0, 1))
@@ -101,25 +110,24 @@ def cosine_topk_batch(vectors: DataFrame, key: str, column: str, queries: DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch) and len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _best(ids, q, batch.column(0).to_numpy(zero_copy_only=False), _rows(batch.column(1), q.shape[1]), k, places, own)], names=["query_id", key, "score"])
+                for found in _best(ids, q, batch.column(0), _rows(batch.column(1), q.shape[1]), k, places, own):
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in found], names=["query_id", key, "score"])
 
     return vectors.select(key, column).mapInArrow(run, shape).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, most: int, shape: str, with_own: bool) -> DataFrame:
-    tiles, shards = (-(-frame.count() // most) for frame in (queries, rows))
-    tile, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)), F.pmod(F.xxhash64("key"), F.lit(max(1, shards)))
+def _tiled(rows: DataFrame, queries: DataFrame, key: str, k: int, places: int, tile: int, shape: str, with_own: bool) -> DataFrame:
+    tiles, shards = (-(-frame.count() // tile) for frame in (queries, rows))
+    dealt, shard = F.pmod(F.xxhash64("query_id"), F.lit(tiles)), F.pmod(F.xxhash64("key"), F.lit(max(1, shards)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
-    asked = queries.select(tile.alias("tile"), every(shards).alias("shard"), "query_id", "vector")
+    asked = queries.select(dealt.alias("tile"), every(shards).alias("shard"), "query_id", "vector")
     held = rows.select(shard.alias("shard"), every(tiles).alias("tile"), "key", "x")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = (_rows(t.combine_chunks().column(c).combine_chunks()) if len(t) else np.zeros((0, 1)) for t, c in ((left, "vector"), (right, "x")))
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(x):
-            q = _unit(q)
-            ids, own = left["query_id"].to_numpy(), right["key"].to_numpy()
-            out += [_best(ids[i : i + 256], q[i : i + 256], own, x, k, places, with_own) for i in range(0, len(q), 256)]
+            out += _best(left["query_id"].to_numpy(), _unit(q), right.combine_chunks()["key"].combine_chunks(), x, k, places, with_own)
         return pa.table({name: pa.array(np.concatenate([o[i] for o in out])) for i, name in enumerate(("query_id", key, "score"))})
 
     return asked.groupBy("tile", "shard").cogroup(held.groupBy("tile", "shard")).applyInArrow(meet, shape)

@@ -163,3 +163,49 @@ def test_lists_give_exact_results_and_are_skipped(spark, tmp_path):
         lists.search([1.0], 5)
     with pytest.raises(Exception, match="components"):
         vector.Lists(spark, str(tmp_path / "wrong"), "id").write(rows, "v", 7)
+
+
+def test_tiles_do_not_grow_in_number_with_what_one_job_may_send(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 5))[rng.integers(0, 60, 400)]  # copies, so that scores are tied
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<float>").repartition(3)
+    asked = rows.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("vector"))
+    ask = lambda **more: vector.cosine_topk_batch(rows, "vec_id", "x", asked, 4, **more)
+    held = {}
+    unit = vector._unit(x.astype(np.float32).astype(np.float64))
+    for q in range(0, 400, 4):
+        score = np.round(unit @ unit[q], 9)
+        held[q] = [i for i in np.lexsort((np.arange(400), -score)) if i != q][:4]
+    plans = {}
+    for name, more in {"one": {}, "tiled": {"most": 16}, "many": {"most": 16, "tile": 30}}.items():
+        got = ask(**more)
+        assert {q: [r.vec_id for r in sorted(got.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in held} == held
+        plans[name] = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 13" not in plans["tiled"] and plans["tiled"].count("CoGroup") == 1 and plans["tiled"] != plans["many"]
+
+
+def test_best_rows_are_k_whatever_is_tied_and_some_queries_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    x = np.array([[1.0, 0.0]] * 50 + [[0.0, 1.0], [0.0, 0.0], [1.0, 1.0]])
+    own = pa.array(range(52, -1, -1))
+    monkeypatch.setattr(vector, "SCORES", 100)
+    found = list(vector._best(np.array([3, 90, 91]), vector._unit(np.array([[2.0, 0.0], [0.0, 3.0], [0.0, 0.0]])), own, x, 3, 9, False))
+    assert len(found) == 3
+    got = [list(zip(*map(np.ndarray.tolist, f))) for f in found]
+    assert sorted(got[0]) == [(3, 4, 1.0), (3, 5, 1.0), (3, 6, 1.0)]
+    assert sorted(got[1]) == [(90, 0, 0.707106781), (90, 2, 1.0), (90, 3, 0.0)] and got[2] == []
+
+
+def test_citations_of_one_rank_are_no_single_task(spark):
+    rows = spark.range(3000).selectExpr("concat('p', id) as path", "1 as start_line", "9 as end_line", "cast(null as string) as symbol", "1 as rank", "repeat('ab', 900) as content")
+    found = lookups.citations(rows.union(rows.selectExpr("path", "start_line", "end_line", "symbol", "2 as rank", "'later' as content")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [n for n in found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 2000
+    assert {(len(r.citation.snippet), r["rank"]) for r in found.collect()} == {(800, 1)}
