@@ -40,9 +40,10 @@ def citation(most: int = SNIPPET, content: str = "content") -> Column:
 
 def citations(found: DataFrame, rank: str = "rank", most: int = SNIPPET, by: tuple[str, ...] = ()) -> DataFrame:
     """Citations of ranked chunks; of equal path and lines (of one value of ``by``) the first stays."""
-    first = F.row_number().over(Window.partitionBy(*by, "path", "start_line", "end_line").orderBy(rank))
-    kept = found.withColumn("n_", first).filter("n_ = 1")
-    return kept.select(*by, rank, citation(most).alias("citation")).orderBy(*by, rank)
+    lines = [f"citation.{c}" for c in ("path", "start_line", "end_line")]
+    first = F.row_number().over(Window.partitionBy(*by, *lines).orderBy(rank))
+    kept = found.select(*by, rank, citation(most).alias("citation")).withColumn("n_", first).filter("n_ = 1")
+    return kept.drop("n_").orderBy(*by, rank, *lines)  # by lines too, as many may have one rank, and these would be one task's
 
 
 def blocks(found: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
