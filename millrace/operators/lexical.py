@@ -8,8 +8,11 @@ those of the whole table; filters on rows come after them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +40,100 @@ def lengths(rows: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = ()
     return tokenised(rows, *columns).select(key, *keep, F.size("tokens").alias("dl"))
 
 
+#: Tokens that are grouped at once; a row with more is grouped alone.
+SLICE = 1 << 18
+
+
+def _row_postings(part: pa.RecordBatch, heads: int, names: list[str], places: bool) -> pa.RecordBatch:
+    """The first columns of rows, dl, and found: the postings of their lists of tokens, which follow."""
+    lists = [part.column(heads + i) for i in range(len(names))]
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    tokens = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    code = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.concatenate([np.repeat(np.arange(len(part)), n) for n in sizes])
+    at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+    field = np.repeat(np.arange(len(names)), [n.sum() for n in sizes])
+    term_of_row = row * max(1, len(tokens.dictionary)) + code
+    group = term_of_row * len(names) + field
+    order = np.argsort(group, kind="stable")  # positions stay in order
+    begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+    lead = order[begins]
+    ends = np.append(begins, len(order))
+    columns = {
+        "term": tokens.dictionary.take(pa.array(code[lead])), "field": pa.array(names).take(pa.array(field[lead])), "tf": pa.array(np.diff(ends).astype(np.int32)),
+        "first": pa.array(np.diff(term_of_row[lead], prepend=-1) != 0),
+    }
+    if places:
+        columns["positions"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    found = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    of_row = pa.array(np.searchsorted(row[lead], np.arange(len(part) + 1)).astype(np.int32))
+    head = {part.schema.names[i]: part.column(i) for i in range(heads)}
+    return pa.RecordBatch.from_pydict(head | {"dl": pa.array(sum(sizes).astype(np.int32)), "found": pa.ListArray.from_arrays(of_row, found)})
+
+
+def by_row(rows: DataFrame, key: str, fields: dict[str, Column], keep: tuple[str, ...] = (), places: bool = True) -> DataFrame:
+    """key, what else is kept, dl and found: one row for each row, with its postings (term, field,
+    tf, first: whether it is the row's first one of the term, and positions) as an array.
+
+    ``fields`` are lists of tokens. A row's postings come from its own tokens, so they are grouped
+    where the row is read, some rows at once, and no token is shuffled or kept by an aggregate."""
+    names, heads = list(fields), 1 + len(keep)
+    one = "term: string, field: string, tf: int, first: boolean" + (", positions: array<int>" if places else "")
+    shape = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep)), "dl int", f"found array<struct<{one}>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                n = sum(batch.column(heads + i).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(names)))
+                starts = [*np.unique(np.cumsum(n) // SLICE, return_index=True)[1].tolist(), len(batch)]
+                for start, end in zip(starts, starts[1:]):
+                    yield _row_postings(batch.slice(start, end - start), heads, names, places)
+
+    tokens = (c.alias(f"tokens{i}") for i, c in enumerate(fields.values()))
+    return rows.select(key, *keep, *tokens).mapInArrow(run, shape)
+
+
+def field_terms(fields: dict[str, str]) -> dict[str, Column]:
+    """The terms of the column of each field, nulls as none."""
+    return {name: t.terms(F.coalesce(F.col(column), F.lit(""))) for name, column in fields.items()}
+
+
+def all_terms(*columns: str) -> dict[str, Column]:
+    """The terms of several columns as one field without a name."""
+    parts = list(field_terms({c: c for c in columns}).values())
+    return {"": parts[0] if len(parts) == 1 else F.concat(*parts)}
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether a key names more than one row."""
+    return not rows.groupBy(key).count().filter("count > 1").isEmpty()
+
+
+def postings_of(rows: DataFrame, key: str, keep: tuple[str, ...] = (), repeated: bool = True) -> DataFrame:
+    """term, key, what else is kept, dl and tf of every posting of ``by_row`` with one field. Where
+    keys may be repeated, postings of one key and dl are taken together."""
+    found = rows.select(key, *keep, "dl", F.inline("found")).select("term", key, *keep, "dl", "tf")
+    return merged(found, key, keep) if repeated else found
+
+
+def placed_of(rows: DataFrame, key: str, keep: tuple[str, ...] = (), repeated: bool = True) -> DataFrame:
+    """As ``postings_of`` for several fields, with field, tf, positions and first."""
+    found = rows.select(key, *keep, "dl", F.inline("found"))
+    if repeated:
+        grouped = found.groupBy("term", key, *keep, "field", "dl").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.bool_or("first").alias("first"))
+        found = grouped.withColumn("tf", F.size("positions"))
+    return found.select("term", key, *keep, "field", "dl", "tf", "positions", "first")
+
+
 def postings(rows: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """term, key, what else is kept, dl and tf of every term of every row."""
-    found = tokenised(rows, *columns).select(key, *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return found.groupBy("term", key, *keep, "dl").agg(F.count("*").cast("int").alias("tf"))
+    return postings_of(by_row(rows, key, all_terms(*columns), keep, places=False), key, keep)
 
 
 def placed_postings(rows: DataFrame, key: str, fields: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """term, key, what else is kept, field, dl (tokens of all fields), tf and positions (from 0,
     ascending) of every term of every field; ``fields`` names the column of each."""
-    tokens = F.array(*(F.struct(F.lit(name).alias("field"), t.terms(F.coalesce(F.col(column), F.lit(""))).alias("tokens")) for name, column in fields.items()))
-    each = rows.select(key, *keep, tokens.alias("each")).withColumn("dl", F.aggregate("each", F.lit(0), lambda n, f: n + F.size(f["tokens"])))
-    found = each.select(key, *keep, "dl", F.inline("each")).select(key, *keep, "dl", "field", F.posexplode("tokens").alias("at", "term"))
-    grouped = found.groupBy("term", key, *keep, "field", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    return grouped.select("term", key, *keep, "field", "dl", F.size("positions").alias("tf"), "positions")
+    return placed_of(by_row(rows, key, field_terms(fields), keep), key, keep).drop("first")
 
 
 def merged(placed: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:

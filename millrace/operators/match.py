@@ -289,12 +289,19 @@ class Lexicon:
     def write(self, rows: DataFrame, ranges: int | None = None, **columns: str) -> Lexicon:
         """Indexes rows; ``columns`` names the column of each field. Spark chooses the number of
         ranges, and so of files, where none is given."""
-        found = lexical.placed_postings(rows, self.key, columns, self.keep)
+        lexical.by_row(rows, self.key, lexical.field_terms(columns), self.keep).write.parquet(f"{self.path}/rows")  # texts are cut into terms once
+        each = self.spark.read.parquet(f"{self.path}/rows")
+        repeated = lexical.repeats(each, self.key)
+        found = lexical.placed_of(each, self.key, self.keep, repeated)
         found.repartitionByRange(*filter(None, [ranges]), "term", self.key).sortWithinPartitions("term", self.key).write.parquet(f"{self.path}/postings")
-        lexical.lengths(rows, self.key, *columns.values(), keep=self.keep).write.parquet(f"{self.path}/lengths")
-        stored = self.spark.read.parquet(f"{self.path}/postings").select("term", self.key, "tf", F.col("_metadata.file_name").alias("file"))
-        per_row = stored.groupBy("term", self.key).agg(F.sum("tf").alias("tf"), F.collect_set("file").alias("files"))
-        terms = per_row.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.array_distinct(F.flatten(F.collect_set("files"))).alias("files"))
+        each.select(self.key, *self.keep, "dl").write.parquet(f"{self.path}/lengths")
+        stored = self.spark.read.parquet(f"{self.path}/postings").withColumn("file", F.col("_metadata.file_name"))
+        if repeated:
+            per_row = stored.groupBy("term", self.key).agg(F.sum("tf").alias("tf"), F.collect_set("file").alias("files"))
+            terms = per_row.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.array_distinct(F.flatten(F.collect_set("files"))).alias("files"))
+        else:  # as a row has one first posting of a term, a file's are summed where it is read
+            per_file = stored.groupBy("term", "file").agg(F.count_if("first").alias("df"), F.sum("tf").alias("cf"))
+            terms = per_file.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.collect_list("file").alias("files"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms")
         return self
 

@@ -111,9 +111,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
 
     def build(root: str) -> None:
-        found = lexical.postings(docs, "doc_id", "text", keep=("repo_id",)).select("term", "doc_id", "repo_id", "dl", "tf")
+        lexical.by_row(docs, "doc_id", lexical.all_terms("text"), ("repo_id",), places=False).write.parquet(f"{root}/rows")  # texts are cut into terms once
+        rows = spark.read.parquet(f"{root}/rows")
+        found = lexical.postings_of(rows, "doc_id", ("repo_id",), lexical.repeats(rows, "doc_id")).select("term", "doc_id", "repo_id", "dl", "tf")
         found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
-        lexical.lengths(docs, "doc_id", "text", keep=("repo_id",)).write.parquet(f"{root}/lengths")
+        rows.select("doc_id", "repo_id", "dl").write.parquet(f"{root}/lengths")
 
     root = stored(spark, docs, "lexicon", build)
     schemas = "term string, doc_id long, repo_id string, dl int, tf int", "doc_id long, repo_id string, dl int"
