@@ -219,24 +219,28 @@ def bm25(stored: tuple[DataFrame, DataFrame], key: str, words: list[str], k: int
     return ranked if k is None else ranked.limit(k)
 
 
-#: Parts that a common term's postings are dealt to, and what scores may be off by.
-SALTS, SLACK = 8, 2e-6
+#: Parts that a common term's postings are dealt to, what scores may be off by, and terms of
+#: questions that are sent to where the postings are.
+SALTS, SLACK, MOST_SENT = 8, 2e-6, 100_000
 
 
 def bm25_many(stored: tuple[DataFrame, DataFrame], key: str, asked: DataFrame, k: int = 10, where: Column | None = None, places: int = 6) -> DataFrame:
     """query_id, key, score and rank: for each row (query_id, words) of ``asked`` the k best
     rows with any of its words, as ``bm25`` finds them one query after the other.
 
-    All questions are one table of terms that meets the postings, dealt by term and a part of
-    the keys, so no term's postings are one task's. Common terms are not asked of all rows: a
-    question's rare terms give its k-th score at least; terms whose most parts add up to less
-    cannot make a row enter, and are added to rows that others have found.
+    All questions are one table of terms that meets the postings where they are; too large a
+    table, dealt by term and a part of the keys, so no term's postings are one task's. Common
+    terms are not asked of all rows: a question's rare terms give its k-th score at least; terms
+    whose most parts add up to less cannot make a row enter. What the others add up to gives a
+    higher k-th score, and only rows that can still reach it are looked up for the terms left.
     """
     if k < 1:
         raise RetrieveError("k must be at least 1", {"k": k})
     totals = F.broadcast(stored[1].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")))  # one row
     terms = asked.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    held = stored[0].join(terms.select("term").distinct(), "term", "left_semi").crossJoin(totals)
+    few = terms.limit(MOST_SENT + 1).count() <= MOST_SENT
+    sent = F.broadcast if few else lambda rows: rows
+    held = stored[0].join(sent(terms.select("term").distinct()), "term", "left_semi").crossJoin(totals)
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     counted = held.groupBy("term", "N").agg(F.count("*").alias("n_rows"), F.max(gain).alias("most"))
     counted = counted.select("term", "n_rows", weight(F.col("n_rows")).alias("weight"), (weight(F.col("n_rows")) * F.col("most")).alias("bound"), (F.col("n_rows") <= F.col("N") / 100).alias("rare"))
@@ -245,22 +249,34 @@ def bm25_many(stored: tuple[DataFrame, DataFrame], key: str, asked: DataFrame, k
 
     def added(some: DataFrame) -> DataFrame:
         """query_id, key and what these terms of a question add to it."""
-        salted = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-        return found.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("gain")).alias("part"))
+        if few:
+            found = hits.join(F.broadcast(some), "term")
+        else:
+            salted = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            found = hits.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+        found = found.select("query_id", key, (F.col("weight") * F.col("gain")).alias("part"))
+        return found.repartition("query_id", key).groupBy("query_id", key).agg(F.sum("part").alias("part"))  # no partial sums: files hold ranges of terms
 
     by_query = Window.partitionBy("query_id")
     placed = weighed.withColumn("place", F.row_number().over(by_query.orderBy("n_rows", "term")))
-    first = added(placed.filter("rare or place = 1").drop("place"))
-    best = first.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("part")))).filter(F.col("place") <= k)
-    least = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("least"))
-    known = weighed.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    first = added(placed.filter("rare or place = 1").select("query_id", "term", "weight"))
+
+    def least_of(found: DataFrame) -> DataFrame:
+        """query_id and its k-th part; 0 where fewer rows have one."""
+        best = found.select("query_id", "part").withColumn("place", F.row_number().over(by_query.orderBy(F.desc("part")))).filter(F.col("place") <= k)
+        return best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("least"))
+
+    known = weighed.join(least_of(first), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     summed = F.sum("bound").over(by_query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
     known = known.withColumn("helps", summed >= F.col("least") - SLACK)
-    idle = known.filter("not helps").select("query_id", "term", "weight", "bound")
-    limits = known.groupBy("query_id").agg(F.first("least").alias("least"), F.sum(F.when(F.col("helps"), 0.0).otherwise(F.col("bound"))).alias("rest"))
-    found = added(known.filter("helps")).join(limits, "query_id").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query_id", key, "part")
-    more = found.drop("part").join(idle, "query_id").join(hits, ["term", key]).select("query_id", key, (F.col("weight") * F.col("gain")).alias("part"))
+    idle = known.filter("not helps").select("query_id", "term", "weight")
+    rest = known.groupBy("query_id").agg(F.sum(F.when(F.col("helps"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    found = added(known.filter("helps").select("query_id", "term", "weight"))
+    limits = least_of(found).join(rest, "query_id")
+    found = found.join(sent(limits), "query_id").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query_id", key, "part")
+    wanted = found.drop("part").join(sent(idle), "query_id")
+    common = hits.join(sent(idle.select("term").distinct()), "term", "left_semi")
+    more = wanted.join(common, ["term", key]).select("query_id", key, (F.col("weight") * F.col("gain")).alias("part"))
     scored = found.unionByName(more).groupBy("query_id", key).agg(F.round(F.sum("part"), places).alias("score"))
     return scored.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
 

@@ -209,3 +209,23 @@ def test_citations_of_one_rank_are_no_single_task(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 2000
     assert {(len(r.citation.snippet), r["rank"]) for r in found.collect()} == {(800, 1)}
+
+
+def test_postings_of_many_questions_are_not_shuffled_for_their_terms(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(["the", "of", "and"], k=4) + rnd.choices([f"w{j}" for j in range(60)], k=6))) for i in range(300)], "id long, content string")
+    stored = (lexical.postings(docs, "id", "content").cache(), lexical.lengths(docs, "id", "content").cache())
+    questions = [(n, ["the", "of", "and", *rnd.sample([f"w{j}" for j in range(60)], 3)]) for n in range(6)]
+    asked = spark.createDataFrame(questions, "query_id long, words array<string>")
+    few = lexical.bm25_many(stored, "id", asked, 4)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "salt" not in plan and "least" in plan
+    monkeypatch.setattr(lexical, "MOST_SENT", 3)
+    many = lexical.bm25_many(stored, "id", asked, 4)
+    assert "salt" in many._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, many.collect())) and len(got) == 24
+    for n, words in questions:
+        assert [r[1:3] for r in sorted(got, key=lambda r: r[3]) if r[0] == n] == [tuple(r) for r in lexical.bm25(stored, "id", words, 4).collect()]
