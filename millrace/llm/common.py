@@ -99,6 +99,19 @@ def let_go() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python workers in batches of about ``SLICE_BYTES``
+    (a longer row alone), unless it names a size of its own. Spark fills batches with up to 64
+    MB, which are held by the executor, the pipe's buffer and the worker at once; after buffers
+    of that size the C library also keeps as much of each thread's freed memory. A setting of
+    the session, as the frames that operators return are run later by whoever asked for them."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, SLICE_BYTES)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets, without a copy of the bytes; nulls are empty."""
     if column.null_count:

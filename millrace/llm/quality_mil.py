@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, held_out, slices, utf8
+from millrace.llm.common import checkpoint, held_out, let_go, slices, small_batches, utf8
 
 PASSAGE = 512
 TRIGRAMS = 256
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     """A model of labels.quality, from a bounded sample of labelled rows: the first ``sample``
     by a hash of the id, of these as many as fill ``sample_bytes`` with their passages. Texts
     are chosen by their sizes and fetched afterwards, so none is sorted."""
+    small_batches(docs.sparkSession)
     order = [F.xxhash64("doc_id"), "doc_id", "quality"]
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -208,7 +209,9 @@ def score(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD)
                 parts.append(model.score(*passages_of(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])))
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        let_go()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -230,5 +233,7 @@ def keep(docs: DataFrame, model: GatedAttention, threshold: float = THRESHOLD) -
             scores = [model.score(*passages_of(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])) for start, end in slices(offsets)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+        let_go()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

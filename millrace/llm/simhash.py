@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, join_counted, let_go, pieces, sieve, slices, utf8
+from millrace.llm.common import checkpoint, join_counted, let_go, pieces, sieve, slices, small_batches, utf8
 from millrace.llm.components import components, local_roots
 from millrace.llm.jaccard_join import Known, known_points, met, named_set, packed_point, sets_of, sid
 
@@ -341,6 +341,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 17
     bucket of probes, so a chance pair joins no groups. Sets that meet are compared with all
     of their shingles, and only the pairs that pass are edges. Texts do not
     move: a bitmap of bounded size says which rows' sets are wanted."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", "doc_id").alias("row_hash"))
     rows = checkpoint(texts.mapInArrow(_described(width), "doc_id long, a long, b long, fp long, fq long, n long, row_hash long, point binary"))
     classes = checkpoint(rows.groupBy("a", "b", "fp", "fq", "n").agg(F.min("doc_id").alias("least")))

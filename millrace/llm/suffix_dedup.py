@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_FROM, PLACE_BITS, SLICE_BYTES, checkpoint, leftmost, let_go, numbers, packed, pieces, planes, release_shuffles, slices, tagged, unpacked, utf8
+from millrace.llm.common import NULL_FROM, PLACE_BITS, SLICE_BYTES, checkpoint, leftmost, let_go, numbers, packed, pieces, planes, release_shuffles, slices, small_batches, tagged, unpacked, utf8
 
 WINDOW = 50
 KMER = 16
@@ -47,7 +47,7 @@ COVER = np.array([True, True, False, True, False, False, False])
 #: Text that a task gathers before it sends a block its pieces.
 GATHERED = 6 << 20
 #: Text of pieces whose suffixes are sorted together.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(3).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -343,6 +343,7 @@ def spans_of(runs: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _joined(docs: DataFrame, window: int, *more: str) -> DataFrame:
     """Rows with their text and what is to be removed of it (column runs)."""
+    small_batches(docs.sparkSession)
     rows = tagged(docs, *more)
     gone = checkpoint(removed_runs(rows, window))
     release_shuffles(docs.sparkSession)  # the pieces are as large as the input; texts are dealt next
