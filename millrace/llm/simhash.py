@@ -18,6 +18,14 @@ bits of each text and the most bits that all 128 may differ in. ``keep_one`` use
 links only to find which sets of shingles meet, and compares these exactly, pair by pair,
 before anything is connected.
 
+For such k the probes of bits thin out too little: at 17 of 64, a pair of unrelated texts shares
+one every fourth time, so pairs grow with the square of the texts. As ``keep_one`` asks for a
+Jaccard similarity besides, its fingerprints are dealt by shingles instead: two sets of which
+``percent`` of a hundred are the same have a common element among the first hundredths that are
+left, and one more, of each, in whatever order all sets share. That order is the rarest first, by
+counts over a bounded number of documents, so that few texts meet for a common line; it decides
+what meets where, and never what is linked. Fingerprints that share such a shingle are compared.
+
 Defined results: null and empty texts have no words and fingerprint zero, which links like
 any other; an empty table gives an empty result; repeated rows share a fingerprint, and a
 null doc_id takes part but never names a component unless it has only null ids.
@@ -43,6 +51,12 @@ BITS, GROUP, SEED = 64, 8, 42
 TILE = 32768
 #: What one probe row costs against one comparison of two fingerprints.
 PROBE_COST = 600.0
+#: About how many documents' shingles are counted, from how many on one is common, and the most of these.
+COUNTED, COMMON, MOST_COMMON = 1 << 13, 4, 1 << 18
+#: Bytes of keys that a task deals at a time.
+DEALT_BYTES = 4 << 20
+#: What is dealt for each of a set's keys.
+ENTRY = np.dtype([("key", "<u8"), ("fp", "<i8"), ("fq", "<i8"), ("n", "<i4")])
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -241,9 +255,13 @@ def _link(fp: np.ndarray, fq: np.ndarray, key: np.ndarray, side: np.ndarray, k:
                 kept = np.flatnonzero(root != np.arange(len(touched)))
                 us.append(touched[kept] + a)
                 vs.append(touched[root[kept]] + a)
+    return _stars(bits, more, us, vs)
+
+
+def _stars(bits: np.ndarray, more: np.ndarray, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars over the fingerprints of linked rows; rows of equal ones are one node."""
     u, v = (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     rows, where = np.unique(np.concatenate([u, v]), return_inverse=True)
-    # rows of equal fingerprints are one node
     both = np.stack([bits[rows], more[rows]], axis=1)
     nodes, node = np.unique(both, axis=0, return_inverse=True) if len(rows) else (both, where)
     node = node.ravel()
@@ -299,35 +317,203 @@ def links(nodes: DataFrame, n: int, k: int, checked: int | None = None) -> DataF
     return _dealt(nodes, n, k).groupBy("bucket").applyInArrow(compare, f"u {NODE}, v {NODE}")
 
 
+def _clusters(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """key, fp, fq of the fingerprints of spanning stars; a key is of a cluster's members, so
+    that a cluster that is found again has the same."""
+    both = np.concatenate([np.stack([u, v], axis=1), np.stack([np.unique(v, axis=0)] * 2, axis=1)])  # each, and the first of its cluster
+    own, first = both[:, 0].view(np.uint64), both[:, 1]
+    _, cluster = np.unique(first, axis=0, return_inverse=True) if len(both) else (None, np.zeros(0, np.int64))
+    total = np.zeros(int(cluster.max(initial=-1)) + 1, np.uint64)
+    np.add.at(total, cluster.ravel(), _further(_further(own[:, 0]) ^ own[:, 1]))
+    named = _further(_further(total))[cluster.ravel()]
+    return pa.table({"key": named.view(np.int64), "fp": np.ascontiguousarray(both[:, 0, 0]), "fq": np.ascontiguousarray(both[:, 0, 1])})
+
+
+CLUSTER = "key long, fp long, fq long"
+
+
 def meetings(nodes: DataFrame, n: int, k: int, checked: int) -> DataFrame:
-    """key, fp, fq: the clusters that links within one bucket make, each under a key of its own."""
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        u, v = _link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, checked)
-        both = np.concatenate([np.stack([u, v], axis=1), np.stack([np.unique(v, axis=0)] * 2, axis=1)])  # each, and the first of its cluster
-        named = _further(both[:, 1].view(np.uint64))
-        named = _further(named[:, 0] ^ _further(named[:, 1] + np.uint64(key[0].as_py() + 1)))
-        named = named & ~np.uint64(3) | np.uint64(key[0].as_py() & 3)
+    """key, fp, fq: the clusters that links within one bucket of probes make."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        out = _clusters(*_link(*(table[c].to_numpy() for c in ("fp", "fq", "key", "side")), k, checked))
+        let_go()
+        return out
+
+    return _dealt(nodes, n, k).groupBy("bucket").applyInArrow(compare, CLUSTER)
+
+
+class Rarest:
+    """The order of shingles: first those that are not known as common, by their hashes, then
+    the others by their number and hashes. ``times`` of each common one (ascending) are in one
+    of ``share`` documents."""
+
+    def __init__(self, common: np.ndarray, times: np.ndarray, share: int):
+        self.common, self.times, self.share, self.tile = common, times, share, TILE
+
+    def _times(self, own: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
+        return np.where(self.common[at] == own, self.times[at], 0)
+
+    def keys(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The first elements of a set (ascending), of which it shares one with any set of that
+        Jaccard similarity: these have ``percent`` of a hundred of its elements, at least."""
+        many = len(own) + percent * len(own) // -100 + 1 if len(own) else 0
+        take = many
+        while True:  # most sets need not be looked at further than that
+            times = self._times(own[:take])
+            lack = many - int((times == 0).sum())
+            if lack <= 0 or take == len(own):
+                break
+            take = min(len(own), take + 2 * lack)
+        return own[np.argsort(times, kind="stable")[:many]]
+
+    def tiles(self, keys: np.ndarray) -> np.ndarray:
+        """Into how many tiles the rows of each key are cut."""
+        return np.maximum(1, -(-self._times(keys) * self.share // self.tile))
+
+
+def rarest(texts: DataFrame, width: int) -> Rarest:
+    """Counts the shingles of about ``COUNTED`` different texts; the driver sees at most
+    ``MOST_COMMON`` of them."""
+    share = max(1, -(-texts.count() // COUNTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(0))
+            for begin, end in slices(offsets):
+                sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    some = texts.select("text", F.xxhash64("text").alias("of")).filter(F.pmod("of", F.lit(share)) == 0).dropDuplicates(["of"])
+    counted = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON)
+    found = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    common, times = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(common)
+    return Rarest(common[order], times[order], share)
+
+
+def _deal(order: Rarest, buckets: int):
+    """The entries of sets, some rows at once, as one value for each bucket; an entry whose key
+    is cut into tiles goes to every pair of tiles that its own is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.nbytes
+            if not held or batch is not None and size < DEALT_BYTES:
+                continue
+            table, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+            raw, offsets = utf8(table["keys"].combine_chunks())
+            key, row = np.frombuffer(raw.tobytes(), "<u8"), np.repeat(np.arange(len(table)), np.diff(offsets) // 8)
+            fp, fq, n = (table[c].to_numpy() for c in ("fp", "fq", "n"))
+            tiles = order.tiles(key)
+            if tiles.max(initial=1) > 1:
+                own = (_further(_further(fp.view(np.uint64)) ^ fq.view(np.uint64))[row] % tiles.astype(np.uint64)).astype(np.int64)
+                every = np.repeat(np.arange(len(key)), tiles)
+                other = np.arange(len(every)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                i, j = np.minimum(own[every], other).astype(np.uint64), np.maximum(own[every], other).astype(np.uint64)
+                key, row = np.where(tiles[every] > 1, _further(key[every] ^ _further((i << np.uint64(32)) + j + np.uint64(1))), key[every]), row[every]
+            entries = np.empty(len(key), ENTRY)
+            entries["key"], entries["fp"], entries["fq"], entries["n"] = key, fp[row], fq[row], n[row]
+            bucket = (_further(key) >> np.uint64(16)) % np.uint64(buckets)
+            by = np.argsort(bucket, kind="stable")
+            bucket = bucket[by]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            at = (np.append(first, len(bucket)) * ENTRY.itemsize).astype(np.int32)
+            values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(entries[by])])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), values], names=["bucket", "entries"])
+        let_go()
+
+    return run
+
+
+def _link_sizes(fp: np.ndarray, fq: np.ndarray, size: np.ndarray, key: np.ndarray, k: int, checked: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a key that are linked and whose sizes allow the similarity, as spanning stars."""
+    order = np.lexsort((fq, fp, size, key))
+    same = lambda x: x[order][1:] == x[order][:-1]
+    order = order[np.append(True, ~(same(key) & same(fp) & same(fq)))]
+    again = same(key)
+    order = order[np.append(again, False) | np.append(False, again)]  # most keys are of one set
+    key = key[order]
+    size, bits, more = size[order].astype(np.int64), fp[order].view(np.uint64), fq[order].view(np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(key))
+    sizes = (ends - starts)[: len(starts)]
+    us, vs = [], []
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        first, second = np.bitwise_count(bits[a] ^ bits[b]), np.bitwise_count(more[a] ^ more[b])
+        return (first <= k) & (first + second <= checked) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+
+    stop = np.repeat(ends[: len(starts)], sizes)
+    at = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    shift = 1
+    while len(at):  # each row against the one ``shift`` places on, while that is not too large
+        at = at[at + shift < stop[at]]
+        at = at[percent * size[at + shift] <= 100 * size[at]]
+        held = at[near(at, at + shift)]
+        us.append(held)
+        vs.append(held + shift)
+        shift += 1
+    for s, e in zip(starts, ends):
+        left = np.arange(s, e) if e - s > 64 else np.zeros(0, np.int64)
+        while len(left) > 1:  # what is reached from one row is not compared again
+            reached, left = left[:1], left[1:]
+            while len(reached) and len(left):
+                some, reached = reached[:64], reached[64:]
+                low, high = np.searchsorted(size[left], [-(-percent * size[some].min() // 100), 100 * size[some].max() // percent + 1])
+                close = left[low:high]
+                i, j = np.nonzero(np.bitwise_count(bits[some][:, None] ^ bits[close][None, :]) <= k)
+                held = near(some[i], close[j])
+                j, where = np.unique(j[held], return_index=True)
+                us.append(some[i[held][where]])
+                vs.append(close[j])
+                reached = np.concatenate([reached, close[j]])
+                left = np.delete(left, low + j)
+    return _stars(bits, more, us, vs)
+
+
+def meetings_by_shingles(rows: DataFrame, order: Rarest, k: int, checked: int, percent: int) -> DataFrame:
+    """key, fp, fq: the clusters that links within one bucket of keys (of ``rows``, a written
+    table) make. All sets that are linked and of that Jaccard similarity share a key."""
+    total = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+
+    def compare(table: pa.Table) -> pa.Table:
+        entries = np.frombuffer(utf8(table["entries"].combine_chunks())[0].tobytes(), ENTRY)
+        out = _clusters(*_link_sizes(*(np.ascontiguousarray(entries[c]) for c in ("fp", "fq", "n", "key")), k, checked, percent))
         let_go()
-        return pa.table({"key": named.view(np.int64), "fp": np.ascontiguousarray(both[:, 0, 0]), "fq": np.ascontiguousarray(both[:, 0, 1])})
+        return out
 
-    return _dealt(nodes, n, k).groupBy("bucket").applyInArrow(compare, "key long, fp long, fq long")
+    dealt = rows.filter("keys is not null").select("keys", "fp", "fq", "n").mapInArrow(_deal(order, pieces(total * ENTRY.itemsize, 8 << 20, 12)), "bucket long, entries binary")
+    return dealt.groupBy("bucket").applyInArrow(compare, CLUSTER).distinct()
 
 
-def _described(width: int):
-    """doc_id, the 128-bit key and size of the set of shingles, its fingerprints, and the row's hash."""
+def _described(width: int, order: Rarest, percent: int):
+    """doc_id, the 128-bit key and size of the set of shingles, its fingerprints, the row's hash,
+    and the shingles under which the set meets others; of equal sets of a task one has these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for begin, end in slices(offsets):
                 sets = sets_of(raw[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], width)
-                keys = np.array([named_set(own) for own in sets], np.int64).reshape(-1, 2)
+                names = [named_set(own) for own in sets]
+                held = []
+                for own, name in zip(sets, names):
+                    held.append(None if name in seen or not len(own) else order.keys(own, percent).tobytes())
+                    seen.add(name)
+                keys = np.array(names, np.int64).reshape(-1, 2)
                 prints = np.array([set_fingerprint(own) for own in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 points = pa.array([packed_point(own) for own in sets], pa.binary())
                 own = [batch.column(i).slice(begin, end - begin) for i in (0, 2)]
-                columns = [own[0], *(pa.array(np.ascontiguousarray(x[:, i])) for x in (keys, prints) for i in (0, 1)), pa.array(np.array([len(s) for s in sets], np.int64)), own[1], points]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "fp", "fq", "n", "row_hash", "point"])
+                columns = [own[0], *(pa.array(np.ascontiguousarray(x[:, i])) for x in (keys, prints) for i in (0, 1)), pa.array(np.array([len(s) for s in sets], np.int64)), own[1], points, pa.array(held, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "fp", "fq", "n", "row_hash", "point", "keys"])
         let_go()
 
     return run
@@ -338,20 +524,19 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 17
     edges (u, v) that connect whatever pairs of that Jaccard similarity connect.
 
     Fingerprints within the limits only say which sets meet: those of one cluster of one
-    bucket of probes, so a chance pair joins no groups. Sets that meet are compared with all
+    bucket of keys, so a chance pair joins no groups. Sets that meet are compared with all
     of their shingles, and only the pairs that pass are edges. Texts do not
     move: a bitmap of bounded size says which rows' sets are wanted."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", "doc_id").alias("row_hash"))
-    rows = checkpoint(texts.mapInArrow(_described(width), "doc_id long, a long, b long, fp long, fq long, n long, row_hash long, point binary"))
+    order = rarest(texts, width)
+    rows = checkpoint(texts.mapInArrow(_described(width, order, percent), "doc_id long, a long, b long, fp long, fq long, n long, row_hash long, point binary, keys binary"))
     classes = checkpoint(rows.groupBy("a", "b", "fp", "fq", "n").agg(F.min("doc_id").alias("least")))
     filled = classes.filter("n > 0").withColumn("sid", sid())
-    nodes = checkpoint(filled.groupBy("fp", "fq").agg(F.count("*").alias("sets")))
-    n = nodes.count()
-    if not n:
+    if filled.isEmpty():
         return classes, None
-    found = checkpoint(meetings(nodes, n, k, checked))
-    alike = nodes.filter("sets > 1").select(F.xxhash64("fp", "fq").bitwiseAND(F.lit(~3).cast("long")).alias("key"), "fp", "fq")
+    found = meetings_by_shingles(rows, order, k, checked, percent)
+    alike = filled.groupBy("fp", "fq").agg(F.count("*").alias("sets")).filter("sets > 1").select(F.xxhash64("fp", "fq").bitwiseAND(F.lit(~3).cast("long")).alias("key"), "fp", "fq")
     held = checkpoint(found.unionByName(alike).join(filled.select("fp", "fq", "sid", "n"), ["fp", "fq"]).groupBy("key", "sid").agg(F.min("n").alias("n")))
     known = Known(known_points(rows, held), texts, width)
     edges = None
