@@ -53,8 +53,8 @@ TILE = 32768
 PROBE_COST = 600.0
 #: About how many documents' shingles are counted, from how many on one is common, and the most of these.
 COUNTED, COMMON, MOST_COMMON = 1 << 13, 4, 1 << 18
-#: Bytes of keys that a task deals at a time.
-DEALT_BYTES = 4 << 20
+#: Bytes of keys that a task takes, and entries that it deals, at a time.
+DEALT_BYTES, DEALT = 4 << 20, 1 << 20
 #: What is dealt for each of a set's keys.
 ENTRY = np.dtype([("key", "<u8"), ("fp", "<i8"), ("fq", "<i8"), ("n", "<i4")])
 
@@ -395,6 +395,25 @@ def rarest(texts: DataFrame, width: int) -> Rarest:
     return Rarest(common[order], times[order], share)
 
 
+def _entries(key: np.ndarray, tiles: np.ndarray, row: np.ndarray, fp: np.ndarray, fq: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket and entries of the keys of some rows."""
+    if tiles.max(initial=1) > 1:
+        own = (_further(_further(fp.view(np.uint64)) ^ fq.view(np.uint64))[row] % tiles.astype(np.uint64)).astype(np.int64)
+        every = np.repeat(np.arange(len(key)), tiles)
+        other = np.arange(len(every)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+        i, j = np.minimum(own[every], other).astype(np.uint64), np.maximum(own[every], other).astype(np.uint64)
+        key, row = np.where(tiles[every] > 1, _further(key[every] ^ _further((i << np.uint64(32)) + j + np.uint64(1))), key[every]), row[every]
+    entries = np.empty(len(key), ENTRY)
+    entries["key"], entries["fp"], entries["fq"], entries["n"] = key, fp[row], fq[row], n[row]
+    bucket = (_further(key) >> np.uint64(16)) % np.uint64(buckets)
+    by = np.argsort(bucket, kind="stable")
+    bucket = bucket[by]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    at = (np.append(first, len(bucket)) * ENTRY.itemsize).astype(np.int32)
+    values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(entries[by])])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), values], names=["bucket", "entries"])
+
+
 def _deal(order: Rarest, buckets: int):
     """The entries of sets, some rows at once, as one value for each bucket; an entry whose key
     is cut into tiles goes to every pair of tiles that its own is in."""
@@ -412,21 +431,11 @@ def _deal(order: Rarest, buckets: int):
             key, row = np.frombuffer(raw.tobytes(), "<u8"), np.repeat(np.arange(len(table)), np.diff(offsets) // 8)
             fp, fq, n = (table[c].to_numpy() for c in ("fp", "fq", "n"))
             tiles = order.tiles(key)
-            if tiles.max(initial=1) > 1:
-                own = (_further(_further(fp.view(np.uint64)) ^ fq.view(np.uint64))[row] % tiles.astype(np.uint64)).astype(np.int64)
-                every = np.repeat(np.arange(len(key)), tiles)
-                other = np.arange(len(every)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                i, j = np.minimum(own[every], other).astype(np.uint64), np.maximum(own[every], other).astype(np.uint64)
-                key, row = np.where(tiles[every] > 1, _further(key[every] ^ _further((i << np.uint64(32)) + j + np.uint64(1))), key[every]), row[every]
-            entries = np.empty(len(key), ENTRY)
-            entries["key"], entries["fp"], entries["fq"], entries["n"] = key, fp[row], fq[row], n[row]
-            bucket = (_further(key) >> np.uint64(16)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            bucket = bucket[by]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            at = (np.append(first, len(bucket)) * ENTRY.itemsize).astype(np.int32)
-            values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(entries[by])])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), values], names=["bucket", "entries"])
+            ends, begin = np.cumsum(tiles), 0
+            while begin < len(key):  # copies of common keys some at a time, too
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + DEALT, "right")))
+                yield _entries(key[begin:end], tiles[begin:end], row[begin:end], fp, fq, n, buckets)
+                begin = end
         let_go()
 
     return run

@@ -86,6 +86,21 @@ def test_deal_and_link_against_brute_force(monkeypatch, tile, each):
         assert not any(own[i] & own[j] for j in range(i) if root[i] != root[j])
 
 
+def test_copies_of_common_keys_are_dealt_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 10)
+    monkeypatch.setattr(simhash, "DEALT", 1000)
+    sets = [np.arange(5, dtype=np.uint64) + np.uint64(100 * (i % 2)) for i in range(400)]
+    order = order_of(sets)  # keys of 200 rows, 20 tiles each
+    zero = np.arange(400)
+    batch = pa.RecordBatch.from_arrays([pa.array([order.keys(s, 80).tobytes() for s in sets], pa.binary()), *map(pa.array, (zero, zero, zero))], names=["keys", "fp", "fq", "n"])
+    dealt = [np.frombuffer(utf8(b.column(1))[0].tobytes(), simhash.ENTRY) for b in simhash._deal(order, 5)(iter([batch]))]
+    assert max(map(len, dealt)) <= 1000 and sum(map(len, dealt)) == 400 * 2 * 20
+    key, fp = (np.concatenate([d[c] for d in dealt]) for c in ("key", "fp"))
+    held = [set(key[fp == i].tolist()) for i in range(400)]
+    assert all(len(h) == 40 for h in held) and all(held[0] & held[i] for i in range(0, 400, 2))
+    assert not any(held[0] & held[i] for i in range(1, 400, 2)) and np.unique(key, return_counts=True)[1].max() < 60
+
+
 def test_unrelated_texts_do_not_meet(spark, monkeypatch):
     """A common line, and fingerprints' bits, let no unrelated texts be compared: before, each
     pair shared every fourth a probe of bits."""
