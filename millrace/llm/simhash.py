@@ -18,8 +18,8 @@ bits of each text and the most bits that all 128 may differ in. ``keep_one`` use
 links only to find which sets of shingles meet, and compares these exactly, pair by pair,
 before anything is connected.
 
-For such k the probes of bits thin out too little: at 17 of 64, a pair of unrelated texts shares
-one every fourth time, so pairs grow with the square of the texts. As ``keep_one`` asks for a
+For such k the probes of bits thin out too little: at 17 of 64, two unrelated texts share half a
+probe on average, so what is compared grows with the square of the texts. As ``keep_one`` asks for a
 Jaccard similarity besides, its fingerprints are dealt by shingles instead: two sets of which
 ``percent`` of a hundred are the same have a common element among the first hundredths that are
 left, and one more, of each, in whatever order all sets share. That order is the rarest first, by

@@ -102,8 +102,8 @@ def test_copies_of_common_keys_are_dealt_some_at_a_time(monkeypatch):
 
 
 def test_unrelated_texts_do_not_meet(spark, monkeypatch):
-    """A common line, and fingerprints' bits, let no unrelated texts be compared: before, each
-    pair shared every fourth a probe of bits."""
+    """A common line, and fingerprints' bits, let no unrelated texts be compared: before,
+    two of them shared half a probe of bits on average."""
 
     def probes(*_):
         raise AssertionError("texts are dealt by bits alone")
